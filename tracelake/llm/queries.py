@@ -22,7 +22,13 @@ def op7_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = [op3_best_fit_packing, op7_token_counts]
+def op8_ngram_jaccard_join(spark, sf_dir):
+    from tracelake.llm.near_dup import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op3_best_fit_packing, op7_token_counts, op8_ngram_jaccard_join]
 
 
 def queries():
