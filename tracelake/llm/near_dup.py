@@ -18,10 +18,12 @@ has enough parts left, and they meet there, or both sign in full, and they meet
 
 **Links.** A group of sets with one signature is never turned into all its pairs. Its smallest
 document is the hub and each member is compared exactly with one hub; the components of the
-links so found are contracted; groups that still hold several components choose hubs again, and
-what is left after ``STARS`` rounds is compared across components pair by pair. So two
-documents are compared unless they are already known to be connected, and no link that matters
-to a component is lost. Documents with equal sets are one class throughout.
+links so found are contracted. Groups that still hold several components are compared in
+blocks: documents that met the same hub share blocks of about ``HUB_ROWS``, a cell is a pair of
+blocks that some open group spans, and each cell counts all its intersections with one matrix
+product and returns a spanning forest of its links. So two documents of a group are compared
+unless they are already known to be connected, and no link that matters to a component is
+lost. Documents with equal sets are one class throughout.
 
 Signatures, groups and requests travel as packed arrays, a few rows per task, so that their
 sorting and grouping is numpy's work.
@@ -40,11 +42,9 @@ from tracelake.llm.common import arrow_rows, durable, mix, parts, text_bytes
 from tracelake.llm.components import components
 from tracelake.llm.shingles import set_hashes, shingle_sets
 
-#: Rounds of hubs before the rest is compared pair by pair.
-STARS = 2
-#: Ids that a broadcast may hold (about 100 MB in a JVM); beyond, Spark shuffles both sides.
-BROADCAST_IDS = 2_000_000
-#: Members of a hub that meet it in one task at most; a larger hub is dealt to several.
+#: Rows of ids that a broadcast may hold (about 60 MB in a JVM); beyond, Spark shuffles both sides.
+BROADCAST_IDS = 1_000_000
+#: Members that meet their hub in one group of rows, and documents in a block, on average at most.
 HUB_ROWS = 256
 #: Documents that must hold a shingle to take it out of the signatures' domain, and how many such may be broadcast (8 bytes each).
 FREQUENT, FREQUENT_MOST = 32, 4_000_000
@@ -192,7 +192,7 @@ def _regroup(df: DataFrame, reduce: Callable, schema: str) -> DataFrame:
     return df.groupBy("bucket").applyInArrow(run, schema)
 
 
-def _semi(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Join on doc_id; ``ids`` is broadcast only where its counted rows are few."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
 
@@ -267,103 +267,140 @@ def groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame
     return durable(_regroup(_regroup(signed, gather, BLOB), unique, BLOB))
 
 
-def hubs(entries: DataFrame) -> DataFrame:
-    """(a, b): each member b with the smallest hub a of its groups."""
+def homes(entries: DataFrame) -> DataFrame:
+    """(doc_id, hub, task): each document with the smallest hub of its groups (maybe itself), and which block of that hub's it is in."""
 
     def run(_, blobs) -> Iterator[pa.RecordBatch]:
         _, hub, member = _columns(blobs, "<u8", "<i8", "<i8")
         order = np.lexsort((hub, member))
         order = order[_firsts(member[order])]
-        order = order[hub[order] != member[order]]
-        yield pa.RecordBatch.from_arrays([pa.array(hub[order]), pa.array(member[order])], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(member[order]), pa.array(hub[order])], ["doc_id", "hub"])
 
-    return _regroup(entries, run, "a long, b long")
+    found = durable(_regroup(entries, run, "doc_id long, hub long"))
+    deal = found.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).alias("tasks"))
+    return durable(found.join(deal, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), "tasks").alias("task"), "tasks"))
 
 
-def open_groups(entries: DataFrame, roots: DataFrame, buckets: int, star: bool) -> DataFrame:
-    """Packed entries of groups that hold several components (``star``), or else (a, b) across their components.
-
-    A group's new hub is its smallest member outside the component of its old hub.
-    """
+def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
+    """(cell, doc_id) of the groups that hold several components. ``places``: node, root, block."""
     n = np.uint64(buckets)
 
     def label(key, table, known):
-        g, hub, member = _columns(table["blob"], "<u8", "<i8", "<i8")
-        node, root = known["node"].to_numpy(), known["root"].to_numpy()
-        order = np.argsort(node)
-        node, root = node[order], root[order]
-        at = np.minimum(np.searchsorted(node, member), max(0, len(node) - 1))
-        found = np.where(node[at] == member, root[at], member) if len(node) else member
-        rows = list(_blobs((mix(g) % n).astype(np.int32), buckets, g, hub, member, found))
+        g, _, member = _columns(table["blob"], "<u8", "<i8", "<i8")
+        known = known.sort_by("node")
+        at = np.searchsorted(known["node"].to_numpy(), member)  # every member has a place
+        rows = list(_blobs((mix(g) % n).astype(np.int32), buckets, g, member, *(known[c].to_numpy()[at] for c in ("root", "block"))))
         return pa.Table.from_batches(rows) if rows else pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]).empty_table()
 
     def pick(_, blobs) -> Iterator[pa.RecordBatch]:
-        g, hub, member, root = _columns(blobs, "<u8", "<i8", "<i8", "<i8")
-        order = np.lexsort((member, root, g))
-        g, hub, member, root = g[order], hub[order], member[order], root[order]
-        starts = np.flatnonzero(_firsts(g))
-        sizes = np.diff(np.r_[starts, len(g)])
-        least, most = (np.repeat(f.reduceat(root, starts), sizes) if len(starts) else root for f in (np.minimum, np.maximum))
-        keep = least != most
-        g, hub, member, root = g[keep], hub[keep], member[keep], root[keep]
+        g, member, root, block = _columns(blobs, "<u8", "<i8", "<i8", "<i8")
+        order = np.lexsort((block, g))
+        g, member, root, block = g[order], member[order], root[order], block[order]
         starts = np.flatnonzero(_firsts(g))
-        sizes = np.diff(np.r_[starts, len(g)])
-        if star:
-            for a, s in zip(starts, sizes, strict=True):
-                mine = slice(a, a + s)
-                other = root[mine] != root[mine][np.flatnonzero(member[mine] == hub[mine])[0]] if (member[mine] == hub[mine]).any() else np.ones(s, bool)
-                hub[mine] = member[mine][other].min()
-            yield from _blobs((mix(member.astype(np.uint64)) % n).astype(np.int32), buckets, g, hub, member)
-        else:
-            for a, s in zip(starts, sizes, strict=True):
-                for i in range(a, a + s):  # one member against the rest of its group at a time
-                    others = member[a : a + s][root[a : a + s] > root[i]]
-                    if len(others):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others, member[i])), pa.array(np.maximum(others, member[i]))], ["a", "b"])
+        ends = np.r_[starts[1:], len(g)]
+        if not len(starts):
+            return
+        open_ = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
+        one = block[starts] == block[ends - 1]
+        inside = np.repeat(open_ & one, ends - starts)
+        cell, doc = [mix(block[inside].astype(np.uint64))], [member[inside]]
+        for a, b in zip(starts[open_ & ~one].tolist(), ends[open_ & ~one].tolist(), strict=True):
+            cuts = [a, *(a + 1 + np.flatnonzero(block[a + 1 : b] != block[a : b - 1])).tolist(), b]
+            pieces = list(zip(cuts, cuts[1:], strict=False))
+            for i, (a1, b1) in enumerate(pieces):
+                for a2, b2 in pieces[i + 1 :]:
+                    both = np.r_[root[a1:b1], root[a2:b2]]
+                    if both.min() != both.max():
+                        name = mix(np.array([block[a1]]).astype(np.uint64)) + np.uint64(3) * block[a2 : a2 + 1].astype(np.uint64)
+                        cell.append(np.repeat(mix(name), len(both)))
+                        doc += [member[a1:b1], member[a2:b2]]
+        cell, doc = np.concatenate(cell), np.concatenate(doc)
+        order = np.lexsort((doc, cell))
+        order = order[_firsts(cell[order], doc[order])]
+        yield from _blobs((mix(cell[order]) % n).astype(np.int32), buckets, cell[order], doc[order])
+
+    def unique(_, blobs) -> Iterator[pa.RecordBatch]:
+        cell, doc = _columns(blobs, "<i8", "<i8")
+        order = np.lexsort((doc, cell))
+        order = order[_firsts(cell[order], doc[order])]
+        yield pa.RecordBatch.from_arrays([pa.array(cell[order]), pa.array(doc[order])], ["cell", "doc_id"])
 
-    known = roots.withColumn("bucket", F.lit(None).cast("int")).mapInArrow(lambda it: (_with_bucket(b, n) for b in it), "node long, root long, bucket int")
+    known = places.select("node", "root", "block", F.lit(None).cast("int").alias("bucket")).mapInArrow(lambda it: (_with_bucket(b, n) for b in it), "node long, root long, block long, bucket int")
     labelled = entries.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(label, BLOB)
-    return _regroup(labelled, pick, BLOB if star else "a long, b long")
+    return _regroup(_regroup(labelled, pick, BLOB), unique, "cell long, doc_id long")
 
 
 def _with_bucket(batch: pa.RecordBatch, n: np.uint64) -> pa.RecordBatch:
     bucket = (mix(batch.column(0).to_numpy().astype(np.uint64)) % n).astype(np.int32)
-    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bucket)], ["node", "root", "bucket"])
-
-
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by their exact sizes and intersection."""
-    pairs = durable(pairs.distinct())
-    deal = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("tasks"))
-    members = pairs.join(deal, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "tasks").cast("int").alias("task"))
-    centres = deal.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
-    need = durable(members.unionByName(centres))
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bucket)], ["node", "root", "block", "bucket"])
+
+
+def compare(sets: list[np.ndarray], docs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (pairs of positions) of the similar pairs among some sets, by exact intersections."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1  # a value of one set only is in no intersection
+    number = np.cumsum(times > 1) - 1
+    row = np.repeat(np.arange(len(sets)), sizes)[shared]
+    column = number[column[shared]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), 8192):
+        part = (column >= low) & (column < low + 8192)
+        table = np.zeros((len(sets), min(8192, int((times > 1).sum()) - low)), np.float32)
+        table[row[part], column[part] - low] = 1
+        both += table @ table.T
+    both = both.astype(np.int64)
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    linked |= (docs[:, None] == docs[None, :])
+    seen = sizes == 0
+    a, b = [], []
+    while not seen.all():
+        front = np.array([np.flatnonzero(~seen)[0]])
+        seen[front] = True
+        while len(front):
+            i = front[0]
+            new = np.flatnonzero(linked[i] & ~seen)
+            seen[new] = True
+            a.append(np.full(len(new), i))
+            b.append(new)
+            front = np.r_[front[1:], new]
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def verified(need: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) among the documents of each cell of ``need`` (cell, task, doc_id, hub).
+
+    With a hub: of it with the others only; without (null): a spanning forest of all links.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in arrow_rows(whole, BATCH):
                 values, bounds = shingle_sets(*text_bytes(batch.column("text")), words)
                 raw = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("task"), batch.column("doc_id"), pa.array(raw, pa.binary())], ["hub", "task", "doc_id", "raw"])
-
-    def compare(key, table):
-        hub, doc, raw = key[0].as_py(), table["doc_id"].to_pylist(), table["raw"]
-        mine = [np.frombuffer(raw[i].as_py(), "<u8") for i, d in enumerate(doc) if d == hub]
-        found = []
-        for i, d in enumerate(doc):
-            if d != hub:
-                other = np.frombuffer(raw[i].as_py(), "<u8")
-                for own in mine:
-                    if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
-                        at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-                        both = int((own[at] == other).sum())
-                        if 100 * both >= percent * (len(own) + len(other) - both):
-                            found.append(d)
-        return pa.table({"a": pa.array([hub] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
-
-    texts = _semi(docs, need.select("doc_id").distinct(), "left_semi")
-    rows = need.join(texts, "doc_id").select("hub", "task", "doc_id", "text").mapInArrow(sets, "hub long, task int, doc_id long, raw binary")
-    return durable(rows.groupBy("hub", "task").applyInArrow(compare, "a long, b long"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("cell", "task", "doc_id", "hub")), pa.array(raw, pa.binary())], ["cell", "task", "doc_id", "hub", "raw"])
+
+    def links(key, table):
+        doc, hub = table["doc_id"].to_numpy(), table["hub"][0].as_py()
+        found = [np.frombuffer(r.as_py(), "<u8") for r in table["raw"]]
+        if hub is None:
+            a, b = compare(found, doc, percent)
+            a, b = doc[a], doc[b]
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        else:
+            b = []
+            for own in (found[i] for i in np.flatnonzero(doc == hub)):
+                for i in np.flatnonzero(doc != hub):
+                    other = found[i]
+                    if len(own) and len(other) and 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+                        same = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                        if 100 * same >= percent * (len(own) + len(other) - same):
+                            b.append(doc[i])
+            a, b = np.full(len(b), hub), np.array(b, np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = _by_id(docs, durable(need), "inner").select("cell", "task", "doc_id", "hub", "text").mapInArrow(sets, "cell long, task long, doc_id long, hub long, raw binary")
+    return durable(rows.groupBy("cell", "task").applyInArrow(links, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -380,20 +417,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key:
     own = table.join(classes, ["h1", "h2"], "left")
     copies = durable(own.where("copies > 1").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
     # Documents that are nothing but copies are left out; a repeated key ties its classes together.
-    usable = _semi(docs.where("doc_id is not null"), copies.where("most < doc_id").select("doc_id"), "left_anti")
+    usable = _by_id(docs.where("doc_id is not null"), copies.where("most < doc_id").select("doc_id"), "left_anti")
     ties = own.where("rep is not null").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     repeated = table.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("b"))
     ties = ties.join(repeated, "b", "left_semi").select("a", "b")
     buckets = max(4, parts(spark))
     entries = groups(usable, words, percent, buckets)
-    links = durable(verified(hubs(entries), docs, words, percent).unionByName(ties))
-    for star in [True] * STARS + [False]:
-        roots = durable(components(links))
-        entries_left = open_groups(entries, roots, buckets, star)
-        if star:
-            entries = durable(entries_left)
-        pairs = hubs(entries) if star else entries_left
-        links = durable(links.unionByName(verified(pairs, docs, words, percent)))
+    home = homes(entries)
+    members = home.where("doc_id <> hub").select(F.col("hub").alias("cell"), "task", "doc_id", "hub")
+    centres = home.where("doc_id <> hub").groupBy("hub").agg(F.max("tasks").alias("tasks"))
+    centres = centres.select(F.col("hub").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.col("hub").alias("doc_id"), "hub")
+    links = durable(verified(members.unionByName(centres), docs, words, percent).unionByName(ties))
+    roots = durable(components(links))
+    places = home.join(roots, home.doc_id == roots.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("root", "doc_id").alias("root"), F.xxhash64("hub", "task").alias("block"))
+    left = cells(entries, places, buckets).select("cell", F.lit(0).cast("long").alias("task"), "doc_id", F.lit(None).cast("long").alias("hub"))
+    links = durable(links.unionByName(verified(left, docs, words, percent)))
     roots = components(links)
     out = own.join(roots, own.rep == roots.node, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
