@@ -10,12 +10,39 @@ from tracelake.llm.common import table
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark, sf_dir):
+    from tracelake.llm.line_dedup import drop_boilerplate, host_of, lines_of_html
+
+    found = drop_boilerplate(table(spark, sf_dir, "pages"), host_of(F.col("url")), lines_of_html(F.col("html")))
+    return found.select("page_id", F.col("_host").alias("host"), F.col("_text").alias("text"), "n_lines", "n_dropped")
+
+
+def op2_preference_format(spark, sf_dir):
+    from tracelake.llm.preference import preference_pairs
+
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    found = preference_pairs(table(spark, sf_dir, "conversations"), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0)
+    return found.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected", mask("chosen_spans").alias("chosen_mask"), mask("rejected_spans").alias("rejected_mask"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     from tracelake.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_quality_classifier(spark, sf_dir):
+    from tracelake.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_exact_top_k(spark, sf_dir):
+    from tracelake.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_token_counts(spark, sf_dir):
     from tracelake.llm.tokens import token_counts
 
@@ -28,7 +55,7 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op3_best_fit_packing, op7_token_counts, op8_ngram_jaccard_join]
+QUERIES = [op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
 
 
 def queries():
@@ -36,4 +63,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from tracelake.llm import line_dedup, preference, top_k
+
+    return {"op1_line_dedup": line_dedup.SQL, "op2_preference_format": preference.SQL, "op6_exact_top_k": top_k.SQL}
