@@ -55,7 +55,13 @@ def op8_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
+def op10_bloom_lm_score(spark, sf_dir):
+    from tracelake.llm.bloom_lm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+
+
+QUERIES = [op10_bloom_lm_score, op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
 
 
 def queries():
