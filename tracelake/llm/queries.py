@@ -37,6 +37,12 @@ def op4_quality_classifier(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    from tracelake.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark, sf_dir):
     from tracelake.llm.top_k import top_k
 
@@ -61,7 +67,7 @@ def op10_bloom_lm_score(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
 
 
-QUERIES = [op10_bloom_lm_score, op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
+QUERIES = [op10_bloom_lm_score, op5_suffix_dedup, op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
 
 
 def queries():
