@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import zlib
 from bisect import bisect_left, insort
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import arrow_rows, durable
+from tracelake.llm.common import arrow_rows, durable, parts
 from tracelake.llm.tokens import ids
 
 Bins = list[list[int]]
@@ -36,11 +37,12 @@ def best_fit(sizes: np.ndarray, items: list[int], bins: Bins, capacity: int) ->
     """Place ``items``, largest first, each into the open bin that it leaves the least room in."""
     bins = [list(b) for b in bins]
     by_room: dict[int, list[int]] = {}
-    for i, b in enumerate(bins):
-        by_room.setdefault(capacity - int(sizes[b].sum()), []).append(i)
+    for i, full in enumerate(filled(sizes, bins) if bins else []):
+        by_room.setdefault(capacity - full, []).append(i)
+    sizes = sizes.tolist()
     rooms = sorted(by_room)
     for item in sorted(items, key=lambda i: -sizes[i]):
-        size = int(sizes[item])
+        size = sizes[item]
         at = bisect_left(rooms, size)
         if at == len(rooms):
             bins.append([])
@@ -58,15 +60,26 @@ def best_fit(sizes: np.ndarray, items: list[int], bins: Bins, capacity: int) ->
     return bins
 
 
+def filled(sizes: np.ndarray, bins: Bins) -> list[int]:
+    """The tokens in each bin."""
+    flat = np.fromiter((i for b in bins for i in b), np.int64)
+    return np.add.reduceat(sizes[flat], np.cumsum([0, *map(len, bins[:-1])])).tolist()
+
+
+def ranked(sizes: np.ndarray, bins: Bins) -> Bins:
+    """Bins from the worst filled to the best."""
+    return [bins[k] for k in np.argsort(filled(sizes, bins), kind="stable")]
+
+
 def fitness(sizes: np.ndarray, bins: Bins, capacity: int) -> tuple[int, float]:
     """Smaller is better: the number of bins, then how unevenly they are filled (uneven is better)."""
-    return len(bins), -sum((int(sizes[b].sum()) / capacity) ** 2 for b in bins)
+    return len(bins), -sum((f / capacity) ** 2 for f in filled(sizes, bins))
 
 
 def crossover(sizes: np.ndarray, giver: Bins, taker: Bins, capacity: int, rng: random.Random) -> Bins:
     """Inject a random share of the giver's best-filled half into the taker, then repair by best fit."""
-    ranked = sorted(giver, key=lambda b: -int(sizes[b].sum()))
-    injected = [b for b in ranked[: max(1, len(ranked) // 2)] if rng.random() < 0.5] or ranked[:1]
+    best = ranked(sizes, giver)[::-1]
+    injected = [b for b in best[: max(1, len(best) // 2)] if rng.random() < 0.5] or best[:1]
     taken = {i for b in injected for i in b}
     kept = [b for b in taker if taken.isdisjoint(b)]
     displaced = [i for b in taker if not taken.isdisjoint(b) for i in b if i not in taken]
@@ -75,9 +88,9 @@ def crossover(sizes: np.ndarray, giver: Bins, taker: Bins, capacity: int, rng: r
 
 def mutate(sizes: np.ndarray, bins: Bins, capacity: int, rng: random.Random) -> Bins:
     """Empty the worst-filled bin and a few others, and place their pieces again."""
-    ranked = sorted(bins, key=lambda b: int(sizes[b].sum()))
-    out = {0, *(rng.randrange(len(ranked)) for _ in range(3))}
-    return best_fit(sizes, [i for k in out for i in ranked[k]], [b for k, b in enumerate(ranked) if k not in out], capacity)
+    order = ranked(sizes, bins)
+    out = {0, *(rng.randrange(len(order)) for _ in range(3))}
+    return best_fit(sizes, [i for k in out for i in order[k]], [b for k, b in enumerate(order) if k not in out], capacity)
 
 
 def evolve(sizes: np.ndarray, people: list[Bins], capacity: int, rng: random.Random, size: int, generations: int) -> list[Bins]:
@@ -92,15 +105,14 @@ def evolve(sizes: np.ndarray, people: list[Bins], capacity: int, rng: random.Ran
             bins = best_fit(sizes, some, [], capacity)
             rest = set(every).difference(some)
             people.append(best_fit(sizes, list(rest), bins, capacity))
-    key = lambda p: fitness(sizes, p, capacity)
-    people = sorted(people, key=key)[:size]
+    graded = sorted(((fitness(sizes, p, capacity), p) for p in people), key=lambda g: g[0])[:size]
     for _ in range(generations):
-        if len(people[0]) <= bound:
+        if graded[0][0][0] <= bound:
             break
-        giver, taker = rng.sample(people, 2) if len(people) > 1 else (people[0], people[0])
-        child = mutate(sizes, crossover(sizes, giver, taker, capacity, rng), capacity, rng)
-        people = sorted([*people, child], key=key)[:size]
-    return people
+        giver, taker = rng.sample(graded, 2) if len(graded) > 1 else graded * 2
+        child = mutate(sizes, crossover(sizes, giver[1], taker[1], capacity, rng), capacity, rng)
+        graded = sorted([*graded, (fitness(sizes, child, capacity), child)], key=lambda g: g[0])[:size]
+    return [p for _, p in graded]
 
 
 def _packed(people: list[Bins], n: int) -> list[bytes]:
@@ -159,18 +171,19 @@ def assign(pieces: DataFrame, capacity: int, shard_items: int, islands: int, epo
     for epoch in range(epochs):
         if hard.isEmpty():
             break
-        hard = durable(hard.repartition("shard", "island").mapInArrow(_epoch(capacity, population, generations, epoch), ISLANDS))
-        elite = hard.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("people")[0].alias("elite"))
-        hard = hard.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.concat(F.array("elite"), "people").alias("people"), "done")
-    best = hard.select("shard", "sizes", F.explode("people").alias("best"))
+        if epoch:
+            elite = hard.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("people")[0].alias("elite"))
+            hard = hard.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.concat(F.array("elite"), "people").alias("people"), "done")
+        hard = durable(hard.repartition(parts(hard.sparkSession), "shard", "island").mapInArrow(_epoch(capacity, population, generations, epoch), ISLANDS))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 n, x = fitness(np.frombuffer(row["sizes"], "<i4"), _unpacked([row["best"]])[0], capacity)
                 yield pa.RecordBatch.from_pydict({"shard": [row["shard"]], "best": pa.array([row["best"]], pa.binary()), "n": pa.array([n], pa.int64()), "x": pa.array([x])})
 
-    found = best.mapInArrow(choose, "shard long, best binary, n long, x double").groupBy("shard").agg(F.min_by("best", F.struct("n", "x", "best")).alias("best"))
+    best = hard.select("shard", "sizes", F.col("people")[0].alias("best"))  # an island's best comes first
+    found = best.mapInArrow(grade, "shard long, best binary, n long, x double").groupBy("shard").agg(F.min_by("best", F.struct("n", "x", "best")).alias("best"))
     plans = done.select("shard", F.col("people")[0].alias("best")).unionByName(found)
 
     def spread(key, t, plan):
@@ -188,6 +201,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = ids(tokenizer)
+        gc.disable()  # lists of words by the million, and no cycles
         for whole in batches:
             for batch in arrow_rows(whole, 8 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
@@ -202,7 +216,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
     return docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(cut, f"doc_id {kind}, {PIECE}")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 12, settle: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 20, settle: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0).
 
     A null or empty text is its end id alone. Null keys and repeated rows are packed like any

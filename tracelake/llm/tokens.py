@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPECIALS = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 #: Characters that str.split() takes for white space and the library doesn't.
-ODD_SPACES = re.compile("[\x1c-\x1f]")
+ODD_SPACES = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile("[^\t-\r \x85\xa0  -     　]+")
 END = "</w>"
 
@@ -43,7 +43,7 @@ def normal(text: str) -> str:
 
 
 def chunks(text: str) -> list[str]:
-    return CHUNKS.findall(text) if ODD_SPACES.search(text) else text.split()
+    return CHUNKS.findall(text) if any(c in text for c in ODD_SPACES) else text.split()
 
 
 class PrefixCounter:
@@ -198,11 +198,31 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
 class Ids:
     """Token ids of texts by the tokenizers library, looked up by white-space-free chunk."""
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.remember = Tokenizer.from_file(path), {}, remember
+        self.library, self.known, self.older, self.remember = Tokenizer.from_file(path), {}, {}, remember
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(END)]] = True
+        self.stops = {c: self._encoded([c])[0] for c in ".,"}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, new) -> dict[str, bytes]:
+        """Ids of each text; those of letters only are one word each and go many to a call, cut after each word's last token."""
+        plain = [c for c in new if c.isalpha()]
+        rest = [c for c in new if not c.isalpha()]
+        out = dict(zip(rest, self._encoded(rest), strict=True))
+        lots = [plain[at : at + 64] for at in range(0, len(plain), 64)]
+        for some, found in zip(lots, self._encoded(list(map(" ".join, lots))), strict=True):
+            ends = (np.flatnonzero(self.last[np.frombuffer(found, "<u4")]) * 4 + 4).tolist()
+            if len(ends) == len(some):
+                out.update(zip(some, map(found.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+            else:  # letters that the library cuts otherwise
+                out.update(zip(some, self._encoded(some), strict=True))
+        return out
 
     @staticmethod
     def _lowered(text: str) -> str:
@@ -215,14 +235,24 @@ class Ids:
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids per text; chunks that are new go to the library in one call."""
         cut = [chunks(self._lowered(t)) for t in texts]
-        new = list(dict.fromkeys(c for row in cut for c in row if c not in self.known))
-        if len(self.known) + len(new) > self.remember:
-            self.known.clear()
-            new = list(dict.fromkeys(c for row in cut for c in row))
-        for chunk, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, row)), "<u4") for row in cut]
+        if len(self.known) > self.remember:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new, stopped = {}, {}
+        for chunk in set().union(*cut).difference(known):
+            if chunk in older:
+                known[chunk] = older[chunk]
+            elif chunk[-1] in self.stops and chunk[-2:-1].lower().isalpha():  # a stop after a letter is a word of its own
+                stopped[chunk] = body = chunk[:-1]
+                if body in older:
+                    known[body] = older[body]
+                elif body not in known:
+                    new[body] = None
+            else:
+                new[chunk] = None
+        known.update(self._words(new))
+        known.update({c: known[body] + self.stops[c[-1]] for c, body in stopped.items()})
+        return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in cut]
 
 
 _ids: dict[str, Ids] = {}
