@@ -67,7 +67,13 @@ def op10_bloom_lm_score(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
 
 
-QUERIES = [op10_bloom_lm_score, op5_suffix_dedup, op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
+def op9_benchmark_decontamination(spark, sf_dir):
+    from tracelake.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [op9_benchmark_decontamination, op10_bloom_lm_score, op5_suffix_dedup, op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
 
 
 def queries():
