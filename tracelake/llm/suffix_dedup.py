@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import POWERS_A, POWERS_B, PrefixHash, arrow_rows, durable, mix, parts, text_bytes
 from tracelake.llm.packed import BLOB, blobs, columns, firsts, regroup, schema_of
 
-GRAM, BATCH, PIECE = 20, 2 << 20, 16 << 20
+GRAM, BATCH, PIECE = 20, 1 << 20, 4 << 20
+#: Segments that are sorted at a time; a larger group of one anchor is sorted whole.
+SORTED = 8192
 RANGE = ("<i8", "<u4", "<u4", "<u4")  # doc, crc of its text, start, end
 LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -146,7 +148,7 @@ def shared_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray, doc:
     a, b = starts[order[1:]], starts[order[:-1]]
     close = np.flatnonzero(~new[1:] & (whole[order[1:]] == whole[order[:-1]]))
     equal = np.zeros(len(a), bool)
-    for part in np.array_split(close, max(1, len(close) // 200_000)):
+    for part in np.array_split(close, max(1, len(close) // 20_000)):
         offsets = np.arange(length)
         equal[part] = (data[a[part][:, None] + offsets] == data[b[part][:, None] + offsets]).all(axis=1)
     new[1:] |= ~equal
@@ -180,9 +182,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     to_doc = lambda doc: (mix(doc.astype(np.uint64)) % un).astype(np.int32)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for batch in (part for whole in batches for part in arrow_rows(whole, 8 * BATCH)):
             found = []
-            for batch in arrow_rows(whole, BATCH):
+            for batch in arrow_rows(batch, BATCH):  # noqa: PLW2901
                 data, offsets = text_bytes(batch.column(1))
                 ids = batch.column(0).to_numpy()
                 crc = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], "<u4")
@@ -252,6 +254,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
     def sort(_, table) -> Iterator[pa.RecordBatch]:
         group, doc, crc, start, shape, raw = columns(table, "<u8", "<i8", "<u4", "<u4", "<u2", f"V{width}")
+        order = np.argsort(group, kind="stable")
+        ends = np.r_[np.flatnonzero(np.diff(group[order])) + 1, len(order)]
+        cut = 0
+        while cut < len(order):  # some whole groups at a time
+            end = int(ends[np.searchsorted(ends, min(cut + SORTED, len(order)))])
+            some = order[cut:end]
+            yield from sort_part(*(c[some] for c in (group, doc, crc, start, shape, raw)))
+            cut = end
+
+    def sort_part(group, doc, crc, start, shape, raw) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(raw.tobytes(), np.uint8)
         windows = (shape >> 8).astype(np.int64) + 1
         of = np.repeat(np.arange(len(doc)), windows)
