@@ -1,15 +1,364 @@
-"""Registry of the queries that exercise each operator on the driver's tables, and their DuckDB counterparts."""
+"""Registry of the queries that exercise each operator on the driver's tables, and their DuckDB counterparts.
+
+Every query runs over its whole tables. A query without SQL is compared with hand-made or
+brute-force results in tests/.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
+from tracelake.functions import text as X
+from tracelake.operators import core, dag, lemmas, rounds, stats, sweep
+from tracelake.sources import results, smt2, trace
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def _t(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _event_log(spark, sf_dir):
+    """The events as a log: a block per event, its id and properties inside; a log per user."""
+    e = _t(spark, sf_dir, "events")
+    body = F.array(F.concat(F.lit("event "), F.col("event_id").cast("string")), F.coalesce("props", F.lit("")))
+    return trace.rendered(e, "event_id", F.col("event_type"), F.concat(F.lit("on_"), "event_type"), body, F.concat(F.lit("user-"), F.col("user_id").cast("string")))
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """Segment a log, then its tags by frequency with their share."""
+    top = core.top_counts(trace.segment(_event_log(spark, sf_dir)), "tag")
+    return top.select("tag", "n", "total", X.share(F.col("n"), F.col("total")).alias("pct"))
+
+
+QUERIES["flagship"] = flagship
+SQL["flagship"] = "SELECT event_type AS tag, count(*) AS n, sum(count(*)) OVER ()::BIGINT AS total, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM events GROUP BY 1"
+
+
+@query("SELECT 'user-' || user_id AS trace_id, event_id, event_type AS tag, 'on_' || event_type AS function, coalesce(props, '') AS props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS entry_id FROM events")
+def segment_round_trip(spark, sf_dir):
+    found = trace.segment(_event_log(spark, sf_dir))
+    return found.select("trace_id", F.regexp_extract(F.col("body")[0], r"event (\d+)", 1).cast("long").alias("event_id"), "tag", "function", F.col("body")[1].alias("props"), "entry_id")
+
+
+def _doc_entries(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.select(F.col("source").alias("trace_id"), F.col("doc_id").alias("entry_id"), (F.col("doc_id") * 1000).alias("line_number"), F.col("lang").alias("tag"), F.col("source").alias("function"), F.split("text", "\n").alias("body"))
+
+
+_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS idx FROM documents"
+
+
+@query(f"SELECT doc_id AS entry_id, idx::INT AS idx, doc_id * 1000 + 1 + idx AS abs_line, line FROM ({_LINES}) WHERE regexp_matches(line, '(the|der) [a-z]+ing')")
+def search_lines(spark, sf_dir):
+    return core.search_lines(_doc_entries(spark, sf_dir), "(the|der) [a-z]+ing").select("entry_id", "idx", "abs_line", "line")
+
+
+@query(f"SELECT doc_id AS entry_id, count(*) AS n FROM ({_LINES}) WHERE NOT regexp_matches(line, '[a-z] the ') GROUP BY 1")
+def search_inverted(spark, sf_dir):
+    return core.search_lines(_doc_entries(spark, sf_dir), "[a-z] the ", invert=True).groupBy("entry_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS entry_id, lang AS tag FROM documents WHERE regexp_matches(text, '[0-9]{3}')")
+def search_entries(spark, sf_dir):
+    return core.search_entries(_doc_entries(spark, sf_dir), "[0-9]{3}").select("entry_id", "tag")
+
+
+@query(f"SELECT count(DISTINCT doc_id) AS n_entries, count(*) AS n_lines FROM ({_LINES}) WHERE regexp_matches(line, '[0-9]{{3}}')")
+def search_count(spark, sf_dir):
+    return core.search_count(_doc_entries(spark, sf_dir), "[0-9]{3}")
+
+
+@query(f"""WITH h AS (SELECT source, doc_id, count(*) AS k FROM ({_LINES}) JOIN documents USING (doc_id) WHERE regexp_matches(line, '[a-z]ing') GROUP BY 1, 2),
+r AS (SELECT *, coalesce(sum(k) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT count(*) AS n_entries, sum(k)::BIGINT AS n_lines FROM r WHERE before < 50""")
+def search_count_limited(spark, sf_dir):
+    return core.search_count(_doc_entries(spark, sf_dir), "[a-z]ing", most=50)
+
+
+@query("SELECT lang AS tag, count(*) AS n, min(doc_id) AS first_at, (SELECT count(*) FROM documents) AS total FROM documents GROUP BY 1")
+def group_by_tag(spark, sf_dir):
+    return core.top_counts(_doc_entries(spark, sf_dir).withColumn("at", F.col("entry_id")), "tag", first="at")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, (SELECT count(*) FROM lineitem) AS total, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM lineitem), 6) AS pct FROM lineitem GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 3")
+def top_flags(spark, sf_dir):
+    return core.top_counts(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], 3).withColumn("pct", X.share(F.col("n"), F.col("total")))
+
+
+@query("WITH i AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3,}'))) AS item FROM documents) SELECT item, count(*) AS n FROM i GROUP BY 1 ORDER BY n DESC, item LIMIT 20")
+def distinct_in_entry_tally(spark, sf_dir):
+    return core.distinct_tally(_t(spark, sf_dir, "documents"), "text", "[0-9]{3,}", 20)
+
+
+_PAIRS = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click'),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'purchase')
+SELECT l.user_id, l.rn AS pair_no, l.event_id AS l_event_id, r.event_id AS r_event_id FROM l JOIN r ON l.user_id = r.user_id AND l.rn = r.rn"""
+
+
+@query(_PAIRS)
+def fifo_pairs(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    side = lambda kind: e.where(F.col("event_type") == kind).select("user_id", "ts", "event_id")
+    return core.fifo_pairs(side("click"), side("purchase"), "user_id", ["ts", "event_id"]).select("user_id", F.col("pair_no").cast("long").alias("pair_no"), "l_event_id", "r_event_id")
+
+
+@query("""WITH g AS (SELECT *, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS grp FROM events),
+c AS (SELECT user_id, grp, arg_min(event_id, (ts, event_id)) AS result FROM g WHERE event_type = 'error' AND grp > 0 GROUP BY 1, 2)
+SELECT g.user_id, g.event_id, c.result FROM g LEFT JOIN c USING (user_id, grp) WHERE event_type = 'view'""")
+def next_result(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return core.next_after(e, "user_id", ["ts", "event_id"], F.col("event_type") == "view", F.col("event_type") == "error", "event_id").select("user_id", "event_id", "result")
+
+
+@query("""WITH f AS (SELECT doc_id, substr(sha1(array_to_string(list_sort(string_split(text, chr(10))), chr(10)) || chr(10)), 1, 12) AS fingerprint FROM documents)
+SELECT fingerprint, count(*) AS n, min(doc_id) AS first_at FROM f GROUP BY 1 HAVING count(*) >= 2""")
+def fingerprint_repeats(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").withColumn("fingerprint", X.fingerprint(F.split("text", "\n")))
+    return lemmas.repeats(d, order="doc_id")
+
+
+def _lemma_log(spark, sf_dir):
+    """A lemma and a varmap entry per customer."""
+    c = _t(spark, sf_dir, "customer")
+    n = F.col("c_nationkey").cast("string")
+    lemma = F.array(F.concat(F.lower("c_mktsegment"), F.lit(" 7")), F.concat(F.lit("(1) j"), n, F.lit(" >= "), (F.col("c_custkey") % 3).cast("string")), F.concat(F.lit("==> j"), n, F.lit(" < 5")), F.concat(F.lit("j"), n, F.lit(" := (* R1 I2)")))
+    names = F.array(F.concat(F.lit("varmap: j"), n, F.lit("=4: (div I"), n, F.lit(" j999) j999=3: R7")))
+    both = F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("~lemma_builder").alias("f"), lemma.alias("b")), F.struct(F.lit(1).alias("o"), F.lit("show_varmap").alias("f"), names.alias("b"))))
+    rows = c.select("c_custkey", both.alias("x")).select(F.concat(F.lit("m"), (F.col("c_custkey") % 16).cast("string")).alias("m"), "c_custkey", "x.*")
+    return trace.segment(trace.rendered(rows, ["c_custkey", "o"], F.lit("nla_solver"), F.col("f"), F.col("b"), F.col("m")))
+
+
+@query("""WITH k AS (SELECT 'm' || (c_custkey % 16) AS trace_id, row_number() OVER (PARTITION BY c_custkey % 16 ORDER BY c_custkey) AS index, '(div I' || c_nationkey || ' R7)' AS v, c_custkey % 3 AS d, lower(c_mktsegment) AS strategy FROM customer),
+f AS (SELECT *, substr(sha1(array_to_string(list_sort([v || ' >= ' || d, '==> ' || v || ' < 5']), chr(10)) || chr(10)), 1, 12) AS fingerprint FROM k)
+SELECT trace_id, fingerprint, count(*) AS n, min(index) AS first_at FROM f GROUP BY 1, 2 HAVING count(*) >= 2""")
+def lemma_fingerprints(spark, sf_dir):
+    return lemmas.repeats(lemmas.lemma_calls(_lemma_log(spark, sf_dir)), keys=("trace_id", "fingerprint"))
+
+
+@query("""SELECT substr(sha1('(div I' || c_nationkey || ' R7)' || chr(10)), 1, 12) AS target_fingerprint, lower(c_mktsegment) AS strategy, count(*) AS n FROM customer GROUP BY 1, 2""")
+def target_crosstab(spark, sf_dir):
+    found = lemmas.lemma_calls(_lemma_log(spark, sf_dir))
+    report = lemmas.target_report(found.withColumn("one", F.lit(1)))
+    single = found.groupBy("target_fingerprint").agg(F.count("*").alias("c"), F.max("strategy").alias("s")).where("c = 1")
+    return report.select("target_fingerprint", F.explode("strategies").alias("strategy", "n")).unionByName(single.select("target_fingerprint", F.col("s").alias("strategy"), F.col("c").alias("n")))
+
+
+@query("SELECT lower(c_mktsegment) AS strategy, 1::INT AS lemma_index, count(*) AS n FROM customer GROUP BY 1")
+def lemma_strategies(spark, sf_dir):
+    found = lemmas.lemmas(_lemma_log(spark, sf_dir)).select(F.col("strategy_target").alias("strategy"), F.col("preconditions")[0]["index"].alias("lemma_index"))
+    return found.groupBy("strategy", "lemma_index").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'j' || c_nationkey AS name, '(* R1 I2)' AS definition, count(*) AS n FROM customer GROUP BY 1, 2")
+def lemma_variables(spark, sf_dir):
+    return lemmas.variables(lemmas.lemmas(_lemma_log(spark, sf_dir))).groupBy("name", "definition").agg(F.count("*").alias("n"))
+
+
+def _round_events(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "click", "D").when(F.col("event_type") == "error", "P").when(F.col("event_type") == "purchase", "N").when(F.col("event_type") == "view", "A")
+    level = F.coalesce(F.floor(F.col("value")).cast("long"), F.lit(0)) % 50
+    return e.select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").alias("at"), kind.alias("kind"), level.alias("a"), (level % 10).alias("b")).where("kind is not null")
+
+
+@query()
+def rounds_per_user(spark, sf_dir):
+    return rounds.rounds(_round_events(spark, sf_dir))
+
+
+@query("SELECT user_id::VARCHAR AS trace_id, count(*) FILTER (event_type = 'purchase') AS emissions, count(*) FILTER (event_type = 'click') AS decisions, count(*) FILTER (event_type = 'error') AS pops, count(*) FILTER (event_type = 'view') AS conflicts, coalesce(max(coalesce(floor(value)::BIGINT, 0) % 50) FILTER (event_type = 'click'), 0) AS max_level FROM events WHERE event_type <> 'signup' GROUP BY 1")
+def round_totals(spark, sf_dir):
+    events = _round_events(spark, sf_dir)
+    return rounds.round_totals(events, rounds.rounds(events)).drop("rounds", "closed")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS "at", event_type, CASE event_type WHEN 'click' THEN coalesce(floor(value)::BIGINT, 0) % 50 WHEN 'error' THEN coalesce(floor(value)::BIGINT, 0) % 50 % 10 END AS lvl FROM events),
+l AS (SELECT *, last_value(lvl IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY e."at") AS level, sum((event_type = 'purchase')::INT) OVER (PARTITION BY trace_id ORDER BY e."at") AS emission FROM e)
+SELECT trace_id, "at", coalesce(level, 0) AS level, emission::BIGINT AS emission FROM l WHERE event_type = 'purchase'""")
+def emission_levels(spark, sf_dir):
+    return rounds.emission_levels(_round_events(spark, sf_dir))
+
+
+@query()
+def rounds_streamed(spark, sf_dir):
+    from tracelake.streaming.rounds import streamed_rounds
+
+    events, name = _round_events(spark, sf_dir), f"rounds_{uuid.uuid4().hex}"
+    schema = _t(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    kind = F.when(F.col("event_type") == "click", "D").when(F.col("event_type") == "error", "P").when(F.col("event_type") == "purchase", "N").when(F.col("event_type") == "view", "A")
+    level = F.coalesce(F.floor(F.col("value")).cast("long"), F.lit(0)) % 50
+    rows = stream.select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").alias("at"), kind.alias("kind"), level.alias("a"), (level % 10).alias("b")).where("kind is not null")
+    assert rows.columns == events.columns
+    run = streamed_rounds(rows).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+@query("""WITH s AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS s, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1)
+SELECT o_orderpriority, n, s[1] AS min, s[n // 4 + 1] AS q1, s[n // 2 + 1] AS median, s[3 * n // 4 + 1] AS q3, s[n] AS max FROM s""")
+def floor_quartiles(spark, sf_dir):
+    return core.floor_quartiles(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").drop("mean")
+
+
+_HALF = "SELECT event_type, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 2 = 1) AS b, count(*) FILTER (event_id % 2 = 1) - count(*) FILTER (event_id % 2 = 0) AS delta FROM events GROUP BY 1"
+
+
+@query(_HALF)
+def ab_diff(spark, sf_dir):
+    return core.ab_counts(_t(spark, sf_dir, "events"), "event_type", F.col("event_id") % 2 == 0)
+
+
+@query("""WITH c AS (SELECT l_partkey % 97 AS k, count(*) FILTER (l_linestatus = 'F') AS a, count(*) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY 1),
+u AS ((SELECT * FROM c WHERE a > 0 ORDER BY a DESC, k LIMIT 10) UNION (SELECT * FROM c WHERE b > 0 ORDER BY b DESC, k LIMIT 10))
+SELECT k, a, b, b - a AS delta FROM u ORDER BY greatest(a, b) DESC, k LIMIT 10""")
+def ab_top(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 97).alias("k"), (F.col("l_linestatus") == "F").alias("side"))
+    return core.ab_top(core.ab_counts(rows, "k", F.col("side")), "k", 10)
+
+
+_KINDS = {"sat": "F", "unsat": "O", "timeout": "P"}
+_TALLY = """SELECT o_orderpriority AS config, count(*) AS runs, count(*) FILTER (o_orderstatus = 'F') AS n_sat, count(*) FILTER (o_orderstatus = 'O') AS n_unsat, count(*) FILTER (o_orderstatus = 'P') AS n_timeout,
+count(*) FILTER (o_orderstatus NOT IN ('F', 'O', 'P')) AS n_error, min(o_totalprice) FILTER (o_orderstatus = 'F') AS fastest_sat, arg_min(o_orderkey, (o_totalprice, o_orderkey)) FILTER (o_orderstatus = 'F') AS fastest_sat_seed,
+min(o_totalprice) FILTER (o_orderstatus = 'O') AS fastest_unsat, arg_min(o_orderkey, (o_totalprice, o_orderkey)) FILTER (o_orderstatus = 'O') AS fastest_unsat_seed FROM orders GROUP BY 1"""
+
+
+def _tallied(spark, sf_dir):
+    return core.tally(_t(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "config"), "config", "o_orderstatus", "o_totalprice", "o_orderkey", kinds=_KINDS)
+
+
+@query(_TALLY)
+def run_tally(spark, sf_dir):
+    return _tallied(spark, sf_dir)
+
+
+@query("SELECT o_orderpriority AS config, bool_or(o_orderstatus IN ('F', 'O')) AS closed FROM orders GROUP BY 1")
+def split_closure(spark, sf_dir):
+    return core.closures(_tallied(spark, sf_dir), "config", F.col("n_sat") + F.col("n_unsat") > 0)
+
+
+@query("""WITH v AS (UNPIVOT (SELECT l_linestatus, l_quantity AS quantity, l_discount * 100 AS discount, l_tax * 100 AS tax FROM lineitem) ON quantity, discount, tax INTO NAME key VALUE value),
+m AS (SELECT key, avg(value) FILTER (l_linestatus = 'F') AS a, avg(value) FILTER (l_linestatus = 'O') AS b FROM v GROUP BY 1)
+SELECT key, round(a, 4) AS mean_f, round(b, 4) AS mean_o, round((b - a) / abs(a) * 100, 3) AS diff_pct FROM m""")
+def stat_comparison(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("config"), F.expr("stack(3, 'quantity', l_quantity, 'discount', l_discount * 100, 'tax', l_tax * 100) AS (key, value)"))
+    found = core.by_magnitude(core.stat_means(rows, ["F", "O"]), ["F", "O"])
+    return found.select("key", F.round("F", 4).alias("mean_f"), F.round("O", 4).alias("mean_o"), F.round("diff_pct", 3).alias("diff_pct"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS prev_o_totalprice FROM orders")
+def lag_by_key(spark, sf_dir):
+    return core.lag_changes(_t(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_orderkey", "o_custkey", "o_totalprice", "prev_o_totalprice")
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS r, count(*) OVER (PARTITION BY o_orderpriority) AS t FROM orders)
+SELECT o_orderkey, o_orderpriority FROM r WHERE t <= 7 OR r IN (SELECT i * t // 7 FROM range(7) x(i))""")
+def even_sample(spark, sf_dir):
+    return core.even_sample(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", 7).select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT r_name, s.segment, i AS seed FROM region, (SELECT DISTINCT c_mktsegment AS segment FROM customer) s, range(1, 4) x(i)")
+def parameter_grid(spark, sf_dir):
+    segments = _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment")).distinct()
+    return core.grid(_t(spark, sf_dir, "region").select("r_name"), segments, spark.range(1, 4).withColumnRenamed("id", "seed"))
+
+
+@query("SELECT b AS band, count(*) AS n FROM orders JOIN (SELECT i AS b, i * 40000.0 AS low, i * 40000.0 + 39999.99 AS high FROM range(13) x(i)) ON o_totalprice BETWEEN low AND high GROUP BY 1")
+def range_join(spark, sf_dir):
+    bands = spark.range(13).select(F.col("id").alias("band"), (F.col("id") * 40000.0).alias("low"), (F.col("id") * 40000.0 + 39999.99).alias("high"))
+    return core.in_ranges(_t(spark, sf_dir, "orders"), bands, [], "o_totalprice", "low", "high", width=40000).groupBy("band").agg(F.count("*").alias("n"))
+
+
+def _formulas(spark, sf_dir):
+    """A formula per nation: bounds on its key, an ite over its region."""
+    n = _t(spark, sf_dir, "nation")
+    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    head = F.concat(F.lit("(declare-const x Int) (declare-const p"), r, F.lit(" Bool) (assert p"), r, F.lit(") "))
+    return n.select(F.col("n_name").alias("file"), F.concat(head, F.lit("(assert (and (< x "), k, F.lit(") (< (* 2 (ite p"), r, F.lit(" x 1)) "), k, F.lit(") (= x x)))")).alias("text"))
+
+
+@query("SELECT n_name AS file, n_nationkey::VARCHAR AS bound FROM nation")
+def pattern_match(spark, sf_dir):
+    nodes, edges = smt2.dag_tables(_formulas(spark, sf_dir))
+    found = dag.find(nodes, edges, "(< ?v:Var ?n:Numeral)")
+    return found.join(nodes.select("file", F.col("id").alias("n"), "num_value"), ["file", "n"]).select("file", F.col("num_value").alias("bound"))
+
+
+@query("SELECT n_name AS file FROM nation")
+def pattern_unification(spark, sf_dir):
+    nodes, edges = smt2.dag_tables(_formulas(spark, sf_dir))
+    return dag.find(nodes, edges, "(= ?a ?a)").select("file")
+
+
+@query("SELECT n_name AS file, 'p' || n_regionkey AS name, true AS value FROM nation")
+def pinned_constants(spark, sf_dir):
+    nodes, edges = smt2.dag_tables(_formulas(spark, sf_dir))
+    return dag.fixed_bools(nodes, edges).select("file", "name", "value")
+
+
+@query("SELECT n_name AS file, key, n FROM nation, (VALUES ('and', 1), ('<', 2), ('*', 1), ('ite', 1), ('=', 1)) o(key, n)")
+def operator_counts(spark, sf_dir):
+    nodes, _ = smt2.dag_tables(_formulas(spark, sf_dir))
+    return dag.summary(nodes).where("section = 'operators'").select("file", "key", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT i AS leaf, i % 2 = 1 AS p0, i // 2 % 2 = 1 AS p1, i // 4 % 2 = 1 AS p2, i // 8 % 2 = 1 AS p3, i // 16 % 2 = 1 AS p4 FROM range(32) x(i)")
+def leaf_valuations(spark, sf_dir):
+    names = _t(spark, sf_dir, "region").select(F.concat(F.lit("p"), F.col("r_regionkey").cast("string")).alias("name"))
+    return dag.valuations(names).select("leaf", *[F.col("valuation")[f"p{i}"].alias(f"p{i}") for i in range(5)])
+
+
+@query("SELECT 'functions' AS section, 'on_view' AS key, count(*)::DOUBLE AS value, count(*)::DOUBLE AS total FROM events WHERE event_type = 'view'")
+def tag_statistics(spark, sf_dir):
+    found = stats.generic(trace.segment(_event_log(spark, sf_dir)).where("tag = 'view'"))
+    return found.where("section = 'functions'")
+
+
+@query("SELECT 'c' || (s_suppkey % 4) AS config, count(*) AS runs, count(*) FILTER (s_suppkey % 3 = 0) AS n_sat FROM supplier WHERE s_suppkey <= 12 GROUP BY 1")
+def external_runs(spark, sf_dir):
+    rows = [(f"c{i % 4}", i) for i in range(1, 13)]
+    known = {r["s_suppkey"] for r in _t(spark, sf_dir, "supplier").where("s_suppkey <= 12").select("s_suppkey").collect()}
+    jobs = spark.createDataFrame([("s", "f", c, {}, i) for c, i in rows if i in known], "split string, file string, config string, params map<string,string>, seed int")
+    found = sweep.execute(jobs, ["/bin/sh", "-c", "if [ $(({seed} % 3)) -eq 0 ]; then echo sat; else echo unsat; fi"])
+    return core.tally(found, "config").select("config", "runs", "n_sat")
+
+
+@query("SELECT s_suppkey, s_name || '|' || s_nationkey AS text, s_nationkey + 0.5::DOUBLE AS value FROM supplier")
+def stats_block(spark, sf_dir):
+    s = _t(spark, sf_dir, "supplier")
+    out = s.select("s_suppkey", F.concat(F.lit("sat\nunsat\n(:nation "), F.col("s_nationkey").cast("string"), F.lit(".5\n :name "), F.regexp_replace("s_name", " ", "_"), F.lit(")\n")).alias("t"), "s_name", "s_nationkey")
+    m = results.stats_of(F.col("t"))
+    return out.select("s_suppkey", F.concat(F.when(m["name"] == F.regexp_replace("s_name", " ", "_"), F.col("s_name")), F.lit("|"), F.col("s_nationkey").cast("string")).alias("text"), m["nation"].cast("double").alias("value"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey + 5000000 >= 1000000 THEN (o_orderkey + 5000000) // 1000000 || '_' || lpad(((o_orderkey + 5000000) // 1000 % 1000)::VARCHAR, 3, '0') || '_' || lpad(((o_orderkey + 5000000) % 1000)::VARCHAR, 3, '0') END AS shown FROM orders")
+def number_text(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", X.number_text((F.col("o_orderkey") + 5000000).cast("string")).alias("shown"))
+
+
+@query()
+def coarse_signatures(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.split(X.coarse_signature(F.col("text")), "\n")).alias("fingerprint"))
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
