@@ -331,9 +331,8 @@ def tag_statistics(spark, sf_dir):
 
 @query("SELECT 'c' || (s_suppkey % 4) AS config, count(*) AS runs, count(*) FILTER (s_suppkey % 3 = 0) AS n_sat FROM supplier WHERE s_suppkey <= 12 GROUP BY 1")
 def external_runs(spark, sf_dir):
-    rows = [(f"c{i % 4}", i) for i in range(1, 13)]
-    known = {r["s_suppkey"] for r in _t(spark, sf_dir, "supplier").where("s_suppkey <= 12").select("s_suppkey").collect()}
-    jobs = spark.createDataFrame([("s", "f", c, {}, i) for c, i in rows if i in known], "split string, file string, config string, params map<string,string>, seed int")
+    key = F.col("s_suppkey")
+    jobs = _t(spark, sf_dir, "supplier").where("s_suppkey <= 12").select(F.lit("s").alias("split"), F.lit("f").alias("file"), F.concat(F.lit("c"), (key % 4).cast("string")).alias("config"), F.create_map().cast("map<string,string>").alias("params"), key.cast("int").alias("seed"))
     found = sweep.execute(jobs, ["/bin/sh", "-c", "if [ $(({seed} % 3)) -eq 0 ]; then echo sat; else echo unsat; fi"])
     return core.tally(found, "config").select("config", "runs", "n_sat")
 
