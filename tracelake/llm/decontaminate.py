@@ -113,8 +113,9 @@ def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray
 
     def frequency(data, offsets):
         rows, _, term = terms_of(data, offsets)
-        found = np.unique(rows * TERMS + term)
-        return np.bincount(found % TERMS, minlength=TERMS).astype(np.float64)
+        held = np.zeros((len(offsets) - 1, TERMS), bool)
+        held[rows, term] = True
+        return held.sum(axis=0).astype(np.float64)
 
     df = _gather(docs, frequency, (TERMS,))
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
@@ -131,7 +132,7 @@ def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray
             x = np.add.reduceat(weighed[term], first, axis=0)
             step = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))
             out = np.zeros((TERMS, of.shape[1]), np.float32)
-            order = np.argsort(term, kind="stable")
+            order = np.argsort(term.astype(np.uint16), kind="stable")
             heads = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
             out[term[order[heads]]] = np.add.reduceat(x[step[order]], heads, axis=0)
             return out * idf[:, None]
