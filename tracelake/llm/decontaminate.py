@@ -34,7 +34,7 @@ COSINE, STRICT, LOOSE, ANSWER = 0.4, 0.6, 0.5, 3
 #: Terms in a larger share of the texts don't count for the quick test of a candidate.
 RARE = 0.08
 ITEMS = 50_000
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ BROADCAST_IDS = 1_000_000
 HUB_ROWS = 256
 #: Documents that must hold a shingle to take it out of the signatures' domain, and how many such may be broadcast (8 bytes each).
 FREQUENT, FREQUENT_MOST = 32, 4_000_000
-BATCH = 4 << 20
+BATCH, LOT = 1 << 20, 8 << 20
 BLOB = "bucket int, blob binary"
 
 
@@ -120,9 +120,8 @@ def frequent_shingles(docs: DataFrame, words: int, buckets: int) -> np.ndarray:
     n = np.uint64(buckets)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [spot(shingle_sets(*text_bytes(batch.column(1)), words)[0], n) for whole in batches for batch in arrow_rows(whole, BATCH)]
-        if found:
-            spots, times = np.unique(np.concatenate(found), return_counts=True)
+        for lot in (part for whole in batches for part in arrow_rows(whole, 2 * LOT)):
+            spots, times = np.unique(np.concatenate([spot(shingle_sets(*text_bytes(batch.column(1)), words)[0], n) for batch in arrow_rows(lot, BATCH)]), return_counts=True)
             for low in range(0, 255 * (int(times.max(initial=0)) // 255 + 1), 255):  # a byte a count; large ones in pieces
                 part = times > low
                 yield from _blobs((spots[part] >> np.uint64(32)).astype(np.int32), buckets, (spots[part] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(times[part] - low, 255).astype("u1"))
@@ -219,9 +218,9 @@ def groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame
     common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, words, buckets))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for lot in (part for whole in batches for part in arrow_rows(whole, LOT)):
             found = []
-            for batch in arrow_rows(whole, BATCH):
+            for batch in arrow_rows(lot, BATCH):
                 values, bounds = shingle_sets(*text_bytes(batch.column(1)), words)
                 sums, owner = signatures(values, bounds, percent, _within(spot(values, n), common.value))
                 found.append((sums, batch.column(0).to_numpy()[owner]))

@@ -159,13 +159,14 @@ def assign(pieces: DataFrame, capacity: int, shard_items: int, islands: int, epo
     shards = max(1, -(-pieces.count() // shard_items))
     dealt = durable(pieces.select("id", "length", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")))
 
+    # The first island of a shard starts alone, in the task that gathers it: most shards reach the lower bound by best fit.
     def gather(key, t):
         t = t.sort_by("id")
-        return pa.table({"shard": pa.array([key[0].as_py()]), "sizes": pa.array([t["length"].to_numpy().astype("<i4").tobytes()], pa.binary())})
+        sizes = t["length"].to_numpy().astype("<i4")
+        people = evolve(sizes, [], capacity, random.Random(0), 1, 0)
+        return pa.table({"shard": pa.array([key[0].as_py()]), "island": pa.array([0], pa.int32()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "people": pa.array([_packed(people, len(sizes))], pa.list_(pa.binary())), "done": pa.array([len(people[0]) <= -(-int(sizes.sum()) // capacity)])})
 
-    rows = dealt.groupBy("shard").applyInArrow(gather, "shard long, sizes binary")
-    # The first island of a shard starts alone: most shards reach the lower bound by best fit.
-    state = durable(rows.withColumn("island", F.lit(0)).withColumn("people", F.lit(None).cast("array<binary>")).withColumn("done", F.lit(False)).select("shard", "island", "sizes", "people", "done").mapInArrow(_epoch(capacity, 1, 0, -1), ISLANDS))
+    state = durable(dealt.groupBy("shard").applyInArrow(gather, ISLANDS))
     done = state.where("done")
     hard = state.where("not done").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     for epoch in range(epochs):
@@ -203,7 +204,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
         library = ids(tokenizer)
         gc.disable()  # lists of words by the million, and no cycles
         for whole in batches:
-            for batch in arrow_rows(whole, 8 << 20):
+            for batch in arrow_rows(whole, 2 << 20):
                 row, piece, start, length, crc = [], [], [], [], []
                 for i, found in enumerate(library.of([t.as_py() or "" for t in batch.column("text")])):
                     found = np.append(found, np.uint32(end_id)).astype("<u4")
@@ -212,6 +213,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
                         row.append(i), piece.append(k), start.append(at), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
+        library.forget()  # the worker goes on to other work
+        gc.enable()
+
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(cut, f"doc_id {kind}, {PIECE}")
 

@@ -130,7 +130,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in arrow_rows(whole, 4 << 20):
+            for batch in arrow_rows(whole, 1 << 20):
                 x = style(*text_bytes(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
 

@@ -198,7 +198,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
 class Ids:
     """Token ids of texts by the tokenizers library, looked up by white-space-free chunk."""
 
-    def __init__(self, path: str, remember: int = 500_000):
+    def __init__(self, path: str, remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -207,6 +207,9 @@ class Ids:
         self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(END)]] = True
         self.stops = {c: self._encoded([c])[0] for c in ".,"}
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
