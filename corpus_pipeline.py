@@ -17,9 +17,15 @@ from tracelake.llm.packing import pack
 from tracelake.llm.quality import score_quality
 from tracelake.llm.queries import WORD_BPE
 
+#: Rows of an Arrow batch: about 8 MB of text. A batch lives in the JVM and in the Python worker at once.
+BATCH_ROWS = 2500
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents among ``ids`` (doc_id, without repeats); rows with a null id stay, as no stage can name them."""
     few = ids.count() <= 1_000_000
@@ -28,29 +34,34 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of predicted good quality."""
+    _bounded(spark)
     scored = durable(score_quality(docs, table(spark, sf_dir, "labels")))
     return _only(docs, scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
+    _bounded(spark)
     kept = drop_boilerplate(docs, F.col("source"), F.col("text"))
     return kept.select("doc_id", F.col("_text").alias("text"), "lang", "source", F.coalesce(F.length("_text"), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, of the smallest id, of each component of near duplicates."""
+    _bounded(spark)
     found = durable(jaccard_components(docs))
     return _only(docs, found.where("doc_id = component_id").select("doc_id").distinct())
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    _bounded(spark)
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(DOCUMENT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the packed sequences."""
+    _bounded(spark)
     return pack(docs, WORD_BPE)
 
 
