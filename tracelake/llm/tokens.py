@@ -195,17 +195,118 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str =
     return docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+class Merger:
+    """BPE of many words at once, by the merge table of the vocabulary file.
+
+    Words of one length are the rows of a matrix of symbols. Each step merges, in every row that
+    still has a pair of the table, its pair of the lowest rank (the first of equal ones), which is
+    what the library does word by word. ``rank`` holds the rank of the pair that starts at a
+    position; ``after`` and ``before`` link the positions still in use. Each row ends with a
+    position of its own that pairs with nothing; it also stands before the next row.
+    """
+
+    NONE, EDGE, GONE, SLOTS = 1 << 30, 65_535, 65_534, 18
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)["model"]
+        vocab, pairs = spec["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["merges"]]
+        if max(vocab.values()) >= self.GONE or len(pairs) > 1 << (self.SLOTS - 1):
+            raise ValueError("the vocabulary is too large for 16-bit symbols")
+        symbols = PrefixCounter._symbols()
+        self.inner = np.array([vocab[c] for c in symbols], np.int32)
+        self.final = np.array([vocab[c + END] for c in symbols], np.int32)
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.keys = np.full((1 << self.SLOTS) + 64, -1, np.int64)
+        self.ranks = np.full((1 << self.SLOTS) + 64, self.NONE, np.int32)
+        for rank, (a, b) in enumerate(pairs):
+            key = (vocab[a] << 16) | vocab[b]
+            at = int(self._slot(np.array([key]))[0])
+            while self.keys[at] not in (-1, key):
+                at += 1
+            self.keys[at], self.ranks[at] = key, rank
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - self.SLOTS)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, from a hash table with linear probing."""
+        key = (a.astype(np.int64) << 16) | b
+        slot = self._slot(key)
+        there = self.keys[slot]
+        found = self.ranks[slot]  # NONE in an empty slot
+        left = np.flatnonzero((there != key) & (there != -1))
+        while len(left):
+            slot[left] += 1
+            there = self.keys[slot[left]]
+            found[left] = self.ranks[slot[left]]
+            left = left[(there != key[left]) & (there != -1)]
+        return found
+
+    def _rows(self, raw: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Ids of words of one length, given as rows of bytes: end to end, and the number of each word's."""
+        n, length = raw.shape
+        wide = length + 1
+        symbol = np.full((n, wide), self.EDGE, np.int32)
+        symbol[:, : length - 1] = self.inner[raw[:, :-1]]
+        symbol[:, length - 1] = self.final[raw[:, -1]]
+        rank = np.full((n, wide), self.NONE, np.int32)
+        rank[:, :-1] = self._rank(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(n, length)
+        table, symbol, flat = rank, symbol.ravel(), rank.ravel()
+        after, before = np.arange(1, n * wide + 1), np.arange(-1, n * wide - 1)
+        rows = np.arange(n)
+        while True:
+            some = table[rows]
+            at = some.argmin(1)
+            low = some[np.arange(len(rows)), at]
+            on = low < self.NONE
+            rows, i, new = rows[on], (rows * wide + at)[on], self.merged[low[on]]
+            if not len(rows):
+                break
+            j = after[i]
+            k, h = after[j], before[i]
+            symbol[i], symbol[j], flat[j] = new, self.GONE, self.NONE
+            after[i], before[k] = k, i
+            flat[i] = self._rank(new, symbol[k])
+            flat[h] = self._rank(symbol[h], new)
+        kept = symbol < self.GONE
+        return symbol[kept].astype("<u4").tobytes(), kept.reshape(n, wide).sum(1)
+
+    def encoded(self, words: list[str], most: int = 1 << 19) -> dict[str, bytes]:
+        """Little-endian 32-bit ids of each word; no word is empty or holds white space. ``most``: symbols in a matrix."""
+        out: dict[str, bytes] = {}
+        if not words:
+            return out
+        raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(raw == 32), len(raw))
+        starts = np.append(0, ends[:-1] + 1)
+        sizes = ends - starts
+        for length in np.unique(sizes).tolist():
+            same = np.flatnonzero(sizes == length)
+            for which in np.array_split(same, -(-len(same) * length // most)):
+                ids, counts = self._rows(raw[starts[which][:, None] + np.arange(length)])
+                to = (np.cumsum(counts) * 4).tolist()
+                out.update(zip(map(words.__getitem__, which.tolist()), map(ids.__getitem__, map(slice, [0, *to], to)), strict=True))
+        return out
+
+
 class Ids:
-    """Token ids of texts by the tokenizers library, looked up by white-space-free chunk."""
+    """Token ids of texts, looked up by white-space-free chunk.
+
+    New chunks of plain small letters, which normalisation leaves alone and which are one word
+    each, go to ``Merger``; a tail of ASCII punctuation after them is one more word. All others
+    go to the tokenizers library.
+    """
+
+    PLAIN = re.compile("[a-zß-öø-ÿ]{1,48}")
+    TAILED = re.compile(r"([a-zß-öø-ÿ]{1,48})([!-/:-@\[-`{-~]{1,16})")
 
     def __init__(self, path: str, remember: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known, self.older, self.remember = Tokenizer.from_file(path), {}, {}, remember
-        self.last = np.zeros(self.library.get_vocab_size(), bool)
-        self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(END)]] = True
-        self.stops = {c: self._encoded([c])[0] for c in ".,"}
+        self.library, self.merger = Tokenizer.from_file(path), Merger(path)
+        self.known, self.older, self.remember = {}, {}, remember
 
     def forget(self) -> None:
         self.known, self.older = {}, {}
@@ -213,20 +314,6 @@ class Ids:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, new) -> dict[str, bytes]:
-        """Ids of each text; those of letters only are one word each and go many to a call, cut after each word's last token."""
-        plain = [c for c in new if c.isalpha()]
-        rest = [c for c in new if not c.isalpha()]
-        out = dict(zip(rest, self._encoded(rest), strict=True))
-        lots = [plain[at : at + 64] for at in range(0, len(plain), 64)]
-        for some, found in zip(lots, self._encoded(list(map(" ".join, lots))), strict=True):
-            ends = (np.flatnonzero(self.last[np.frombuffer(found, "<u4")]) * 4 + 4).tolist()
-            if len(ends) == len(some):
-                out.update(zip(some, map(found.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-            else:  # letters that the library cuts otherwise
-                out.update(zip(some, self._encoded(some), strict=True))
-        return out
-
     @staticmethod
     def _lowered(text: str) -> str:
         """Lower case, for fewer different chunks, unless that would change what the library makes of it."""
@@ -236,25 +323,30 @@ class Ids:
         return low if low.isascii() or unicodedata.is_normalized("NFC", low) else text
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
-        """Little-endian unsigned 32-bit ids per text; chunks that are new go to the library in one call."""
+        """Little-endian unsigned 32-bit ids per text; chunks that are new are encoded together."""
         cut = [chunks(self._lowered(t)) for t in texts]
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new, stopped = {}, {}
+        plain, others, tailed = set(), set(), {}
         for chunk in set().union(*cut).difference(known):
             if chunk in older:
                 known[chunk] = older[chunk]
-            elif chunk[-1] in self.stops and chunk[-2:-1].lower().isalpha():  # a stop after a letter is a word of its own
-                stopped[chunk] = body = chunk[:-1]
-                if body in older:
-                    known[body] = older[body]
-                elif body not in known:
-                    new[body] = None
+            elif self.PLAIN.fullmatch(chunk):
+                plain.add(chunk)
+            elif found := self.TAILED.fullmatch(chunk):
+                tailed[chunk] = body, tail = found.groups()
+                for part, new in ((body, plain), (tail, others)):
+                    if part in older:
+                        known[part] = older[part]
+                    elif part not in known:
+                        new.add(part)
             else:
-                new[chunk] = None
-        known.update(self._words(new))
-        known.update({c: known[body] + self.stops[c[-1]] for c, body in stopped.items()})
+                others.add(chunk)
+        known.update(self.merger.encoded(list(plain)))
+        rest = list(others)
+        known.update(zip(rest, self._encoded(rest), strict=True))
+        known.update({c: known[body] + known[tail] for c, (body, tail) in tailed.items()})
         return [np.frombuffer(b"".join(map(known.__getitem__, row)), "<u4") for row in cut]
 
 
