@@ -181,10 +181,14 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.join(over, "file", "left").na.fill(0, ["over_ite"])
 
 
-def gain(before: Column, after: Column, weight: float = 2.0) -> Column:
-    """How much smaller a formula's metrics become (structs of ``metrics``), products over an ite by ``weight``."""
-    fall = lambda c: before[c] - after[c]
-    return (fall("exprs") + fall("ites") + fall("divs") + fall("mods") + weight * fall("over_ite")).cast("double")
+#: What a fall of each metric by one is worth; ``linear`` counts -1 for a linear formula.
+GAIN = {"exprs": 0.1, "ites": 5.0, "degree": 3.0, "divs": 2.0, "mods": 2.0, "over_ite": 5.0, "linear": 50.0}
+
+
+def gain(before: Column, after: Column, over_ite_weight: float = GAIN["over_ite"]) -> Column:
+    """How much smaller a formula's metrics become (structs with any of ``GAIN``'s fields that ``metrics`` gives)."""
+    weights = {k: w for k, w in GAIN.items() if k not in ("degree", "linear")} | {"over_ite": over_ite_weight}
+    return sum(((before[k] - after[k]) * w for k, w in weights.items()), F.lit(0.0)).cast("double")
 
 
 def valuations(names: DataFrame) -> DataFrame:

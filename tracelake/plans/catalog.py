@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
-from tracelake.operators import core, dag, lemmas, rounds, stats, sweep
+from tracelake.operators import core, dag, lemmas, planner, rounds, stats, sweep
 from tracelake.sources import results, smt2, trace
 
 QUERIES: dict = {}
@@ -323,16 +323,24 @@ def leaf_valuations(spark, sf_dir):
     return dag.valuations(names).select("leaf", *[F.col("valuation")[f"p{i}"].alias(f"p{i}") for i in range(5)])
 
 
+@query("SELECT n_name AS file, CASE WHEN n_nationkey < 10 THEN 'BLK__' || n_regionkey END AS picked, CASE WHEN n_nationkey < 10 THEN 2 ELSE 0 END AS leaves FROM nation")
+def split_plan(spark, sf_dir):
+    k, b = F.col("n_nationkey").cast("string"), F.concat(F.lit("BLK__"), F.col("n_regionkey").cast("string"))
+    text = F.concat(F.lit("(declare-const "), b, F.lit(" Bool) (declare-const x Int) (declare-const y Int) (assert (or (< "), k, F.lit(" 10) "), b, F.lit(")) (assert (< (ite "), b, F.lit(" (* x y) (div x 2)) "), k, F.lit("))"))
+    plans = planner.plan(_t(spark, sf_dir, "nation").select(F.col("n_name").alias("file"), text.alias("text")), max_leaves=2, threshold=5.0)
+    return plans.select(F.col("source_abs").alias("file"), F.try_element_at("split_predicates.name", F.lit(1)).alias("picked"), F.size("leaves").alias("leaves"))
+
+
 @query("SELECT 'functions' AS section, 'on_view' AS key, count(*)::DOUBLE AS value, count(*)::DOUBLE AS total FROM events WHERE event_type = 'view'")
 def tag_statistics(spark, sf_dir):
     found = stats.generic(trace.segment(_event_log(spark, sf_dir)).where("tag = 'view'"))
     return found.where("section = 'functions'")
 
 
-@query("SELECT 'c' || (s_suppkey % 4) AS config, count(*) AS runs, count(*) FILTER (s_suppkey % 3 = 0) AS n_sat FROM supplier WHERE s_suppkey <= 12 GROUP BY 1")
+@query("SELECT 'c' || (s_suppkey % 4) AS config, count(*) AS runs, count(*) FILTER (s_suppkey % 3 = 0) AS n_sat FROM supplier GROUP BY 1")
 def external_runs(spark, sf_dir):
     key = F.col("s_suppkey")
-    jobs = _t(spark, sf_dir, "supplier").where("s_suppkey <= 12").select(F.lit("s").alias("split"), F.lit("f").alias("file"), F.concat(F.lit("c"), (key % 4).cast("string")).alias("config"), F.create_map().cast("map<string,string>").alias("params"), key.cast("int").alias("seed"))
+    jobs = _t(spark, sf_dir, "supplier").select(F.lit("s").alias("split"), F.lit("f").alias("file"), F.concat(F.lit("c"), (key % 4).cast("string")).alias("config"), F.create_map().cast("map<string,string>").alias("params"), key.cast("int").alias("seed"))
     found = sweep.execute(jobs, ["/bin/sh", "-c", "if [ $(({seed} % 3)) -eq 0 ]; then echo sat; else echo unsat; fi"])
     return core.tally(found, "config").select("config", "runs", "n_sat")
 

@@ -166,9 +166,10 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
-def inject(text: Column, extra: str) -> Column:
+def inject(text: Column, extra: str | Column) -> Column:
     """``extra`` before the first (check-sat) that isn't commented out, else at the end."""
+    extra = F.lit(extra) if isinstance(extra, str) else extra
     lines = F.split(text, "\n")
     at = F.array_position(F.transform(lines, lambda x: F.ltrim(x).startswith("(check-sat)")), F.lit(True)).cast("int")
     head, tail = F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines))
-    return F.when(at > 0, F.array_join(F.concat(head, F.array(F.lit(extra)), tail), "\n")).otherwise(F.concat(text, F.lit("\n" + extra + "\n")))
+    return F.when(at > 0, F.array_join(F.concat(head, F.array(extra), tail), "\n")).otherwise(F.concat(text, F.lit("\n"), extra, F.lit("\n")))
