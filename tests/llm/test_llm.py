@@ -206,7 +206,8 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_contaminated_finds_passages_and_rewordings(spark, empty):
+def test_contaminated_finds_passages_and_rewordings(spark, empty, monkeypatch):
+    from tracelake.llm import decontaminate
     from tracelake.llm.decontaminate import common, contaminated
 
     rows = made(7)
@@ -218,6 +219,9 @@ def test_contaminated_finds_passages_and_rewordings(spark, empty):
     found = contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((x.doc_id, x.item_id) for x in found) == [(500, 0), (501, 1)]
     assert contaminated(empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+    monkeypatch.setattr(decontaminate, "ITEMS", 2)  # the same in blocks
+    blocks = contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, found))
     assert common([1, 2, 3, 4], [2, 9, 4]) == 2
 
 

@@ -14,12 +14,13 @@
    document around the passage, and the answer (the item's last words) within the same window,
    decide: coverage of at least ``STRICT``, or of ``LOOSE`` with the answer found in place.
 
-The benchmark is broadcast after a check of its size; beyond ``ITEMS`` it is refused.
+The benchmark is broadcast in blocks of about ``ITEMS`` items, each searched by a pass over the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,8 @@ TERMS, RANK, COMMON, STEP = 1 << 13, 44, 14, 16
 COSINE, STRICT, LOOSE, ANSWER = 0.4, 0.6, 0.5, 3
 #: Terms in a larger share of the texts don't count for the quick test of a candidate.
 RARE = 0.08
-ITEMS = 50_000
+#: Items in a block: about 8 KB each in a worker.
+ITEMS = 4_000
 BATCH = 1 << 20
 
 
@@ -153,11 +155,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     Null and empty texts and items hold nothing. Rows with null ids match with a null id. Items of
     fewer than 8 words are matched like any other. Repeated rows give repeated results.
     """
-    items = benchmark.select("item_id", "text").limit(ITEMS + 1).toArrow()
-    if items.num_rows > ITEMS:
-        raise ValueError(f"the benchmark has more than {ITEMS} items; split it")
+    fitted = latent_terms(docs)
+    items, blocks = benchmark.select("item_id", "text"), -(-benchmark.count() // ITEMS)
+    if blocks <= 1:
+        return _search(docs, items.toArrow(), *fitted, cosine, strict, loose)
+    dealt = durable(items.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
+    found = (_search(docs, dealt.where(F.col("_block") == b).select("item_id", "text").toArrow(), *fitted, cosine, strict, loose) for b in range(blocks))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarray, cosine: float, strict: float, loose: float) -> DataFrame:
+    """``contaminated`` for one block of items."""
     kind = dict(docs.dtypes)["doc_id"]
-    latent, rare = latent_terms(docs)
     data, offsets = text_bytes(items["text"])
     rows, hashes, term = terms_of(data, offsets)
     item_words = [hashes[rows == i].tolist() for i in range(items.num_rows)]
