@@ -171,6 +171,16 @@ def test_language_model_counts_are_exact(docs, empty):
     assert score_texts(empty, rest).count() == 0
 
 
+def test_language_model_score_does_not_depend_on_the_head(docs):
+    from tracelake.llm.bloom_lm import score_texts
+
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scores = lambda **args: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, rest, **args).collect())
+    whole = scores()
+    for args in ({"head_words": 50}, {"head_words": 0}, {"head_words": 50, "slice_bytes": 2000}):
+        assert scores(**args) == whole
+
+
 def test_quality_keeps_labels_out_of_held_out_rows(spark, docs, empty):
     from tracelake.llm.quality import score_quality
 
