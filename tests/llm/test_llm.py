@@ -235,6 +235,31 @@ def test_contaminated_finds_passages_and_rewordings(spark, empty, monkeypatch):
     assert common([1, 2, 3, 4], [2, 9, 4]) == 2
 
 
+def test_contaminated_equals_brute_force(spark):
+    from tracelake.llm.decontaminate import contaminated, leaked
+
+    r = random.Random(11)
+    rows, items = [(x[0], x[1]) for x in made(7)], []
+    common, rare = "".join(x[1] + " " for x in made(7)[:20]).split(), lambda: "".join(r.choice("bcdfgh") + r.choice("aeiou") for _ in range(4))
+    for i in range(24):
+        items.append((i, " ".join(rare() if r.random() < 0.4 else r.choice(common) for _ in range((1, 3, 9, 15, 20, 58)[i % 6]))))
+        said = items[-1][1].split()
+        for share in (0, 0.2, 0.4, 0.45, 0.5):
+            body = [w if r.random() >= share else rare() for w in said]
+            if share == 0.45:
+                body[-3:] = said[-3:]
+            rows.append((1000 * i + int(100 * share) + 100, " ".join([r.choice(common) for _ in range(r.randint(0, 300))] + body + [r.choice(common) for _ in range(r.randint(0, 300))])))
+    want = set()
+    for item, text in items:
+        mine = low_words(text)
+        for doc, other in rows:
+            w = low_words(other)
+            if any(leaked(mine, w[a : a + len(mine) + len(mine) // 4]) for a in range(len(w))):
+                want.add((doc, item))
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in found} == want
+
+
 def test_line_dedup_and_preference_pairs(spark):
     from tracelake.llm.line_dedup import drop_boilerplate
     from tracelake.llm.preference import preference_pairs

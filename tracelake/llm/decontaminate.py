@@ -9,10 +9,15 @@
    ``COMMON`` of them tell languages and function words apart and are left out. What is gathered
    has a fixed size, TERMS x RANK.
 3. **Candidates.** Passages and benchmark items are compared by the cosine of their latent vectors;
-   a passage goes on with its items above ``COSINE``. Per document and item the passages' span is kept.
-4. **Checks.** A candidate shares enough of the item's rarer terms, or is dropped. Then the longest common subsequence of words of the item and of the
-   document around the passage, and the answer (the item's last words) within the same window,
-   decide: coverage of at least ``STRICT``, or of ``LOOSE`` with the answer found in place.
+   a passage goes on with its items above ``COSINE`` if it shares enough of their rarer terms.
+4. **Exact candidates.** The latent search can miss, so a second path adds every document that can pass
+   the checks. Who holds k of an item's m words in order holds t of any m - k + t of them: the
+   rarest are looked up, and t within a window are asked for. Documents with the item's answer
+   (its last words) in place are candidates too.
+5. **Checks.** The longest common subsequence of words of the item and of a window of the document, a
+   quarter longer than the item, and the answer within the same window decide: coverage of
+   at least ``STRICT``, or of ``LOOSE`` with the answer found in place. Every window that
+   starts at one of the item's words counts, so the result depends on no candidate's place.
 
 The benchmark is broadcast in blocks of about ``ITEMS`` items, each searched by a pass over the texts.
 """
@@ -28,12 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import arrow_rows, durable, mix, text_bytes
+from tracelake.llm.packed import within
 from tracelake.llm.shingles import words
 
 TERMS, RANK, COMMON, STEP = 1 << 13, 44, 14, 16
 COSINE, STRICT, LOOSE, ANSWER = 0.4, 0.6, 0.5, 3
 #: Terms in a larger share of the texts don't count for the quick test of a candidate.
 RARE = 0.08
+#: Hits asked for among an item's rarest words, as a share of its words; any share finds the same.
+HITS = 0.15
+#: Bits of the bitmaps that settle most lookups of words.
+BITMAP = 20
 #: Items in a block: about 8 KB each in a worker.
 ITEMS = 4_000
 BATCH = 1 << 20
@@ -79,15 +89,99 @@ def common(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def leaked(item: list, text: list, strict: float = STRICT, loose: float = LOOSE) -> bool:
-    """Whether ``text`` (words around a passage) holds the item: by coverage, or by less of it with its answer."""
-    n = common(item, text)
+def leaked(item: list, text: list, strict: float = STRICT, loose: float = LOOSE, n: int | None = None) -> bool:
+    """Whether ``text`` (a window's words, ``n`` of them common) holds the item: by coverage, or by less of it with its answer."""
+    n = common(item, text) if n is None else n
     if n >= strict * len(item):
         return True
     answer = item[-ANSWER:]
     return n >= loose * len(item) and any(text[i : i + len(answer)] == answer for i in range(len(text) - len(answer) + 1))
 
 
+def cover(item: list, text: np.ndarray, strict: float = STRICT, loose: float = LOOSE) -> float:
+    """The best coverage among the windows of ``text`` that hold the item; 0 if none does."""
+    m = len(item)
+    if not m:
+        return 0.0
+    known = np.unique(np.array(item, np.uint64))
+    places = np.flatnonzero(within(text, known)[1])
+    # Words of the item in the window from each of them on: as many as can be common.
+    most = np.searchsorted(places, places + m + m // 4) - np.arange(len(places))
+    best = 0
+    for i in np.argsort(-most, kind="stable").tolist():
+        if most[i] <= best or most[i] < min(strict, loose) * m or best == m:
+            break
+        part = text[places[i] : places[i] + m + m // 4].tolist()
+        n = common(item, part)
+        if n > best and leaked(item, part, strict, loose, n):
+            best = n
+    return best / m
+
+
+class Exact:
+    """The documents that can pass the checks, by an item's rarest words or its answer."""
+
+    def __init__(self, items: list[list], rarity: list[np.ndarray], strict: float):
+        word, owner, need, span, answers, answered = [], [], [], [], [], []
+        for i, (item, rare) in enumerate(zip(items, rarity, strict=True)):
+            m = len(item)
+            k = max(1, int(np.ceil(strict * m - 1e-9)))
+            t = min(k, max(1, int(HITS * m)))
+            rarest = {item[j] for j in np.argsort(rare, kind="stable")[: max(0, m - k + t)].tolist()}
+            word += rarest
+            owner += [i] * len(rarest)
+            need.append(t)
+            span.append(m + m // 4)
+            if m >= ANSWER:
+                answers.append(self.joined(np.array(item[-ANSWER:], np.uint64))[0])
+                answered.append(i)
+        self.need, self.span = np.array(need, np.int64), np.array(span, np.int64)
+        self.words, self.answers = self.index(word, owner), self.index(answers, answered)
+
+    @staticmethod
+    def joined(hashes: np.ndarray) -> np.ndarray:
+        """A hash of the ANSWER words from each place on."""
+        n = max(0, len(hashes) - ANSWER + 1)
+        out = np.zeros(n, np.uint64)
+        for j in range(ANSWER):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+        return out
+
+    @staticmethod
+    def index(keys: list, owner: list) -> tuple[np.ndarray, ...]:
+        keys, owner = np.array(keys, np.uint64), np.array(owner, np.int64)
+        order = np.argsort(keys, kind="stable")
+        known, start = np.unique(keys[order], return_index=True)
+        maybe = np.zeros(1 << BITMAP, bool)
+        maybe[known >> np.uint64(64 - BITMAP)] = True
+        return maybe, known, np.r_[start, len(keys)], owner[order]
+
+    @staticmethod
+    def hits(keys: np.ndarray, index: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Place and owner of every key that the index holds, by place."""
+        maybe, known, start, owner = index
+        place = np.flatnonzero(maybe[keys >> np.uint64(64 - BITMAP)])
+        at, found = within(keys[place], known)
+        place, at = place[found], at[found]
+        many = start[at + 1] - start[at] if len(at) else at
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(place, many), owner[np.repeat(start[at], many) + nth]
+
+    def pairs(self, rows: np.ndarray, hashes: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) of every candidate."""
+        place, item = self.hits(hashes, self.words)
+        order = np.argsort(item, kind="stable")
+        place, item = place[order], item[order]
+        last = np.arange(len(place)) + self.need[item] - 1
+        fits = last < len(place)
+        at, last = np.flatnonzero(fits), last[fits]
+        near = (item[last] == item[at]) & (rows[place[last]] == rows[place[at]]) & (place[last] - place[at] < self.span[item[at]])
+        found = set(zip(rows[place[at[near]]].tolist(), item[at[near]].tolist(), strict=True))
+        place, item = self.hits(self.joined(hashes), self.answers)
+        whole = rows[place] == rows[np.minimum(place + ANSWER - 1, len(rows) - 1)]
+        return found | set(zip(rows[place[whole]].tolist(), item[whole].tolist(), strict=True))
+
+
 def _gather(docs: DataFrame, per_batch, shape: tuple[int, ...]) -> np.ndarray:
     """The sum of ``per_batch(data, offsets)`` over all texts: one row of a fixed size per partition, added up in rows first."""
 
@@ -110,8 +204,8 @@ def _gather(docs: DataFrame, per_batch, shape: tuple[int, ...]) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), np.float64) for x in rows["sums"]]).reshape(shape) if rows.num_rows else np.zeros(shape)
 
 
-def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The idf-weighted right singular vectors (TERMS x RANK - COMMON, float32), and which terms are rare."""
+def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The idf-weighted right singular vectors (TERMS x RANK - COMMON, float32), which terms are rare, and in how many texts each is."""
 
     def frequency(data, offsets):
         rows, _, term = terms_of(data, offsets)
@@ -146,13 +240,13 @@ def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray
     q, _ = np.linalg.qr(y)
     b = (q.T @ y) @ np.linalg.pinv(q.T @ draw)
     _, turn = np.linalg.eigh((b + b.T) / 2)
-    return (q @ turn[:, ::-1][:, COMMON:] * idf[:, None]).astype(np.float32), df < RARE * max(1, docs.count())
+    return (q @ turn[:, ::-1][:, COMMON:] * idf[:, None]).astype(np.float32), df < RARE * max(1, docs.count()), df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strict: float = STRICT, loose: float = LOOSE) -> DataFrame:
     """(doc_id, item_id, coverage) of every document that holds a benchmark item, also reworded.
 
-    Null and empty texts and items hold nothing. Rows with null ids match with a null id. Items of
+    ``coverage`` is the best of the windows that hold it. Null and empty texts and items hold nothing. Rows with null ids match with a null id. Items of
     fewer than 8 words are matched like any other. Repeated rows give repeated results.
     """
     fitted = latent_terms(docs)
@@ -164,7 +258,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     return reduce(DataFrame.unionByName, found)
 
 
-def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarray, cosine: float, strict: float, loose: float) -> DataFrame:
+def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarray, df: np.ndarray, cosine: float, strict: float, loose: float) -> DataFrame:
     """``contaminated`` for one block of items."""
     kind = dict(docs.dtypes)["doc_id"]
     data, offsets = text_bytes(items["text"])
@@ -179,15 +273,16 @@ def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarr
     telling[rows, term] = True
     telling &= rare
     needed = np.ceil(0.3 * np.minimum(telling.sum(axis=1), 12))
-    held = docs.sparkSession.sparkContext.broadcast((latent, probe, owner, item_words, items["item_id"].to_pylist(), telling, needed))
+    exact = Exact(item_words, [df[term[rows == i]] for i in range(items.num_rows)], strict)
+    held = docs.sparkSession.sparkContext.broadcast((latent, probe, owner, item_words, items["item_id"].to_pylist(), telling, needed, exact))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, probe, owner, item_words, names, telling, needed = held.value
+        latent, probe, owner, item_words, names, telling, needed, exact = held.value
         for whole in batches:
             for batch in arrow_rows(whole, BATCH):
                 rows, hashes, term = terms_of(*text_bytes(batch.column("text")))
                 first, row, starts = steps_of(rows, batch.num_rows)
-                found: dict[tuple[int, int], list[int]] = {}
+                found = exact.pairs(rows, hashes)
                 if len(first) and len(probe):
                     x = unit(vectors(term, first, starts, row, latent))
                     at, of = first[starts], row[starts]
@@ -196,32 +291,15 @@ def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarr
                         word = np.minimum(at[low + i][:, None] + np.arange(2 * STEP), len(term) - 1)
                         enough = telling[owner[j][:, None], term[word]].sum(axis=1) >= needed[owner[j]]
                         i, j = i[enough], j[enough]
-                        for place, r, item in zip(at[low + i].tolist(), of[low + i].tolist(), owner[j].tolist(), strict=True):
-                            found.setdefault((r, item), []).append(place)
+                        found.update(zip(of[low + i].tolist(), owner[j].tolist(), strict=True))
                 begin = np.searchsorted(rows, np.arange(batch.num_rows + 1))
                 out = []
-                for (r, item), places in found.items():
-                    mine = item_words[item]
-                    best, done = 0.0, -1
-                    for place in sorted(places):
-                        # The document's words around the passage, as far as the item can reach.
-                        low, high = max(int(begin[r]), place - len(mine)), min(int(begin[r + 1]), place + 2 * STEP + len(mine))
-                        if place < done:
-                            continue
-                        text = hashes[low:high].tolist()
-                        if len(set(mine).intersection(text)) >= loose * len(set(mine)) * 0.9:
-                            for a in range(0, max(1, len(text) - len(mine) // 2), max(4, len(mine) // 4)):
-                                part = text[a : a + len(mine) + len(mine) // 4]
-                                if leaked(mine, part, strict, loose):
-                                    best = max(best, common(mine, part) / len(mine))
-                            if best:
-                                break
-                        done = place
-                    if best:
+                for r, item in sorted(found):
+                    if best := cover(item_words[item], hashes[begin[r] : begin[r + 1]], strict, loose):
                         out.append((r, names[item], best))
                 if out:
-                    r, item, cover = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(cover, pa.float64())], ["doc_id", "item_id", "coverage"])
+                    r, item, covered = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(covered, pa.float64())], ["doc_id", "item_id", "coverage"])
 
     return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id long, coverage double")
 
