@@ -115,6 +115,17 @@ def test_jaccard_components_equal_brute_force(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_repeated_key_with_another_text_keeps_its_links(spark):
+    from tracelake.llm.near_dup import jaccard_components
+
+    r = random.Random(3)
+    say = lambda: " ".join(str(r.randint(0, 10**6)) for _ in range(60))
+    t, u = say(), say()
+    rows = [(1, t), (5, t), (5, u), (9, u + " end"), (11, say())]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got) == [(1, 1), (5, 1), (5, 1), (9, 1), (11, 11)]
+
+
 def test_signatures_meet_whenever_sets_are_similar():
     from tracelake.llm.near_dup import signatures
 

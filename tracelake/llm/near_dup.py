@@ -414,9 +414,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key:
     table = durable(set_table(docs, words))
     classes = durable(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     own = table.join(classes, ["h1", "h2"], "left")
-    copies = durable(own.where("copies > 1").groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")))
-    # Documents that are nothing but copies are left out; a repeated key ties its classes together.
-    usable = _by_id(docs.where("doc_id is not null"), copies.where("most < doc_id").select("doc_id"), "left_anti")
+    # Documents of which every row is a copy of an earlier one are left out; a repeated key ties its classes together.
+    copies = durable(own.where("rep is not null").groupBy("doc_id").agg(F.max("rep").alias("most")).where("most < doc_id").select("doc_id"))
+    usable = _by_id(docs.where("doc_id is not null"), copies, "left_anti")
     ties = own.where("rep is not null").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     repeated = table.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("b"))
     ties = ties.join(repeated, "b", "left_semi").select("a", "b")
