@@ -26,17 +26,22 @@ def _bounded(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents among ``ids`` (doc_id, without repeats); rows with a null id stay, as no stage can name them."""
-    few = ids.count() <= 1_000_000
-    return docs.where("doc_id is null").unionByName(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")).select(DOCUMENT)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With _row, the row's key by which stages decide, also where the id is null or repeated; rows that repeat an id and text share it."""
+    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+
+
+def _matching(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    few = rows.count() <= 1_000_000
+    return docs.join(F.broadcast(rows) if few else rows, "_row", how)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of predicted good quality."""
     _bounded(spark)
-    scored = durable(score_quality(docs, table(spark, sf_dir, "labels")))
-    return _only(docs, scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct())
+    docs = _keyed(docs)
+    scored = durable(score_quality(docs, table(spark, sf_dir, "labels"), row="_row"))
+    return _matching(docs, scored.where("predicted = 1").select("_row").distinct(), "left_semi").select(DOCUMENT)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,16 +52,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest id, of each component of near duplicates."""
+    """One document, of the smallest id (null last), of each component of near duplicates; one row of those that repeat an id and text."""
     _bounded(spark)
-    found = durable(jaccard_components(docs))
-    return _only(docs, found.where("doc_id = component_id").select("doc_id").distinct())
+    docs = _keyed(docs)
+    found = durable(jaccard_components(docs, key="_row").select(F.col("doc_id").alias("_row"), "component_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_row")
+    found = durable(docs.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first).select("_row"))
+    kept = _matching(docs, found, "left_semi")
+    repeated = durable(docs.groupBy("_row").count().where("count > 1").select("_row"))
+    if not repeated.isEmpty():
+        kept = _matching(kept, repeated, "left_anti").unionByName(_matching(kept, repeated, "left_semi").dropDuplicates(["_row"]))
+    return kept.select(DOCUMENT)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     _bounded(spark)
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(DOCUMENT)
+    return drop_contaminated(_keyed(docs), table(spark, sf_dir, "benchmark"), "_row").select(DOCUMENT)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,29 @@ def test_quality_keeps_good_documents(spark, stages):
     assert len(good & set(by_id(stages[1]))) >= 0.9 * len(good)
 
 
+def test_stages_decide_by_row(spark):
+    """Rows whose id is null or repeated."""
+    import corpus_pipeline as c
+    from tracelake.llm.quality import score_quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    say = lambda k: " ".join(f"w{k}x{i * i % 1009}" for i in range(60))
+    rows = [(1, say(1)), (1, say(1)), (1, say(2)), (None, say(1)), (None, say(3)), (4, say(2) + " end"), (None, None), (6, None)]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    key = lambda rows: sorted((r.doc_id or -1, r.text or "") for r in rows)
+    want = [(1, say(1)), (1, say(2)), (-1, say(3)), (-1, ""), (6, "")]
+    assert key(c.ngram_jaccard_join(spark, frame(rows), SF).collect()) == sorted(want)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").first().text
+    rows = [(None, "so " + item), (7, "so " + item), (7, say(7)), (None, say(8))]
+    assert key(c.benchmark_decontamination(spark, docs.unionByName(frame(rows)), SF).where("doc_id is null or lang = 'en' and source = 's'").collect()) == sorted([(7, say(7)), (-1, say(8))])
+    scored = score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("score < 0.2 or score > 0.4").collect()
+    texts, verdict = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.predicted for r in scored}
+    bad, good = (next(texts[d] for d in verdict if verdict[d] == v and texts[d]) for v in (0, 1))
+    rows = [(None, bad), (9999, good), (9999, bad), (None, good)]
+    found = c.quality_classifier(spark, docs.unionByName(frame(rows)), SF).where("source = 's'").collect()
+    assert key(found) == sorted([(9999, good), (-1, good)])
+
+
 def test_line_dedup_equals_brute_force(stages):
     pages, holds = collections.defaultdict(set), collections.defaultdict(set)
     for r in stages[1]:

@@ -304,8 +304,8 @@ def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarr
     return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id long, coverage double")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any benchmark item. Rows with a null id have no link to drop them by and stay."""
-    found = durable(contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct())
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
+    """The rows without any benchmark item; ``key`` (a column of longs without nulls) says which row holds what."""
+    found = durable(contaminated(docs.select(F.col(key).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct())
     few = found.count() <= 1_000_000
-    return docs.join(F.broadcast(found) if few else found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(found) if few else found, key, "left_anti").select(docs.columns)

@@ -117,8 +117,8 @@ def fit(features: DataFrame, positives: DataFrame, prior: float, low, high, scal
     return w
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = 20_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted per row of ``docs``.
+def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3, sample: int = 20_000, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted per row of ``docs``, and its ``row`` (a column of longs) where that is asked for.
 
     Only labels of rows whose crc32(doc_id as text) mod ``folds`` isn't 0 are learned from; of
     the labelled rows at most ``sample`` (those of least hash) give the features' usual ranges,
@@ -132,10 +132,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
         for whole in batches:
             for batch in arrow_rows(whole, 1 << 20):
                 x = style(*text_bytes(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), *batch.columns[2:]], ["doc_id", "x", *asked])
 
-    kind = docs.schema[key].dataType.simpleString()
-    features = durable(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(featurise, f"doc_id {kind}, x binary"))
+    kind, asked, more = docs.schema[key].dataType.simpleString(), [row] if row else [], f", {row} long" if row else ""
+    features = durable(docs.select(docs[key].alias("doc_id"), docs[text].alias("text"), *asked).mapInArrow(featurise, f"doc_id {kind}, x binary{more}"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("good")).where(~held)
     train = durable(features.join(known, "doc_id"))
@@ -152,6 +152,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, BASIC)
             p = 1 / (1 + np.exp(-np.clip(expand(x, low, high, scale) @ w, -50, 50)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), *batch.columns[2:]], ["doc_id", "score", "predicted", *asked])
 
-    return features.mapInArrow(apply, f"doc_id {kind}, score double, predicted int").select("doc_id", held.alias("held_out"), "score", "predicted")
+    return features.mapInArrow(apply, f"doc_id {kind}, score double, predicted int{more}").select("doc_id", held.alias("held_out"), "score", "predicted", *asked)
