@@ -87,6 +87,13 @@ def test_text_functions(spark):
     assert [one(spark, n, X.ceil_log2, "int") for n in (1, 2, 3, 8, 9)] == [0, 1, 2, 3, 4]
 
 
+def test_summary_counts_shapes(spark):
+    text = "(declare-const p Bool) (declare-const x Int) (assert (< (div (ite p x 2) 3) (* x (ite p x 2)))) (assert (< (mod x 3) (* (ite p 1 x) x)))"
+    nodes, edges = smt2.dag_tables(spark.createDataFrame([("a", text)], "file string, text string"))
+    found = {r.key: r.n for r in dag.summary(nodes, edges).where("section = 'shapes'").collect()}
+    assert [found[s] for s in dag.SHAPES] == [1, 1, 2, 1, 0, 1, 1]
+
+
 def test_even_sample_and_quartiles(spark):
     df = spark.range(10).withColumn("k", F.lit(1))
     assert [r.id for r in core.even_sample(df, "k", "id", 4).orderBy("id").collect()] == [0, 2, 5, 7]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 TYPES = ("Bool", "Numeral", "Var", "Expr", "Eq", "Comparison")
 COMPARISONS = ("<", "<=", ">", ">=")
 ALIASES = {"if": "ite"}
+SHAPES = ("(div ?a ?b)", "(mod ?a ?b)", "(ite ?c ?a ?b)", "(div (ite ?c ?a ?b) ?k)", "(mod (ite ?c ?a ?b) ?k)", "(* ?x (ite ?c ?a ?b))", "(* (ite ?c ?a ?b) ?x)")
 
 
 class PatternError(ValueError):
@@ -128,15 +129,19 @@ def kind_text(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("description", text)
 
 
-def summary(nodes: DataFrame) -> DataFrame:
-    """section, key, n per file: assertions, constants by sort, operators over distinct nodes, greatest depth."""
+def summary(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """section, key, n per file: assertions, constants by sort, operators over distinct nodes, greatest depth; with ``edges`` also the matches of ``SHAPES``, zeros included."""
     row = lambda df, section, key, n: df.groupBy("file", key.alias("key")).agg(n.cast("long").alias("n")).select("file", F.lit(section).alias("section"), "key", "n")
-    return (
+    out = (
         row(nodes.where("root"), "summary", F.lit("asserts"), F.count("*"))
         .unionByName(row(nodes, "summary", F.lit("max_depth"), F.max("depth")))
         .unionByName(row(nodes.where("kind = 'Var'"), "constants", F.col("sort"), F.count("*")))
         .unionByName(row(nodes.where("kind = 'Op'"), "operators", F.col("head"), F.count("*")))
     )
+    for shape in SHAPES if edges is not None else ():
+        found = nodes.join(find(nodes, edges, shape).select("file", "id", F.lit(1).alias("hit")), ["file", "id"], "left")
+        out = out.unionByName(row(found, "shapes", F.lit(shape), F.count("hit")))
+    return out
 
 
 def summary_diff(a: DataFrame, b: DataFrame, equal: bool = False) -> DataFrame:
