@@ -87,6 +87,14 @@ def test_text_functions(spark):
     assert [one(spark, n, X.ceil_log2, "int") for n in (1, 2, 3, 8, 9)] == [0, 1, 2, 3, 4]
 
 
+def test_numbers_show_any_power_of_two(spark):
+    values = {2**600: "2^600", 2**1024 - 1: "2^1024-1", 2**2000 + 1: "2^2000+1", -(2**513): "-2^513", 2**513 + 2: f"{2**513 + 2:_}", 2**512 + 1: "2^512+1"}
+    rows = spark.createDataFrame([(str(v),) for v in values], "v string")
+    found = {r.v: r.t for r in rows.select("v", X.number_text(F.col("v")).alias("t")).collect()}
+    assert found == {str(v): t for v, t in values.items()}
+    assert one(spark, f"(mod R2 {2**600})", X.humanise_constants) == "(mod R2 2^600)"
+
+
 def test_summary_counts_shapes(spark):
     text = "(declare-const p Bool) (declare-const x Int) (assert (< (div (ite p x 2) 3) (* x (ite p x 2)))) (assert (< (mod x 3) (* (ite p 1 x) x)))"
     nodes, edges = smt2.dag_tables(spark.createDataFrame([("a", text)], "file string, text string"))
