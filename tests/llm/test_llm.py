@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -227,6 +228,26 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_is_exact_for_large_components(spark, monkeypatch):
+    from tracelake.llm import top_k as module
+    from tracelake.llm.top_k import top_k
+
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.normal(size=6) * 10.0 ** r.integers(0, 9, 6)]) for i in range(120)]
+    rows += [(200, [1e30, 1.0] + [0.0] * 4), (201, [-1e30, 3.0] + [0.0] * 4), (202, [1e30, 2.0] + [0.0] * 4), (203, [1e308] * 6), (250, [1e7, -1e7, 1e7]), (251, []), (300, [0.0] * 6)]
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v] + [0] * (6 - len(v))) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:5]
+            want += [(i, n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(best)]
+    df = spark.createDataFrame([(*row, "x", "y") for row in rows], "vec_id long, embedding array<double>, lane string, score string")
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+    monkeypatch.setattr(module, "SHARD", 7)  # many shards and lanes
+    monkeypatch.setattr(module, "QUERIES", 2)
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") % 50 == 0).collect())) == sorted(want)
+
+
 def test_contaminated_finds_passages_and_rewordings(spark, empty, monkeypatch):
     from tracelake.llm import decontaminate
     from tracelake.llm.decontaminate import common, contaminated
