@@ -292,7 +292,8 @@ def test_contaminated_equals_brute_force(spark):
     assert {(x.doc_id, x.item_id) for x in found} == want
 
 
-def test_line_dedup_and_preference_pairs(spark):
+def test_line_dedup_and_preference_pairs(spark, monkeypatch):
+    from tracelake.llm import line_dedup
     from tracelake.llm.line_dedup import drop_boilerplate
     from tracelake.llm.preference import preference_pairs
 
@@ -300,6 +301,16 @@ def test_line_dedup_and_preference_pairs(spark):
     got = drop_boilerplate(spark.createDataFrame(rows, "id int, host string, text string"), F.col("host"), F.col("text")).collect()
     assert sorted((r.id, r._text or "", r.n_lines, r.n_dropped) for r in got)[:2] == [(0, "own line 0\n", 3, 1), (1, "own line 1\n", 3, 1)]
     assert {(r.id, r._text) for r in got if r.id in (6, 7, 8)} == {(6, None), (7, ""), (8, "menu\nown")}
+    names = "id int, host string, text string, _drop int, _host string, _text int, _kept int, bad int, row int, n_lines string, deal int"
+    odd = drop_boilerplate(spark.createDataFrame([(*row, 1, "mine", 2, 3, 4, 5, "six", 7) for row in rows], names), F.col("host"), F.col("text"))
+    assert odd.columns == ["id", "host", "text", "_drop", "_host_input", "_text_input", "_kept", "bad", "row", "n_lines_input", "deal", "_host", "_text", "n_lines", "n_dropped"]
+    plain = sorted((r.id, r._text or "", r.n_lines, r.n_dropped) for r in got)
+    assert sorted((r.id, r._text or "", r.n_lines, r.n_dropped) for r in odd.collect()) == plain and odd.first()["_host_input"] == "mine"
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    assert sorted((r.id, r._text or "", r.n_lines, r.n_dropped) for r in drop_boilerplate(spark.createDataFrame(rows, "id int, host string, text string"), F.col("host"), F.col("text")).collect()) == plain
+    assert drop_boilerplate(spark.createDataFrame([], "id int, host string, text string"), F.col("host"), F.col("text")).count() == 0
+    long = drop_boilerplate(spark.createDataFrame([(1, "h", "x\n" * 200_000)], "id int, host string, text string"), F.col("host"), F.col("text")).first()
+    assert (long.n_lines, long.n_dropped) == (200_001, 0)
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (1, 0, "user", "q"), (1, 1, "assistant", None), (1, 2, "user", "more"), (2, 0, None, "alone"), (4, 0, "user", "x"), (5, 0, "user", "x"), (None, 0, "user", "y")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     found = {r.pair_id: r for r in preference_pairs(df, F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()}

@@ -16,6 +16,9 @@ from tracelake.llm.common import durable
 
 #: Boilerplate lines that a broadcast may hold (8 bytes each); beyond, the join shuffles.
 BROADCAST_LINES = 1_000_000
+#: Parts that each host's pages are dealt into where the lines aren't broadcast.
+DEALS = 16
+RESULTS = ("_host", "_text", "n_lines", "n_dropped")
 
 
 def host_of(url: Column) -> Column:
@@ -33,25 +36,33 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float
 
     A line goes if at least ``least`` different pages of its host hold it and these are more than
     ``ratio`` of the host's different pages; lines are compared without white space at their ends,
-    blank lines stay. Null host: one host of its own, ''. Null text: null, 0 lines. All columns
-    and repeated rows are kept.
+    blank lines stay. Null host: one host of its own, ''. Null text: null, 0 lines; an empty text is
+    one blank line; texts of any length are taken whole. All columns and repeated rows are kept; a
+    column of ``pages`` with one of the four names is returned as <name>_input. No pages: no rows.
     """
-    own = pages.withColumn("_host", F.coalesce(host, F.lit(""))).withColumn("_text", text)
-    lines = F.array_distinct(F.transform(F.split("_text", "\n"), lambda x: F.xxhash64(F.trim(x))))
-    each = own.where("_text is not null").select("_host", F.xxhash64("_text").alias("_page"), F.explode(lines).alias("_line"))
-    seen = each.groupBy("_host", "_line").agg(F.countDistinct("_page").alias("_with")).where(F.col("_with") >= least)
-    total = own.where("_text is not null").groupBy("_host").agg(F.countDistinct(F.xxhash64("_text")).alias("_pages"))
-    found = durable(seen.join(total, "_host").where(F.col("_with") > ratio * F.col("_pages")).groupBy("_host").agg(F.array_sort(F.collect_set("_line")).alias("_drop")))
-    size = found.agg(F.sum(F.size("_drop"))).first()[0] or 0
-    joined = own.join(F.broadcast(found) if size <= BROADCAST_LINES else found, "_host", "left")
-    split, keep = F.split("_text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("_drop", F.array().cast("array<bigint>")), F.xxhash64(F.trim(x)))
-    kept = F.filter(split, keep)
-    return joined.withColumn("_kept", kept).select(
-        *pages.columns,
-        "_host",
-        F.when(F.col("_text").isNotNull(), F.array_join("_kept", "\n")).alias("_text"),
+    columns, names = pages.columns, []
+    for c in columns:
+        while c in RESULTS or c in names or c.endswith("_input") and c in columns and c != columns[len(names)]:
+            c += "_input"  # noqa: PLW2901
+        names.append(c)
+    own = pages.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.coalesce(host, F.lit("")).alias("host"), text.alias("text"))
+    lines = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.trim(x))))
+    each = own.where("text is not null").select("host", F.xxhash64("text").alias("page"), F.explode(lines).alias("line"))
+    seen = each.groupBy("host", "line").agg(F.countDistinct("page").alias("holding")).where(F.col("holding") >= least)
+    total = own.where("text is not null").groupBy("host").agg(F.countDistinct(F.xxhash64("text")).alias("pages"))
+    found = durable(seen.join(total, "host").where(F.col("holding") > ratio * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_set("line")).alias("bad")))
+    if (found.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_LINES:
+        joined = own.join(F.broadcast(found), "host", "left")
+    else:  # a host's pages are dealt over several tasks, each with the host's lines
+        dealt = found.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+        joined = own.withColumn("deal", F.pmod(F.xxhash64("text"), F.lit(DEALS)).cast("int")).join(dealt, ["host", "deal"], "left")
+    split, keep = F.split("text", "\n"), lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("bad", F.array().cast("array<bigint>")), F.xxhash64(F.trim(x)))
+    return joined.withColumn("kept", F.filter(split, keep)).select(
+        *[F.col("row").getField(c).alias(name) for c, name in zip(columns, names, strict=True)],
+        F.col("host").alias("_host"),
+        F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("_text"),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(split) - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(split) - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
