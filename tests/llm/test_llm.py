@@ -321,6 +321,19 @@ def test_line_dedup_and_preference_pairs(spark, monkeypatch):
     assert (found[1].prompt_turns, found[1].rejected) == (0, "") and (found[2].prompt_turns, found[2].chosen) == (1, "")
 
 
+def test_preference_pairs_of_odd_tables(spark):
+    from tracelake.llm.preference import preference_pairs
+
+    names = "conv_id long, turn long, role string, text string, pair_id string, _chosen int, c string, n int, p int"
+    pairs = lambda rows: {r.pair_id: r for r in preference_pairs(spark.createDataFrame([(*row, "x", 1, "y", 2, 3) for row in rows], names), F.floor(F.col("conv_id") / 2), F.col("conv_id") % 2 == 0).collect()}
+    assert pairs([]) == {}
+    long = "very long " * 300_000
+    found = pairs([(0, 0, "user", long), (1, 0, "user", long), (0, 1, "assistant", long), (2, 0, "user", "q"), (2, 0, "user", "q"), (3, 0, "user", "q"), (4, None, None, None)])
+    assert found[0].prompt_turns == 1 and len(found[0].prompt) == len(long) + len("<|user|>\n<|end|>\n") and found[0].rejected == ""
+    assert (found[1].prompt_turns, found[1].chosen, found[1].rejected) == (1, "<|user|>\nq<|end|>\n", "")
+    assert (found[2].prompt_turns, found[2].chosen) == (0, "<||>\n<|end|>\n")
+
+
 def test_components(spark):
     from tracelake.llm.components import components
 

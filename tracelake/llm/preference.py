@@ -39,7 +39,9 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column, target: str
     turns in it; nothing in the prompt counts. A missing side is an empty conversation; equal
     conversations have empty completions. Turns with one number are ordered by role and text.
 
-    One shuffle, by pair; what a task must hold is one pair.
+    Repeated rows are turns like any other; texts of any length are taken whole; other columns are
+    ignored, whatever their names; no turns: no rows. One shuffle, by pair; what a task must hold is
+    one pair, which is also one row of the result.
     """
     turn = F.struct("turn", "role", "text")
     side = lambda which: F.array_sort(F.collect_list(F.when(which, turn)))
