@@ -116,6 +116,22 @@ def test_jaccard_components_equal_brute_force(docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
+def test_hot_classes_are_joined_apart(spark, monkeypatch, docs):
+    from tracelake.llm import components, near_dup
+
+    want = sorted(map(str, near_dup.jaccard_components(docs).collect()))
+    for module in (components, near_dup):
+        monkeypatch.setattr(module, "hot_limit", lambda rows: 3)
+    assert sorted(map(str, near_dup.jaccard_components(docs).collect())) == want
+    left = spark.createDataFrame([(1, "a")] * 9 + [(2, "b"), (3, "c"), (None, "d")] + [(4, "e")] * 5, "k int, x string")
+    right = spark.createDataFrame([(1, "r"), (2, "s")], "k int, y string")
+    for how in ("inner", "left"):
+        found = components.hot_join(left, right, ["k"], left.groupBy("k").count().where("count > 3"), how)
+        assert sorted(map(str, found.select("k", "x", "y").collect())) == sorted(map(str, left.join(right, "k", how).select("k", "x", "y").collect()))
+    with pytest.raises(TypeError):
+        near_dup.jaccard_components(left.select(F.col("x").alias("doc_id"), F.col("x").alias("text")))
+
+
 def test_repeated_key_with_another_text_keeps_its_links(spark):
     from tracelake.llm.near_dup import jaccard_components
 

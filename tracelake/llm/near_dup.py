@@ -3,11 +3,12 @@
 **Signatures.** Sets of similar size share a band (band t holds the sizes [low(t), low(t+1)), so
 that similar sets lie in the same band or in neighbouring ones), and each set takes part in the
 instances of its own band and of the next. Within an instance two similar sets differ in at most
-k features. The feature domain is dealt into n1 > k parts by a hash, so similar sets agree on at
-least n1 - k whole parts. Each set signs the subset of its features in every part, and similar
-sets share a signature. (This is PartEnum with one second-level part; the margin n1 - k - 1 does
-the work of the second level.) A part in which a set has no feature says nothing; a set that has
-fewer than n1 - k such parts leaves them out, as an agreement on another part is then certain.
+k features. The feature domain is dealt by a hash into n1 parts and each of these into n2 = 3
+second-level parts. With n1 > k / 2 some part holds at most one of the differences, so in it two of
+the three second-level parts agree as a whole: a set signs, in every part, each of the subsets of
+two of its three second-level parts. The differences spoil at most n1 + k of the 3 n1 subsets (two for
+a part's first one, one for its second), so similar sets agree on 2 n1 - k or more; a set that has
+fewer empty subsets than that leaves those out, as an agreement on another is then certain.
 
 **Frequent shingles.** What the bounds need of the domain is only that it is the same for all
 sets, so shingles that ``FREQUENT`` documents or more hold (passages that pages share) are taken
@@ -31,15 +32,17 @@ sorting and grouping is numpy's work.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracelake.llm.common import arrow_rows, durable, mix, parts, text_bytes
-from tracelake.llm.components import components
+from tracelake.llm.components import components, hot_join, hot_limit
+from tracelake.llm.packed import BLOB, blobs, columns, firsts, regroup, squeezed, unsqueezed, within
 from tracelake.llm.shingles import set_hashes, shingle_sets
 
 #: Rows of ids that a broadcast may hold (about 60 MB in a JVM); beyond, Spark shuffles both sides.
@@ -49,7 +52,6 @@ HUB_ROWS = 256
 #: Documents that must hold a shingle to take it out of the signatures' domain, and how many such may be broadcast (8 bytes each).
 FREQUENT, FREQUENT_MOST = 32, 4_000_000
 BATCH, LOT = 1 << 20, 8 << 20
-BLOB = "bucket int, blob binary"
 
 
 def lows(percent: int, most: int) -> np.ndarray:
@@ -61,10 +63,11 @@ def lows(percent: int, most: int) -> np.ndarray:
 
 
 def layout(percent: int, low: np.ndarray, instance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n1 and k of instances: sets of size up to u = low[instance + 1] - 1."""
+    """First-level parts of instances (sets of size up to u = low[instance + 1] - 1), and the subsets that similar sets agree on at least."""
     u = low[instance + 1] - 1
     k = 2 * u * (100 - percent) // (100 + percent)
-    return k + 1 + np.ceil(k * 0.37).astype(np.int64) + (k > 0), k
+    n1 = k // 2 + 1 + np.ceil(k * 0.15).astype(np.int64)
+    return n1, 3 * n1 - 2 * np.minimum(k, n1) - np.maximum(0, k - n1)
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,23 +85,26 @@ def signatures(values: np.ndarray, bounds: np.ndarray, percent: int, frequent: n
     rare = np.ones(len(values), bool) if frequent is None else ~frequent
     for step in (0, 1):
         instance = np.where(size > 0, band + step, 0)
-        n1, k = layout(percent, low, instance)
-        n1 = np.where(size > 0, n1, 0)
-        base = np.r_[0, np.cumsum(n1)]
-        cell = base[own] + ((place * n1[own].astype(np.uint64)) >> scale).astype(np.int64)
-        owner = np.repeat(np.arange(len(size)), n1)
+        n1, agreed = layout(percent, low, instance)
+        cells = np.where(size > 0, 3 * n1, 0)  # one for each second-level part, and one for each subset of two
+        base = np.r_[0, np.cumsum(cells)]
+        cell = base[own] + ((place * cells[own].astype(np.uint64)) >> scale).astype(np.int64)
+        owner = np.repeat(np.arange(len(size)), cells)
         number = np.arange(base[-1]) - base[owner]
-        short = size > 0  # sets with too many empty parts so far
+        # The subset of a cell is of its own second-level part and the next of the same first-level part.
+        other = np.arange(base[-1]) + np.where(number % 3 == 2, -2, 1)
+        short = size > 0  # sets with too many empty subsets so far
         for family, use in ((0, rare), (1, np.ones(len(values), bool))):
             if family:
                 use &= short[own]
             total = np.zeros(base[-1], np.uint64)
             np.add.at(total, cell[use], mixed[use])
             count = np.bincount(cell[use], minlength=base[-1])
+            total, count = total + total[other], count + count[other]
             empty = count == 0
             empties = np.bincount(owner[empty], minlength=len(size))
-            sign = (~empty | ((empties >= n1 - k)[owner] & bool(family))) & short[owner]
-            short = short & (empties >= n1 - k)
+            sign = (~empty | ((empties >= agreed)[owner] & bool(family))) & short[owner]
+            short = short & (empties >= agreed)
             who, nth = owner[sign], number[sign]
             tag = ((instance[who] * 2 + family) * 1_000_003 + nth).astype(np.uint64)
             sums.append(mix(total[sign] + mix(tag) + count[sign].astype(np.uint64)))
@@ -124,19 +130,19 @@ def frequent_shingles(docs: DataFrame, words: int, buckets: int) -> np.ndarray:
             spots, times = np.unique(np.concatenate([spot(shingle_sets(*text_bytes(batch.column(1)), words)[0], n) for batch in arrow_rows(lot, BATCH)]), return_counts=True)
             for low in range(0, 255 * (int(times.max(initial=0)) // 255 + 1), 255):  # a byte a count; large ones in pieces
                 part = times > low
-                yield from _blobs((spots[part] >> np.uint64(32)).astype(np.int32), buckets, (spots[part] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(times[part] - low, 255).astype("u1"))
+                yield from blobs((spots[part] >> np.uint64(32)).astype(np.int32), buckets, (spots[part] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(times[part] - low, 255).astype("u1"))
 
-    def gather(bucket, blobs) -> Iterator[pa.RecordBatch]:
-        spots, times = _columns(blobs, "<u4", "u1")
+    def gather(bucket, found) -> Iterator[pa.RecordBatch]:
+        spots, times = columns(found, "<u4", "u1")
         order = np.argsort(spots, kind="stable")
-        spots, start = spots[order], np.flatnonzero(_firsts(spots[order]))
+        spots, start = spots[order], np.flatnonzero(firsts(spots[order]))
         total = np.add.reduceat(times[order].astype("<i8"), start) if len(start) else np.zeros(0, "<i8")
         keep = total >= FREQUENT
         if keep.any():
             where = (spots[start][keep].astype("<u8") | (np.uint64(bucket) << np.uint64(32))).astype("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(total[keep])], ["spot", "times"])
 
-    found = durable(_regroup(docs.mapInArrow(count, BLOB), gather, "spot long, times long"))
+    found = durable(regroup(docs.mapInArrow(count, BLOB), gather, "spot long, times long"))
     least = FREQUENT
     while found.where(F.col("times") >= least).count() > FREQUENT_MOST:
         least *= 2
@@ -144,53 +150,6 @@ def frequent_shingles(docs: DataFrame, words: int, buckets: int) -> np.ndarray:
     return np.sort(rows["spot"].to_numpy().astype(np.uint64))
 
 
-def _within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of x are among the sorted ``known``."""
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
-
-
-def _blobs(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per bucket that has entries: its part of the columns, one after the other."""
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    columns = [c[order] for c in columns]
-    used = np.flatnonzero(np.diff(at))
-    for some in np.array_split(used, max(1, len(used) // 64)):
-        if len(some):
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([b"".join(c[at[b] : at[b + 1]].tobytes() for c in columns) for b in some], pa.binary())], ["bucket", "blob"])
-
-
-def _columns(blobs, *kinds: str) -> list[np.ndarray]:
-    """The columns of several blobs, end to end."""
-    width = sum(np.dtype(k).itemsize for k in kinds)
-    out: list[list[np.ndarray]] = [[] for _ in kinds]
-    for blob in blobs:
-        raw, at = blob.as_py(), 0
-        n = len(raw) // width
-        for column, kind in zip(out, kinds, strict=True):
-            column.append(np.frombuffer(raw, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
-
-
-def _firsts(*keys: np.ndarray) -> np.ndarray:
-    """Whether each entry of sorted columns differs from the one before."""
-    new = np.ones(len(keys[0]), dtype=bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return new
-
-
-def _regroup(df: DataFrame, reduce: Callable, schema: str) -> DataFrame:
-    """``reduce`` (blobs of a bucket -> batches) over each bucket of packed rows."""
-
-    def run(key, table):
-        found = list(reduce(key[0].as_py(), table["blob"]))
-        return pa.Table.from_batches(found) if found else pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in schema.split(", ")]).empty_table()
-
-    return df.groupBy("bucket").applyInArrow(run, schema)
-
-
 def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Join on doc_id; ``ids`` is broadcast only where its counted rows are few."""
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
@@ -222,26 +181,26 @@ def groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame
             found = []
             for batch in arrow_rows(lot, BATCH):
                 values, bounds = shingle_sets(*text_bytes(batch.column(1)), words)
-                sums, owner = signatures(values, bounds, percent, _within(spot(values, n), common.value))
+                sums, owner = signatures(values, bounds, percent, within(spot(values, n), common.value)[1])
                 found.append((sums, batch.column(0).to_numpy()[owner]))
             if found:
                 sums, doc = (np.concatenate(c) for c in zip(*found, strict=True))
                 # 32 bits beside the bucket: a chance agreement costs a comparison, nothing else.
-                yield from _blobs((sums % n).astype(np.int32), buckets, doc, ((sums // n) & np.uint64(0xFFFFFFFF)).astype("<u4"))
+                yield from squeezed((sums % n).astype(np.int32), buckets, doc, ((sums // n) & np.uint64(0xFFFFFFFF)).astype("<u4"))
 
-    def gather(_, blobs) -> Iterator[pa.RecordBatch]:
-        doc, sig = _columns(blobs, "<i8", "<u4")
+    def gather(_, found) -> Iterator[pa.RecordBatch]:
+        doc, sig = unsqueezed(found, "<i8", "<u4")
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
-        start = _firsts(sig)
+        start = firsts(sig)
         many = np.diff(np.flatnonzero(np.r_[start, True])) > 1
         keep = many[np.cumsum(start) - 1]
         sig, doc = sig[keep], doc[order[keep]]
         order = np.lexsort((doc, sig))
         sig, doc = sig[order], doc[order]
-        new = _firsts(sig, doc)
+        new = firsts(sig, doc)
         sig, doc = sig[new], doc[new]
-        start = np.flatnonzero(_firsts(sig))
+        start = np.flatnonzero(firsts(sig))
         size = np.diff(np.r_[start, len(sig)])
         total = np.add.reduceat(mix(doc.astype(np.uint64)), start) if len(start) else np.zeros(0, np.uint64)
         group = mix(total + size.astype(np.uint64))
@@ -252,32 +211,32 @@ def groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame
     def _spread(group, start, size, doc) -> Iterator[pa.RecordBatch]:
         at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
         member, hub, g = doc[at], np.repeat(doc[start], size), np.repeat(group, size)
-        yield from _blobs((mix(g) % n).astype(np.int32), buckets, g, hub, member)
+        yield from blobs((mix(g) % n).astype(np.int32), buckets, g, hub, member)
 
-    def unique(_, blobs) -> Iterator[pa.RecordBatch]:
-        g, hub, member = _columns(blobs, "<u8", "<i8", "<i8")
+    def unique(_, found) -> Iterator[pa.RecordBatch]:
+        g, hub, member = columns(found, "<u8", "<i8", "<i8")
         order = np.lexsort((member, g))
         g, hub, member = g[order], hub[order], member[order]
-        new = _firsts(g, member)
+        new = firsts(g, member)
         g, hub, member = g[new], hub[new], member[new]
-        yield from _blobs((mix(member.astype(np.uint64)) % n).astype(np.int32), buckets, g, hub, member)
+        yield from blobs((mix(member.astype(np.uint64)) % n).astype(np.int32), buckets, g, hub, member)
 
     signed = docs.mapInArrow(sign, BLOB)
-    return durable(_regroup(_regroup(signed, gather, BLOB), unique, BLOB))
+    return durable(regroup(regroup(signed, gather, BLOB), unique, BLOB))
 
 
-def homes(entries: DataFrame) -> DataFrame:
+def homes(entries: DataFrame, many: int) -> DataFrame:
     """(doc_id, hub, task): each document with the smallest hub of its groups (maybe itself), and which block of that hub's it is in."""
 
-    def run(_, blobs) -> Iterator[pa.RecordBatch]:
-        _, hub, member = _columns(blobs, "<u8", "<i8", "<i8")
+    def run(_, found) -> Iterator[pa.RecordBatch]:
+        _, hub, member = columns(found, "<u8", "<i8", "<i8")
         order = np.lexsort((hub, member))
-        order = order[_firsts(member[order])]
+        order = order[firsts(member[order])]
         yield pa.RecordBatch.from_arrays([pa.array(member[order]), pa.array(hub[order])], ["doc_id", "hub"])
 
-    found = durable(_regroup(entries, run, "doc_id long, hub long"))
-    deal = found.groupBy("hub").agg(F.ceil(F.count("*") / HUB_ROWS).alias("tasks"))
-    return durable(found.join(deal, "hub").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), "tasks").alias("task"), "tasks"))
+    found = durable(regroup(entries, run, "doc_id long, hub long"))
+    deal = durable(found.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HUB_ROWS).alias("tasks")))
+    return durable(hot_join(found, deal.drop("n"), ["hub"], deal.where(F.col("n") > many), "inner").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), "tasks").alias("task"), "tasks"))
 
 
 def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
@@ -285,17 +244,17 @@ def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
     n = np.uint64(buckets)
 
     def label(key, table, known):
-        g, _, member = _columns(table["blob"], "<u8", "<i8", "<i8")
+        g, _, member = columns(table["blob"], "<u8", "<i8", "<i8")
         known = known.sort_by("node")
         at = np.searchsorted(known["node"].to_numpy(), member)  # every member has a place
-        rows = list(_blobs((mix(g) % n).astype(np.int32), buckets, g, member, *(known[c].to_numpy()[at] for c in ("root", "block"))))
+        rows = list(blobs((mix(g) % n).astype(np.int32), buckets, g, member, *(known[c].to_numpy()[at] for c in ("root", "block"))))
         return pa.Table.from_batches(rows) if rows else pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]).empty_table()
 
-    def pick(_, blobs) -> Iterator[pa.RecordBatch]:
-        g, member, root, block = _columns(blobs, "<u8", "<i8", "<i8", "<i8")
+    def pick(_, found) -> Iterator[pa.RecordBatch]:
+        g, member, root, block = columns(found, "<u8", "<i8", "<i8", "<i8")
         order = np.lexsort((block, g))
         g, member, root, block = g[order], member[order], root[order], block[order]
-        starts = np.flatnonzero(_firsts(g))
+        starts = np.flatnonzero(firsts(g))
         ends = np.r_[starts[1:], len(g)]
         if not len(starts):
             return
@@ -315,18 +274,18 @@ def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
                         doc += [member[a1:b1], member[a2:b2]]
         cell, doc = np.concatenate(cell), np.concatenate(doc)
         order = np.lexsort((doc, cell))
-        order = order[_firsts(cell[order], doc[order])]
-        yield from _blobs((mix(cell[order]) % n).astype(np.int32), buckets, cell[order], doc[order])
+        order = order[firsts(cell[order], doc[order])]
+        yield from blobs((mix(cell[order]) % n).astype(np.int32), buckets, cell[order], doc[order])
 
-    def unique(_, blobs) -> Iterator[pa.RecordBatch]:
-        cell, doc = _columns(blobs, "<i8", "<i8")
+    def unique(_, found) -> Iterator[pa.RecordBatch]:
+        cell, doc = columns(found, "<i8", "<i8")
         order = np.lexsort((doc, cell))
-        order = order[_firsts(cell[order], doc[order])]
+        order = order[firsts(cell[order], doc[order])]
         yield pa.RecordBatch.from_arrays([pa.array(cell[order]), pa.array(doc[order])], ["cell", "doc_id"])
 
     known = places.select("node", "root", "block", F.lit(None).cast("int").alias("bucket")).mapInArrow(lambda it: (_with_bucket(b, n) for b in it), "node long, root long, block long, bucket int")
     labelled = entries.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(label, BLOB)
-    return _regroup(_regroup(labelled, pick, BLOB), unique, "cell long, doc_id long")
+    return regroup(regroup(labelled, pick, BLOB), unique, "cell long, doc_id long")
 
 
 def _with_bucket(batch: pa.RecordBatch, n: np.uint64) -> pa.RecordBatch:
@@ -407,22 +366,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key:
 
     Two rows link if 100 * intersection >= percent * union of their shingle sets. Null or wordless
     texts have no shingles and link with nothing. A row with a null key takes no part: its
-    component_id is null. Rows that repeat a key are one node. Other columns are ignored.
+    component_id is null. Rows that repeat a key are one node. Texts of any length are taken whole.
+    Other columns are ignored. No rows: no rows. Keys are integers (else a TypeError), since the
+    smallest one names a component. Shingles are known by 64-bit hashes, equal sets by 128 bits:
+    a collision would count two different shingles as one.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} isn't a column of integers")
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     table = durable(set_table(docs, words))
-    classes = durable(table.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    own = table.join(classes, ["h1", "h2"], "left")
+    many = hot_limit(table.count())
+    linked, alone = table.where("n_shingles > 0 and doc_id is not null"), table.where("n_shingles = 0 or doc_id is null")
+    classes = durable(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    large = classes.where(F.col("copies") > many)
+    own = durable(hot_join(linked.select("doc_id", "n_shingles", "h1", "h2"), classes, ["h1", "h2"], large, "inner").select("doc_id", "n_shingles", "rep"))
     # Documents of which every row is a copy of an earlier one are left out; a repeated key ties its classes together.
-    copies = durable(own.where("rep is not null").groupBy("doc_id").agg(F.max("rep").alias("most")).where("most < doc_id").select("doc_id"))
+    copies = durable(own.groupBy("doc_id").agg(F.max("rep").alias("most")).where("most < doc_id").select("doc_id"))
     usable = _by_id(docs.where("doc_id is not null"), copies, "left_anti")
-    ties = own.where("rep is not null").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
+    ties = own.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a <> b")
     repeated = table.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("b"))
     ties = ties.join(repeated, "b", "left_semi").select("a", "b")
     buckets = max(4, parts(spark))
     entries = groups(usable, words, percent, buckets)
-    home = homes(entries)
+    home = homes(entries, many)
     members = home.where("doc_id <> hub").select(F.col("hub").alias("cell"), "task", "doc_id", "hub")
     centres = home.where("doc_id <> hub").groupBy("hub").agg(F.max("tasks").alias("tasks"))
     centres = centres.select(F.col("hub").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.col("hub").alias("doc_id"), "hub")
@@ -431,6 +398,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key:
     places = home.join(roots, home.doc_id == roots.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("root", "doc_id").alias("root"), F.xxhash64("hub", "task").alias("block"))
     left = cells(entries, places, buckets).select("cell", F.lit(0).cast("long").alias("task"), "doc_id", F.lit(None).cast("long").alias("hub"))
     links = durable(links.unionByName(verified(left, docs, words, percent)))
-    roots = components(links)
-    out = own.join(roots, own.rep == roots.node, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"))
+    roots = durable(components(links).select(F.col("node").alias("rep"), "root"))
+    out = hot_join(own, roots, ["rep"], large.select("rep"), "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    return out.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

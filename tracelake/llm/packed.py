@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 BLOB = "bucket int, blob binary"
@@ -40,6 +41,35 @@ def columns(found, *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
 
 
+def squeezed(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``blobs``, compressed: signed columns as differences, so that nearly sorted ids take little room."""
+    pack = zstandard.ZstdCompressor(level=1)
+    for batch in blobs(bucket, buckets, *columns):
+        out = []
+        for raw in batch.column(1):
+            found = [np.diff(c, prepend=c.dtype.type(0)) if c.dtype.kind == "i" else c for c in _split(raw.as_py(), [c.dtype for c in columns])]
+            out.append(pack.compress(b"".join(c.tobytes() for c in found)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["bucket", "blob"])
+
+
+def unsqueezed(found, *kinds: str) -> list[np.ndarray]:
+    """The columns of several squeezed blobs, end to end."""
+    unpack = zstandard.ZstdDecompressor()
+    out: list[list[np.ndarray]] = [[] for _ in kinds]
+    for blob in found:
+        for column, c in zip(out, _split(unpack.decompress(blob.as_py()), [np.dtype(k) for k in kinds]), strict=True):
+            column.append(np.cumsum(c, dtype=c.dtype) if c.dtype.kind == "i" else c)
+    return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
+
+
+def _split(raw: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
+    n, at, out = len(raw) // sum(k.itemsize for k in kinds), 0, []
+    for kind in kinds:
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * kind.itemsize
+    return out
+
+
 def firsts(*keys: np.ndarray) -> np.ndarray:
     """Whether each entry of sorted columns differs from the one before."""
     new = np.ones(len(keys[0]), dtype=bool)
