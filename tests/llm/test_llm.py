@@ -199,14 +199,41 @@ def test_language_model_counts_are_exact(docs, empty):
     assert score_texts(empty, rest).count() == 0
 
 
-def test_language_model_score_does_not_depend_on_the_head(docs):
-    from tracelake.llm.bloom_lm import score_texts
+def test_language_model_equals_brute_force_however_it_is_spread(docs, monkeypatch):
+    from tracelake.llm import bloom_lm
+    from tracelake.llm.bloom_lm import BETA, score_texts
 
+    held = lambda n: n is not None and zlib.crc32(str(n).encode()) % 5 == 1
+    texts = [(r[0], [*low_words(r[1]), None]) for r in made()]
+    pairs = lambda ts: list(zip(["begin", *ts[:-1]], ts, strict=True))
+    one, two = collections.Counter(), collections.Counter()
+    for n, ts in texts:
+        if not held(n):
+            one.update(ts)
+            two.update(pairs(ts))
+    total, docs_ = sum(one.values()), sum(not held(n) for n, _ in texts)
+    level = collections.defaultdict(list)
+    for c in two.values():
+        level[c.bit_length()].append(c)
+
+    def p(h, w):
+        prior, of = (one[w] + 0.5) / (total + 0.5 * (len(one) + 1)), docs_ if h == "begin" else one[h]
+        c = two[h, w]
+        quantised = sum(level[c.bit_length()]) / len(level[c.bit_length()]) if c else 0
+        return (1 - BETA) * min(1, quantised / of) + BETA * prior if of else prior
+
+    want = sorted((-1 if n is None else n, len(ts), sum(math.log10(p(*x)) for x in pairs(ts))) for n, ts in texts)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    scores = lambda **args: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.base_score, 6), round(r.score, 6)) for r in score_texts(docs, rest, **args).collect())
-    whole = scores()
-    for args in ({"head_words": 50}, {"head_words": 0}, {"head_words": 50, "slice_bytes": 2000}):
-        assert scores(**args) == whole
+    found = []
+    for hot, args in ((bloom_lm.HOT, {}), (8, {"slice_bytes": 0}), (8, {"head_words": 50}), (1, {"head_words": 0, "slice_bytes": 0}), (8, {"head_words": 50, "slice_bytes": 20_000})):
+        monkeypatch.setattr(bloom_lm, "HOT", hot)
+        found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in score_texts(docs, rest, bits=200, **args).collect()))
+        for a, b in zip(found[-1], want, strict=True):
+            assert a[:2] == b[:2] and abs(a[2] - b[2]) <= 1e-6 * b[1]
+    assert all(f == found[0] for f in found)
+    # Weighed by their counts, the probabilities of what may follow a context sum to 1 but for what min cuts off.
+    mass = sum((docs_ if h == "begin" else one[h]) * p(h, w) for h in ["begin", *(w for w in one if w is not None)] for w in one)
+    assert 0.9 < mass / (docs_ + sum(c for w, c in one.items() if w is not None)) <= 1 + 1e-9
 
 
 def test_quality_keeps_labels_out_of_held_out_rows(spark, docs, empty):
