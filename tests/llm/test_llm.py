@@ -177,9 +177,16 @@ def test_repeats_are_removed_like_brute_force(docs, empty):
                 gone[j : j + 50] = True
         spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0
         want.append((-1 if name is None else name, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
-    got = remove_repeats(docs).collect()
-    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    for args in ({}, {"segment_bits": (3, 48)}):  # the first attempt full of collisions
+        got = remove_repeats(docs, **args).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(want)
+    with pytest.raises(RuntimeError):
+        remove_repeats(docs, segment_bits=(1,))
     assert remove_repeats(empty).count() == 0
+    with pytest.raises(ValueError):
+        remove_repeats(docs, length=400)
+    with pytest.raises(TypeError):
+        remove_repeats(docs, key="key")
 
 
 def test_language_model_counts_are_exact(docs, empty):

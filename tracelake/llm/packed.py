@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 
 BLOB = "bucket int, blob binary"
+#: Squeezed columns of several kinds of entries.
+MESSAGE = "bucket int, kind int, blob binary"
 _KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
 
 
@@ -62,6 +65,26 @@ def unsqueezed(found, *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.zeros(0, k) for c, k in zip(out, kinds, strict=True)]
 
 
+def messages(kind: int, bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Squeezed entries of one kind, in rows of MESSAGE."""
+    for b in squeezed(bucket.astype(np.int32), buckets, *columns):
+        yield message_rows(kind, b.column(0), b.column(1))
+
+
+def message_rows(kind: int, bucket: pa.Array, blob: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([bucket, pa.array(np.full(len(bucket), kind), pa.int32()), blob], ["bucket", "kind", "blob"])
+
+
+def of_kind(table: pa.Table, kind: int) -> pa.ChunkedArray:
+    """The blobs of one kind in a bucket's MESSAGE rows."""
+    return table.filter(pc.equal(table["kind"], kind))["blob"]
+
+
+def table_of(batches, schema: str) -> pa.Table:
+    found = list(batches)
+    return pa.Table.from_batches(found) if found else schema_of(schema).empty_table()
+
+
 def _split(raw: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
     n, at, out = len(raw) // sum(k.itemsize for k in kinds), 0, []
     for kind in kinds:
@@ -82,8 +105,7 @@ def regroup(df: DataFrame, reduce: Callable, schema: str) -> DataFrame:
     """``reduce`` (bucket, blobs -> batches) over each bucket of packed rows."""
 
     def run(key, table):
-        found = list(reduce(key[0].as_py(), table["blob"]))
-        return pa.Table.from_batches(found) if found else schema_of(schema).empty_table()
+        return table_of(reduce(key[0].as_py(), table["blob"]), schema)
 
     return df.groupBy("bucket").applyInArrow(run, schema)
 
