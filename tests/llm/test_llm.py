@@ -159,6 +159,25 @@ def test_signatures_meet_whenever_sets_are_similar():
                     assert set(sums[owner == 0]) & set(sums[owner == 1])
 
 
+def test_sketches_bound_what_sets_share():
+    from tracelake.llm.near_dup import may_link
+    from tracelake.llm.shingles import folded, most_common, sketches
+
+    r = np.random.default_rng(6)
+    for size in (1, 5, 40, 70, 300, 5000, 700_000):
+        a = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: max(1, int(0.9 * len(a)))], r.integers(0, 2**63, size // 8, dtype=np.uint64)]))
+        other = np.unique(r.integers(0, 2**63, size, dtype=np.uint64))
+        found = [np.frombuffer(sketches(x, np.array([0, len(x)]))[0], "u1")[None, :] for x in (a, b, other)]
+        width = min(x.shape[1] for x in found)
+        found = [folded(x, width) for x in found]
+        assert most_common(found[0], found[1])[0] >= len(np.intersect1d(a, b))
+        sizes = [np.array([len(x)]) for x in (a, b, other)]
+        assert may_link(sizes[0], found[0], sizes[1], found[1], 75)[0]
+        if size == 300:
+            assert not may_link(sizes[0], found[0], sizes[2], found[2], 75)[0]
+
+
 def test_repeats_are_removed_like_brute_force(docs, empty):
     from tracelake.llm.suffix_dedup import remove_repeats
 

@@ -17,6 +17,9 @@ which that leaves too many empty parts (a large family of copies, or little but
 signs its full set as well, empty parts included where it must; of two similar sets either one
 has enough parts left, and they meet there, or both sign in full, and they meet there.
 
+**Sketches.** How many members of a set fall into each of some buckets bounds what two sets can
+share, so most documents that met by chance go before their sets travel.
+
 **Links.** A group of sets with one signature is never turned into all its pairs. Its smallest
 document is the hub and each member is compared exactly with one hub; the components of the
 links so found are contracted. Groups that still hold several components are compared in
@@ -43,7 +46,7 @@ from pyspark.sql.types import IntegralType
 from tracelake.llm.common import arrow_rows, durable, mix, parts, text_bytes
 from tracelake.llm.components import components, hot_join, hot_limit
 from tracelake.llm.packed import BLOB, blobs, columns, firsts, regroup, squeezed, unsqueezed, within
-from tracelake.llm.shingles import set_hashes, shingle_sets
+from tracelake.llm.shingles import folded, most_common, set_hashes, shingle_sets, sketches
 
 #: Rows of ids that a broadcast may hold (about 60 MB in a JVM); beyond, Spark shuffles both sides.
 BROADCAST_IDS = 1_000_000
@@ -156,16 +159,67 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and two hashes of each row's set."""
+    """doc_id, n_shingles, two hashes and a sketch of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in arrow_rows(whole, BATCH):
                 values, bounds = shingle_sets(*text_bytes(batch.column(1)), words)
                 hashes = [pa.array(set_hashes(values, bounds, salt).astype(np.int64)) for salt in (11, 12)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *hashes], ["doc_id", "n_shingles", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), *hashes, pa.array(sketches(values, bounds), pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sketch binary")
+
+
+def may_link(size_a: np.ndarray, a: np.ndarray, size_b: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets can be similar, by what their sketches (rows) leave possible."""
+    most = np.minimum(most_common(a, b), np.minimum(size_a, size_b))
+    return 100 * most >= percent * (size_a + size_b - most)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+
+def plausible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The rows (doc_id, hub, task, size and sketch of either) whose sets can be similar; (doc_id, hub, task)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(c).to_numpy() for c in ("n_shingles", "hub_shingles")]
+            raw = [batch.column(c).to_pylist() for c in ("sketch", "hub_sketch")]
+            width = [np.array([len(x) for x in r]) for r in raw]
+            keep = np.zeros(batch.num_rows, bool)
+            for wide in np.unique(np.stack(width), axis=1).T.tolist():
+                some = np.flatnonzero((width[0] == wide[0]) & (width[1] == wide[1]))
+                a, b = (folded(np.frombuffer(b"".join(r[i] for i in some), "u1").reshape(len(some), w), min(wide)) for r, w in zip(raw, wide, strict=True))
+                keep[some] = may_link(sizes[0][some], a, sizes[1][some], b, percent)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("doc_id", "hub", "task")], ["doc_id", "hub", "task"])
+
+    return pairs.mapInArrow(run, "doc_id long, hub long, task long")
+
+
+def promising(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the documents (cell, doc_id, root, n_shingles, sketch) of each cell those that can be similar to one of another root in it; (cell, doc_id)."""
+
+    def run(key, table):
+        doc, root, size = (table[c].to_numpy() for c in ("doc_id", "root", "n_shingles"))
+        raw = table["sketch"].to_pylist()
+        width, keep = np.array([len(x) for x in raw]), np.zeros(len(doc), bool)
+        for w in np.unique(width).tolist():
+            own, more = np.flatnonzero(width == w), np.flatnonzero((width == w) | (width == 2 * w))  # of similar sets one isn't twice as large
+            sketch = np.zeros((len(more), w), "u1")
+            for wide in (w, 2 * w):
+                some = np.flatnonzero(width[more] == wide)
+                if not len(some):
+                    continue
+                sketch[some] = folded(np.frombuffer(b"".join(raw[i] for i in more[some]), "u1").reshape(len(some), wide), w)
+            for i in own.tolist():
+                other = np.flatnonzero((root[more] != root[i]) & (100 * size[more] >= percent * size[i]) & (100 * size[i] >= percent * size[more]))
+                mine = sketch[np.searchsorted(more, i)]
+                hit = more[other[may_link(size[i], mine[None, :], size[more[other]], sketch[other], percent)]]
+                keep[hit] = True
+                keep[i] |= len(hit) > 0
+        found = np.unique(doc[keep])
+        return pa.table({"cell": pa.array([key[0].as_py()] * len(found), pa.int64()), "doc_id": pa.array(found)})
+
+    return rows.groupBy("cell").applyInArrow(run, "cell long, doc_id long")
 
 
 def groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
@@ -225,8 +279,8 @@ def groups(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame
     return durable(regroup(regroup(signed, gather, BLOB), unique, BLOB))
 
 
-def homes(entries: DataFrame, many: int) -> DataFrame:
-    """(doc_id, hub, task): each document with the smallest hub of its groups (maybe itself), and which block of that hub's it is in."""
+def homes(entries: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, hub, task), and the hubs of very many: each document with the smallest hub of its groups (maybe itself), and which block of that hub's it is in."""
 
     def run(_, found) -> Iterator[pa.RecordBatch]:
         _, hub, member = columns(found, "<u8", "<i8", "<i8")
@@ -236,11 +290,12 @@ def homes(entries: DataFrame, many: int) -> DataFrame:
 
     found = durable(regroup(entries, run, "doc_id long, hub long"))
     deal = durable(found.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HUB_ROWS).alias("tasks")))
-    return durable(hot_join(found, deal.drop("n"), ["hub"], deal.where(F.col("n") > many), "inner").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), "tasks").alias("task"), "tasks"))
+    hot = deal.where(F.col("n") > many)
+    return durable(hot_join(found, deal.drop("n"), ["hub"], hot, "inner").select("doc_id", "hub", F.pmod(F.xxhash64("doc_id"), "tasks").alias("task"))), hot.select("hub")
 
 
 def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
-    """(cell, doc_id) of the groups that hold several components. ``places``: node, root, block."""
+    """(cell, doc_id, root) of the groups that hold several components. ``places``: node, root, block."""
     n = np.uint64(buckets)
 
     def label(key, table, known):
@@ -261,7 +316,7 @@ def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
         open_ = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
         one = block[starts] == block[ends - 1]
         inside = np.repeat(open_ & one, ends - starts)
-        cell, doc = [mix(block[inside].astype(np.uint64))], [member[inside]]
+        cell, doc, roots = [mix(block[inside].astype(np.uint64))], [member[inside]], [root[inside]]
         for a, b in zip(starts[open_ & ~one].tolist(), ends[open_ & ~one].tolist(), strict=True):
             cuts = [a, *(a + 1 + np.flatnonzero(block[a + 1 : b] != block[a : b - 1])).tolist(), b]
             pieces = list(zip(cuts, cuts[1:], strict=False))
@@ -272,20 +327,21 @@ def cells(entries: DataFrame, places: DataFrame, buckets: int) -> DataFrame:
                         name = mix(np.array([block[a1]]).astype(np.uint64)) + np.uint64(3) * block[a2 : a2 + 1].astype(np.uint64)
                         cell.append(np.repeat(mix(name), len(both)))
                         doc += [member[a1:b1], member[a2:b2]]
-        cell, doc = np.concatenate(cell), np.concatenate(doc)
+                        roots.append(both)
+        cell, doc, root = (np.concatenate(c) for c in (cell, doc, roots))
         order = np.lexsort((doc, cell))
         order = order[firsts(cell[order], doc[order])]
-        yield from blobs((mix(cell[order]) % n).astype(np.int32), buckets, cell[order], doc[order])
+        yield from blobs((mix(cell[order]) % n).astype(np.int32), buckets, cell[order], doc[order], root[order])
 
     def unique(_, found) -> Iterator[pa.RecordBatch]:
-        cell, doc = columns(found, "<i8", "<i8")
+        cell, doc, root = columns(found, "<i8", "<i8", "<i8")
         order = np.lexsort((doc, cell))
         order = order[firsts(cell[order], doc[order])]
-        yield pa.RecordBatch.from_arrays([pa.array(cell[order]), pa.array(doc[order])], ["cell", "doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(c[order]) for c in (cell, doc, root)], ["cell", "doc_id", "root"])
 
     known = places.select("node", "root", "block", F.lit(None).cast("int").alias("bucket")).mapInArrow(lambda it: (_with_bucket(b, n) for b in it), "node long, root long, block long, bucket int")
     labelled = entries.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(label, BLOB)
-    return regroup(regroup(labelled, pick, BLOB), unique, "cell long, doc_id long")
+    return regroup(regroup(labelled, pick, BLOB), unique, "cell long, doc_id long, root long")
 
 
 def _with_bucket(batch: pa.RecordBatch, n: np.uint64) -> pa.RecordBatch:
@@ -380,7 +436,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key:
     linked, alone = table.where("n_shingles > 0 and doc_id is not null"), table.where("n_shingles = 0 or doc_id is null")
     classes = durable(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     large = classes.where(F.col("copies") > many)
-    own = durable(hot_join(linked.select("doc_id", "n_shingles", "h1", "h2"), classes, ["h1", "h2"], large, "inner").select("doc_id", "n_shingles", "rep"))
+    own = durable(hot_join(linked.select("doc_id", "n_shingles", "sketch", "h1", "h2"), classes, ["h1", "h2"], large, "inner").select("doc_id", "n_shingles", "sketch", "rep"))
     # Documents of which every row is a copy of an earlier one are left out; a repeated key ties its classes together.
     copies = durable(own.groupBy("doc_id").agg(F.max("rep").alias("most")).where("most < doc_id").select("doc_id"))
     usable = _by_id(docs.where("doc_id is not null"), copies, "left_anti")
@@ -389,15 +445,18 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75, key:
     ties = ties.join(repeated, "b", "left_semi").select("a", "b")
     buckets = max(4, parts(spark))
     entries = groups(usable, words, percent, buckets)
-    home = homes(entries, many)
-    members = home.where("doc_id <> hub").select(F.col("hub").alias("cell"), "task", "doc_id", "hub")
-    centres = home.where("doc_id <> hub").groupBy("hub").agg(F.max("tasks").alias("tasks"))
-    centres = centres.select(F.col("hub").alias("cell"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.col("hub").alias("doc_id"), "hub")
+    home, hot = homes(entries, many)
+    sets = own.select("doc_id", "n_shingles", "sketch")
+    hubs = sets.select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_shingles"), F.col("sketch").alias("hub_sketch"))
+    pairs = hot_join(home.where("doc_id <> hub").join(sets, "doc_id"), hubs, ["hub"], hot, "inner")
+    members = durable(plausible(pairs, percent).distinct().select(F.col("hub").alias("cell"), "task", "doc_id", "hub"))
+    centres = members.select("cell", "task").distinct().select("cell", "task", F.col("cell").alias("doc_id"), F.col("cell").alias("hub"))
     links = durable(verified(members.unionByName(centres), docs, words, percent).unionByName(ties))
     roots = durable(components(links))
     places = home.join(roots, home.doc_id == roots.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("root", "doc_id").alias("root"), F.xxhash64("hub", "task").alias("block"))
-    left = cells(entries, places, buckets).select("cell", F.lit(0).cast("long").alias("task"), "doc_id", F.lit(None).cast("long").alias("hub"))
+    left = durable(promising(cells(entries, places, buckets).join(sets, "doc_id"), percent))
+    left = left.select("cell", F.lit(0).cast("long").alias("task"), "doc_id", F.lit(None).cast("long").alias("hub"))
     links = durable(links.unionByName(verified(left, docs, words, percent)))
     roots = durable(components(links).select(F.col("node").alias("rep"), "root"))
-    out = hot_join(own, roots, ["rep"], large.select("rep"), "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+    out = hot_join(own.drop("sketch"), roots, ["rep"], large.select("rep"), "left").select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     return out.unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

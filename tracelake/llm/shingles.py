@@ -62,3 +62,26 @@ def set_hashes(values: np.ndarray, offsets: np.ndarray, salt: int) -> np.ndarray
     np.cumsum(mix(values + np.uint64(salt)), out=sums[1:])
     size = np.diff(offsets)
     return np.where(size > 0, mix(sums[offsets[1:]] - sums[offsets[:-1]] + size.astype(np.uint64) * np.uint64(salt | 1)), 0)
+
+
+def sketches(values: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """How many members of each set fall into each of 2**k buckets (k by the set's size), a byte each; 255: that or more."""
+    mixed = mix(values + np.uint64(77))
+    out = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        k = min(max((b - a).bit_length() - 1, 5), 11)
+        count = np.bincount((mixed[a:b] >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+        out.append(np.minimum(count, 255).astype("u1").tobytes())
+    return out
+
+
+def folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches with fewer buckets."""
+    whole = sketch.reshape(len(sketch), width, -1)
+    return np.where((whole == 255).any(axis=2), 255, np.minimum(whole.sum(axis=2, dtype=np.int64), 255)).astype("u1")
+
+
+def most_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most members that two sets can share, by their sketches (rows of equal width)."""
+    least = np.minimum(a, b).astype(np.int64)
+    return np.where(least == 255, 1 << 40, least).sum(axis=-1)
