@@ -281,6 +281,30 @@ def test_quality_keeps_labels_out_of_held_out_rows(spark, docs, empty):
     assert score_quality(empty, labels).count() == 0
 
 
+def test_quality_fit_equals_brute_force(spark):
+    """The fit and the prior on a small table against plain gradient descent, and the non-negative rule."""
+    from tracelake.llm import quality as q
+
+    r = np.random.default_rng(8)
+    good, bad = r.normal(0, 1, (400, q.BASIC)), r.normal(1.5, 1, (400, q.BASIC))
+    u, p = np.vstack([good[:200], bad[:300]]).astype("<f4"), good[200:].astype("<f4")
+    frame = lambda x: spark.createDataFrame([(row.tobytes(),) for row in x], "x binary").repartition(3)
+    usual = np.full(q.BASIC, -2.0), np.full(q.BASIC, 2.0), np.full(q.BASIC, 4.0)
+    eu, ep, prior = q.expand(u, *usual), q.expand(p, *usual), 0.4
+    risk = lambda w: -prior * ep.mean(0) @ w + np.logaddexp(0, eu @ w).mean() + 0.05 / 2 * w @ w
+    slope = lambda w: -prior * ep.mean(0) + (1 / (1 + np.exp(-eu @ w))) @ eu / len(eu) + 0.05 * w
+    negative = lambda w, prior: np.logaddexp(0, eu @ w).mean() - prior * np.logaddexp(0, ep @ w).mean()
+    best = np.zeros(eu.shape[1])
+    for _ in range(4000):
+        best -= 0.2 * slope(best)
+    w = q.fit(frame(u), frame(p), prior, usual, ridge=0.05)
+    assert negative(best, prior) > 0 and abs(risk(w) - risk(best)) < 1e-5 and np.abs(w - best).max() < 0.01
+    for wrong in (0.7, 0.95):  # where the unbound fit would make the negatives' part negative
+        assert negative(q.fit(frame(u), frame(p), wrong, usual), wrong) >= 0
+    found = q.class_prior(frame(u), frame(p), w, usual)
+    assert 0.35 < found < 0.5
+
+
 def test_top_k_equals_brute_force(spark):
     from tracelake.llm.top_k import top_k
 
