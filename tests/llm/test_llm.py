@@ -80,6 +80,9 @@ def test_packing_is_gapless_and_bounded(docs, empty):
     want = sorted((p * 256, len(x[p * 256 :][:256]), zlib.crc32(x[p * 256 :][:256].tobytes())) for x in whole for p in range(-(-len(x) // 256)))
     assert sorted(zip(found["start"], found["length"], found["ids_crc32"], strict=True)) == want
     assert pack(empty, WORD_BPE).count() == 0
+    again = pack(docs, WORD_BPE, capacity=256, shard_items=40).toPandas()
+    key = ["start", "length", "ids_crc32", "offset"]
+    assert sorted(map(tuple, again[key].to_numpy())) == sorted(map(tuple, found[key].to_numpy()))
     r = np.random.default_rng(0)
     sizes = np.concatenate([[a, b, 1000 - a - b] for a, b in zip(r.integers(380, 490, 60), r.integers(250, 255, 60), strict=True)]).astype("i4")
     people = evolve(sizes, [], 1000, random.Random(1), 8, 60)
@@ -87,6 +90,19 @@ def test_packing_is_gapless_and_bounded(docs, empty):
     assert len(people[0]) <= len(evolve(sizes, [], 1000, random.Random(1), 1, 0)[0])
 
 
+def test_every_shard_is_searched(spark):
+    from tracelake.llm import packing as k
+
+    r = np.random.default_rng(1)
+    rows = [(int(i), int(x)) for i, x in enumerate(r.integers(200, 480, 360))]
+    dealt = k.deal(spark.createDataFrame(rows, "id long, length long"), 90)
+    plans = k.search(dealt, 1000, 3, 3, 3, 6)
+    report = k.improvement(plans).first()
+    assert report.shards == 4 and report.improved == 4  # best fit leaves bins that crossover fills better
+    for plan in plans.collect():
+        assert (plan.bins, plan.uneven) <= (plan.seed_bins, plan.seed_uneven)
+
+
 def test_jaccard_components_equal_brute_force(docs, empty):
     from tracelake.llm.near_dup import jaccard_components
 

@@ -93,13 +93,17 @@ def mutate(sizes: np.ndarray, bins: Bins, capacity: int, rng: random.Random) ->
     return best_fit(sizes, [i for k in out for i in order[k]], [b for k, b in enumerate(order) if k not in out], capacity)
 
 
+def settled(sizes: np.ndarray, bins: Bins, capacity: int) -> bool:
+    """Whether no packing is better: all bins are full but one."""
+    return sum(f < capacity for f in filled(sizes, bins)) <= 1 if bins else True
+
+
 def evolve(sizes: np.ndarray, people: list[Bins], capacity: int, rng: random.Random, size: int, generations: int) -> list[Bins]:
-    """The population, best first, after some generations; it stops at the lower bound."""
-    bound = -(-int(sizes.sum()) // capacity)
+    """The population, best first, after some generations."""
     every = list(range(len(sizes)))
     if not people:
         people = [best_fit(sizes, every, [], capacity)]
-    if len(people[0]) > bound:
+    if not settled(sizes, people[0], capacity):
         while len(people) < size:
             some = rng.sample(every, len(every) // 2)
             bins = best_fit(sizes, some, [], capacity)
@@ -107,7 +111,7 @@ def evolve(sizes: np.ndarray, people: list[Bins], capacity: int, rng: random.Ran
             people.append(best_fit(sizes, list(rest), bins, capacity))
     graded = sorted(((fitness(sizes, p, capacity), p) for p in people), key=lambda g: g[0])[:size]
     for _ in range(generations):
-        if graded[0][0][0] <= bound:
+        if settled(sizes, graded[0][1], capacity):
             break
         giver, taker = rng.sample(graded, 2) if len(graded) > 1 else graded * 2
         child = mutate(sizes, crossover(sizes, giver[1], taker[1], capacity, rng), capacity, rng)
@@ -134,7 +138,8 @@ def _unpacked(people: list[bytes]) -> list[Bins]:
     return out
 
 
-ISLANDS = "shard long, island int, sizes binary, people array<binary>, done boolean"
+ISLANDS = "shard long, island int, sizes binary, people array<binary>"
+_ISLANDS = pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.binary()), ("people", pa.list_(pa.binary()))])
 
 
 def _epoch(capacity: int, population: int, generations: int, epoch: int):
@@ -143,55 +148,64 @@ def _epoch(capacity: int, population: int, generations: int, epoch: int):
             for row in batch.to_pylist():
                 sizes = np.frombuffer(row["sizes"], "<i4")
                 rng = random.Random(f"{row['shard']}/{row['island']}/{epoch}")
-                people = evolve(sizes, _unpacked(row["people"] or []), capacity, rng, population, generations)
-                row |= {"people": _packed(people, len(sizes)), "done": len(people[0]) <= -(-int(sizes.sum()) // capacity)}
-                yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.binary()), ("people", pa.list_(pa.binary())), ("done", pa.bool_())]))
+                row["people"] = _packed(evolve(sizes, _unpacked(row["people"]), capacity, rng, population, generations), len(sizes))
+                yield pa.RecordBatch.from_pylist([row], schema=_ISLANDS)
 
     return run
 
 
-def assign(pieces: DataFrame, capacity: int, shard_items: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
-    """``pieces`` (id, length) with shard and bin: each shard packed by itself.
+def search(dealt: DataFrame, capacity: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+    """Per shard of ``dealt`` (id, length, shard): best (each piece's bin, packed), its bins, and the bins and unevenness that best fit alone gives."""
 
-    ``id`` is unique. Shards hold about ``shard_items`` pieces, dealt by a hash of the id, and at
-    most a few hundred more.
-    """
-    shards = max(1, -(-pieces.count() // shard_items))
-    dealt = durable(pieces.select("id", "length", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")))
-
-    # The first island of a shard starts alone, in the task that gathers it: most shards reach the lower bound by best fit.
     def gather(key, t):
-        t = t.sort_by("id")
-        sizes = t["length"].to_numpy().astype("<i4")
-        people = evolve(sizes, [], capacity, random.Random(0), 1, 0)
-        return pa.table({"shard": pa.array([key[0].as_py()]), "island": pa.array([0], pa.int32()), "sizes": pa.array([sizes.tobytes()], pa.binary()), "people": pa.array([_packed(people, len(sizes))], pa.list_(pa.binary())), "done": pa.array([len(people[0]) <= -(-int(sizes.sum()) // capacity)])})
+        sizes = t.sort_by("id")["length"].to_numpy().astype("<i4")
+        seed = _packed([best_fit(sizes, list(range(len(sizes))), [], capacity)], len(sizes))
+        return pa.Table.from_pylist([{"shard": key[0].as_py(), "island": 0, "sizes": sizes.tobytes(), "people": seed}], schema=_ISLANDS)
 
-    state = durable(dealt.groupBy("shard").applyInArrow(gather, ISLANDS))
-    done = state.where("done")
-    hard = state.where("not done").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+    seeds = durable(dealt.groupBy("shard").applyInArrow(gather, ISLANDS))
+    now = seeds.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
     for epoch in range(epochs):
-        if hard.isEmpty():
-            break
         if epoch:
-            elite = hard.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("people")[0].alias("elite"))
-            hard = hard.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.concat(F.array("elite"), "people").alias("people"), "done")
-        hard = durable(hard.repartition(parts(hard.sparkSession), "shard", "island").mapInArrow(_epoch(capacity, population, generations, epoch), ISLANDS))
+            elite = now.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("people")[0].alias("elite"))
+            now = now.join(elite, ["shard", "island"]).select("shard", "island", "sizes", F.concat(F.array("elite"), "people").alias("people"))
+        spread = now.repartition(parts(now.sparkSession), "shard", "island")
+        now = durable(spread.mapInArrow(_epoch(capacity, population, generations, epoch), ISLANDS))
 
     def grade(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n, x = fitness(np.frombuffer(row["sizes"], "<i4"), _unpacked([row["best"]])[0], capacity)
-                yield pa.RecordBatch.from_pydict({"shard": [row["shard"]], "best": pa.array([row["best"]], pa.binary()), "n": pa.array([n], pa.int64()), "x": pa.array([x])})
+                n, x = fitness(np.frombuffer(row["sizes"], "<i4"), _unpacked(row["people"][:1])[0], capacity)  # an island's best comes first
+                yield pa.RecordBatch.from_pydict({"shard": [row["shard"]], "best": pa.array([row["people"][0]], pa.binary()), "bins": pa.array([n], pa.int64()), "uneven": pa.array([x])})
 
-    best = hard.select("shard", "sizes", F.col("people")[0].alias("best"))  # an island's best comes first
-    found = best.mapInArrow(grade, "shard long, best binary, n long, x double").groupBy("shard").agg(F.min_by("best", F.struct("n", "x", "best")).alias("best"))
-    plans = done.select("shard", F.col("people")[0].alias("best")).unionByName(found)
+    graded = lambda df: df.mapInArrow(grade, "shard long, best binary, bins long, uneven double")
+    least = F.min(F.struct("bins", "uneven", "best")).alias("x")
+    best = graded(now).groupBy("shard").agg(least).select("shard", "x.best", "x.bins", "x.uneven")
+    seed = graded(seeds).select("shard", F.col("bins").alias("seed_bins"), F.col("uneven").alias("seed_uneven"))
+    return durable(best.join(seed, "shard"))
+
+
+def deal(pieces: DataFrame, shard_items: int) -> DataFrame:
+    """``pieces`` (id, length; ``id`` is unique) with a shard, by a hash of the id: about ``shard_items`` pieces each."""
+    shards = max(1, -(-pieces.count() // shard_items))
+    return durable(pieces.select("id", "length", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard")))
+
+
+def assign(pieces: DataFrame, capacity: int, shard_items: int, *effort: int) -> DataFrame:
+    """``pieces`` (id, length) with shard and bin: each shard packed by itself, by ``search`` with ``effort``."""
+    dealt = deal(pieces, shard_items)
+    plans = search(dealt, capacity, *effort)
 
     def spread(key, t, plan):
         t = t.sort_by("id")
         return pa.table({"id": t["id"], "shard": t["shard"], "bin": pa.array(np.frombuffer(plan["best"][0].as_py(), "<i4").astype(np.int64))})
 
-    return durable(dealt.groupBy("shard").cogroup(plans.groupBy("shard")).applyInArrow(spread, "id long, shard long, bin long"))
+    return durable(dealt.groupBy("shard").cogroup(plans.select("shard", "best").groupBy("shard")).applyInArrow(spread, "id long, shard long, bin long"))
+
+
+def improvement(plans: DataFrame) -> DataFrame:
+    """One row: shards, how many ``search`` packed into fewer bins than best fit, and how many into fewer or more unevenly filled ones."""
+    fewer, better = F.col("bins") < F.col("seed_bins"), F.struct("bins", "uneven") < F.struct("seed_bins", "seed_uneven")
+    return plans.agg(F.count("*").alias("shards"), F.count_if(fewer).alias("fewer_bins"), F.count_if(better).alias("improved"))
 
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -220,11 +234,12 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, key:
     return docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).mapInArrow(cut, f"doc_id {kind}, {PIECE}")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 20, settle: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, shard_items: int = 4096, islands: int = 3, epochs: int = 3, population: int = 3, generations: int = 6, settle: float = 0.97, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0).
 
-    A null or empty text is its end id alone. Null keys and repeated rows are packed like any
-    other, each row for itself. Other columns are ignored. No rows: no sequences.
+    A null or empty text is its end id alone; a text of any length is tokenised as a whole. Null keys
+    and repeated rows are packed like any other, each row for itself. Of equally good packings the one
+    of the smallest binary form counts. Other columns are ignored. No rows: no sequences.
     """
     all_pieces = durable(pieces_of(docs, tokenizer, capacity, end_id, key, text).withColumn("id", F.monotonically_increasing_id()))
     args = (capacity, shard_items, islands, epochs, population, generations)
