@@ -374,6 +374,11 @@ def test_contaminated_finds_passages_and_rewordings(spark, empty, monkeypatch):
     blocks = contaminated(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted(map(tuple, blocks)) == sorted(map(tuple, found))
     assert common([1, 2, 3, 4], [2, 9, 4]) == 2
+    named = spark.createDataFrame([(f"d{x[0]}", x[1], 1, "a") for x in rows[-2:]] + [("long", "word " * 200_000 + items[2][1], 1, "a")], "name string, body string, item_id int, coverage string")
+    texts = spark.createDataFrame([(f"i{i}", t, 5) for i, t in items], "item string, said string, doc_id int")
+    found = contaminated(named, texts, key="name", text="body", item_key="item", item_text="said").collect()
+    assert sorted((x.doc_id, x.item_id) for x in found) == [("d500", "i0"), ("d501", "i1"), ("long", "i2")]
+    assert contaminated(named, texts.limit(0), key="name", text="body", item_key="item", item_text="said").count() == 0
 
 
 def test_contaminated_equals_brute_force(spark):

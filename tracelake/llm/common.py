@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (unset: local tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or (unset, all in one machine's process) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
         at = f"{tempfile.gettempdir()}/tracelake-shared"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

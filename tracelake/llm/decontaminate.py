@@ -243,24 +243,30 @@ def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray
     return (q @ turn[:, ::-1][:, COMMON:] * idf[:, None]).astype(np.float32), df < RARE * max(1, docs.count()), df
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strict: float = STRICT, loose: float = LOOSE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, strict: float = STRICT, loose: float = LOOSE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
+) -> DataFrame:
     """(doc_id, item_id, coverage) of every document that holds a benchmark item, also reworded.
 
-    ``coverage`` is the best of the windows that hold it. Null and empty texts and items hold nothing. Rows with null ids match with a null id. Items of
-    fewer than 8 words are matched like any other. Repeated rows give repeated results.
+    ``coverage`` is the best of the windows that hold it. Null and empty texts and items hold nothing; texts
+    of any length are searched as a whole. Rows with null ids match with a null id; ids are of any type.
+    Items of fewer than 8 words are matched like any other. Repeated rows give repeated results. Other
+    columns are ignored. Without documents or without items: no rows.
     """
+    docs = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     fitted = latent_terms(docs)
-    items, blocks = benchmark.select("item_id", "text"), -(-benchmark.count() // ITEMS)
+    items, blocks = benchmark.select(benchmark[item_key].alias("item_id"), benchmark[item_text].alias("text")), -(-benchmark.count() // ITEMS)
+    item_kind = items.schema["item_id"].dataType.simpleString()
     if blocks <= 1:
-        return _search(docs, items.toArrow(), *fitted, cosine, strict, loose)
+        return _search(docs, items.toArrow(), item_kind, *fitted, cosine, strict, loose)
     dealt = durable(items.withColumn("_block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks))))
-    found = (_search(docs, dealt.where(F.col("_block") == b).select("item_id", "text").toArrow(), *fitted, cosine, strict, loose) for b in range(blocks))
+    found = (_search(docs, dealt.where(F.col("_block") == b).select("item_id", "text").toArrow(), item_kind, *fitted, cosine, strict, loose) for b in range(blocks))
     return reduce(DataFrame.unionByName, found)
 
 
-def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarray, df: np.ndarray, cosine: float, strict: float, loose: float) -> DataFrame:
+def _search(docs: DataFrame, items: pa.Table, item_kind: str, latent: np.ndarray, rare: np.ndarray, df: np.ndarray, cosine: float, strict: float, loose: float) -> DataFrame:
     """``contaminated`` for one block of items."""
-    kind = dict(docs.dtypes)["doc_id"]
+    kind, item_type = docs.schema["doc_id"].dataType.simpleString(), items.schema.field("item_id").type
     data, offsets = text_bytes(items["text"])
     rows, hashes, term = terms_of(data, offsets)
     item_words = [hashes[rows == i].tolist() for i in range(items.num_rows)]
@@ -299,9 +305,9 @@ def _search(docs: DataFrame, items: pa.Table, latent: np.ndarray, rare: np.ndarr
                         out.append((r, names[item], best))
                 if out:
                     r, item, covered = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r, pa.int64())), pa.array(item, pa.int64()), pa.array(covered, pa.float64())], ["doc_id", "item_id", "coverage"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r, pa.int64())), pa.array(item, item_type), pa.array(covered, pa.float64())], ["doc_id", "item_id", "coverage"])
 
-    return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id long, coverage double")
+    return docs.select("doc_id", "text").mapInArrow(search, f"doc_id {kind}, item_id {item_kind}, coverage double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str) -> DataFrame:
