@@ -66,6 +66,9 @@ def test_token_counts_equal_the_library(docs, empty):
         assert counter.prefix_counts(text) == [size(text[:i]) for i in range(len(text) + 1)]
         assert list(ids(WORD_BPE).of([text])[0]) == library.encode(text, add_special_tokens=False).ids
     assert size(counter.truncate("some words that are cut", 3)) <= 3
+    for long in ("é" * 3000 + "ß'rEx" + "日本" * 500, "don't." * 800, "<" * 400 + "a|>" * 100):  # one chunk each
+        counts = counter.prefix_counts(long)
+        assert [counts[i] for i in range(0, len(long) + 1, 97)] == [size(long[:i]) for i in range(0, len(long) + 1, 97)]
 
 
 def test_packing_is_gapless_and_bounded(docs, empty):

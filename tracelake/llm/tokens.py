@@ -20,6 +20,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -126,24 +127,43 @@ class PrefixCounter:
             return len(found) + sum(map(self.count, SPECIALS.split(text)))
         return sum(map(self.counts.__getitem__, chunks(normal(text))))
 
+    def _chunk_prefixes(self, chunk: str) -> list[int]:
+        """The tokens of chunk[:1], chunk[:2], ..., each as a text of its own.
+
+        Cutting a chunk changes no word but the last, and of that one's table each prefix has its
+        entry. Only a chunk that isn't NFC, or in which special strings may start, is cut anew for each.
+        """
+        if "<|" in chunk or chunk.endswith("<") or not (chunk.isascii() or unicodedata.is_normalized("NFC", chunk)):
+            return [self.count(chunk[:i]) for i in range(1, len(chunk) + 1)]
+        low = [normal(c) for c in chunk]
+        ends = list(accumulate(map(len, low)))  # of each character, in the lower-cased chunk
+        out, before = [], 0
+        for m in WORDS.finditer("".join(low)):
+            word, upto = m[0], m.end()
+            while len(out) < len(ends) and ends[len(out)] <= m.start():
+                out.append(before)
+            split = len(word) > 1 and word[0] == "'" and word[1].isalpha()  # of such a word a prefix is two words
+            s = self._spell(word)
+            last, count = self.word_table(s)
+            while len(out) < len(ends) and ends[len(out)] <= upto:
+                part = word[: ends[len(out)] - m.start()]
+                if split:
+                    out.append(before + self._count_chunk(part))
+                else:
+                    out.append(before + count[self._step(s, len(part.encode()), last, END)[0]] + 1)
+            before += self.words[word]
+        return out + [before] * (len(ends) - len(out))
+
     def prefix_counts(self, text: str) -> list[int]:
         """Entry p: the tokens of text[:p] taken as a text of its own, for p = 0 .. len(text).
 
-        Each word's table is built once and serves all its prefixes. A prefix that ends
-        inside a chunk in which characters combine or special strings may start is cut into
-        words again, but its words come from the tables.
+        Each word's table is built once and serves all its prefixes.
         """
         out, base, done = [0], 0, 0
         for m in CHUNKS.finditer(text):
             out += [base] * (m.start() - done)
-            chunk, done = m[0], m.end()
-            if chunk.isascii() and chunk.isalpha():
-                s = self._spell(chunk.lower())
-                last, count = self.word_table(s)
-                out += [base + count[self._step(s, i, last, END)[0]] + 1 for i in range(1, len(s) + 1)]
-            else:
-                out += [base + self.count(chunk[:i]) for i in range(1, len(chunk) + 1)]
-            base = out[-1]
+            out += [base + n for n in self._chunk_prefixes(m[0])]
+            base, done = out[-1], m.end()
         return out + [base] * (len(text) - done)
 
     def truncate(self, text: str, budget: int) -> str:
@@ -179,8 +199,8 @@ def counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row of ``docs``: map-only, no shuffle.
 
-    Null and empty texts have 0 bytes and tokens; a null key is kept; repeated rows are counted
-    each; other columns are ignored. ``tokenizer``: path of the vocabulary file on the workers.
+    Null and empty texts have 0 bytes and tokens; texts of any length are counted whole; a null key is
+    kept; repeated rows are counted each; other columns are ignored. No rows: no rows. ``tokenizer``: path of the vocabulary file on the workers.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
