@@ -7,9 +7,14 @@ on where the one before ended; ``fold`` is the same as one SQL aggregate, for te
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.core import in_ranges
+
 ROUND = "trace_id string, round long, anchor long, first_emission long, last_emission long, climb long, end_drop long, length long, internal_pops long, internal_drop long, closed boolean, closed_strict boolean"
 
 
@@ -73,19 +78,46 @@ def events_of(entries: DataFrame) -> DataFrame:
 
 
 def rounds(events: DataFrame) -> DataFrame:
-    """A row per round. Traces are independent; a task holds one trace's events."""
-    import pandas as pd
+    """A row per round. A task takes its traces one after the other, in order, and holds no more than a batch of events."""
+    names = [f.split()[0] for f in ROUND.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, machine, out = None, None, []
+
+        def flushed() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_pylist(out, schema=SCHEMA)
+            out.clear()
+            return rows
+
+        for batch in batches:
+            for trace, kind, a, b in zip(*(batch.column(c).to_pylist() for c in ("trace_id", "kind", "a", "b")), strict=True):
+                if machine is None or trace != now:
+                    if machine:
+                        out += [{"trace_id": now} | r for r in machine.finish()]
+                    now, machine = trace, Machine()
+                out += [{"trace_id": now} | r for r in machine.feed(kind, a, b)]
+            yield flushed()
+        if machine:
+            out += [{"trace_id": now} | r for r in machine.finish()]
+        yield flushed()
+
+    ordered = events.select("trace_id", "at", "kind", "a", "b").repartition("trace_id").sortWithinPartitions("trace_id", "at")
+    return ordered.mapInArrow(run, ROUND).select(*names)
 
-    def run(key, pdf):
-        machine, out = Machine(), []
-        for kind, a, b in pdf.sort_values("at")[["kind", "a", "b"]].itertuples(index=False):
-            out += machine.feed(kind, int(a), int(b))
-        out += machine.finish()
-        names = [f.split()[0] for f in ROUND.split(", ")]
-        frame = pd.DataFrame([{"trace_id": key[0]} | r for r in out], columns=names)
-        return frame.astype({c: "Int64" for c in ("climb", "end_drop", "length")})
 
-    return events.select("trace_id", "at", "kind", "a", "b").groupBy("trace_id").applyInPandas(run, ROUND)
+SCHEMA = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in ROUND.split(", ")])
+
+
+def lemmas_per_round(found: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Per round (trace_id, round, first_emission, last_emission, closed) the lemmas whose ``index`` it spans, in order.
+
+    ``found``: trace_id, index, strategy, conclusion, preconditions, variables, monomials (their numbers).
+    """
+    spans = ranges.select("trace_id", "round", "first_emission", "last_emission", "closed")
+    each = F.struct("index", *[F.coalesce(c, F.lit("")).alias(c) for c in ("strategy", "conclusion")], "preconditions", "variables", "monomials")
+    inside = in_ranges(found, spans, ["trace_id"], "index", "first_emission", "last_emission")
+    listed = inside.groupBy("trace_id", "round").agg(F.array_sort(F.collect_list(each)).alias("lemmas"))
+    return spans.join(listed, ["trace_id", "round"], "left")
 
 
 def round_totals(events: DataFrame, found: DataFrame) -> DataFrame:
@@ -104,23 +136,28 @@ def emission_levels(events: DataFrame) -> DataFrame:
     return events.select("trace_id", "at", "kind", F.coalesce(level, F.lit(0)).alias("level"), number.cast("long").alias("emission")).where("kind = 'N'").drop("kind")
 
 
-def productivity(entries: DataFrame, lemmas: Column | None = None) -> DataFrame:
-    """Per trace: status counts, rate of improving patches, evictions (falls only) and their yield per lemma."""
-    body = F.array_join("body", "\n")
-    p = r"sz = (\d+), m_to_refine = (\d+) (less|same|more)"
-    rows = entries.where(F.col("tag") == "nla_solver").withColumn("_t", body)
-    part = lambda i: F.regexp_extract("_t", p, i)
-    start, end, status = part(1).try_cast("long"), part(2).try_cast("long"), F.nullif(part(3), F.lit(""))
-    out = rows.groupBy("trace_id").agg(
-        *[F.count_if(status == s).alias(f"n_{s}") for s in ("less", "same", "more")],
-        F.coalesce(F.sum(F.greatest(start - end, F.lit(0))), F.lit(0)).alias("evictions"),
+#: The function whose lines tell what a patch did, and their form.
+PATCH, STATUS = "patch_monomials_on_to_refine", r"sz\s*=\s*(\d+)\s*,\s*m_to_refine\s*=\s*(\d+)\s*\(?(less|same|more)\)?"
+
+
+def productivity(entries: DataFrame) -> DataFrame:
+    """Per trace: status counts over the lines of patches, rate of improving ones, evictions (falls only) and their yield per lemma."""
+    own = entries.where(F.col("tag") == "nla_solver")
+    part = lambda x, i: F.regexp_extract(x, STATUS, i)
+    told = F.transform(F.filter("body", lambda x: x.rlike(STATUS)), lambda x: F.struct(part(x, 1).try_cast("long").alias("a"), part(x, 2).try_cast("long").alias("b"), part(x, 3).alias("s")))
+    own = own.withColumn("_t", F.when(F.col("function") == PATCH, told).otherwise(F.array().cast("array<struct<a:bigint,b:bigint,s:string>>")))
+    fell = F.aggregate("_t", F.lit(0).cast("long"), lambda n, x: n + F.greatest(x["a"] - x["b"], F.lit(0)))
+    number = lambda s: F.coalesce(F.sum(F.size(F.filter("_t", lambda x: x["s"] == s))), F.lit(0)).cast("long")
+    out = own.groupBy("trace_id").agg(
+        *[number(s).alias(f"n_{s}") for s in ("less", "same", "more")],
+        F.coalesce(F.sum(fell), F.lit(0)).alias("evictions"),
         F.count_if(F.col("function") == "~lemma_builder").alias("lemmas"),
     )
     classified = F.col("n_less") + F.col("n_same") + F.col("n_more")
-    return out.withColumn("available", classified > 0).withColumn("rate", F.try_divide("n_less", classified)).withColumn("yield", F.when(classified > 0, F.try_divide("evictions", "lemmas")))
+    return out.withColumn("available", classified > 0).withColumn("rate", F.try_divide("n_less", classified)).withColumn("yield", F.try_divide("evictions", "lemmas"))
 
 
 def productivity_notes(stats: DataFrame, rate: float = 0.35, yield_: float = 0.40) -> DataFrame:
-    """The two figures with a mark below their thresholds, "unavailable" where there is none."""
-    note = lambda c, t: F.when(F.col(c).isNull(), "unavailable").when(F.col(c) < t, "low").otherwise("ok")
+    """The two figures with a mark below their thresholds, "unavailable" where there is none or no status line was found."""
+    note = lambda c, t: F.when(~F.col("available") | F.col(c).isNull(), "unavailable").when(F.col(c) < t, "low").otherwise("ok")
     return stats.select("*", note("rate", rate).alias("rate_note"), note("yield", yield_).alias("yield_note"))

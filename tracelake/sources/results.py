@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import os
 import shlex
 from pathlib import PurePosixPath
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 REQUIRED = ("config", "seed", "status", "time_s")
 PLAN = (
     "version int, source string, source_abs string, split_predicates array<struct<name string, score double, reduces_to_false_on string, probe_ms map<string,double>>>, "
-    "leaves array<struct<valuation map<string,boolean>, file string, pruned boolean, reason string>>, results map<string,string>, implied_units map<string,boolean>"
+    "leaves array<struct<valuation map<string,boolean>, file string, pruned boolean, reason string>>, results string, implied_units map<string,boolean>, _corrupt string"
 )
 
 
@@ -64,12 +65,27 @@ def read_stats_files(spark: SparkSession, labelled: list[tuple[str, str]]) -> Da
     return out.where("result is not null or stats is not null")
 
 
+def seed_counts(runs: DataFrame, seed: str | None = "seed") -> DataFrame:
+    """Per config its number of different seeds, or (``seed`` None: a row per file) of files with statistics."""
+    n = F.countDistinct(seed) if seed else F.count_if(F.col("stats").isNotNull())
+    return runs.groupBy("config").agg(n.alias("seeds"))
+
+
+def result_summary(files: DataFrame, order: str = "path") -> DataFrame:
+    """Per label its files' results: the one they share, else each with its number, most first (then by ``order``); none is a dash."""
+    per = files.groupBy("label", "result").agg(F.count("*").alias("n"), F.min(order).alias("f")).where("result is not null")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "f", "result", "n")))
+    text = F.when(F.size(listed) == 1, listed[0]["result"]).otherwise(F.array_join(F.transform(listed, lambda x: F.concat(x["result"], F.lit("("), x["n"].cast("string"), F.lit(")"))), " "))
+    found = per.groupBy("label").agg(text.alias("results"))
+    return files.select("label").distinct().join(found, "label", "left").na.fill("—", ["results"])
+
+
 def stats_long(files: DataFrame) -> DataFrame:
     return _numbers(files.withColumnRenamed("label", "config"), F.col("stats"), "config", "path")
 
 
 def label_paths(specs: list[str]) -> list[tuple[str, str]]:
-    """NAME=GLOB and plain paths (labelled by their stems) as (label, path)."""
+    """NAME=GLOB and plain paths (labelled by their stems) as (label, path); a folder or a pattern that finds nothing is an error."""
     out = []
     for spec in specs:
         label, eq, where = spec.partition("=")
@@ -78,21 +94,25 @@ def label_paths(specs: list[str]) -> list[tuple[str, str]]:
         found = sorted(glob.glob(where if eq else spec))
         if not found:
             raise ValueError(f"no file matches {spec!r}")
+        if folders := [p for p in found if os.path.isdir(p)]:
+            raise ValueError(f"files and folders can't be mixed: {folders[0]}")
         out += [(label if eq else PurePosixPath(p).stem, p) for p in found]
     return out
 
 
 def read_plans(spark: SparkSession, root: str, most: int = 1) -> DataFrame:
-    """Every plan.json below ``root`` with its path and depth; a later version is an error."""
-    plans = spark.read.schema(PLAN).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "plan.json").json(root)
-    path = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
-    plans = plans.select("*", path.alias("path")).where("version is not null")
+    """Every plan.json below ``root`` with its path and depth; what isn't a plan is skipped, a missing version is the supported one, a later one an error."""
+    path = F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path")
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "plan.json").text(root, wholetext=True).select("value", path)
+    plans = text.select("path", F.from_json("value", PLAN, {"columnNameOfCorruptRecord": "_corrupt"}).alias("p")).select("path", "p.*").where("_corrupt is null").drop("_corrupt")
+    plans = plans.withColumn("version", F.coalesce("version", F.lit(most)))
     if not plans.where(F.col("version") > most).isEmpty():
         raise ValueError(f"a plan's version is above {most}")
     below = F.expr(f"substring(path, {len(root.rstrip('/')) + 2})")
-    empty = lambda c, t: F.coalesce(F.col(c), F.lit(None).cast(t) if t.startswith("map") else F.array().cast(t)).alias(c)
-    leaf = "array<struct<valuation map<string,boolean>, file string, pruned boolean, reason string>>"
-    return plans.withColumn("depth", F.size(F.split(below, "/")) - 1).withColumn("leaves", empty("leaves", leaf))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(plans.schema[c].dataType)).alias(c)
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("source", "source_abs")]
+    empty = F.coalesce("implied_units", F.create_map().cast("map<string,boolean>")).alias("implied_units")
+    return plans.select("version", *text, none("split_predicates"), none("leaves"), "results", empty, "path", (F.size(F.split(below, "/")) - 1).alias("depth"))
 
 
 def plan_totals(plans: DataFrame) -> DataFrame:
@@ -162,6 +182,22 @@ def sweep_rows(runs: DataFrame) -> DataFrame:
     return runs.withColumn("time_s", F.format_string("%.3f", "time_s"))
 
 
+def save_runs(runs: DataFrame, path: str) -> None:
+    """Each run's outputs, a folder per config: rows of runs without any output and error text are left out."""
+    named = runs.withColumn("name", F.concat_ws("_s", F.concat_ws(".", "split", "config"), F.col("seed").cast("string")))
+    named.where("coalesce(stdout, '') <> '' or coalesce(stderr, '') <> ''").withColumn("stats", stats_of(F.col("stdout"))).write.partitionBy("config").mode("append").parquet(path)
+
+
+def sections_json(rows: DataFrame) -> DataFrame:
+    """One object of sections, each an object of its keys; of a repeated key the last by ``nth`` counts (rows: nth, section, key, value)."""
+    last = rows.groupBy("section", "key").agg(F.max_by("value", "nth").alias("value"), F.max("nth").alias("nth"))
+    cells = F.array_sort(F.collect_list(F.struct("nth", "key", "value"))).alias("cells")
+    listed = F.array_sort(F.collect_list(F.struct("section", "cells")))
+    object_of = lambda cells: F.map_from_entries(F.transform(cells, lambda x: F.struct(x["key"], x["value"])))
+    every = F.map_from_entries(F.transform(listed, lambda s: F.struct(s["section"], object_of(s["cells"]))))
+    return last.groupBy("section").agg(cells).agg(F.to_json(every).alias("value"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
