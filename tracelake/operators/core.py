@@ -82,13 +82,39 @@ def distinct_tally(df: DataFrame, column: str, regex: str, k: int | None = None)
 
 
 def floor_quartiles(df: DataFrame, keys, value: str) -> DataFrame:
-    """n, min, q1, median, q3, max, mean by floor index of the sorted values; null values don't count."""
-    s, n = F.col("_s"), F.col("n").cast("int")
-    at = lambda i: F.coalesce(F.try_element_at(s, i + 1), F.lit(0))
+    """n, min, q1, median, q3, max, mean by floor index of the sorted values; null values don't count.
+
+    Equal values are counted first, and positions are found by running counts: no group is held in memory.
+    """
     keys = _cols(keys)
-    groups = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s"), F.avg(value).alias("_m")).withColumn("n", F.size("_s").cast("long"))
-    idx = lambda e: F.floor(e).cast("int")
-    return groups.select(*keys, "n", at(F.lit(0)).alias("min"), at(idx(n / 4)).alias("q1"), at(idx(n / 2)).alias("median"), at(idx(3 * n / 4)).alias("q3"), at(n - 1).alias("max"), F.coalesce(F.round("_m", 2), F.lit(0.0)).alias("mean"))
+    counts = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(value).alias("_c"))
+    whole = Window.partitionBy(*keys)
+    upto = F.sum("_c").over(whole.orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("n", F.sum("_c").over(whole)).withColumn("_upto", upto)
+    at = lambda i: F.coalesce(F.max(F.when((F.col("_upto") - F.col("_c") <= i) & (i < F.col("_upto")), F.col("_v"))), F.lit(0))
+    n = F.col("n")
+    places = {"min": F.lit(0), "q1": F.floor(n / 4), "median": F.floor(n / 2), "q3": F.floor(3 * n / 4), "max": n - 1}
+    mean = F.coalesce(F.round(F.try_divide(F.sum(F.col("_v") * F.col("_c")), F.sum("_c")), 2), F.lit(0.0))
+    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), *[at(i).alias(c) for c, i in places.items()], mean.alias("mean"))
+
+
+#: Positions of a key that one task numbers or adds up.
+SPAN = 1 << 16
+
+
+def running_total(df: DataFrame, key: str, at: str, value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the key's rows before each, by the integer ``at``.
+
+    Spans of positions are added up by themselves and their totals, few rows, put before one
+    another, so a key's rows are dealt over many tasks however many they are.
+    """
+    dealt = df.withColumn("_span", F.floor(F.col(at) / SPAN)).withColumn("_x", value).repartition(key, "_span")
+    before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = dealt.groupBy(key, "_span").agg(F.sum("_x").alias("_sum"))
+    spans = spans.select(key, "_span", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(key, "_span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    added = dealt.withColumn("_in", F.coalesce(F.sum("_x").over(inside), F.lit(0)))
+    return added.join(spans, [key, "_span"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_span", "_x", "_in", "_before")
 
 
 def renumbered(df: DataFrame, order, keys=(), name: str = "idx") -> DataFrame:
@@ -146,6 +172,15 @@ def in_ranges(points: DataFrame, ranges: DataFrame, keys, point: str, low: str,
     return points.withColumn("_b", F.floor(F.col(point) / width)).join(bucketed, [*keys, "_b"]).where(inside).drop("_b")
 
 
+def range_slice(points: DataFrame, ranges: DataFrame, keys, point: str, low: str, high: str, number: str, wanted: int) -> DataFrame:
+    """The points within the range of a number; an unknown number is an error that names the known ones."""
+    found = ranges.where(F.col(number) == wanted)
+    if found.isEmpty():
+        known = ", ".join(str(r[0]) for r in ranges.select(number).distinct().orderBy(number).limit(100).collect())
+        raise ValueError(f"no {number} {wanted}; there are: {known}")
+    return in_ranges(points, found, keys, point, low, high)
+
+
 # -- differences -------------------------------------------------------------------------------
 def ab_counts(df: DataFrame, keys, side: Column, n: Column | None = None) -> DataFrame:
     """Counts per key on side a (``side`` true) and b, 0 where missing, and their difference; one shuffle."""
@@ -211,13 +246,19 @@ def by_magnitude(means: DataFrame, configs: list[str], top: int | None = None, o
     return ranked if top is None else ranked.limit(top)
 
 
-def run_matrix(runs: DataFrame, seeds: list[int], config: str = "config", seed: str = "seed", status: str = "status", solved=("sat", "unsat")) -> DataFrame:
-    """A row per config: the status of each seed's first run, and how many were solved."""
-    cells = runs.groupBy(config).pivot(seed, seeds).agg(F.first(status))
+def run_matrix(runs: DataFrame, seeds: list[int], order: str, config: str = "config", seed: str = "seed", status: str = "status", solved=("sat", "unsat")) -> DataFrame:
+    """A row per config: the status of each seed's first run by ``order``, and how many runs were solved."""
+    cells = runs.groupBy(config).pivot(seed, seeds).agg(F.min_by(status, order))
     count = runs.groupBy(config).agg(F.count_if(F.col(status).isin(*solved)).alias("solved"))
     return cells.join(count, config)
 
 
+def preview(df: DataFrame, order, n: int) -> DataFrame:
+    """The first ``n`` rows by ``order``, each with how many more there are."""
+    every = df.agg(F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    return df.orderBy(*_cols(order)).limit(n).crossJoin(F.broadcast(every))
+
+
 def grid(*frames: DataFrame) -> DataFrame:
     """Every combination of rows of small parameter tables."""
     out = frames[0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Type names of patterns, what counts as a comparison, alias of a head.
@@ -124,6 +124,24 @@ def find(nodes: DataFrame, edges: DataFrame, pattern: str | Term) -> DataFrame:
     return found.select("file", "id", *[F.col(p).alias(c) for c, p in captures.items()])
 
 
+def distinct_matches(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of a file's matches the first (smallest id) of each printed text, with it."""
+    return found.join(texts, ["file", "id"]).withColumn("_r", F.row_number().over(Window.partitionBy("file", "text").orderBy("id"))).where("_r = 1").drop("_r")
+
+
+def parse_tactic(text: str) -> list[str]:
+    """NAME or (then NAME ...) as the names in order; nothing else is a tactic."""
+    tokens = re.findall(r"[()]|[^\s()]+", text)
+    if len(tokens) == 1 and tokens[0] not in "()":
+        return tokens
+    if len(tokens) < 4 or tokens[:2] != ["(", "then"] or tokens[-1] != ")":
+        raise PatternError(f"not a name or (then name ...): {text!r}")
+    names = tokens[2:-1]
+    if "(" in names or ")" in names:
+        raise PatternError(f"tactics can't be nested: {text!r}")
+    return names
+
+
 def kind_text(nodes: DataFrame) -> DataFrame:
     text = F.when(F.col("kind") == "Numeral", F.concat(F.lit("Numeral("), "num_value", F.lit(")"))).when(F.col("kind") == "Var", F.concat(F.lit("Var("), "head", F.lit(")"))).when(F.col("kind") == "Op", F.concat(F.lit("Op("), "head", F.lit(")"))).otherwise(F.col("kind"))
     return nodes.withColumn("description", text)
@@ -178,22 +196,30 @@ def candidates(nodes: DataFrame, edges: DataFrame, pattern: str | None = None, a
 
 
 def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per file: exprs, ites, divs, mods, products and quotients over an ite."""
-    over = edges.join(nodes.where("head in ('*', 'div', 'mod') and arity > 0").select("file", F.col("id").alias("parent")), ["file", "parent"])
-    over = over.join(nodes.where("head in ('ite', 'if') and arity > 0").select("file", F.col("id").alias("child")), ["file", "child"], "left_semi").groupBy("file").agg(F.countDistinct("parent").alias("over_ite"))
+    """Per file: exprs, ites, divs, mods, products and quotients over an ite, degree (variables multiplied in one product, at most) and whether it is linear."""
+    product = nodes.where("head in ('*', 'div', 'mod', '/') and arity > 0").select("file", F.col("id").alias("parent"), F.col("head").alias("of"))
+    under = edges.join(product, ["file", "parent"]).join(nodes.select("file", F.col("id").alias("child"), "head", "kind", "arity"), ["file", "child"])
+    over = under.where("of <> '/' and head in ('ite', 'if') and arity > 0").groupBy("file").agg(F.countDistinct("parent").alias("over_ite"))
+    factors = F.count_if(F.col("kind") != "Numeral")
+    each = under.groupBy("file", "parent", "of").agg(factors.alias("factors"), F.max(F.when(F.col("pos") > 0, F.col("kind") != "Numeral")).alias("by_term"))
+    degree = F.max(F.when(F.col("of") == "*", F.col("factors")))
+    curved = F.max(F.when(F.col("of") == "*", F.col("factors") > 1).otherwise(F.col("by_term")))
+    shape = each.groupBy("file").agg(degree.alias("degree"), (~curved).alias("linear"))
     n = lambda *h: F.count_if(F.col("head").isin(*h) & (F.col("arity") > 0))
     out = nodes.groupBy("file").agg(F.count("*").alias("exprs"), n("ite", "if").alias("ites"), n("div").alias("divs"), n("mod").alias("mods"))
-    return out.join(over, "file", "left").na.fill(0, ["over_ite"])
+    out = out.join(over, "file", "left").join(shape, "file", "left")
+    return out.select("file", "exprs", "ites", "divs", "mods", F.coalesce("over_ite", F.lit(0)).alias("over_ite"), F.greatest("degree", F.lit(1)).alias("degree"), F.coalesce("linear", F.lit(True)).alias("linear"))
 
 
-#: What a fall of each metric by one is worth; ``linear`` counts -1 for a linear formula.
+#: What a fall of each metric by one is worth, and what becoming linear is.
 GAIN = {"exprs": 0.1, "ites": 5.0, "degree": 3.0, "divs": 2.0, "mods": 2.0, "over_ite": 5.0, "linear": 50.0}
 
 
 def gain(before: Column, after: Column, over_ite_weight: float = GAIN["over_ite"]) -> Column:
-    """How much smaller a formula's metrics become (structs with any of ``GAIN``'s fields that ``metrics`` gives)."""
-    weights = {k: w for k, w in GAIN.items() if k not in ("degree", "linear")} | {"over_ite": over_ite_weight}
-    return sum(((before[k] - after[k]) * w for k, w in weights.items()), F.lit(0.0)).cast("double")
+    """How much smaller a formula's metrics become (structs of what ``metrics`` gives)."""
+    weights = {k: w for k, w in GAIN.items() if k != "linear"} | {"over_ite": over_ite_weight}
+    falls = sum(((before[k] - after[k]) * w for k, w in weights.items()), F.lit(0.0))
+    return (falls + F.when(after["linear"] & ~before["linear"], GAIN["linear"]).otherwise(0.0)).cast("double")
 
 
 def valuations(names: DataFrame) -> DataFrame:

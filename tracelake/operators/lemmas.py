@@ -99,18 +99,38 @@ def monomials(found: DataFrame) -> DataFrame:
     return rows.withColumn("named", named).withColumn("nth", F.row_number().over(w)).select("trace_id", "line_number", "nth", F.col("name").alias("variable"), F.col("definition").alias("expression"))
 
 
-def lemma_filter(found: DataFrame, strategies=(), min_preconditions: int = 0) -> DataFrame:
-    """Lemmas whose strategy (or its short name) holds any of the texts, with enough preconditions."""
+def lemma_sizes(found: DataFrame) -> DataFrame:
+    """Lemmas with n_preconditions, n_variables and n_monomials."""
+    key = ["trace_id", "line_number"]
+    n = variables(found).groupBy(*key).agg(F.count("*").alias("n_variables"), F.count_if(F.col("definition").contains("*")).alias("n_monomials"))
+    return found.join(n, key, "left").na.fill(0, ["n_variables", "n_monomials"]).withColumn("n_preconditions", F.size("preconditions").cast("long"))
+
+
+def lemma_filter(found: DataFrame, strategies=(), min_preconditions: int = 0, min_variables: int = 0, min_monomials: int = 0) -> DataFrame:
+    """Lemmas whose strategy holds any of the texts, whatever their case, with enough of everything."""
     if strategies:
-        s = F.lower("strategy")
-        short = F.lower(X.strategy_text(F.col("strategy")))
         hit = F.lit(False)
         for x in strategies:
-            hit |= s.contains(x.lower()) | short.contains(x.lower())
+            hit |= F.lower("strategy").contains(x.lower())
         found = found.where((F.col("strategy") != "") & hit)
+    if min_variables or min_monomials:
+        found = lemma_sizes(found).where((F.col("n_variables") >= min_variables) & (F.col("n_monomials") >= min_monomials)).select(found.columns)
     return found.where(F.size("preconditions") >= min_preconditions)
 
 
+def lemma_top(found: DataFrame, by: str, n: int | None = None) -> DataFrame:
+    """Lemmas with their sizes, the largest of ``by`` (preconditions, variables or monomials) first, in order of their lines where equal."""
+    ranked = lemma_sizes(found).orderBy(F.desc(f"n_{by}"), "trace_id", "line_number")
+    return ranked if n is None else ranked.limit(n)
+
+
+def strategy_shares(found: DataFrame) -> DataFrame:
+    """strategy, n, total, pct, most first: lemmas without a strategy aren't listed, but count in the total."""
+    counts = found.groupBy("strategy").agg(F.count("*").alias("n"), F.min("line_number").alias("first_at")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    shown = counts.where(F.coalesce("strategy", F.lit("")) != "").withColumn("pct", X.share(F.col("n"), F.col("total")))
+    return shown.orderBy(F.desc("n"), "first_at", "strategy")
+
+
 def lemma_calls(entries: DataFrame, coarse: bool = False) -> DataFrame:
     """Lemmas paired in order with varmap entries and rewritten by them: constraints, fingerprint, target.
 
@@ -121,7 +141,7 @@ def lemma_calls(entries: DataFrame, coarse: bool = False) -> DataFrame:
     pairs = fifo_pairs(lemmas(entries), maps, "trace_id", "line_number").withColumn("vm", varmap_of(F.col("r_line"))).where(F.size("vm") > 0)
     rewritten = lambda x: X.normal_space(X.resolve(x, F.col("vm")))
     items = F.transform("l_jform", lambda x: X.coarse_signature(rewritten(x)) if coarse else rewritten(x))
-    target = F.try_element_at("vm", F.col("l_target"))
+    target = F.coalesce(F.try_element_at("vm", F.col("l_target")), F.col("l_target"))  # a name that the map lacks stands for itself
     target = X.normal_space(X.resolve(target, F.col("vm")))
     target = X.coarse_signature(target) if coarse else target
     out = pairs.select("trace_id", F.col("pair_no").alias("index"), F.col("l_line_number").alias("line_number"), F.col("l_strategy_target").alias("strategy"), F.array_sort(items).alias("constraints"), target.alias("target"), F.lit(None).cast("string").alias("result"))
@@ -149,9 +169,10 @@ def calls(entries: DataFrame, prefer: str | None = None, coarse: bool = False) -
     return pool_calls(entries, coarse), "nra"
 
 
-def repeats(found: DataFrame, top: int | None = None, keys=("fingerprint",), order: str = "index", least: int = 2) -> DataFrame:
-    """Keys that occur ``least`` times or more, most first, with their first row's order value."""
-    out = found.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first_at")).where(F.col("n") >= least).orderBy(F.desc("n"), "first_at")
+def repeats(found: DataFrame, top: int | None = None, keys=("fingerprint",), order: str = "index", least: int = 2, show=()) -> DataFrame:
+    """Keys that occur ``least`` times or more, most first, with their first row's order value and its ``show`` columns."""
+    first = [F.min_by(c, order).alias(c) for c in show]
+    out = found.groupBy(*keys).agg(F.count("*").alias("n"), F.min(order).alias("first_at"), *first).where(F.col("n") >= least).orderBy(F.desc("n"), "first_at")
     return out if top is None else out.limit(top)
 
 
@@ -162,13 +183,28 @@ def repeat_summary(found: DataFrame) -> DataFrame:
     return found.agg(F.count("*").alias("total"), F.countDistinct("fingerprint").alias("unique"), F.min(size).alias("size_min"), F.median(size).alias("size_median"), F.max(size).alias("size_max")).crossJoin(results)
 
 
-def target_report(found: DataFrame, top: int | None = None, key: str = "target_fingerprint", by: str = "strategy", order: str = "line_number") -> DataFrame:
-    """Targets that recur: how often, first where, and a crosstab of strategies."""
-    per = found.where(F.col(key).isNotNull()).groupBy(key, by).agg(F.count("*").alias("_n"), F.min(order).alias("_f"))
-    out = per.groupBy(key).agg(F.sum("_n").alias("n"), F.min("_f").alias("first_at"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "_n")))).alias("strategies")).where("n > 1").orderBy(F.desc("n"), "first_at")
+#: Fixed value: the text that stands for a lemma without a target.
+NO_TARGET = "<no-target>"
+
+
+def target_report(found: DataFrame, top: int | None = None, least: int = 1, key: str = "target_fingerprint", by: str = "strategy", order: str = "line_number") -> DataFrame:
+    """Targets, most frequent first: how often, first where and as what text, and a crosstab of strategies. Lemmas without a target are one group."""
+    text = F.coalesce("target", F.lit(NO_TARGET))
+    named = found.withColumn(key, F.coalesce(F.col(key), X.fingerprint(F.array(text)))).withColumn("_text", text)
+    per = named.groupBy(key, by).agg(F.count("*").alias("_n"), F.min(F.struct(order, "_text")).alias("_f"))
+    listed = F.map_from_entries(F.array_sort(F.collect_list(F.struct(by, "_n")))).alias("strategies")
+    out = per.groupBy(key).agg(F.sum("_n").alias("n"), F.min("_f").alias("_f"), listed).where(F.col("n") >= least)
+    out = out.select(key, "n", F.col(f"_f.{order}").alias("first_at"), F.col("_f._text").alias("target"), "strategies").orderBy(F.desc("n"), "first_at")
     return out if top is None else out.limit(top)
 
 
+def target_totals(found: DataFrame) -> DataFrame:
+    """One row: total, unique_targets (those without a target are one of them) and no_target."""
+    none = F.col("target").isNull()
+    unique = F.countDistinct("target_fingerprint") + F.max(none.cast("int"))
+    return found.agg(F.count("*").alias("total"), F.coalesce(unique, F.lit(0)).cast("long").alias("unique_targets"), F.count_if(none).alias("no_target"))
+
+
 def crosstab_text(counts: Column, most: int = 4) -> Column:
     """The largest entries of a map of counts, then the sum of the rest."""
     entries = F.array_sort(F.transform(F.map_entries(counts), lambda e: F.struct((-e["value"]).alias("less"), e["key"].alias("key"))))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
-from tracelake.operators.core import ab_counts, ab_top, distinct_tally, with_tags
+from tracelake.operators.core import ab_counts, share_points, with_tags
 
 BLOCKS, CONSTANTS = r"BLK__\w+", r"\b\d{6,}\b"
 SHAPES = ("clean_linear", "ite_wrapped", "mod_div_wrapped", "mixed")
@@ -21,15 +21,31 @@ def _rows(df: DataFrame, section: str, *pairs: tuple[str, Column]) -> DataFrame:
     return one.select(F.explode(cells).alias("c")).select(F.lit(section).alias("section"), "c.key", "c.value", F.lit(None).cast("double").alias("total"))
 
 
-def _counts(df: DataFrame, section: str, key: Column, total: int | Column, k: int) -> DataFrame:
-    counts = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("line_number").alias("f")).orderBy(F.desc("n"), "f", "key").limit(k)
-    return counts.select(F.lit(section).alias("section"), "key", F.col("n").cast("double").alias("value"), (F.lit(total) if isinstance(total, int) else total).cast("double").alias("total"))
+def _counts(df: DataFrame, section: str, key: Column, k: int, shown: Column | None = None) -> DataFrame:
+    """The most frequent keys and the number of rows; ``shown``: which keys count as such."""
+    counts = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min("line_number").alias("f")).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    counts = (counts if shown is None else counts.where(shown)).orderBy(F.desc("n"), "f", "key").limit(k)
+    return counts.select(F.lit(section).alias("section"), "key", F.col("n").cast("double").alias("value"), F.col("total").cast("double").alias("total"))
+
+
+def overview(entries: DataFrame, k: int = 10, sources: int = 5) -> DataFrame:
+    """(tag, section, key, value, total) of every tag at once, in one pass: entries, distinct functions, and the most frequent sources and functions."""
+    items = F.array(F.struct(F.lit("sources").alias("section"), X.basename(F.col("source_file")).alias("key")), F.struct(F.lit("functions").alias("section"), F.col("function").alias("key")))
+    counts = entries.select("tag", "line_number", F.explode(items).alias("i")).groupBy("tag", "i.section", "i.key").agg(F.count("*").alias("n"), F.min("line_number").alias("f"))
+    whole = Window.partitionBy("tag", "section")
+    rank = F.row_number().over(whole.orderBy(F.desc("n"), "f", "key"))
+    ranked = counts.withColumn("total", F.sum("n").over(whole)).withColumn("different", F.count("*").over(whole)).withColumn("rank", rank)
+    # The first function of a tag also tells its entries and functions.
+    head = F.array(*[F.struct(F.lit("summary").alias("section"), F.lit(c).alias("key"), F.col(v).cast("double").alias("value"), F.lit(None).cast("double").alias("total")) for c, v in (("entries", "total"), ("functions", "different"))])
+    own = F.array(F.struct("section", "key", F.col("n").cast("double").alias("value"), F.col("total").cast("double").alias("total")))
+    shown = ranked.where(F.col("rank") <= F.when(F.col("section") == "sources", sources).otherwise(k))
+    rows = F.when((F.col("section") == "functions") & (F.col("rank") == 1), F.concat(head, own)).otherwise(own)
+    return shown.select("tag", F.explode(rows).alias("r")).select("tag", "r.*")
 
 
 def generic(entries: DataFrame, k: int = 10) -> DataFrame:
-    n = entries.count()
-    head = _rows(entries, "summary", ("entries", F.count("*")), ("functions", F.countDistinct("function")))
-    return head.unionByName(_counts(entries, "sources", X.basename(F.col("source_file")), n, 5)).unionByName(_counts(entries, "functions", F.col("function"), n, k))
+    """The overview of one tag's entries."""
+    return overview(entries, k).drop("tag")
 
 
 def nla_solver(entries: DataFrame, k: int = 10) -> DataFrame:
@@ -38,7 +54,7 @@ def nla_solver(entries: DataFrame, k: int = 10) -> DataFrame:
     calls = F.when(F.col("function") == "check", number(r"calls = (\d+)"))
     refine = F.when(F.col("function") == "init_to_refine", number(r"(\d+) mons? to refine"))
     head = _rows(entries, "summary", ("entries", F.count("*")), ("max_call", F.max(calls)), ("lemmas", F.count_if(F.col("function") == "~lemma_builder")), ("refine_min", F.min(refine)), ("refine_avg", F.avg(refine)), ("refine_max", F.max(refine)))
-    return head.unionByName(_counts(entries, "functions", F.col("function"), entries.count(), k))
+    return head.unionByName(_counts(entries, "functions", F.col("function"), k))
 
 
 def nra(entries: DataFrame, k: int = 10) -> DataFrame:
@@ -46,11 +62,8 @@ def nra(entries: DataFrame, k: int = 10) -> DataFrame:
     checks = entries.where("function = 'check'")
     result = F.regexp_extract(F.array_join("body", "\n"), r"nra result (l_\w+)", 1)
     head = _rows(entries, "summary", ("entries", F.count("*")), ("checks", F.count_if(F.col("function") == "check")), ("setups", F.count_if(F.col("function") == "setup_solver_poly")))
-    return head.unionByName(_counts(checks.withColumn("_r", result).where("_r <> ''"), "results", F.col("_r"), checks.count(), k)).unionByName(_counts(entries, "functions", F.col("function"), entries.count(), k))
-
-
-def _conflict_items(entries: DataFrame, column: str, regex: str) -> DataFrame:
-    return distinct_tally(entries.withColumn("_t", F.array_join("body", "\n")), "_t", regex)
+    results = _counts(checks.withColumn("_r", result), "results", F.col("_r"), k, F.col("key") != "")
+    return head.unionByName(results).unionByName(_counts(entries, "functions", F.col("function"), k))
 
 
 def premise_shapes(entries: DataFrame) -> DataFrame:
@@ -63,21 +76,22 @@ def premise_shapes(entries: DataFrame) -> DataFrame:
     return every.join(counts, "key", "left").crossJoin(F.broadcast(total)).select("nth", "key", F.coalesce("count", F.lit(0)).alias("n"), "total").orderBy("nth")
 
 
-def arith_conflict(entries: DataFrame, k: int = 10) -> DataFrame:
-    n = entries.count()
-    premises = F.size(F.filter("body", X.is_premise))
+def conflict_items(entries: DataFrame) -> DataFrame:
+    """(section, key) of what conflicts hold: each block and constant of an entry once, the shape of every premise row, one entry."""
     text = F.array_join("body", "\n")
-    head = _rows(entries, "summary", ("conflicts", F.count("*")), ("premises", F.sum(premises)))
-    parts = [head]
-    for section, regex in (("blocks", BLOCKS), ("constants", CONSTANTS)):
-        counts = distinct_tally(entries.withColumn("_t", text), "_t", regex)
-        parts.append(_rows(counts, "summary", (section, F.count("*"))))
-        parts.append(counts.orderBy(F.desc("n"), "item").limit(k).select(F.lit(section).alias("section"), F.col("item").alias("key"), F.col("n").cast("double").alias("value"), F.lit(n).cast("double").alias("total")))
-    parts.append(premise_shapes(entries).select(F.lit("shapes").alias("section"), "key", F.col("n").cast("double").alias("value"), F.col("total").cast("double").alias("total")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    pairs = lambda section, items: F.transform(items, lambda x: F.struct(F.lit(section).alias("section"), x.alias("key")))
+    found = [pairs(section, F.array_distinct(F.regexp_extract_all(text, F.lit(f"({regex})")))) for section, regex in (("blocks", BLOCKS), ("constants", CONSTANTS))]
+    found.append(pairs("shapes", F.transform(F.filter("body", X.is_premise), X.premise_shape)))
+    found.append(pairs("conflicts", F.array(F.lit("conflicts"))))
+    return entries.select(*[c for c in ("side",) if c in entries.columns], F.explode(F.concat(*found)).alias("i")).select("*", "i.section", "i.key").drop("i")
+
+
+def arith_conflict(entries: DataFrame, k: int = 10) -> DataFrame:
+    """Conflicts, premise rows, distinct blocks and constants; the most frequent of these; the shapes, zeros included."""
+    found = conflict_diff_counts(conflict_items(entries.withColumn("side", F.lit(True))))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("a"), "key")))
+    shown = ranked.where((F.col("rank") <= k) | ~F.col("section").isin("blocks", "constants"))
+    return shown.select("section", "key", F.col("a").cast("double").alias("value"), F.col("a_total").cast("double").alias("total"))
 
 
 #: tag -> analyser; add to it to analyse more tags.
@@ -91,20 +105,55 @@ def stats(entries: DataFrame, tags=None, functions=None, k: int = 10) -> dict[st
     return {t: ANALYSERS.get(t, generic)(entries.where(F.col("tag") == t), k) for t in found}
 
 
-def conflict_diff(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
-    """Blocks, constants and shapes of two logs' conflicts: section, key, a, b, delta."""
-    sides = [e.where("tag = 'arith_conflict'") for e in (a, b)]
+def conflict_diff_counts(items: DataFrame) -> DataFrame:
+    """section, key, a, b, a_total, b_total of the items of two sides: summary, blocks, constants (shares of conflicts) and shapes (of premise rows)."""
+    counts = ab_counts(items, ["section", "key"], F.col("side")).drop("delta")
+    n = lambda side, section: F.coalesce(F.sum(F.when(F.col("section") == section, F.col(side))), F.lit(0))
+    kinds = lambda side, section: F.count_if((F.col("section") == section) & (F.col(side) > 0))
+    rows = [("conflicts", "conflicts", n), ("premises", "shapes", n), ("blocks", "blocks", kinds), ("constants", "constants", kinds)]
+    totals = counts.agg(*[make(side, section).alias(f"{side}_{key}") for key, section, make in rows for side in "ab"])
+    none = F.lit(None).cast("long")
+    summary = totals.select(F.explode(F.array(*[F.struct(F.lit("summary").alias("section"), F.lit(key).alias("key"), F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), none.alias("a_total"), none.alias("b_total")) for key, _, _ in rows])).alias("r")).select("r.*")
+    every = items.sparkSession.createDataFrame([("shapes", s) for s in SHAPES], "section string, key string")
+    shapes = every.join(counts.where("section = 'shapes'"), ["section", "key"], "left").na.fill(0, ["a", "b"])
+    kept = counts.where("section in ('blocks', 'constants')").unionByName(shapes).crossJoin(F.broadcast(totals))
+    of = lambda side: F.when(F.col("section") == "shapes", F.col(f"{side}_premises")).otherwise(F.col(f"{side}_conflicts")).alias(f"{side}_total")
+    return summary.unionByName(kept.select("section", "key", "a", "b", of("a"), of("b")))
+
+
+def conflict_diff(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
+    """Two logs' conflicts: section, key, a, b, delta, a_total, b_total, points (difference of the shares) and note (the change as text).
+
+    The summary; of blocks and constants the first ``k`` of either side, by the larger count, ``k`` at most; all shapes.
+    """
+    sides = [e.where("tag = 'arith_conflict'").withColumn("side", F.lit(first)) for e, first in ((a, True), (b, False))]
     if any(s.isEmpty() for s in sides):
         raise ValueError("both logs need arith_conflict entries")
-    out = None
-    for section, regex in (("blocks", BLOCKS), ("constants", CONSTANTS)):
-        parts = [_conflict_items(s, "body", regex).select("item", "n", F.lit(i == 0).alias("side")) for i, s in enumerate(sides)]
-        found = ab_top(ab_counts(parts[0].unionByName(parts[1]), "item", F.col("side"), F.col("n")), "item", k)
-        found = found.select(F.lit(section).alias("section"), F.col("item").alias("key"), "a", "b", "delta")
-        out = found if out is None else out.unionByName(found)
-    shapes = [premise_shapes(s).select("key", "n") for s in sides]
-    both = shapes[0].withColumnRenamed("n", "a").join(shapes[1].withColumnRenamed("n", "b"), "key")
-    return out.unionByName(both.select(F.lit("shapes").alias("section"), "key", "a", "b", (F.col("b") - F.col("a")).alias("delta")))
+    found = conflict_diff_counts(conflict_items(sides[0].unionByName(sides[1])))
+    by = lambda *order: F.row_number().over(Window.partitionBy("section").orderBy(*order))
+    ranked = found.withColumn("_a", by(F.desc("a"), "key")).withColumn("_b", by(F.desc("b"), "key"))
+    ranked = ranked.where((F.col("_a") <= k) & (F.col("a") > 0) | (F.col("_b") <= k) & (F.col("b") > 0) | ~F.col("section").isin("blocks", "constants"))
+    ranked = ranked.withColumn("_r", by(F.desc(F.greatest("a", "b")), "key")).where((F.col("_r") <= k) | ~F.col("section").isin("blocks", "constants"))
+    points = share_points(F.col("a"), F.nullif("a_total", F.lit(0)), F.col("b"), F.nullif("b_total", F.lit(0)))
+    points = F.coalesce(points, X.share(F.col("b"), F.col("b_total")), -X.share(F.col("a"), F.col("a_total")), F.lit(0.0))
+    note = F.when(F.col("section") == "shapes", X.points_delta(points)).otherwise(X.count_delta(F.col("a"), F.col("b")))
+    return ranked.select("section", "key", "a", "b", (F.col("b") - F.col("a")).alias("delta"), "a_total", "b_total", F.when(F.col("section") != "summary", points).alias("points"), note.alias("note"))
+
+
+def blocked_rate(entries: DataFrame) -> DataFrame:
+    """Per trace: patches that were asked for, those blocked, and the rate (null without any)."""
+    own = entries.where("tag = 'nla_solver' and function = 'is_patch_blocked'")
+    counts = own.groupBy("trace_id").agg(F.count_if(X.is_blocked(F.array_join("body", "\n"))).alias("blocked"), F.count("*").alias("patches"))
+    return counts.withColumn("rate", F.try_divide("blocked", "patches"))
+
+
+def metric_diff(metrics: DataFrame, side: Column, k: int | None = None, least_repeats: int = 2) -> DataFrame:
+    """Counts (section, key, n) of two sides side by side, each section's largest first; rows that both sides have less than the section's least are out."""
+    counts = ab_counts(metrics, ["section", "key"], side, F.col("n"))
+    least = F.when(F.col("section") == "fingerprint", least_repeats).otherwise(1)
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc(F.greatest("a", "b")), "key"))
+    ranked = counts.where(F.greatest("a", "b") >= least).withColumn("rank", rank)
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def trace_metrics(entries: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources.trace import segment
+
 RUN = "split string, config string, seed int, status string, time_s double, stdout string, stderr string"
 GRACE_S = 2
 
@@ -73,12 +75,14 @@ def execute(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel
     return (jobs.repartition(parallel) if parallel else jobs).mapInPandas(run, RUN)
 
 
-def sweep(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel: int = 4, stop_on: set[str] = frozenset(), stop_split_on: set[str] = frozenset(), closed: dict[str, str] | None = None) -> DataFrame:
-    """All runs in waves of ``parallel``; after each wave closed splits' jobs leave, and a stop ends it.
+def sweep(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel: int | None = 4, stop_on: set[str] = frozenset(), stop_split_on: set[str] = frozenset(), closed: dict[str, str] | None = None) -> DataFrame:
+    """All runs in waves of ``parallel`` (None: as many as the cluster has slots); after each wave closed splits' jobs leave, and a stop ends it.
 
-    ``closed``: splits known to be unsat get a made-up row (time 0, seed 0, the first config).
+    ``stop_on``: statuses that end the sweep ("error" is one: fail fast). ``closed``: splits known to be
+    unsat get a made-up row (time 0, seed 0, the first config).
     """
     spark = jobs.sparkSession
+    parallel = parallel or spark.sparkContext.defaultParallelism
     todo = jobs.orderBy("split", "config", "seed").toPandas()
     first = todo["config"].min() if len(todo) else ""
     rows = [pd.DataFrame([(s, first, 0, "unsat", 0.0, "", why)], columns=[f.split()[0] for f in RUN.split(", ")]) for s, why in (closed or {}).items()]
@@ -93,6 +97,21 @@ def sweep(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel:
     return spark.createDataFrame(pd.concat(rows) if rows else pd.DataFrame(columns=[f.split()[0] for f in RUN.split(", ")]), RUN)
 
 
+def preflight(spark: SparkSession, configs: list[tuple[str, dict]], command: list[str], probe: str, timeout_s: float = 10) -> None:
+    """One short run of every config on the file ``probe``; those that end in an error are named in a ValueError."""
+    jobs = work(spark, [("preflight", probe)], configs, [0])
+    bad = execute(jobs, command, timeout_s, len(configs)).where("status = 'error'").orderBy("config").collect()
+    if bad:
+        raise ValueError("; ".join(f"config {r.config}: {(r.stderr or r.stdout).strip()[:200]}" for r in bad))
+
+
+def captured(runs: DataFrame) -> DataFrame:
+    """The entries of the logs that runs wrote to their output: capture, then analyse."""
+    name = F.concat_ws("/", "split", "config", F.col("seed").cast("string"))
+    lines = runs.select(name.alias("trace_id"), F.posexplode(F.split("stdout", "\r\n|\r|\n")).alias("at", "line"))
+    return segment(lines.select("trace_id", (F.col("at") + 1).cast("long").alias("line_number"), "line"))
+
+
 def plan_jobs(plans: DataFrame, configs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Work for every leaf of plans that has a file."""
     leaves = plans.select(F.explode("leaves").alias("l")).where("l.file is not null and not coalesce(l.pruned, false)").select(F.col("l.file").alias("split"), F.col("l.file").alias("file"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NODE = "file string, id long, head string, kind string, sort string, arity int, num_value string, depth int, root boolean"
 EDGE = "file string, parent long, pos int, child long"
 _TOKEN = re.compile(r';[^\n]*|"(?:[^"]|"")*"|\|[^|]*\||[()]|[^\s()"|;]+')
+_NUMBER = re.compile(r"-?\d+(?:\.\d+|/\d+)?|#b[01]+|#x[0-9a-fA-F]+")
 _BOOL = {"and", "or", "not", "=>", "xor", "=", "distinct", "<", "<=", ">", ">=", "true", "false"}
 
 
@@ -43,21 +46,29 @@ class Dag:
         self.nodes: list[dict] = []
         self.edges: list[tuple[int, int, int]] = []
         self.sorts: dict[str, str] = {}
+        self.macros: dict[str, tuple[list[str], object]] = {}
         for form in parse(text):
-            if form[:1] in (["declare-const"], ["declare-fun"]):
+            if form[:1] == ["define-fun"]:
+                self.macros[form[1]] = [p[0] for p in form[2]], form[4]
+            elif form[:1] == ["define-const"]:
+                self.macros[form[1]] = [], form[3]
+            elif form[:1] in (["declare-const"], ["declare-fun"]):
                 self.sorts[form[1]] = form[-1] if isinstance(form[-1], str) else " ".join(map(str, form[-1]))
             elif form[:1] == ["assert"]:
                 self.nodes[self.term(form[1], {})]["root"] = True
 
     def node(self, head: str, args: tuple[int, ...]) -> int:
+        number = not args and _NUMBER.fullmatch(head)
+        if number and ("." in head or "/" in head):  # one form for each value
+            exact = Fraction(head)
+            head = f"{exact}.0" if exact.denominator == 1 else str(exact)
         if (head, args) in self.ids:
             return self.ids[head, args]
-        number = re.fullmatch(r"-?\d+(?:\.0+)?|#b[01]+|#x[0-9a-fA-F]+", head)
         value = None
         if number:
-            value = str(int(head[2:], 2 if head[1] == "b" else 16)) if head[0] == "#" else head.split(".")[0]
+            value = str(int(head[2:], 2 if head[1] == "b" else 16) if head[0] == "#" else Fraction(head))
         if number:
-            kind, sort = "Numeral", "BitVec" if head[0] == "#" else "Real" if "." in head else "Int"
+            kind, sort = "Numeral", "BitVec" if head[0] == "#" else "Real" if "." in head or "/" in head else "Int"
         elif head in ("true", "false"):
             kind, sort = head.capitalize(), "Bool"
         elif not args:
@@ -71,8 +82,19 @@ class Dag:
         self.edges += [(i, pos, a) for pos, a in enumerate(args)]
         return i
 
+    def folded(self, head: str, args: tuple[int, ...]) -> tuple[str, tuple[int, ...]]:
+        """A negated numeral and a quotient of two of them are numerals themselves."""
+        given = [self.nodes[a] for a in args]
+        if all(x["kind"] == "Numeral" and x["head"][0] != "#" for x in given):
+            if head == "-" and len(args) == 1 and not given[0]["head"].startswith("-"):
+                return "-" + given[0]["head"], ()
+            if head == "/" and len(args) == 2 and given[1]["num_value"] != "0":
+                exact = Fraction(given[0]["num_value"]) / Fraction(given[1]["num_value"])
+                return f"{exact.numerator}/{exact.denominator}", ()
+        return head, args
+
     def term(self, form, bound: dict) -> int:
-        """A term's node; without recursion, so depth is bounded by memory only."""
+        """A term's node, definitions put in; without recursion, so depth is bounded by memory only."""
         done: list[int] = []
         work: list = [("eval", form, bound)]
         while work:
@@ -81,16 +103,25 @@ class Dag:
                 head, n = form
                 args = tuple(done[len(done) - n :])
                 del done[len(done) - n :]
-                if head == "-" and n == 1 and self.nodes[args[0]]["kind"] == "Numeral" and not self.nodes[args[0]]["head"].startswith("-"):
-                    head, args = "-" + self.nodes[args[0]]["head"], ()
-                done.append(self.node(head, args))
+                done.append(self.node(*self.folded(head, args)))
+            elif step == "macro":
+                names, body = form
+                values = done[len(done) - len(names) :]
+                del done[len(done) - len(names) :]
+                work.append(("eval", body, dict(zip(names, values, strict=True))))
             elif step == "let":
                 names, body = form
                 values = done[len(done) - len(names) :]
                 del done[len(done) - len(names) :]
                 work.append(("eval", body, scope | dict(zip(names, values, strict=True))))
+            elif isinstance(form, str) and form in self.macros and form not in scope:
+                work.append(("macro", self.macros[form], scope))
             elif isinstance(form, str):
                 done.append(scope[form] if form in scope else self.node(form, ()))
+            elif form and isinstance(form[0], str) and form[0] in self.macros:
+                names, body = self.macros[form[0]]
+                work.append(("macro", (names, body), scope))
+                work += [("eval", x, scope) for x in reversed(form[1:])]
             elif form and form[0] == "let":
                 work.append(("let", ([b[0] for b in form[1]], form[2]), scope))
                 work += [("eval", b[1], scope) for b in reversed(form[1])]
@@ -124,3 +155,20 @@ def dag_tables(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     files = files.select("file", "text")
     return files.mapInPandas(nodes, NODE), files.mapInPandas(edges, EDGE)
+
+
+def term_texts(nodes: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(file, id, text): every node printed; a text of more than ``most`` characters is cut, with ... at its end."""
+
+    def show(key, known: pa.Table, links: pa.Table) -> pa.Table:
+        below: dict[int, list] = {}
+        for parent, pos, child in sorted(zip(*(links[c].to_pylist() for c in ("parent", "pos", "child")), strict=True)):
+            below.setdefault(parent, []).append(child)
+        text: dict[int, str] = {}
+        for i, head in sorted(zip(known["id"].to_pylist(), known["head"].to_pylist(), strict=True)):  # arguments come first
+            full = f"({head} {' '.join(text[c] for c in below[i])})" if i in below else head
+            text[i] = full if len(full) <= most else full[: most - 3] + "..."
+        return pa.table({"file": pa.array([key[0].as_py()] * len(text), pa.string()), "id": pa.array(list(text), pa.int64()), "text": pa.array(list(text.values()), pa.string())})
+
+    by_file = nodes.select("file", "id", "head").groupBy("file").cogroup(edges.groupBy("file"))
+    return by_file.applyInArrow(show, "file string, id long, text string")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracelake.operators.core import running_total
+
 # Fixed values of the log format: 8 dashes, [tag], function, path:line, 9 dashes; 48 dashes close a block.
 HEADER = r"^-{8} \[([^\]]+)\] (\S+) (.+):(\d+)\s*-{9}\s*$"
 FOOTER = r"^-{48}$"
@@ -20,25 +26,44 @@ def lines_of(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     return text.select("trace_id", F.row_number().over(Window.partitionBy("trace_id").orderBy("_block", "_id")).cast("long").alias("line_number"), "line")
 
 
+def lines_from(spark: SparkSession, stream: Iterable[str], name: str = "stream", lot: int = 100_000) -> DataFrame:
+    """The lines of an open text stream or any iterable of lines, handed over in lots."""
+    schema = "trace_id string, line_number long, line string"
+    out, at, rows = spark.createDataFrame([], schema), 0, iter(stream)
+    while some := list(islice(rows, lot)):
+        out = out.unionByName(spark.createDataFrame([(name, at + i + 1, x.rstrip("\r\n")) for i, x in enumerate(some)], schema))
+        at += len(some)
+    return out
+
+
+def labelled_lines(spark: SparkSession, labelled: list[tuple[str, str]], whole: bool = True) -> DataFrame:
+    """The lines of many logs with the label of each; a label may have several."""
+    parts = [lines_of(spark, path, whole).withColumn("label", F.lit(label)) for label, path in labelled]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def segment(lines: DataFrame) -> DataFrame:
     """Entries (trace_id, entry_id, line_number, tag, function, source_file, source_line, body) of log lines.
 
     A footer ends whatever is open, so between two footers only the first header can open a block;
-    a later header-like line is body, and a block without a footer is dropped. So two window sums
-    replace the scanner's state.
+    a later header-like line is body, and a block without a footer is dropped. So the number of
+    footers before a line, a running total that is dealt over tasks, replaces the scanner's state, and
+    a block's lines are what one task holds.
     """
-    by_line = Window.partitionBy("trace_id").orderBy("line_number")
     marked = lines.select("trace_id", "line_number", "line", F.rtrim("line").rlike(FOOTER).alias("_ft"), F.col("line").rlike(HEADER).alias("_hd"))
-    seg = marked.withColumn("_seg", F.sum(F.col("_ft").cast("int")).over(by_line) - F.col("_ft").cast("int"))
+    seg = running_total(marked, "trace_id", "line_number", F.col("_ft").cast("int"), "_seg")
     block = Window.partitionBy("trace_id", "_seg")
     seg = seg.withColumn("_start", F.min(F.when(F.col("_hd") & ~F.col("_ft"), F.col("line_number"))).over(block)).withColumn("_closed", F.max(F.col("_ft").cast("int")).over(block))
     inside = seg.where("line_number >= _start and _closed = 1 and not _ft")
-    rows = inside.groupBy("trace_id", F.col("_start").alias("line_number")).agg(F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("_l"))
+    rows = inside.groupBy("trace_id", "_seg").agg(F.first("_start").alias("line_number"), F.array_sort(F.collect_list(F.struct("line_number", "line"))).alias("_l"))
     head = F.col("_l")[0]["line"]
     body = F.transform(F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), lambda x: x["line"])
     part = lambda i: F.regexp_extract(head, HEADER, i)
-    number = F.row_number().over(Window.partitionBy("trace_id").orderBy("line_number")).cast("long")
-    return rows.select("trace_id", number.alias("entry_id"), "line_number", part(1).alias("tag"), part(2).alias("function"), part(3).alias("source_file"), part(4).cast("int").alias("source_line"), body.alias("body"))
+    rows = running_total(rows, "trace_id", "_seg", F.lit(1), "_n")
+    return rows.select(
+        "trace_id", (F.col("_n") + 1).alias("entry_id"), "line_number", part(1).alias("tag"), part(2).alias("function"),
+        part(3).alias("source_file"), part(4).cast("int").alias("source_line"), body.alias("body"),
+    )
 
 
 def rendered(rows: DataFrame, order, tag: Column, function: Column, body: Column, trace: Column | None = None) -> DataFrame:
