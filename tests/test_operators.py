@@ -146,3 +146,36 @@ def test_sweep_stops_splits_and_times_out(spark):
     jobs = sweep.work(spark, [("a", "fa"), ("b", "fb")], [("c", {"x": "1"})], [0, 1])
     found = sweep.sweep(jobs, ["/bin/sh", "-c", "if [ {file} = fa ]; then echo sat; else sleep 5; fi"], timeout_s=1, parallel=1, stop_split_on={"sat"}, closed={"z": "known"})
     assert sorted((r.split, r.status) for r in found.collect()) == [("a", "sat"), ("b", "timeout"), ("b", "timeout"), ("z", "unsat")]
+
+
+def test_tactics_slices_and_checks_name_what_is_wrong(spark, tmp_path):
+    assert dag.parse_tactic("simplify") == ["simplify"] and dag.parse_tactic("(then a b)") == ["a", "b"]
+    for bad in ("", "a b", "(or-else a b)", "(then)", "(then a (then b c))"):
+        with pytest.raises(dag.PatternError):
+            dag.parse_tactic(bad)
+    ranges = spark.createDataFrame([("t", 1, 1, 2), ("t", 2, 3, 3)], "trace_id string, round int, a int, b int")
+    points = spark.createDataFrame([("t", i) for i in range(5)], "trace_id string, i int")
+    assert [r.i for r in core.range_slice(points, ranges, ["trace_id"], "i", "a", "b", "round", 1).orderBy("i").collect()] == [1, 2]
+    with pytest.raises(ValueError, match="1, 2"):
+        core.range_slice(points, ranges, ["trace_id"], "i", "a", "b", "round", 7)
+    for spec in (str(tmp_path), "=x", f"{tmp_path}/none"):
+        with pytest.raises(ValueError):
+            results.label_paths([spec])
+    with pytest.raises(ValueError, match="config bad"):
+        sweep.preflight(spark, [("good", {}), ("bad", {})], ["/bin/sh", "-c", "[ {config} = good ] && echo sat || echo no such option"], "f")
+
+
+def test_running_total_is_dealt_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(core, "SPAN", 7)
+    rows = [(k, i, (i * 37) % 11) for k in "ab" for i in range(40)]
+    found = core.running_total(spark.createDataFrame(rows, "k string, at long, x long"), "k", "at", F.col("x"), "before").collect()
+    assert len(found) == 80 and all(r.before == sum(x for k, i, x in rows if k == r.k and i < r.at) for r in found)
+    noise = [x for i in range(30) for x in block("t", f"f{i}", *["line"] * (i % 5))]
+    assert [(r.function, r.entry_id, len(r.body)) for r in entries(spark, noise).orderBy("entry_id").collect()] == [(f"f{i}", i + 1, i % 5) for i in range(30)]
+
+
+def test_runs_are_saved_by_config(spark, tmp_path):
+    runs = spark.createDataFrame([("s", "c", 1, "sat", 0.1, "sat\n(:n 4)\n", ""), ("s", "d", 2, "error", 0.1, "", "no"), ("s", "d", 3, "sat", 0.1, "", "")], sweep.RUN)
+    results.save_runs(runs, f"{tmp_path}/runs")
+    back = {r.name: r for r in spark.read.parquet(f"{tmp_path}/runs").collect()}
+    assert set(back) == {"s.c_s1", "s.d_s2"} and back["s.c_s1"].stats == {"n": "4"} and back["s.d_s2"].config == "d"

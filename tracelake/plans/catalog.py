@@ -150,12 +150,11 @@ def lemma_fingerprints(spark, sf_dir):
     return lemmas.repeats(lemmas.lemma_calls(_lemma_log(spark, sf_dir)), keys=("trace_id", "fingerprint"))
 
 
-@query("""SELECT substr(sha1('(div I' || c_nationkey || ' R7)' || chr(10)), 1, 12) AS target_fingerprint, lower(c_mktsegment) AS strategy, count(*) AS n FROM customer GROUP BY 1, 2""")
+@query("""WITH k AS (SELECT substr(sha1('(div I' || c_nationkey || ' R7)' || chr(10)), 1, 12) AS target_fingerprint, '(div I' || c_nationkey || ' R7)' AS target, lower(c_mktsegment) AS strategy FROM customer)
+SELECT target_fingerprint, strategy, count(*) AS n, target FROM k GROUP BY ALL""")
 def target_crosstab(spark, sf_dir):
-    found = lemmas.lemma_calls(_lemma_log(spark, sf_dir))
-    report = lemmas.target_report(found.withColumn("one", F.lit(1)))
-    single = found.groupBy("target_fingerprint").agg(F.count("*").alias("c"), F.max("strategy").alias("s")).where("c = 1")
-    return report.select("target_fingerprint", F.explode("strategies").alias("strategy", "n")).unionByName(single.select("target_fingerprint", F.col("s").alias("strategy"), F.col("c").alias("n")))
+    report = lemmas.target_report(lemmas.lemma_calls(_lemma_log(spark, sf_dir)))
+    return report.select("target_fingerprint", "target", F.explode("strategies").alias("strategy", "n"))
 
 
 @query("SELECT lower(c_mktsegment) AS strategy, 1::INT AS lemma_index, count(*) AS n FROM customer GROUP BY 1")
@@ -176,15 +175,45 @@ def _round_events(spark, sf_dir):
     return e.select(F.col("user_id").cast("string").alias("trace_id"), F.col("event_id").alias("at"), kind.alias("kind"), level.alias("a"), (level % 10).alias("b")).where("kind is not null")
 
 
-@query()
+#: Rounds by a recursion over each user's events: whether a round is open, its anchor and number, and what each event is to it.
+ROUNDS_SQL = """WITH RECURSIVE e AS (
+  SELECT user_id::VARCHAR AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+         CASE event_type WHEN 'click' THEN 'D' WHEN 'error' THEN 'P' WHEN 'purchase' THEN 'N' ELSE 'A' END AS kind,
+         coalesce(floor(value)::BIGINT, 0) % 50 AS a, coalesce(floor(value)::BIGINT, 0) % 50 % 10 AS b
+  FROM events WHERE event_type IN ('click', 'error', 'purchase', 'view')),
+s AS (
+  SELECT DISTINCT trace_id, 0::BIGINT AS i, 0::BIGINT AS level, 0::BIGINT AS emissions, 0::BIGINT AS round, false AS live, 0::BIGINT AS anchor, 'out' AS role, '-' AS kind, 0::BIGINT AS a, 0::BIGINT AS b FROM e
+  UNION ALL
+  SELECT e.trace_id, e.i, CASE e.kind WHEN 'D' THEN e.a WHEN 'P' THEN e.b ELSE s.level END, s.emissions + (e.kind = 'N')::BIGINT,
+         s.round + (e.kind = 'N' AND NOT s.live)::BIGINT, e.kind = 'N' OR (s.live AND NOT (e.kind = 'P' AND e.b < s.anchor)),
+         CASE WHEN e.kind = 'N' AND NOT s.live THEN s.level ELSE s.anchor END,
+         CASE WHEN e.kind = 'N' AND NOT s.live THEN 'opens' WHEN NOT s.live THEN 'out' WHEN e.kind = 'P' AND e.b < s.anchor THEN 'ends' ELSE 'in' END, e.kind, e.a, e.b
+  FROM s JOIN e ON e.trace_id = s.trace_id AND e.i = s.i + 1),
+r AS (
+  SELECT trace_id, round, max(anchor) AS anchor, max(emissions) FILTER (role = 'opens') AS first_emission, greatest(max(anchor), coalesce(max(a) FILTER (role = 'in' AND kind = 'D'), 0)) AS top,
+         count(*) FILTER (role = 'in') AS events, count(*) FILTER (role = 'in' AND kind = 'P') AS internal_pops, coalesce(sum(a) FILTER (role = 'in' AND kind = 'P'), 0)::BIGINT AS internal_drop,
+         bool_or(role = 'ends') AS ended, max(b) FILTER (role = 'ends') AS floor
+  FROM s WHERE role <> 'out' GROUP BY trace_id, round),
+t AS (SELECT trace_id, max(emissions) AS emissions FROM s GROUP BY trace_id),
+n AS (SELECT r.*, t.emissions, lead(first_emission) OVER (PARTITION BY r.trace_id ORDER BY round) AS next FROM r JOIN t USING (trace_id)),
+rounds AS (
+  SELECT trace_id, round, anchor, first_emission, coalesce(next - 1, emissions) AS last_emission, CASE WHEN ended THEN top - anchor END AS climb, CASE WHEN ended THEN anchor - floor END AS end_drop,
+         CASE WHEN ended THEN events END AS length, internal_pops, internal_drop, ended AND next IS NOT NULL AS closed, ended AS closed_strict FROM n)
+"""
+
+
+@query(ROUNDS_SQL + "SELECT * FROM rounds")
 def rounds_per_user(spark, sf_dir):
     return rounds.rounds(_round_events(spark, sf_dir))
 
 
-@query("SELECT user_id::VARCHAR AS trace_id, count(*) FILTER (event_type = 'purchase') AS emissions, count(*) FILTER (event_type = 'click') AS decisions, count(*) FILTER (event_type = 'error') AS pops, count(*) FILTER (event_type = 'view') AS conflicts, coalesce(max(coalesce(floor(value)::BIGINT, 0) % 50) FILTER (event_type = 'click'), 0) AS max_level FROM events WHERE event_type <> 'signup' GROUP BY 1")
+@query(ROUNDS_SQL + """, c AS (SELECT user_id::VARCHAR AS trace_id, count(*) FILTER (event_type = 'purchase') AS emissions, count(*) FILTER (event_type = 'click') AS decisions, count(*) FILTER (event_type = 'error') AS pops,
+count(*) FILTER (event_type = 'view') AS conflicts, coalesce(max(coalesce(floor(value)::BIGINT, 0) % 50) FILTER (event_type = 'click'), 0) AS max_level FROM events WHERE event_type <> 'signup' GROUP BY 1),
+k AS (SELECT trace_id, count(*) AS rounds, count(*) FILTER (closed) AS closed FROM rounds GROUP BY 1)
+SELECT c.*, coalesce(rounds, 0) AS rounds, coalesce(closed, 0) AS closed FROM c LEFT JOIN k USING (trace_id)""")
 def round_totals(spark, sf_dir):
     events = _round_events(spark, sf_dir)
-    return rounds.round_totals(events, rounds.rounds(events)).drop("rounds", "closed")
+    return rounds.round_totals(events, rounds.rounds(events))
 
 
 @query("""WITH e AS (SELECT user_id::VARCHAR AS trace_id, event_id AS "at", event_type, CASE event_type WHEN 'click' THEN coalesce(floor(value)::BIGINT, 0) % 50 WHEN 'error' THEN coalesce(floor(value)::BIGINT, 0) % 50 % 10 END AS lvl FROM events),
@@ -194,7 +223,7 @@ def emission_levels(spark, sf_dir):
     return rounds.emission_levels(_round_events(spark, sf_dir))
 
 
-@query()
+@query(ROUNDS_SQL + "SELECT * FROM rounds WHERE closed")
 def rounds_streamed(spark, sf_dir):
     from tracelake.streaming.rounds import streamed_rounds
 
@@ -211,9 +240,9 @@ def rounds_streamed(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT o_orderpriority, list_sort(list(o_totalprice)) AS s, count(*) AS n, avg(o_totalprice) AS m FROM orders GROUP BY 1)
-SELECT o_orderpriority, n, s[1] AS min, s[n // 4 + 1] AS q1, s[n // 2 + 1] AS median, s[3 * n // 4 + 1] AS q3, s[n] AS max FROM s""")
+SELECT o_orderpriority, n, s[1] AS min, s[n // 4 + 1] AS q1, s[n // 2 + 1] AS median, s[3 * n // 4 + 1] AS q3, s[n] AS max, round(m, 2) AS mean FROM s""")
 def floor_quartiles(spark, sf_dir):
-    return core.floor_quartiles(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice").drop("mean")
+    return core.floor_quartiles(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice")
 
 
 _HALF = "SELECT event_type, count(*) FILTER (event_id % 2 = 0) AS a, count(*) FILTER (event_id % 2 = 1) AS b, count(*) FILTER (event_id % 2 = 1) - count(*) FILTER (event_id % 2 = 0) AS delta FROM events GROUP BY 1"
@@ -331,10 +360,11 @@ def split_plan(spark, sf_dir):
     return plans.select(F.col("source_abs").alias("file"), F.try_element_at("split_predicates.name", F.lit(1)).alias("picked"), F.size("leaves").alias("leaves"))
 
 
-@query("SELECT 'functions' AS section, 'on_view' AS key, count(*)::DOUBLE AS value, count(*)::DOUBLE AS total FROM events WHERE event_type = 'view'")
+@query("""WITH g AS (SELECT event_type AS tag, count(*)::DOUBLE AS n FROM events GROUP BY 1)
+SELECT tag, 'summary' AS section, 'entries' AS key, n AS value, NULL::DOUBLE AS total FROM g UNION ALL SELECT tag, 'summary', 'functions', 1.0::DOUBLE, NULL FROM g
+UNION ALL SELECT tag, 'sources', 'table.row', n, n FROM g UNION ALL SELECT tag, 'functions', 'on_' || tag, n, n FROM g""")
 def tag_statistics(spark, sf_dir):
-    found = stats.generic(trace.segment(_event_log(spark, sf_dir)).where("tag = 'view'"))
-    return found.where("section = 'functions'")
+    return stats.overview(trace.segment(_event_log(spark, sf_dir)))
 
 
 @query("SELECT 'c' || (s_suppkey % 4) AS config, count(*) AS runs, count(*) FILTER (s_suppkey % 3 = 0) AS n_sat FROM supplier GROUP BY 1")
@@ -358,9 +388,16 @@ def number_text(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", X.number_text((F.col("o_orderkey") + 5000000).cast("string")).alias("shown"))
 
 
-@query()
+_LIT = r"'(^|[^A-Za-z0-9#_!])(-?[0-9][0-9_]*(?:\s*/\s*-?[0-9][0-9_]*)?)($|[^A-Za-z_0-9!])', '\1LIT\3', 'g'"
+
+
+@query(rf"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '#[0-9]+|[^#]+|#') AS parts FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, parts, list_filter(parts, lambda x, n: regexp_full_match(x, '#[0-9]+') AND list_position(parts, x) = n) AS ids FROM p),
+r AS (SELECT doc_id, array_to_string(list_transform(parts, lambda x: CASE WHEN list_contains(ids, x) THEN '#A' || (list_position(ids, x) - 1) ELSE x END), '') AS t FROM i),
+l AS (SELECT doc_id, regexp_replace(regexp_replace(t, {_LIT}), {_LIT}) AS t FROM r)
+SELECT doc_id, substr(sha1(array_to_string(list_sort(string_split(t, chr(10))), chr(10)) || chr(10)), 1, 12) AS fingerprint FROM l""")
 def coarse_signatures(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", X.fingerprint(F.split(X.coarse_signature(F.col("text")), "\n")).alias("fingerprint"))
+    return _t(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.fingerprint(F.split(X.coarse_signature(F.col("text")), "\n")).alias("fingerprint"))
 
 
 def queries():
@@ -369,3 +406,6 @@ def queries():
 
 def oracle_sql():
     return dict(SQL)
+
+
+from tracelake.plans import solver  # noqa: E402,F401  its queries join the registry
