@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import durable, table
+from tracelake.llm.common import durable, kept, table
 from tracelake.llm.decontaminate import drop_contaminated
 from tracelake.llm.line_dedup import drop_boilerplate
 from tracelake.llm.near_dup import jaccard_components
@@ -92,5 +92,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir))
+        docs = kept(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -126,3 +126,27 @@ def test_packing_holds_every_piece_once(stages):
         assert [(p, s) for p, s, _ in sorted(found)] == [(k, k * 4096) for k in range(len(found))]
     total = sum(r.length for r in stages[5])
     assert len(bins) <= -(-total // 4096) + 1
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    """Null texts, a null in any column, no rows; and the tables of a stage go with it."""
+    import os
+
+    import corpus_pipeline as c
+    from tracelake.llm import common
+
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    for rows in ([], [(1, None, None, None, None), (None, None, None, None, None), (2, "", "en", "s", 0), (3, "some words here", None, None, None)]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in c.STAGES:
+            found = common.kept(spark, lambda stage=stage, docs=docs: stage(spark, docs, SF))
+            ids = {r.doc_id for r in found.select("doc_id").collect()}
+            assert ids <= {r[0] for r in rows}
+            if name in ("line_dedup", "benchmark_decontamination", "best_fit_packing"):
+                assert ids == {r.doc_id for r in docs.select("doc_id").collect()}
+            if name != "best_fit_packing":
+                docs = found
+    where = f"{spark.conf.get('spark.checkpoint.dir')}/tracelake"
+    before = set(os.listdir(where))
+    common.kept(spark, lambda: common.durable(common.durable(spark.range(5))))
+    assert len(set(os.listdir(where)) - before) == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_WRITTEN: list[str] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
@@ -40,9 +44,23 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tracelake/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as a durable table; the tables that were written on the way to it are deleted."""
+    before = len(_WRITTEN)
+    result = durable(make())
+    *others, own = _WRITTEN[before:]
+    del _WRITTEN[before:]
+    _WRITTEN.append(own)
+    for path in others:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return result
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
