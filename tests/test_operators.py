@@ -179,3 +179,13 @@ def test_runs_are_saved_by_config(spark, tmp_path):
     results.save_runs(runs, f"{tmp_path}/runs")
     back = {r.name: r for r in spark.read.parquet(f"{tmp_path}/runs").collect()}
     assert set(back) == {"s.c_s1", "s.d_s2"} and back["s.c_s1"].stats == {"n": "4"} and back["s.d_s2"].config == "d"
+
+
+def test_jobs_of_plans_skip_missing_leaves(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "plan.json").write_text('{"leaves": [{"file": "x.smt2", "pruned": false}, {"file": "gone.smt2", "pruned": false}, {"file": "y.smt2", "pruned": true}]}')
+    (tmp_path / "a" / "x.smt2").write_text("(check-sat)")
+    configs, seeds = spark.createDataFrame([("c", {})], "config string, params map<string,string>"), spark.createDataFrame([(0,), (1,)], "seed int")
+    plans = results.read_plans(spark, str(tmp_path))
+    assert [(r.split, r.file, r.seed) for r in sweep.plan_jobs(plans, configs, seeds, str(tmp_path)).orderBy("seed").collect()] == [("x.smt2", f"{tmp_path}/a/x.smt2", 0), ("x.smt2", f"{tmp_path}/a/x.smt2", 1)]
+    assert sweep.plan_jobs(plans, configs, seeds).count() == 4

@@ -112,7 +112,13 @@ def captured(runs: DataFrame) -> DataFrame:
     return segment(lines.select("trace_id", (F.col("at") + 1).cast("long").alias("line_number"), "line"))
 
 
-def plan_jobs(plans: DataFrame, configs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Work for every leaf of plans that has a file."""
-    leaves = plans.select(F.explode("leaves").alias("l")).where("l.file is not null and not coalesce(l.pruned, false)").select(F.col("l.file").alias("split"), F.col("l.file").alias("file"))
+def plan_jobs(plans: DataFrame, configs: DataFrame, seeds: DataFrame, root: str | None = None) -> DataFrame:
+    """Work for every leaf of plans that has a file; with ``root``, the plans' folder, of those whose file is there."""
+    kept = F.explode(F.filter("leaves", lambda x: x["file"].isNotNull() & ~F.coalesce(x["pruned"], F.lit(False)))).alias("l")
+    leaves = plans.select(*(["path"] if root else []), kept).withColumn("split", F.col("l.file"))
+    if root:
+        there = plans.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_replace("path", "^file:/*", "/").alias("file"))
+        leaves = leaves.withColumn("file", F.concat(F.regexp_replace("path", "/[^/]*$", "/"), "split")).join(there, "file", "left_semi").select("split", "file")
+    else:
+        leaves = leaves.select("split", F.col("split").alias("file"))
     return leaves.crossJoin(configs).crossJoin(seeds)
