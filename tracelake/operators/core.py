@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def _cols(names) -> list[str]:
@@ -103,12 +104,12 @@ SPAN = 1 << 16
 
 
 def running_total(df: DataFrame, key: str, at: str, value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the key's rows before each, by the integer ``at``.
+    """``df`` with the sum of ``value`` over the key's rows before each, by the integer ``at`` (nulls first); rows without a key are dropped.
 
     Spans of positions are added up by themselves and their totals, few rows, put before one
     another, so a key's rows are dealt over many tasks however many they are.
     """
-    dealt = df.withColumn("_span", F.floor(F.col(at) / SPAN)).withColumn("_x", value).repartition(key, "_span")
+    dealt = df.withColumn("_span", F.coalesce(F.floor(F.col(at) / SPAN), F.lit(-(1 << 62)))).withColumn("_x", value).repartition(key, "_span")
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     spans = dealt.groupBy(key, "_span").agg(F.sum("_x").alias("_sum"))
     spans = spans.select(key, "_span", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -117,6 +118,14 @@ def running_total(df: DataFrame, key: str, at: str, value: Column, name: str) ->
     return added.join(spans, [key, "_span"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_span", "_x", "_in", "_before")
 
 
+def _before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` before each row: dealt over spans where one column of whole numbers orders one key's rows."""
+    if len(keys) == len(order) == 1 and isinstance(df.schema[order[0]].dataType, IntegralType):
+        return running_total(df, keys[0], order[0], value, name)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
+
+
 def renumbered(df: DataFrame, order, keys=(), name: str = "idx") -> DataFrame:
     """Numbers from 1 within each key, by order."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*_cols(keys)).orderBy(*_cols(order))).cast("long"))
@@ -146,7 +155,7 @@ def fifo_pairs(left: DataFrame, right: DataFrame, keys, order) -> DataFrame:
     keys, order = _cols(keys), _cols(order)
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        df = renumbered(df, order, keys, "pair_no")
+        df = _before(df, keys, order, F.lit(1), "_b").withColumn("pair_no", F.col("_b") + 1).drop("_b")
         return df.select(*keys, "pair_no", *[F.col(c).alias(f"{tag}_{c}") for c in df.columns if c not in (*keys, "pair_no")])
 
     return side(left, "l").join(side(right, "r"), [*keys, "pair_no"])
@@ -155,8 +164,8 @@ def fifo_pairs(left: DataFrame, right: DataFrame, keys, order) -> DataFrame:
 def next_after(df: DataFrame, keys, order, opens: Column, closes: Column, value: str) -> DataFrame:
     """Each opening row with the first closing row's ``value`` before the next opening (result; null: none)."""
     keys, order = _cols(keys), _cols(order)
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = df.withColumn("_open", opens).withColumn("_close", closes & ~opens).withColumn("_g", F.sum(F.col("_open").cast("int")).over(w)).where("_g > 0")
+    marked = df.withColumn("_open", opens).withColumn("_close", closes & ~opens)
+    marked = _before(marked, keys, order, F.col("_open").cast("int"), "_g").withColumn("_g", F.col("_g") + F.col("_open").cast("int")).where("_g > 0")
     least = F.struct(*order)
     results = marked.groupBy(*keys, "_g").agg(F.min_by(F.when(F.col("_close"), F.col(value)), F.when(F.col("_close"), least)).alias("result"))
     return marked.where("_open").join(results, [*keys, "_g"]).drop("_open", "_close", "_g")

@@ -157,6 +157,13 @@ def productivity(entries: DataFrame) -> DataFrame:
     return out.withColumn("available", classified > 0).withColumn("rate", F.try_divide("n_less", classified)).withColumn("yield", F.try_divide("evictions", "lemmas"))
 
 
+def over_time(levels: DataFrame, found: DataFrame) -> DataFrame:
+    """Every emission's level with its round and whether that is closed: the points of a plot and what to shade in it."""
+    spans = found.select("trace_id", "round", "closed", "first_emission", "last_emission")
+    points = levels.select("trace_id", "emission", "level")
+    return in_ranges(points, spans, ["trace_id"], "emission", "first_emission", "last_emission").drop("first_emission", "last_emission")
+
+
 def productivity_notes(stats: DataFrame, rate: float = 0.35, yield_: float = 0.40) -> DataFrame:
     """The two figures with a mark below their thresholds, "unavailable" where there is none or no status line was found."""
     note = lambda c, t: F.when(~F.col("available") | F.col(c).isNull(), "unavailable").when(F.col(c) < t, "low").otherwise("ok")

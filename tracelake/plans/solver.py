@@ -259,6 +259,21 @@ def round_slice(spark, sf_dir):
     return core.range_slice(found, ranges, ["trace_id"], "index", "first_emission", "last_emission", "round", 2).select("trace_id", "index", "strategy")
 
 
+@query(ROUNDS_SQL + """, l AS (SELECT trace_id, emissions AS emission, level FROM s WHERE kind = 'N')
+SELECT l.trace_id, emission, level, round, closed FROM l JOIN rounds r ON l.trace_id = r.trace_id AND emission BETWEEN first_emission AND last_emission""")
+def levels_over_time(spark, sf_dir):
+    events = _round_events(spark, sf_dir)
+    return rounds.over_time(rounds.emission_levels(events), rounds.rounds(events))
+
+
+@query("SELECT (o_orderkey % 4)::INT AS seed, count(*) AS n FROM orders WHERE o_orderkey % 10 IN (0, 1, 2, 7) GROUP BY 1")
+def seed_lists(spark, sf_dir):
+    """Rows whose last digit is in a list of ranges."""
+    o = _t(spark, sf_dir, "orders")
+    wanted = o.sparkSession.createDataFrame([(x,) for x in results.seeds("0-2,7")], "d int")
+    return o.withColumn("d", (F.col("o_orderkey") % 10).cast("int")).join(F.broadcast(wanted), "d", "left_semi").groupBy((F.col("o_orderkey") % 4).cast("int").alias("seed")).agg(F.count("*").alias("n"))
+
+
 # -- runs -----------------------------------------------------------------------------------------
 @query("""WITH r AS (SELECT o_orderpriority AS config, (o_orderkey % 3)::INT AS seed, arg_min(CASE o_orderstatus WHEN 'F' THEN 'sat' WHEN 'O' THEN 'unsat' ELSE 'timeout' END, o_orderkey) AS s FROM orders GROUP BY 1, 2)
 SELECT config, max(s) FILTER (seed = 0) AS "0", max(s) FILTER (seed = 1) AS "1", max(s) FILTER (seed = 2) AS "2", (SELECT count(*) FROM orders WHERE o_orderpriority = config AND o_orderstatus IN ('F', 'O')) AS solved FROM r GROUP BY 1""")
