@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.sources.results import scratch
 from tracelake.sources.trace import segment
 
 RUN = "split string, config string, seed int, status string, time_s double, stdout string, stderr string"
@@ -81,20 +82,21 @@ def sweep(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel:
     ``stop_on``: statuses that end the sweep ("error" is one: fail fast). ``closed``: splits known to be
     unsat get a made-up row (time 0, seed 0, the first config).
     """
-    spark = jobs.sparkSession
+    spark, at = jobs.sparkSession, scratch(jobs.sparkSession)
     parallel = parallel or spark.sparkContext.defaultParallelism
-    todo = jobs.orderBy("split", "config", "seed").toPandas()
-    first = todo["config"].min() if len(todo) else ""
-    rows = [pd.DataFrame([(s, first, 0, "unsat", 0.0, "", why)], columns=[f.split()[0] for f in RUN.split(", ")]) for s, why in (closed or {}).items()]
-    done: set = set(closed or {})
-    while len(todo := todo[~todo["split"].isin(done)]):
-        wave, todo = todo.head(parallel), todo.iloc[parallel:]
-        found = execute(spark.createDataFrame(wave, jobs.schema), command, timeout_s, parallel).toPandas()
-        rows.append(found)
-        done |= set(found[found["status"].isin(stop_split_on)]["split"])
-        if found["status"].isin(stop_on).any():
+    todo = [r.asDict() for r in jobs.orderBy("split", "config", "seed").collect()]
+    first = min((j["config"] for j in todo), default="")
+    made_up = spark.createDataFrame([(s, first, 0, "unsat", 0.0, "", why) for s, why in (closed or {}).items()], RUN)
+    done, waves = set(closed or {}), []
+    while todo := [j for j in todo if j["split"] not in done]:
+        wave, todo = todo[:parallel], todo[parallel:]
+        waves.append(f"{at}/wave-{len(waves)}")
+        execute(spark.createDataFrame(wave, jobs.schema), command, timeout_s, parallel).write.parquet(waves[-1])
+        ended = spark.read.schema(RUN).parquet(waves[-1]).select("split", "status").collect()  # outputs stay where they are
+        done |= {r.split for r in ended if r.status in stop_split_on}
+        if any(r.status in stop_on for r in ended):
             break
-    return spark.createDataFrame(pd.concat(rows) if rows else pd.DataFrame(columns=[f.split()[0] for f in RUN.split(", ")]), RUN)
+    return made_up.unionByName(spark.read.schema(RUN).parquet(*waves)) if waves else made_up
 
 
 def preflight(spark: SparkSession, configs: list[tuple[str, dict]], command: list[str], probe: str, timeout_s: float = 10) -> None:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -16,8 +14,7 @@ from tracelake.sources import results, smt2, trace
 
 
 def _folder(spark):
-    """A new folder below the one that all executors share (unset: a temporary one)."""
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/tracelake/{uuid.uuid4().hex}".removeprefix("file:")
+    at = results.scratch(spark).removeprefix("file:")
     os.makedirs(at)
     return at
 

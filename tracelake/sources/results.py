@@ -5,6 +5,8 @@ from __future__ import annotations
 import glob
 import os
 import shlex
+import tempfile
+import uuid
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,14 @@ PLAN = (
 )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path below the one that all executors share (unset, in one process: a temporary one)."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: executors need a folder that all of them share")
+    return f"{(at or tempfile.gettempdir()).rstrip('/')}/tracelake/{uuid.uuid4().hex}"
+
+
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:
     """Runs of a sweep table; a blank split is none; missing columns are an error."""
     df = spark.read.csv(path, header=True)
