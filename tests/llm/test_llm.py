@@ -106,7 +106,14 @@ def test_every_shard_is_searched(spark):
         assert (plan.bins, plan.uneven) <= (plan.seed_bins, plan.seed_uneven)
 
 
-def test_jaccard_components_equal_brute_force(docs, empty):
+@pytest.fixture(scope="module")
+def classes(docs):
+    from tracelake.llm.near_dup import jaccard_components
+
+    return jaccard_components(docs).collect()
+
+
+def test_jaccard_components_equal_brute_force(docs, empty, classes):
     from tracelake.llm.near_dup import jaccard_components
 
     sets = []
@@ -130,15 +137,15 @@ def test_jaccard_components_equal_brute_force(docs, empty):
         if name is not None:
             least[root(i)] = min(least.get(root(i), name), name)
     want = sorted((-1 if n is None else n, len(s), -1 if n is None else least[root(i)]) for i, (n, s) in enumerate(zip(names, sets, strict=True)))
-    got = jaccard_components(docs).collect()
+    got = classes
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == want
     assert jaccard_components(empty).count() == 0
 
 
-def test_hot_classes_are_joined_apart(spark, monkeypatch, docs):
+def test_hot_classes_are_joined_apart(spark, monkeypatch, docs, classes):
     from tracelake.llm import components, near_dup
 
-    want = sorted(map(str, near_dup.jaccard_components(docs).collect()))
+    want = sorted(map(str, classes))
     for module in (components, near_dup):
         monkeypatch.setattr(module, "hot_limit", lambda rows: 3)
     assert sorted(map(str, near_dup.jaccard_components(docs).collect())) == want
@@ -270,7 +277,7 @@ def test_language_model_equals_brute_force_however_it_is_spread(docs, monkeypatc
     want = sorted((-1 if n is None else n, len(ts), sum(math.log10(p(*x)) for x in pairs(ts))) for n, ts in texts)
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     found = []
-    for hot, args in ((bloom_lm.HOT, {}), (8, {"slice_bytes": 0}), (8, {"head_words": 50}), (1, {"head_words": 0, "slice_bytes": 0}), (8, {"head_words": 50, "slice_bytes": 20_000})):
+    for hot, args in ((bloom_lm.HOT, {}), (8, {"slice_bytes": 0}), (1, {"head_words": 0, "slice_bytes": 0}), (8, {"head_words": 50, "slice_bytes": 20_000})):
         monkeypatch.setattr(bloom_lm, "HOT", hot)
         found.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in score_texts(docs, rest, bits=200, **args).collect()))
         for a, b in zip(found[-1], want, strict=True):
