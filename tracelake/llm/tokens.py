@@ -22,6 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import accumulate
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,7 +34,7 @@ SPECIALS = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
 #: Characters that str.split() takes for white space and the library doesn't.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 CHUNKS = re.compile("[^\t-\r \x85\xa0  -     　]+")
-END = "</w>"
+END, STOP = "</w>", "\0"
 
 
 def normal(text: str) -> str:
@@ -55,9 +56,20 @@ class PrefixCounter:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
+        self.pairs = [tuple(p) for p in pairs]
+        self.ranks = {p: i for i, p in enumerate(self.pairs)}
+        self.made = {a + b: i for i, (a, b) in enumerate(self.pairs)}
+        if len(self.made) < len(self.pairs):
+            raise ValueError("two merges make one token")
+        self.own = _Memo(lambda t: self._merge(self._parts(t)) == [t], len(self.vocab))
         self.longest = max(len(t.removesuffix(END)) for t in self.vocab)
         self.symbols = self._symbols()
+        #: Finds the tokens that end at each place of a word and its STOP, which stands for the end of a word.
+        self.ending = ahocorasick.Automaton()
+        for token in self.vocab:
+            form = token.removesuffix(END) + STOP if token.endswith(END) else token
+            self.ending.add_word(form, (token, len(form)))
+        self.ending.make_automaton()
         self.fits: dict[tuple[str, str], bool] = {}
         self.remember = remember
         self.words = _Memo(self._count_word, 2 * remember)
@@ -88,9 +100,27 @@ class PrefixCounter:
         if (known := self.fits.get((a, b))) is None:
             if len(self.fits) >= self.remember:
                 self.fits.clear()
-            known = self.fits[a, b] = self._merge([*a, *self._parts(b)]) == [a, b]
+            known = self.fits[a, b] = self.own[a] and self.own[b] and self._apart(a, b)
         return known
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Whether no merge crosses the border between two tokens that are made as ever.
+
+        The pieces at the border are taken apart again, the one that was made last first. While
+        two pieces were neighbours, until a merge of rank ``limit`` took one of them, theirs would
+        have gone first had it a lower rank; of equal ranks the left one goes first.
+        """
+        limit = len(self.pairs)
+        while self.ranks.get((a, b), limit) >= limit:
+            of_a, of_b = self.made.get(a, -1), self.made.get(b, -1)
+            if of_a < 0 and of_b < 0:
+                return True
+            if of_a > of_b:
+                limit, a = of_a, self.pairs[of_a][1]
+            else:
+                limit, b = of_b + 1, self.pairs[of_b][0]
+        return False
+
     def _step(self, s: str, i: int, last: list[str], end: str) -> tuple[int, str]:
         """The last token of the prefix s[:i] (``end``: as a whole word) and where it starts."""
         for start in range(max(0, i - self.longest), i):
@@ -112,11 +142,16 @@ class PrefixCounter:
         return "".join(map(self.symbols.__getitem__, word.encode()))
 
     def _count_word(self, word: str) -> int:
-        s = self._spell(word)
-        if s + END in self.vocab and len(s) == 1:
-            return 1
-        last, count = self.word_table(s)
-        return count[self._step(s, len(s), last, END)[0]] + 1
+        """The recurrence along the word: of the tokens that end at each place the one that fits."""
+        s = self._spell(word) + STOP
+        last, count = [""] + [None] * len(s), [0] * (len(s) + 1)
+        for end, (token, size) in self.ending.iter(s):
+            i, start = end + 1, end + 1 - size
+            if last[i] is None and last[start] is not None and (not start or self._fit(last[start], token)):
+                last[i], count[i] = token, count[start] + 1
+        if last[-1] is None:
+            raise ValueError(f"no token ends {word!r}")
+        return count[-1]
 
     def _count_chunk(self, chunk: str) -> int:
         return sum(map(self.words.__getitem__, WORDS.findall(chunk)))
