@@ -189,3 +189,18 @@ def test_jobs_of_plans_skip_missing_leaves(spark, tmp_path):
     plans = results.read_plans(spark, str(tmp_path))
     assert [(r.split, r.file, r.seed) for r in sweep.plan_jobs(plans, configs, seeds, str(tmp_path)).orderBy("seed").collect()] == [("x.smt2", f"{tmp_path}/a/x.smt2", 0), ("x.smt2", f"{tmp_path}/a/x.smt2", 1)]
     assert sweep.plan_jobs(plans, configs, seeds).count() == 4
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    text = "".join(f"line {i}\n" for i in range(2000))
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text("one\r\n\r\nthree")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # several blocks of a file
+    try:
+        found = trace.lines_of(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.line_number, r.line) for r in found if r.trace_id.endswith("a.log")) == [(i + 1, f"line {i}") for i in range(2000)]
+    assert sorted((r.line_number, r.line) for r in found if r.trace_id.endswith("b.log")) == [(1, "one"), (2, ""), (3, "three")]
+    assert sorted(map(tuple, trace.lines_of(spark, str(tmp_path), whole=True).collect())) == sorted(map(tuple, found))

@@ -73,9 +73,9 @@ def search_inverted(spark, sf_dir):
     return core.search_lines(_doc_entries(spark, sf_dir), "[a-z] the ", invert=True).groupBy("entry_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id AS entry_id, lang AS tag FROM documents WHERE regexp_matches(text, '[0-9]{3}')")
+@query("SELECT doc_id AS entry_id, lang AS tag, text AS body FROM documents WHERE regexp_matches(text, '[0-9]{3}')")
 def search_entries(spark, sf_dir):
-    return core.search_entries(_doc_entries(spark, sf_dir), "[0-9]{3}").select("entry_id", "tag")
+    return core.search_entries(_doc_entries(spark, sf_dir), "[0-9]{3}").select("entry_id", "tag", F.array_join("body", "\n").alias("body"))
 
 
 @query(f"SELECT count(DISTINCT doc_id) AS n_entries, count(*) AS n_lines FROM ({_LINES}) WHERE regexp_matches(line, '[0-9]{{3}}')")

@@ -16,14 +16,23 @@ HEADER = r"^-{8} \[([^\]]+)\] (\S+) (.+):(\d+)\s*-{9}\s*$"
 FOOTER = r"^-{48}$"
 
 
-def lines_of(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
-    """trace_id, line_number, line. ``whole``: files that fit a row; else lines are numbered by their place in the file."""
+def lines_of(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """trace_id, line_number, line of the files at a path.
+
+    Each block of a file numbers its own lines, and the blocks' counts are put before one another, so a
+    file of any size is read by many tasks. ``whole``: a file is one row, for many small ones.
+    """
     if whole:
         text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("trace_id"), "value")
         parts = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n")
         return text.select("trace_id", F.posexplode(parts).alias("at", "line")).select("trace_id", (F.col("at") + 1).cast("long").alias("line_number"), "line")
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
-    return text.select("trace_id", F.row_number().over(Window.partitionBy("trace_id").orderBy("_block", "_id")).cast("long").alias("line_number"), "line")
+    block = F.col("_metadata.file_block_start").alias("_block")
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("trace_id"), block, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("line"))
+    before = Window.partitionBy("trace_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = text.groupBy("trace_id", "_block").agg(F.count("*").alias("_n"))
+    blocks = blocks.select("trace_id", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("trace_id", "_block").orderBy("_id"))
+    return text.withColumn("_in", inside).join(blocks, ["trace_id", "_block"]).select("trace_id", (F.col("_before") + F.col("_in")).alias("line_number"), "line")
 
 
 def lines_from(spark: SparkSession, stream: Iterable[str], name: str = "stream", lot: int = 100_000) -> DataFrame:
@@ -36,7 +45,7 @@ def lines_from(spark: SparkSession, stream: Iterable[str], name: str = "stream",
     return out
 
 
-def labelled_lines(spark: SparkSession, labelled: list[tuple[str, str]], whole: bool = True) -> DataFrame:
+def labelled_lines(spark: SparkSession, labelled: list[tuple[str, str]], whole: bool = False) -> DataFrame:
     """The lines of many logs with the label of each; a label may have several."""
     parts = [lines_of(spark, path, whole).withColumn("label", F.lit(label)) for label, path in labelled]
     return reduce(DataFrame.unionByName, parts)
