@@ -25,9 +25,10 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame,
     ``hot``: those keys (``hot_limit`` bounds their number). Their rows of ``right`` are broadcast, and their
     rows of ``left`` stay where they are; all others are shuffled.
     """
-    hot = durable(hot.select(*keys))
+    hot = hot.select(*keys)
     if hot.isEmpty():
         return left.join(right, keys, how)
+    hot = durable(hot)
     few = F.broadcast(hot)
     mine = left.join(F.broadcast(right.join(few, keys, "left_semi")), keys, "inner")
     rest = left.join(few, keys, "left_anti").join(right, keys, how)
