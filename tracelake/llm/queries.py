@@ -73,7 +73,31 @@ def op9_benchmark_decontamination(spark, sf_dir):
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op9_benchmark_decontamination, op10_bloom_lm_score, op5_suffix_dedup, op1_line_dedup, op2_preference_format, op3_best_fit_packing, op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join]
+def op11_toxicity(spark, sf_dir):
+    from tracelake.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark, sf_dir):
+    from tracelake.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark, sf_dir):
+    from tracelake.llm.fill_middle import fill_in_middle, restored
+
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    texts = digest(F.col("output")).alias("output_sha256"), digest(restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *texts)
+
+
+QUERIES = [
+    op9_benchmark_decontamination, op10_bloom_lm_score, op5_suffix_dedup, op1_line_dedup, op2_preference_format, op3_best_fit_packing,
+    op4_quality_classifier, op6_exact_top_k, op7_token_counts, op8_ngram_jaccard_join, op11_toxicity, op12_collocations, op13_fill_in_middle,
+]
 
 
 def queries():
@@ -81,6 +105,9 @@ def queries():
 
 
 def oracle_sql():
-    from tracelake.llm import line_dedup, preference, top_k
+    from tracelake.llm import collocations, fill_middle, line_dedup, preference, top_k
 
-    return {"op1_line_dedup": line_dedup.SQL, "op2_preference_format": preference.SQL, "op6_exact_top_k": top_k.SQL}
+    return {
+        "op1_line_dedup": line_dedup.SQL, "op2_preference_format": preference.SQL, "op6_exact_top_k": top_k.SQL,
+        "op12_collocations": collocations.SQL, "op13_fill_in_middle": fill_middle.SQL,
+    }
