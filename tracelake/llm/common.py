@@ -88,6 +88,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice [start, end) of a byte array, whatever is around it.
+
+    A slice is read in blocks of eight bytes; each block is mixed together with its number, and the sum of these
+    with the slice's length. Slices of one length up to eight bytes never share a hash, and no pattern of
+    bytes makes longer ones share it (prefix polynomials modulo 2**64 are equal for words of the Thue-Morse kind at any base).
+    """
+    n = ends - starts
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    blocks = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    many = np.maximum((n + 7) >> 3, 1)
+    first = np.cumsum(many) - many
+    nth = np.arange(int(many.sum())) - np.repeat(first, many)
+    value = blocks[np.repeat(starts, many) + 8 * nth]
+    rest = np.minimum(np.repeat(n, many) - 8 * nth, 8)
+    value &= MASKS[rest]
+    mixed = mix(value + (nth + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    total = np.add.reduceat(mixed, first) if len(first) else np.zeros(0, np.uint64)
+    return mix(total + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+#: The lowest k bytes of a block.
+MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
 class Powers:
     """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
 
