@@ -1,14 +1,15 @@
 """Toxicity by a convolutional text classifier, trained in numpy (operator 11).
 
-**Network.** A word (a run of ASCII letters, digits and other than ASCII bytes, A-Z lowered) has two hashed embeddings, end
-to end, so that words which share one of them still differ. Filters of one, two and three words run over the text,
+**Network.** A word (a run of ASCII letters, digits and other than ASCII bytes, A-Z lowered) has three hashed embeddings, end
+to end: by the whole word, by its first six bytes and by its first four, so that forms of one stem resemble each other
+and words which share one row by chance still differ. Filters of one, two and three words run over the text,
 each keeps its largest response (max pooling), and a logistic unit adds these up. Only the places of the
 largest responses have a gradient, so a step costs little more than the forward pass.
 
 **Training** uses a bounded sample of the labelled rows (``sample``, by a hash of the key, in its expected number). One half of it gives each
 embedding row its first component: the smoothed log odds of toxic texts among those that hold its words.
-The other half is dealt over ``SHARDS`` shards; in each round every shard goes once through its texts from the
-same weights (Adagrad, lots of 32 texts), and the weights are averaged. A shard is read in one order, so
+The other half is dealt over ``SHARDS`` shards; in each round every shard goes through its texts from the
+same weights (Adagrad, lots of 32 texts, ``STEPS`` lots at least), and the weights are averaged. A shard is read in one order, so
 the result doesn't depend on the cluster.
 
 **Thresholds** by language are set on labelled rows outside the sample: of each language the score from which on the F1 of toxic
@@ -30,9 +31,13 @@ from tracelake.llm.common import LOWER, arrow_rows, durable, slice_hashes, text_
 
 #: Rows and width of an embedding, words of the filters, filters of each width.
 ROWS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
+#: Bytes of a word that each of its embeddings is for.
+STEMS = (1 << 40, 6, 4)
 GAP = max(WIDTHS) - 1
-NOTHING = 2 * ROWS  # the embedding row of no word: zero
+NOTHING = len(STEMS) * ROWS  # the embedding row of no word: zero
 SHARDS, ROUNDS, LOT, RATE = 8, 5, 32, 0.05
+#: Steps of a shard in a round, at least: fewer texts are gone through more often.
+STEPS = 30
 #: Texts that all have a word's odds before any is seen; bounds of the log odds.
 SMOOTH, ODDS = 20.0, (-2.0, 5.0)
 #: Words that are looked at together, bytes of text of a batch, cells of the score and toxic rows for a language's own threshold.
@@ -43,14 +48,20 @@ BREAKS[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", *ran
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The embedding rows of every word (16 bits each, in one number), and the texts' bounds."""
+    """The embedding rows of every word, a row of numbers each, and the texts' bounds."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = ~BREAKS[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    return slice_hashes(LOWER[data], starts, ends).astype("<u4"), np.searchsorted(starts, offsets)
+    lower = LOWER[data]
+    return np.column_stack([slice_hashes(lower, starts, np.minimum(ends, starts + stem)).astype("<u2") for stem in STEMS]), np.searchsorted(starts, offsets)
+
+
+def own_rows(ids: np.ndarray) -> np.ndarray:
+    """Rows of the one table of embeddings, in which each stem's rows follow the last one's."""
+    return ids + ROWS * np.arange(len(STEMS))
 
 
 class Net:
@@ -65,23 +76,23 @@ class Net:
         r, n = np.random.default_rng(seed), len(WIDTHS) * FILTERS
         words = r.normal(0, 0.1, (NOTHING + 1, DIM))
         words[:NOTHING, 0], words[NOTHING] = odds, 0
-        filters = r.normal(0, 0.3, (sum(WIDTHS), 2 * DIM, FILTERS))
+        filters = r.normal(0, 0.3, (sum(WIDTHS), len(STEMS) * DIM, FILTERS))
         base = np.log(share) - np.log1p(-share)
         return Net([x.astype("f4") for x in (words, filters, np.zeros(n), r.normal(0, 0.1, n), np.array([base]))])
 
     @staticmethod
-    def laid(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Both embedding rows of each place, with ``GAP`` places of no word after each text, and the texts' first places."""
+    def laid(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embedding rows of each place, with ``GAP`` places of no word after each text, and the texts' first places."""
         n = np.diff(bounds)
         start = bounds[:-1] + GAP * np.arange(len(n))
         place = np.arange(bounds[-1]) + GAP * np.repeat(np.arange(len(n)), n)
-        rows = np.full((2, bounds[-1] + GAP * len(n)), NOTHING)
-        rows[0, place], rows[1, place] = ids & np.uint32(ROWS - 1), ROWS + (ids >> np.uint32(16)).astype(np.int64)
-        return rows[0], rows[1], start
+        rows = np.full((bounds[-1] + GAP * len(n), len(STEMS)), NOTHING)
+        rows[place] = own_rows(ids)
+        return rows, start
 
-    def responses(self, one: np.ndarray, two: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def responses(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The places' vectors, each filter's response at each place, and its largest one in each text."""
-        x, found, k = np.hstack([self.words[one], self.words[two]]), [], 0
+        x, found, k = self.words[rows].reshape(len(rows), -1), [], 0
         for width in WIDTHS:
             z = x @ self.filters[k]
             for j in range(1, width):
@@ -89,7 +100,7 @@ class Net:
             found.append(z)
             k += width
         z = np.hstack(found)
-        gap = one == NOTHING
+        gap = rows[:, 0] == NOTHING
         gap[start] = False  # a text without words has one place
         z[gap] = -np.inf
         return x, z, np.maximum.reduceat(z, start, axis=0)
@@ -116,29 +127,28 @@ class Net:
 
     def learn(self, past: list[np.ndarray], ids: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> None:
         """One step of Adagrad on some texts; ``past``: the sums of squared gradients."""
-        one, two, start = self.laid(ids, bounds)
-        x, z, largest = self.responses(one, two, start)
+        rows, start = self.laid(ids, bounds)
+        x, z, largest = self.responses(rows, start)
         active, logit = self.logits(largest)
         slope = ((1 / (1 + np.exp(-logit)) - toxic) / len(toxic)).astype("f4")
         inner = np.outer(slope, self.out) * (active > 0)
-        text = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(one)]))
+        text = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(rows)]))
         at, filter_ = np.nonzero(z == largest[text])
         _, first = np.unique(text[at] * z.shape[1] + filter_, return_index=True)  # of equal responses the first
         at, filter_ = at[first], filter_[first]
         back = inner[text[at], filter_]
         at, filter_, back = at[back != 0], filter_[back != 0], back[back != 0]
-        by_filter, rows, by_row, k = np.zeros_like(self.filters), [], [], 0
+        by_filter, touched, by_row, k = np.zeros_like(self.filters), [], [], 0
         for nth, width in enumerate(WIDTHS):
             mine = filter_ // FILTERS == nth
             for j in range(width):
-                some = mine & (at + j < len(one))
+                some = mine & (at + j < len(rows))
                 place, f, g = at[some] + j, filter_[some] % FILTERS, back[some, None]
                 np.add.at(by_filter[k + j].T, f, x[place] * g)
-                to_words = self.filters[k + j].T[f] * g
-                rows += [one[place], two[place]]
-                by_row += [to_words[:, :DIM], to_words[:, DIM:]]
+                touched.append(rows[place].ravel())
+                by_row.append((self.filters[k + j].T[f] * g).reshape(-1, DIM))
             k += width
-        row, which = np.unique(np.concatenate(rows), return_inverse=True)
+        row, which = np.unique(np.concatenate(touched), return_inverse=True)
         to_rows = np.zeros((len(row), DIM), "f4")
         np.add.at(to_rows, which, np.concatenate(by_row))
         to_rows[row == NOTHING] = 0
@@ -162,8 +172,10 @@ def _unpacked(raw: bytes, like: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _bounds(found: list[bytes]) -> np.ndarray:
-    return np.r_[0, np.cumsum([len(x) // 4 for x in found])]
+def _ids(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of some texts, end to end, and the texts' bounds."""
+    ids = np.frombuffer(b"".join(found), "<u2").reshape(-1, len(STEMS))
+    return ids, np.r_[0, np.cumsum([len(x) // (2 * len(STEMS)) for x in found])].astype(np.int64)
 
 
 def _odds(texts: DataFrame) -> tuple[np.ndarray, float]:
@@ -173,9 +185,7 @@ def _odds(texts: DataFrame) -> tuple[np.ndarray, float]:
         many = np.zeros((2, NOTHING + 1), "<i4")
         for batch in batches:
             for raw, toxic in zip(batch.column("ids").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, "<u4")
-                rows = np.unique(np.r_[ids & np.uint32(ROWS - 1), ROWS + (ids >> np.uint32(16)).astype(np.int64)])
-                many[int(toxic), rows.astype(np.int64)] += 1
+                many[int(toxic), np.unique(own_rows(_ids([raw])[0]))] += 1
                 many[int(toxic), NOTHING] += 1
         yield pa.RecordBatch.from_arrays([pa.array([many.tobytes()], pa.binary())], ["s"])
 
@@ -199,14 +209,15 @@ def train(texts: DataFrame, odds: np.ndarray, share: float) -> Net:
         given = spark.sparkContext.broadcast(net.weights)
 
         def go(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            mine, seen = Net([w.copy() for w in given.value]), 0
+            mine, lots = Net([w.copy() for w in given.value]), []
             past = [np.full(w.shape, 1e-4, "f4") for w in mine.weights]
             for batch in batches:
                 for lot in (batch.slice(i, LOT) for i in range(0, batch.num_rows, LOT)):
-                    ids = lot.column("ids").to_pylist()
-                    mine.learn(past, np.frombuffer(b"".join(ids), "<u4"), _bounds(ids), np.asarray(lot.column("toxic"), float))
-                    seen += lot.num_rows
-            if seen:
+                    lots.append((*_ids(lot.column("ids").to_pylist()), np.asarray(lot.column("toxic"), float)))
+            for _ in range(-(-STEPS // max(1, len(lots)))):
+                for lot in lots:
+                    mine.learn(past, *lot)
+            if lots:
                 yield pa.RecordBatch.from_arrays([pa.array([_packed(mine.weights)], pa.binary())], ["w"])
 
         total, n = [np.zeros(w.shape) for w in net.weights], 0
