@@ -150,7 +150,7 @@ def phrases(columns: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
 
 def summed(x: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct phrases and their numbers."""
-    pair = x.astype(np.uint64) << np.uint64(32) | y
+    pair = x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64)
     order = np.lexsort((z, pair))
     x, y, z = x[order], y[order], z[order]
     first = np.flatnonzero(firsts(x, y, z))

@@ -84,14 +84,15 @@ class Net:
     def laid(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The embedding rows of each place, with ``GAP`` places of no word after each text, and the texts' first places."""
         n = np.diff(bounds)
-        start = bounds[:-1] + GAP * np.arange(len(n))
-        place = np.arange(bounds[-1]) + GAP * np.repeat(np.arange(len(n)), n)
-        rows = np.full((bounds[-1] + GAP * len(n), len(STEMS)), NOTHING)
+        size = np.maximum(n, 1) + GAP
+        start = np.cumsum(size) - size
+        place = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], n)
+        rows = np.full((size.sum(), len(STEMS)), NOTHING)
         rows[place] = own_rows(ids)
         return rows, start
 
-    def responses(self, rows: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The places' vectors, each filter's response at each place, and its largest one in each text."""
+    def responses(self, rows: np.ndarray, start: np.ndarray, places: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places' vectors, each filter's response at each place, and its largest one in each text (of its first ``places``)."""
         x, found, k = self.words[rows].reshape(len(rows), -1), [], 0
         for width in WIDTHS:
             z = x @ self.filters[k]
@@ -103,6 +104,8 @@ class Net:
         gap = rows[:, 0] == NOTHING
         gap[start] = False  # a text without words has one place
         z[gap] = -np.inf
+        if places is not None:
+            z[places:] = -np.inf
         return x, z, np.maximum.reduceat(z, start, axis=0)
 
     def logits(self, largest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,13 +118,14 @@ class Net:
         start = 0
         while start < len(largest):
             end = max(start + 1, int(np.searchsorted(bounds, bounds[start] + PIECE, "right")) - 1)
-            for a in range(bounds[start], max(bounds[end], bounds[start] + 1), PIECE):
-                b = bounds[end] if end > start + 1 else min(bounds[end], a + PIECE + GAP)
-                part = np.clip(bounds[start : end + 1], a, b) - a
-                found = self.responses(*self.laid(ids[a:b], part))[2]
-                largest[start:end] = np.maximum(largest[start:end], found)
-                if end > start + 1:
-                    break
+            first, last = bounds[start], bounds[end]
+            if last - first <= PIECE:
+                largest[start:end] = self.responses(*self.laid(ids[first:last], bounds[start : end + 1] - first))[2]
+            else:
+                for a in range(first, last, PIECE):
+                    b = min(last, a + PIECE + GAP)
+                    places = None if b == last else PIECE
+                    largest[start] = np.maximum(largest[start], self.responses(*self.laid(ids[a:b], np.array([0, b - a])), places)[2][0])
             start = end
         return 1 / (1 + np.exp(-np.clip(self.logits(largest)[1].astype(float), -40, 40)))
 
@@ -221,7 +225,7 @@ def train(texts: DataFrame, odds: np.ndarray, share: float) -> Net:
                 yield pa.RecordBatch.from_arrays([pa.array([_packed(mine.weights)], pa.binary())], ["w"])
 
         total, n = [np.zeros(w.shape) for w in net.weights], 0
-        for row in texts.mapInArrow(go, "w binary").toLocalIterator():
+        for row in durable(texts.mapInArrow(go, "w binary")).toLocalIterator():  # all shards at once, then one after the other
             total, n = [t + w for t, w in zip(total, _unpacked(row["w"], net.weights), strict=True)], n + 1
         given.unpersist()
         if not n:
@@ -275,7 +279,7 @@ def score_toxicity(
     many = known.where("fit").count()
     chosen = F.pmod(F.shiftright("by", 20), F.lit(1 << 20)) < int(min(1.0, sample / max(many, 1)) * (1 << 20))
     picked = known.where("fit").where(chosen).select("doc_id", "toxic", "by")
-    picked = docs.select("doc_id", "text").join(picked, "doc_id").select(
+    picked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(  # broadcast: about ``sample`` keys at most
         (F.pmod(F.shiftright("by", 3), F.lit(SHARDS))).cast("int").alias("shard"), (F.pmod(F.shiftright("by", 10), F.lit(2))).cast("int").alias("half"), "by", "text", "toxic"
     )
     texts = picked.mapInArrow(featurise, "shard int, half int, by long, ids binary, toxic boolean")
