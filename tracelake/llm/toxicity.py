@@ -229,6 +229,7 @@ def train(texts: DataFrame, odds: np.ndarray, share: float) -> Net:
             total, n = [t + w for t, w in zip(total, _unpacked(row["w"], net.weights), strict=True)], n + 1
         given.unpersist()
         if not n:
+            net.out[:] = 0  # nothing was learned: the share of toxic texts for all
             break
         net = Net([(t / n).astype("f4") for t in total])
     return net
