@@ -32,7 +32,9 @@ from tracelake.llm.packed import firsts, regroup, squeezed, unsqueezed
 
 HEAD, HEAD_BYTES = 2_000_000, 64 << 20
 #: Bytes of text of a lot, bytes of text that a bucket is for, fragments that are looked at together, occurrences of a pivot in one bucket.
-LOT, BUCKET, SLICE, SPLIT = 8 << 20, 64 << 20, 2 << 20, 1 << 20
+LOT, BUCKET, SLICE, SPLIT = 4 << 20, 64 << 20, 1 << 20, 1 << 20
+#: Parts of a language that are ranked each before all.
+DEALS = 32
 NONE = np.uint32(0xFFFFFFFF)
 #: 0: part of a word, 1: between words, 2: between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -279,8 +281,11 @@ def collocations(
     first = F.col("s1") <= F.col("s2")
     cut = F.when(first, F.col("f1")).otherwise(F.col("l2")).alias("l"), F.when(first, F.col("r1")).otherwise(F.col("f3")).alias("r")
     three = three.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", *cut, F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # The best of each of some parts of a language, then of these, so that no task gets all phrases of a language.
+    best, deal = two.unionByName(three), F.pmod(F.xxhash64("phrase"), F.lit(DEALS))
+    for part in (["lang", deal], ["lang"]):
+        order = Window.partitionBy(*part).orderBy(F.desc("score"), F.desc("a"), "phrase")
+        best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     total = words.where("word is null").select("lang", F.col("f").alias("n"))
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
