@@ -251,6 +251,64 @@ def test_language_model_counts_are_exact(docs, empty):
     assert score_texts(empty, rest).count() == 0
 
 
+def thue_morse(n):
+    """Two words of n letters, each the other one with a and b exchanged: prefix polynomials modulo 2**64 can't tell them apart."""
+    return ["".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_different_words_are_different(spark, n):
+    from tracelake.llm.bloom_lm import score_texts
+    from tracelake.llm.near_dup import jaccard_components
+
+    one, two = thue_morse(n)
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one.upper())], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_components(docs).collect()) == [(1, 1), (2, 2), (3, 1)]
+    found = score_texts(docs, F.col("doc_id") == 2).collect()
+    assert sorted((r.doc_id, r.n_known) for r in found) == [(1, 2), (2, 1), (3, 2)]
+
+
+def test_words_by_their_bytes():
+    from tracelake.llm.common import slice_hashes
+
+    r = np.random.default_rng(0)
+    data = r.integers(97, 99, 5000).astype(np.uint8)
+    starts = r.integers(0, 4900, 4000)
+    ends = starts + r.integers(0, 40, 4000)
+    by_bytes = collections.defaultdict(set)
+    for a, b, h in zip(starts.tolist(), ends.tolist(), slice_hashes(data, starts, ends).tolist(), strict=True):
+        by_bytes[data[a:b].tobytes()].add(h)
+    assert all(len(h) == 1 for h in by_bytes.values()) and len(set().union(*by_bytes.values())) == len(by_bytes)
+
+
+def test_false_hits_of_the_filter_are_rare():
+    from tracelake.llm.bloom_lm import Filter
+
+    r = np.random.default_rng(0)
+    keys = r.integers(0, 2**48, 400_000).astype(np.uint64)
+    count = np.where(r.random(200_000) < 0.8, 1, r.integers(2, 40, 200_000))
+    there, other = keys[:200_000], keys[200_000:]
+    filter_, where = Filter([Filter.build(there, count)]), np.zeros(200_000, np.int64)
+    assert (filter_.level(other, where) > 0).mean() < 1e-3
+    found = filter_.level(there, where)
+    assert (found >= Filter.levels(count)).all() and (found > Filter.levels(count)).mean() < 1e-3
+
+
+def test_language_model_as_registered(docs, spark):
+    """The default filter against exact counts: nearly all texts have the very score, and no session setting changes one."""
+    from tracelake.llm.bloom_lm import score_texts
+
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    score = lambda **a: sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in score_texts(docs, rest, **a).collect())
+    exact, found = score(bits=200), score()
+    assert sum(abs(a[2] - b[2]) > 1e-6 * a[1] for a, b in zip(exact, found, strict=True)) <= 0.1 * len(found)
+    assert all(abs(a[2] - b[2]) <= 0.02 * a[1] + 2.5 for a, b in zip(exact, found, strict=True))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    assert score() == found
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_language_model_equals_brute_force_however_it_is_spread(docs, monkeypatch):
     from tracelake.llm import bloom_lm
     from tracelake.llm.bloom_lm import BETA, score_texts

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from tracelake.llm.common import LOWER, POWERS_A, SPACES, PrefixHash, mix
+from tracelake.llm.common import LOWER, SPACES, mix, slice_hashes
 
 
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -16,7 +16,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     edge[offsets] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    hashes = PrefixHash(LOWER[data] if lower else data, POWERS_A).hash(starts, ends)
+    hashes = slice_hashes(LOWER[data] if lower else data, starts, ends)
     rows = np.searchsorted(offsets, starts, "right") - 1
     return starts, ends, rows, hashes
 
