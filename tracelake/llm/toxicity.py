@@ -8,7 +8,7 @@ largest responses have a gradient, so a step costs little more than the forward
 
 **Training** uses a bounded sample of the labelled rows (``sample``, by a hash of the key, in its expected number). One half of it gives each
 embedding row its first component: the smoothed log odds of toxic texts among those that hold its words.
-The other half is dealt over ``SHARDS`` shards; in each round every shard goes through its texts from the
+The other half is dealt over shards of about ``SHARD`` / 2 texts; in each round every shard goes through its texts from the
 same weights (Adagrad, lots of 32 texts, ``STEPS`` lots at least), and the weights are averaged. A shard is read in one order, so
 the result doesn't depend on the cluster.
 
@@ -20,7 +20,6 @@ is largest, and the one of all languages together where a language has too few t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,9 @@ ROWS, DIM, WIDTHS, FILTERS = 1 << 16, 8, (1, 2, 3), 16
 STEMS = (1 << 40, 6, 4)
 GAP = max(WIDTHS) - 1
 NOTHING = len(STEMS) * ROWS  # the embedding row of no word: zero
-SHARDS, ROUNDS, LOT, RATE = 8, 5, 32, 0.05
+ROUNDS, LOT, RATE = 5, 32, 0.05
+#: Labelled rows of the sample for a shard: fewer would learn too little between two averages.
+SHARD = 5000
 #: Steps of a shard in a round, at least: fewer texts are gone through more often.
 STEPS = 30
 #: Texts that all have a word's odds before any is seen; bounds of the log odds.
@@ -185,47 +186,41 @@ def _ids(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _odds(texts: DataFrame) -> tuple[np.ndarray, float]:
     """The log odds of toxic texts for each embedding row, and the share of toxic texts; ``texts``: columns ids, toxic."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(_, table):
         many = np.zeros((2, NOTHING + 1), "<i4")
-        for batch in batches:
-            for raw, toxic in zip(batch.column("ids").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                many[int(toxic), np.unique(own_rows(_ids([raw])[0]))] += 1
-                many[int(toxic), NOTHING] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([many.tobytes()], pa.binary())], ["s"])
+        for raw, toxic in zip(table["ids"], table["toxic"], strict=True):
+            many[int(toxic.as_py()), np.unique(own_rows(_ids([raw.as_py()])[0]))] += 1
+            many[int(toxic.as_py()), NOTHING] += 1
+        return pa.table({"s": pa.array([many.tobytes()], pa.binary())})
 
-    found = _by_shard(texts).mapInArrow(count, "s binary").toArrow()["s"]
+    found = texts.groupBy("shard").applyInArrow(count, "s binary").toArrow()["s"]
     many = sum((np.frombuffer(x.as_py(), "<i4").reshape(2, -1).astype(float) for x in found), np.zeros((2, NOTHING + 1)))
     share = float(np.clip((many[1, -1] + 0.1) / (many[:, -1].sum() + 1), 1e-4, 1 - 1e-4))
     odds = np.log((many[1, :-1] + SMOOTH * share) / (many[0, :-1] + SMOOTH * (1 - share))) - np.log(share / (1 - share))
     return np.clip(odds, *ODDS), share
 
 
-def _by_shard(texts: DataFrame) -> DataFrame:
-    """One partition for each shard, so what a shard sends is bounded."""
-    return reduce(DataFrame.unionByName, [texts.where(F.col("shard") == k).drop("shard").coalesce(1) for k in range(SHARDS)])
-
-
 def train(texts: DataFrame, odds: np.ndarray, share: float) -> Net:
-    """The weights, from ``texts``: shard, ids, toxic, in an order that stays."""
+    """The weights, from ``texts``: shard, by, ids, toxic."""
     net, spark = Net.start(odds, share), texts.sparkSession
-    texts = _by_shard(texts)
-    for _ in range(ROUNDS):
-        given = spark.sparkContext.broadcast(net.weights)
 
-        def go(batches: Iterator[pa.RecordBatch], given=given) -> Iterator[pa.RecordBatch]:
-            mine, lots = Net([w.copy() for w in given.value]), []
+    def learner(given):
+        def go(_, table):
+            mine = Net([w.copy() for w in given.value])
             past = [np.full(w.shape, 1e-4, "f4") for w in mine.weights]
-            for batch in batches:
-                for lot in (batch.slice(i, LOT) for i in range(0, batch.num_rows, LOT)):
-                    lots.append((*_ids(lot.column("ids").to_pylist()), np.asarray(lot.column("toxic"), float)))
-            for _ in range(-(-STEPS // max(1, len(lots)))):
+            table = table.sort_by([("by", "ascending"), ("ids", "ascending")])
+            lots = [table.slice(i, LOT) for i in range(0, table.num_rows, LOT)]
+            for _ in range(-(-STEPS // len(lots))):
                 for lot in lots:
-                    mine.learn(past, *lot)
-            if lots:
-                yield pa.RecordBatch.from_arrays([pa.array([_packed(mine.weights)], pa.binary())], ["w"])
+                    mine.learn(past, *_ids(lot["ids"].to_pylist()), np.asarray(lot["toxic"], float))
+            return pa.table({"w": pa.array([_packed(mine.weights)], pa.binary())})
 
+        return go
+
+    for _ in range(ROUNDS):
+        given = spark.sparkContext.broadcast(net.weights)
         total, n = [np.zeros(w.shape) for w in net.weights], 0
-        for row in durable(texts.mapInArrow(go, "w binary")).toLocalIterator():  # all shards at once, then one after the other
+        for row in durable(texts.groupBy("shard").applyInArrow(learner(given), "w binary")).toLocalIterator():  # all shards at once, then one after the other
             total, n = [t + w for t, w in zip(total, _unpacked(row["w"], net.weights), strict=True)], n + 1
         given.unpersist()
         if not n:
@@ -281,11 +276,11 @@ def score_toxicity(
     chosen = F.pmod(F.shiftright("by", 20), F.lit(1 << 20)) < int(min(1.0, sample / max(many, 1)) * (1 << 20))
     picked = known.where("fit").where(chosen).select("doc_id", "toxic", "by")
     picked = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(  # broadcast: about ``sample`` keys at most
-        (F.pmod(F.shiftright("by", 3), F.lit(SHARDS))).cast("int").alias("shard"), (F.pmod(F.shiftright("by", 10), F.lit(2))).cast("int").alias("half"), "by", "text", "toxic"
+        (F.pmod(F.shiftright("by", 3), F.lit(-(-min(sample, max(many, 1)) // SHARD)))).cast("int").alias("shard"), (F.pmod(F.shiftright("by", 10), F.lit(2))).cast("int").alias("half"), "by", "text", "toxic"
     )
     texts = picked.mapInArrow(featurise, "shard int, half int, by long, ids binary, toxic boolean")
-    texts = durable(texts.repartition(SHARDS, "shard").sortWithinPartitions("shard", "by", "ids"))
-    half = lambda k: texts.where(F.col("half") == k).select("shard", "ids", "toxic")
+    texts = durable(texts)
+    half = lambda k: texts.where(F.col("half") == k).select("shard", "by", "ids", "toxic")
     net = train(half(1), *_odds(half(0)))
     given = docs.sparkSession.sparkContext.broadcast(net.weights)
 
