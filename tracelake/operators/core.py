@@ -59,8 +59,7 @@ def search_count(entries: DataFrame, text: str | None, ignore_case: bool = False
     hits = F.size(F.filter("body", _line_test(text, ignore_case, invert)))
     found = entries.withColumn("_n", hits).where("_n > 0")
     if most is not None:
-        order = Window.partitionBy("trace_id").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-        found = found.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(F.col("_before") < most)
+        found = _before(found, ["trace_id"], ["line_number"], F.col("_n"), "_before").where(F.col("_before") < most)
     return found.agg(F.count("*").alias("n_entries"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_lines"))
 
 
@@ -103,19 +102,33 @@ def floor_quartiles(df: DataFrame, keys, value: str) -> DataFrame:
 SPAN = 1 << 16
 
 
-def running_total(df: DataFrame, key: str, at: str, value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over the key's rows before each, by the integer ``at`` (nulls first); rows without a key are dropped.
+def scanned(df: DataFrame, key: str, at: str, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, span: int | None = None, keep_span: bool = False) -> DataFrame:
+    """``df`` with running values over the key's rows by the integer ``at`` (nulls first); rows without a key are dropped.
 
-    Spans of positions are added up by themselves and their totals, few rows, put before one
-    another, so a key's rows are dealt over many tasks however many they are.
+    ``sums``: the sum over the rows before each. ``lasts``: the last value that isn't null up to and with each row.
+    Spans of positions are gone through by themselves and what they come to, one row each, put before one
+    another, so a key's rows are dealt over many tasks however many they are. ``keep_span``: the column _span, by
+    which (with the key) the result lies, stays.
     """
-    dealt = df.withColumn("_span", F.coalesce(F.floor(F.col(at) / SPAN), F.lit(-(1 << 62)))).withColumn("_x", value).repartition(key, "_span")
+    sums, lasts = sums or {}, lasts or {}
+    held = {f"_s{i}": v for i, v in enumerate(sums.values())} | {f"_l{i}": v for i, v in enumerate(lasts.values())}
+    dealt = df.withColumns({"_span": F.coalesce(F.floor(F.col(at) / (span or SPAN)), F.lit(-(1 << 62)))} | held).repartition(key, "_span")
+    last = lambda c: F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.coalesce(at, F.lit(-(1 << 62))))).alias(c)
+    spans = dealt.groupBy(key, "_span").agg(F.count("*").alias("_n"), *[F.sum(c).alias(c) for c in held if c[1] == "s"], *[last(c) for c in held if c[1] == "l"])
     before = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = dealt.groupBy(key, "_span").agg(F.sum("_x").alias("_sum"))
-    spans = spans.select(key, "_span", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(key, "_span").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    added = dealt.withColumn("_in", F.coalesce(F.sum("_x").over(inside), F.lit(0)))
-    return added.join(spans, [key, "_span"]).withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_span", "_x", "_in", "_before")
+    whole = lambda c: (F.coalesce(F.sum(c).over(before), F.lit(0)) if c[1] == "s" else F.last(c, ignorenulls=True).over(before)["v"]).alias(f"_b{c}")
+    spans = spans.select(key, "_span", *[whole(c) for c in held])
+    own = Window.partitionBy(key, "_span").orderBy(at)
+    inside = {c: F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if c[1] == "s" else F.last(c, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)) for c in held}
+    joined = dealt.withColumns({f"_i{c}": v for c, v in inside.items()}).join(spans, [key, "_span"])
+    values = [(F.col(f"_b{c}") + F.col(f"_i{c}")).cast("long") if c[1] == "s" else F.coalesce(f"_i{c}", f"_b{c}") for c in held]
+    out = joined.withColumns(dict(zip([*sums, *lasts], values, strict=True)))
+    return out.drop(*held, *[f"_b{c}" for c in held], *[f"_i{c}" for c in held], *([] if keep_span else ["_span"]))
+
+
+def running_total(df: DataFrame, key: str, at: str, value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the key's rows before each (see ``scanned``)."""
+    return scanned(df, key, at, sums={name: value})
 
 
 def _before(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
@@ -171,18 +184,52 @@ def next_after(df: DataFrame, keys, order, opens: Column, closes: Column, value:
     return marked.where("_open").join(results, [*keys, "_g"]).drop("_open", "_close", "_g")
 
 
-def in_ranges(points: DataFrame, ranges: DataFrame, keys, point: str, low: str, high: str, width: int | None = None) -> DataFrame:
-    """Range join: points within [low, high]. With ``width`` an equi-join on buckets of that width, for many ranges."""
-    inside = F.col(point).between(F.col(low), F.col(high))
-    keys = _cols(keys)
-    if width is None:
-        return points.join(ranges, keys, "inner").where(inside) if keys else points.join(ranges, inside)
-    bucketed = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
-    return points.withColumn("_b", F.floor(F.col(point) / width)).join(bucketed, [*keys, "_b"]).where(inside).drop("_b")
+def in_ranges(points: DataFrame, ranges: DataFrame, keys, point: str, low: str, high: str, width: float = 1) -> DataFrame:
+    """Range join: points within [low, high] of the same keys; ranges may overlap, and be of any number and length.
+
+    A range is the least set of dyadic intervals of cells (of ``width``) that covers it, two of each size at most, and a
+    point is in one interval of each size, so an equi-join on size and interval finds the pairs; only in the
+    first and last cell of a range can it find others, which are left out (with whole numbers and cells of 1: none).
+    Of the sizes only those that the ranges have are looked up. Rows with a null or infinite place are in no range.
+    """
+    keys, cell = _cols(keys), lambda c: F.floor(F.col(c) / width)
+    real = lambda c: F.abs(F.col(c)) < F.lit(2.0**62 * width)
+
+    def dyadic(first: Column, end: Column) -> Column:
+        """(size, interval) of the cells from ``first`` until before ``end``."""
+
+        def of_size(k: Column) -> Column:
+            bits = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+            a, b = -F.call_function("shiftright", -first, k), F.call_function("shiftright", end, k)
+            here = lambda hit, at: F.when((a < b) & hit, F.struct(k.alias("_k"), at.alias("_c")))
+            odd = lambda c: c.bitwiseAND(F.lit(1).cast("long")) == 1
+            return F.when(bits <= end - first, F.array_compact(F.array(here(odd(a), a), here(odd(b), b - 1)))).otherwise(F.array().cast("array<struct<_k:int,_c:bigint>>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), of_size))
+
+    cut = ranges.where(real(low) & real(high) & (F.col(low) <= F.col(high)))
+    cut = cut.withColumn("_i", F.explode(dyadic(cell(low), cell(high) + 1))).select("*", "_i._k", "_i._c").drop("_i")
+    sizes = sorted(r[0] for r in cut.select("_k").distinct().collect())  # 63 at most
+    sizes_of = F.array(*[F.lit(k).cast("int") for k in sizes]).cast("array<int>")
+    at = points.where(real(point)).withColumn("_k", F.explode(sizes_of)).withColumn("_c", F.call_function("shiftright", cell(point), F.col("_k")))
+    return at.join(cut, [*keys, "_k", "_c"]).where(F.col(point).between(F.col(low), F.col(high))).drop("_k", "_c")
+
+
+def in_last_range(points: DataFrame, ranges: DataFrame, key: str, point: str, low: str, high: str) -> DataFrame:
+    """Range join for ranges of one key that don't overlap, on whole numbers: points and ranges in one order, and each range carried on to its points.
+
+    Linear in both, no pair outside a range is formed, and a key's rows are dealt over spans. Overlapping ranges: ``in_ranges``.
+    """
+    own = [c for c in ranges.columns if c != key]
+    starts = ranges.select(key, (2 * F.col(low)).cast("long").alias("_at"), F.struct(*own).alias("_r"), F.lit(None).cast(points.select(F.struct(*[c for c in points.columns if c != key])).schema[0].dataType).alias("_p"))
+    places = points.select(key, (2 * F.col(point) + 1).cast("long").alias("_at"), F.lit(None).cast(starts.schema["_r"].dataType).alias("_r"), F.struct(*[c for c in points.columns if c != key]).alias("_p"))
+    both = scanned(starts.unionByName(places), key, "_at", lasts={"_in": F.col("_r")}, span=2 * SPAN)
+    found = both.where(F.col("_p").isNotNull() & (F.col(f"_p.{point}") <= F.col(f"_in.{high}")))
+    return found.select(key, "_p.*", "_in.*")
 
 
 def range_slice(points: DataFrame, ranges: DataFrame, keys, point: str, low: str, high: str, number: str, wanted: int) -> DataFrame:
-    """The points within the range of a number; an unknown number is an error that names the known ones."""
+    """The points within the ranges of a number; an unknown number is an error that names the known ones."""
     found = ranges.where(F.col(number) == wanted)
     if found.isEmpty():
         known = ", ".join(str(r[0]) for r in ranges.select(number).distinct().orderBy(number).limit(100).collect())
@@ -239,6 +286,12 @@ def closures(tallied: DataFrame, split: str, solved: Column) -> DataFrame:
     return tallied.groupBy(split).agg(F.max(solved).alias("closed"))
 
 
+def all_closed(closed: DataFrame) -> DataFrame:
+    """One row: splits, how many are closed, and whether all are (without splits: yes)."""
+    n = F.count_if(F.coalesce("closed", F.lit(False)))
+    return closed.agg(F.count("*").alias("splits"), n.alias("n_closed"), (n == F.count("*")).alias("all_closed"))
+
+
 def stat_means(values: DataFrame, configs: list[str], key: str = "key", config: str = "config", value: str = "value") -> DataFrame:
     """Mean per statistic, a column per config; with two configs also their percentual difference."""
     out = values.groupBy(key).pivot(config, configs).agg(F.avg(value))

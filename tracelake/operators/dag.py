@@ -148,11 +148,11 @@ def kind_text(nodes: DataFrame) -> DataFrame:
 
 
 def summary(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
-    """section, key, n per file: assertions, constants by sort, operators over distinct nodes, greatest depth; with ``edges`` also the matches of ``SHAPES``, zeros included."""
+    """section, key, n per file: assertions, constants by sort, operators over distinct nodes, greatest depth (of a term without arguments: 0); with ``edges`` also the matches of ``SHAPES``, zeros included."""
     row = lambda df, section, key, n: df.groupBy("file", key.alias("key")).agg(n.cast("long").alias("n")).select("file", F.lit(section).alias("section"), "key", "n")
     out = (
         row(nodes.where("root"), "summary", F.lit("asserts"), F.count("*"))
-        .unionByName(row(nodes, "summary", F.lit("max_depth"), F.max("depth")))
+        .unionByName(row(nodes, "summary", F.lit("max_depth"), F.max("depth") - 1))
         .unionByName(row(nodes.where("kind = 'Var'"), "constants", F.col("sort"), F.count("*")))
         .unionByName(row(nodes.where("kind = 'Op'"), "operators", F.col("head"), F.count("*")))
     )

@@ -1,19 +1,20 @@
 """Rounds of a search: levels rise between emissions until a pop falls below the round's anchor.
 
 Events are (trace, order, kind, a, b): kind D (a: the new level), P (a: levels dropped, b: the new
-level), A (a conflict) and N (an emission). One pass per trace, since where a round starts depends
-on where the one before ended; ``fold`` is the same as one SQL aggregate, for tests.
+level), A (a conflict) and N (an emission). Where a round starts depends on where the one before ended:
+``Machine`` goes through one log event by event, for streams, and ``rounds`` through spans of logs at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import bisect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.core import in_ranges
+from tracelake.operators.core import in_last_range, scanned
 
 ROUND = "trace_id string, round long, anchor long, first_emission long, last_emission long, climb long, end_drop long, length long, internal_pops long, internal_drop long, closed boolean, closed_strict boolean"
 
@@ -77,35 +78,153 @@ def events_of(entries: DataFrame) -> DataFrame:
     return entries.select("trace_id", F.col("line_number").alias("at"), kind.alias("kind"), F.coalesce(a, F.lit(0)).alias("a"), F.coalesce(F.when(kind == "P", number(pop, 2)), F.lit(0)).alias("b")).where("kind is not null")
 
 
-def rounds(events: DataFrame) -> DataFrame:
-    """A row per round. A task takes its traces one after the other, in order, and holds no more than a batch of events."""
-    names = [f.split()[0] for f in ROUND.split(", ")]
+class Span:
+    """The events of one span of a log, each with the level before it and the emissions before it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, machine, out = None, None, []
-
-        def flushed() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_pylist(out, schema=SCHEMA)
-            out.clear()
-            return rows
+    ``after[i]`` is the state behind event i if no round is open there, as (anchor of the round open at the span's end or
+    None, rounds opened until then). It follows from the next emission's, so one walk from the end finds all of them.
+    """
 
-        for batch in batches:
-            for trace, kind, a, b in zip(*(batch.column(c).to_pylist() for c in ("trace_id", "kind", "a", "b")), strict=True):
-                if machine is None or trace != now:
-                    if machine:
-                        out += [{"trace_id": now} | r for r in machine.finish()]
-                    now, machine = trace, Machine()
-                out += [{"trace_id": now} | r for r in machine.feed(kind, a, b)]
-            yield flushed()
-        if machine:
-            out += [{"trace_id": now} | r for r in machine.finish()]
-        yield flushed()
+    def __init__(self, kind: list[str], a: list[int], b: list[int], level: list[int], before: list[int]):
+        self.kind, self.a, self.b, self.level, self.before = kind, a, b, level, before
+        lowest: list[tuple[int, int]] = []  # pops that are lower than all nearer ones, the nearest last
+        heights: list[int] = []  # their levels, negated: the nearest is the highest
+        next_open: tuple[int | None, int] = (None, 0)
+        states: dict[int, tuple[int | None, int]] = {}
+        for i in range(len(kind) - 1, -1, -1):
+            if kind[i] == "P":
+                while lowest and lowest[-1][0] >= b[i]:
+                    lowest.pop()
+                    heights.pop()
+                states[i] = next_open
+                lowest.append((b[i], i))
+                heights.append(b[i])
+            elif kind[i] == "N":
+                at = bisect.bisect_left(heights, level[i]) - 1  # heights rise towards the nearest: the last one below the anchor
+                anchor, n = states[lowest[at][1]] if at >= 0 else (level[i], 0)
+                next_open = anchor, n + 1
+        self.closed = next_open
+        self.open = [(low, *states[i]) for low, i in lowest]
+
+    def partial_rounds(self, anchor: int | None, number: int) -> Iterator[dict]:
+        """What this span knows of each round, given the state before it: the open round's anchor (None: none) and the last round's number."""
+        now = {"round": number, "top": anchor, "length": 0, "pops": 0, "drop": 0} if anchor is not None else None
+        for kind, a, b, level, before in zip(self.kind, self.a, self.b, self.level, self.before, strict=True):
+            if kind == "N" and now is None:
+                if number:
+                    yield {"round": number, "last": before}
+                number, anchor = number + 1, level
+                now = {"round": number, "top": level, "length": 0, "pops": 0, "drop": 0, "anchor": level, "first": before + 1}
+            elif now is None:
+                continue
+            elif kind == "P" and b < anchor:
+                yield now | {"floor": b}
+                now = None
+            else:
+                now["length"] += 1
+                if kind == "D":
+                    now["top"] = max(now["top"], a)
+                elif kind == "P":
+                    now["pops"] += 1
+                    now["drop"] += a
+        if now:
+            yield now
+
+
+def _by_span(batches: Iterator[pa.RecordBatch], take: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """``take`` (first row, span -> rows) over the runs of equal (trace_id, _span) of sorted batches; only one span is held."""
+    names = ("kind", "a", "b", "_level", "_before")
+    held: dict[str, list] = {c: [] for c in names}
+    head, out = None, []
+    for batch in batches:
+        rows = batch.to_pydict()
+        ids = list(zip(rows["trace_id"], rows["_span"], strict=True))
+        at = 0
+        while at < len(ids):
+            if head is not None and ids[at] != (head["trace_id"], head["_span"]):
+                out += take(head, Span(*held.values()))
+                held, head = {c: [] for c in names}, None
+            end = at
+            while end < len(ids) and ids[end] == ids[at]:
+                end += 1
+            head = head or {c: v[at] for c, v in rows.items()}
+            for c in names:
+                held[c] += rows[c][at:end]
+            at = end
+        yield pa.RecordBatch.from_pylist(out, schema)
+        out = []
+    if head is not None:
+        yield pa.RecordBatch.from_pylist(take(head, Span(*held.values())), schema)
+
+
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in ddl.split(", ")])
+
+
+#: A span as a function of what is open before it: rounds below a pop's level go on as that pop says, others stay open.
+TABLE = "trace_id string, _span long, closed_anchor long, closed_rounds long, low array<long>, anchor array<long>, opened array<long>"
+BEFORE = "trace_id string, _span long, _anchor long, _round long"
+PARTIAL = "trace_id string, round long, anchor long, first long, last long, top long, floor long, length long, pops long, drop long"
+
+
+def rounds(events: DataFrame, span: int | None = None) -> DataFrame:
+    """A row per round.
+
+    A log is cut into spans of positions (``span``). Each span, by itself, is turned into a table: which state it ends in
+    for a log without an open round, and for an open one by its anchor (only pops lower than all before them in the
+    span make a difference). A log's tables, a row a span, are then applied one after the other, and with the state before it
+    each span gives its part of every round; the parts of a round are added up. No task holds more than a span
+    of events, and where rounds begin is exact for any cut.
+    """
+    level = {"_now": F.when(F.col("kind") == "D", F.col("a")).when(F.col("kind") == "P", F.col("b"))}
+    dealt = scanned(events.select("trace_id", "at", "kind", "a", "b"), "trace_id", "at", {"_before": (F.col("kind") == "N").cast("int")}, level, span, keep_span=True)
+    # An emission changes no level, so at it the level up to and with its own event is the one before it.
+    dealt = dealt.select("trace_id", "_span", "at", "kind", "a", "b", F.coalesce("_now", F.lit(0)).alias("_level"), "_before")
 
-    ordered = events.select("trace_id", "at", "kind", "a", "b").repartition("trace_id").sortWithinPartitions("trace_id", "at")
-    return ordered.mapInArrow(run, ROUND).select(*names)
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def take(head: dict, found: Span) -> list[dict]:
+            low, anchor, opened = (list(c) for c in zip(*found.open, strict=True)) if found.open else ([], [], [])
+            return [{"trace_id": head["trace_id"], "_span": head["_span"], "closed_anchor": found.closed[0], "closed_rounds": found.closed[1], "low": low, "anchor": anchor, "opened": opened}]
 
+        yield from _by_span(batches, take, _schema(TABLE))
 
-SCHEMA = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[f.split()[1]]) for f in ROUND.split(", ")])
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trace, anchor, number = None, None, 0
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["trace_id"] != trace:
+                    trace, anchor, number = row["trace_id"], None, 0
+                out.append({"trace_id": trace, "_span": row["_span"], "_anchor": anchor, "_round": number})
+                if anchor is None:
+                    anchor, number = row["closed_anchor"], number + row["closed_rounds"]
+                else:  # the nearest pop below the anchor ends the round; they lie from the lowest, farthest, on
+                    at = bisect.bisect_left(row["low"], anchor) - 1
+                    if at >= 0:
+                        anchor, number = row["anchor"][at], number + row["opened"][at]
+            yield pa.RecordBatch.from_pylist(out, _schema(BEFORE))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def take(head: dict, found: Span) -> list[dict]:
+            return [{"trace_id": head["trace_id"]} | r for r in found.partial_rounds(head["_anchor"], head["_round"])]
+
+        yield from _by_span(batches, take, _schema(PARTIAL))
+
+    ordered = dealt.sortWithinPartitions("trace_id", "_span", "at")
+    before = ordered.mapInArrow(tables, TABLE).repartition("trace_id").sortWithinPartitions("trace_id", "_span").mapInArrow(states, BEFORE)
+    known = dealt.join(before, ["trace_id", "_span"]).sortWithinPartitions("trace_id", "_span", "at")
+    most = lambda c, name=None: F.max(c).alias(name or c)
+    found = known.mapInArrow(partial, PARTIAL).groupBy("trace_id", "round").agg(
+        *[most(c) for c in ("anchor", "first", "last", "top", "floor")], *[F.sum(c).alias(c) for c in ("length", "pops", "drop")]
+    )
+    total = dealt.groupBy("trace_id").agg(F.sum((F.col("kind") == "N").cast("long")).alias("_n"))
+    ended = F.col("floor").isNotNull()
+    return found.join(total, "trace_id").select(
+        "trace_id", "round", "anchor", F.col("first").alias("first_emission"), F.coalesce("last", "_n").alias("last_emission"),
+        F.when(ended, F.col("top") - F.col("anchor")).alias("climb"), (F.col("anchor") - F.col("floor")).alias("end_drop"), F.when(ended, F.col("length")).alias("length"),
+        F.col("pops").alias("internal_pops"), F.col("drop").alias("internal_drop"), (ended & F.col("last").isNotNull()).alias("closed"), ended.alias("closed_strict"),
+    )
 
 
 def lemmas_per_round(found: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -115,7 +234,7 @@ def lemmas_per_round(found: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     spans = ranges.select("trace_id", "round", "first_emission", "last_emission", "closed")
     each = F.struct("index", *[F.coalesce(c, F.lit("")).alias(c) for c in ("strategy", "conclusion")], "preconditions", "variables", "monomials")
-    inside = in_ranges(found, spans, ["trace_id"], "index", "first_emission", "last_emission")
+    inside = in_last_range(found, spans, "trace_id", "index", "first_emission", "last_emission")
     listed = inside.groupBy("trace_id", "round").agg(F.array_sort(F.collect_list(each)).alias("lemmas"))
     return spans.join(listed, ["trace_id", "round"], "left")
 
@@ -128,12 +247,11 @@ def round_totals(events: DataFrame, found: DataFrame) -> DataFrame:
     return counts.join(per, "trace_id", "left").na.fill(0, ["rounds", "closed"])
 
 
-def emission_levels(events: DataFrame) -> DataFrame:
+def emission_levels(events: DataFrame, span: int | None = None) -> DataFrame:
     """The level at each emission: the last decision's or pop's, 0 before any."""
-    w = Window.partitionBy("trace_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.last(F.when(F.col("kind") == "D", F.col("a")).when(F.col("kind") == "P", F.col("b")), ignorenulls=True).over(w)
-    number = F.sum((F.col("kind") == "N").cast("int")).over(w)
-    return events.select("trace_id", "at", "kind", F.coalesce(level, F.lit(0)).alias("level"), number.cast("long").alias("emission")).where("kind = 'N'").drop("kind")
+    level = F.when(F.col("kind") == "D", F.col("a")).when(F.col("kind") == "P", F.col("b"))
+    found = scanned(events.select("trace_id", "at", "kind", "a", "b"), "trace_id", "at", {"_n": (F.col("kind") == "N").cast("int")}, {"_level": level}, span)
+    return found.where("kind = 'N'").select("trace_id", "at", F.coalesce("_level", F.lit(0)).alias("level"), (F.col("_n") + 1).alias("emission"))
 
 
 #: The function whose lines tell what a patch did, and their form.
@@ -161,7 +279,7 @@ def over_time(levels: DataFrame, found: DataFrame) -> DataFrame:
     """Every emission's level with its round and whether that is closed: the points of a plot and what to shade in it."""
     spans = found.select("trace_id", "round", "closed", "first_emission", "last_emission")
     points = levels.select("trace_id", "emission", "level")
-    return in_ranges(points, spans, ["trace_id"], "emission", "first_emission", "last_emission").drop("first_emission", "last_emission")
+    return in_last_range(points, spans, "trace_id", "emission", "first_emission", "last_emission").drop("first_emission", "last_emission")
 
 
 def productivity_notes(stats: DataFrame, rate: float = 0.35, yield_: float = 0.40) -> DataFrame:

@@ -150,13 +150,13 @@ def seeds(spec: str) -> list[int]:
 
 
 def index_ranges(spec: str, total: int) -> list[int]:
-    """3,5:10,2-4,:5,12: as distinct indices from 1, in order; a start beyond the end gives that index alone."""
+    """3,5:10,2-4,:5,12: as distinct indices from 1, in order; ranges end at ``total``, and one that starts beyond it is that index alone."""
     out: dict[int, None] = {}
     for part in filter(None, (p.strip() for p in spec.split(","))):
         low, sep, high = part.partition(":" if ":" in part else "-")
         a = int(low) if low else 1
-        b = int(high) if high else total if sep else a
-        if sep and high and b < a:
+        b = min(int(high), total) if high else total if sep else a
+        if sep and high and int(high) < a:
             raise ValueError(f"reversed range {part!r}")
         out.update(dict.fromkeys(range(a, max(a, b) + 1)))
     return list(out)
@@ -213,9 +213,9 @@ def as_json(df: DataFrame) -> DataFrame:
 
 
 def inject(text: Column, extra: str | Column) -> Column:
-    """``extra`` before the first (check-sat) that isn't commented out, else at the end."""
+    """``extra`` before the first line that holds (check-sat) outside a comment; without one, ``extra`` and (check-sat) at the end."""
     extra = F.lit(extra) if isinstance(extra, str) else extra
-    lines = F.split(text, "\n")
-    at = F.array_position(F.transform(lines, lambda x: F.ltrim(x).startswith("(check-sat)")), F.lit(True)).cast("int")
+    lines = F.split(text, "\n", -1)
+    at = F.array_position(F.transform(lines, lambda x: F.split(x, ";")[0].contains("(check-sat)")), F.lit(True)).cast("int")
     head, tail = F.slice(lines, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(lines, F.greatest(at, F.lit(1)), F.size(lines))
-    return F.when(at > 0, F.array_join(F.concat(head, F.array(extra), tail), "\n")).otherwise(F.concat(text, F.lit("\n"), extra, F.lit("\n")))
+    return F.when(at > 0, F.array_join(F.concat(head, F.array(extra), tail), "\n")).otherwise(F.concat(text, F.lit("\n"), extra, F.lit("\n(check-sat)")))
