@@ -74,6 +74,24 @@ def top_counts(df: DataFrame, keys, k: int | None = None, first: str | None = No
     return (ranked.limit(k) if k is not None else ranked).crossJoin(F.broadcast(every))
 
 
+#: Parts that the rows of a key are dealt over before the first of each key are taken from the parts' first.
+PARTS = 32
+
+
+def first_of_each(df: DataFrame, keys, order, k: int | None) -> DataFrame:
+    """The first ``k`` rows of each key (all for None) by ``order``, with their rank from 1.
+
+    The limit is applied where rows are, then in ``PARTS`` parts of each key, then to what these leave, so that no task
+    gets all rows of a key; without a limit ranks need a key's rows in one order.
+    """
+    keys, order = _cols(keys), [order] if isinstance(order, str) else list(order)
+    row = F.xxhash64(*[c for c in df.columns if c not in keys])
+    for by in ([*keys, F.pmod(row, F.lit(PARTS))], keys) if k is not None else (keys,):
+        df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        df = df.where(F.col("rank") <= k) if k is not None else df
+    return df
+
+
 def distinct_tally(df: DataFrame, column: str, regex: str, k: int | None = None) -> DataFrame:
     """How many rows hold each match of a pattern: a row counts once for a match."""
     items = F.array_distinct(F.regexp_extract_all(column, F.lit(f"({regex})")))

@@ -162,10 +162,11 @@ def summary(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def summary_diff(a: DataFrame, b: DataFrame, equal: bool = False) -> DataFrame:
-    """Both summaries' rows side by side; rows that agree only on demand."""
-    both = a.select("section", "key", F.col("n").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(b.select("section", "key", F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
-    out = both.groupBy("section", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("delta", F.col("b") - F.col("a"))
+def summary_diff(a: DataFrame, b: DataFrame, equal: bool = False, by=()) -> DataFrame:
+    """Both summaries' rows side by side, for each ``by``; rows that agree only on demand."""
+    keys, none = [*by, "section", "key"], F.lit(0).cast("long")
+    both = a.select(*keys, F.col("n").alias("a"), none.alias("b")).unionByName(b.select(*keys, none.alias("a"), F.col("n").alias("b")))
+    out = both.groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("delta", F.col("b") - F.col("a"))
     return out if equal else out.where("a <> b")
 
 

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
-from tracelake.operators.core import fifo_pairs, next_after
+from tracelake.operators.core import fifo_pairs, next_after, running_total
 
-_VAR = r"^\s*([A-Za-z_]\w*)\s*(:=|=)\s*(.*)$"
+# Forms of a lemma's lines: an assignment, a numbered precondition, a bound inside an assignment, an entry of a map of names.
+_VAR = r"^([A-Za-z_][A-Za-z0-9_]*)\s*(:=|=)\s*(.+)$"
+_NUMBERED = r"^\((\d+)\)\s*(.+)$"
+_BOUNDED = r"^([^\[]*)(\[[^\]]*\])(.*)$"
 _NAME = r"(\w+)=(-?\d+):\s*"
 
 
@@ -33,8 +36,12 @@ def varmaps(entries: DataFrame) -> DataFrame:
     return pairs.groupBy("trace_id", "name").agg(F.max_by("expr", F.struct("line_number", "i")).alias("expr"))
 
 
-def lemmas(entries: DataFrame, only_tag: str | None = "nla_solver") -> DataFrame:
-    """A row per lemma entry with its parts; ``jform`` are its constraints as fingerprints take them."""
+def lemmas(entries: DataFrame, only_tag: str | None = None) -> DataFrame:
+    """A row per lemma entry (of any tag, or of one) with its parts; ``jform`` are its constraints as fingerprints take them.
+
+    The first line is the strategy; of the others the last that starts with => is the conclusion, those that start with (
+    before the first such are preconditions, and all the rest, wherever they are, are assignments.
+    """
     rows = entries.where(F.col("function") == "~lemma_builder")
     if only_tag:
         rows = rows.where(F.col("tag") == only_tag)
@@ -43,12 +50,17 @@ def lemmas(entries: DataFrame, only_tag: str | None = "nla_solver") -> DataFrame
     ends = F.transform("body", _concludes)
     at = F.array_position(ends, F.lit(True)).cast("int")
     before = F.when(at > 0, F.slice("body", F.lit(1), F.greatest(at - 1, F.lit(0)))).otherwise(F.col("body"))
-    clause = lambda x: F.regexp_replace(X.normal_space(x), r"^=*>*\s*", "")
-    conclusion = F.try_element_at(F.transform(F.filter("body", _concludes), clause), F.lit(-1))
+    clause = lambda x: X.stripped(F.regexp_replace(x, r"^=*>*", ""))
+    lines = F.transform(F.slice("body", 2, F.greatest(F.size("body"), F.lit(1))), X.stripped)
+    conclusion = F.try_element_at(F.transform(F.filter(lines, _concludes), clause), F.lit(-1))
+    said = lambda x, form, i: F.when(x.rlike(form), X.normal_space(F.regexp_extract(x, form, i)))
+    condition = lambda x: F.struct(said(x, _NUMBERED, 1).try_cast("int").alias("index"), F.coalesce(said(x, _NUMBERED, 2), X.normal_space(x)).alias("expression"))
     indexed = r"^\(\s*(\d+)\s*\)\s*(.*)$"
-    condition = lambda x: F.struct(F.regexp_extract(x, indexed, 1).try_cast("int").alias("index"), F.when(x.rlike(indexed), F.regexp_extract(x, indexed, 2)).otherwise(x).alias("expression"))
-    conditions = F.transform(F.filter(F.transform(before, X.normal_space), lambda x: x.startswith("(")), condition)
-    stated = F.transform(F.filter(conditions, lambda c: c["index"].isNotNull()), lambda c: c["expression"])
+    stated = F.transform(F.filter(F.transform(before, X.normal_space), lambda x: x.rlike(indexed)), lambda x: F.regexp_extract(x, indexed, 2))
+    concluded = F.array_position(F.transform(lines, _concludes), F.lit(True)).cast("int")
+    open_until = F.when(concluded > 0, concluded - 1).otherwise(F.size(lines))  # of the lines after the first, so many come before a conclusion
+    conditions = F.transform(F.filter(lines, lambda x, i: x.startswith("(") & (i < open_until)), condition)
+    assigned = F.filter(lines, lambda x, i: (x != "") & ~_concludes(x) & ~(x.startswith("(") & (i < open_until)))
     after = F.when(at > 0, F.slice("body", at + 1, F.size("body"))).otherwise(F.array().cast("array<string>"))
     defs = F.transform(F.filter(after, lambda x: x.rlike(r"^\s*j\d+\s*:=")), lambda x: F.regexp_extract(x, r"^\s*(j\d+)", 1))
     held = F.try_element_at(F.filter(defs, lambda v: F.exists(F.split(conclusion, r"\b"), lambda t: t == v)), F.lit(1))
@@ -64,37 +76,45 @@ def lemmas(entries: DataFrame, only_tag: str | None = "nla_solver") -> DataFrame
         conclusion.alias("conclusion"),
         F.when(conclusion.isNotNull(), F.concat(stated, F.array(F.concat(F.lit("==> "), conclusion)))).otherwise(stated).alias("jform"),
         target.alias("target"),
-        after.alias("assignments"),
+        assigned.alias("assignments"),
     )
 
 
 def variables(found: DataFrame) -> DataFrame:
-    """name, value, bounds, definition, root, is_basic per lemma and variable: the first value, bounds and definition count."""
+    """name, value, bounds, definition, root, is_basic per lemma and variable: the first value, bounds, definition and root count.
+
+    A line without an assignment's form defines the variable before it, a root belongs to the variable before it; a root
+    without any before is a variable of that name.
+    """
     rows = found.select("trace_id", "line_number", F.posexplode("assignments").alias("pos", "line"))
     name, op, rest = (F.regexp_extract("line", _VAR, i) for i in (1, 2, 3))
-    own = F.col("line").rlike(_VAR) & ~(name == "root")
-    rows = rows.withColumn("name", F.when(own, name))
-    w = Window.partitionBy("trace_id", "line_number").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_carry", F.last("name", ignorenulls=True).over(w))
-    root = F.when(F.ltrim("line").rlike(r"^root\s*="), F.trim(F.regexp_extract("line", r"root\s*=\s*(.*)$", 1)))
-    trailing = F.regexp_extract(rest, r":=\s*(.*)$", 1)
-    plain = F.regexp_replace(rest, r"\s*:=.*$", "")
-    bounds = F.nullif(F.regexp_extract(plain, r"(\[[^\]]*\])", 1), F.lit(""))
-    value = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\[.*$", ""), r"(?i)\bbase\s*$", ""))
+    is_form, is_root = F.col("line").rlike(_VAR), F.col("line").rlike(r"^root\s*=")
+    lemma = Window.partitionBy("trace_id", "line_number").orderBy("pos")
+    earlier = F.coalesce(F.max(is_form).over(lemma.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    own = is_form & ~(is_root & F.col("_earlier"))
+    rows = rows.withColumn("_earlier", earlier).withColumn("_own", own).withColumn("name", F.when(own, name))
+    rows = rows.withColumn("name", F.last("name", ignorenulls=True).over(lemma.rowsBetween(Window.unboundedPreceding, 0)))
+    text = lambda c: F.nullif(X.normal_space(c), F.lit(""))
+    bounded = rest.rlike(_BOUNDED)
+    said = text(F.when(bounded, F.regexp_extract(rest, _BOUNDED, 1)).otherwise(rest))
+    based = r"(?i)(?:^|(?<= ))base$"
+    trailing = F.when(bounded, F.regexp_extract(X.normal_space(F.regexp_extract(rest, _BOUNDED, 3)), r"^.*?:=(.*)$", 1))
+    equals, free = F.col("_own") & (op == "="), ~F.col("_own")
+    definition = F.when(F.col("_own") & (op == ":="), text(rest)).when(equals, text(trailing)).when(free & ~is_root, text(F.col("line")))
     rows = rows.select(
-        "trace_id", "line_number", "pos", F.coalesce("name", "_carry", F.when(root.isNotNull(), F.lit("root"))).alias("name"), root.alias("root"),
-        F.when(own & (op == "="), F.nullif(value, F.lit(""))).alias("value"), F.when(own & (op == "="), bounds).alias("bounds"),
-        F.when(own & (op == ":="), F.trim(rest)).when(own, F.nullif(F.trim(trailing), F.lit(""))).when(~own & root.isNull(), F.nullif(F.trim("line"), F.lit(""))).alias("definition"),
-        (own & (op == "=") & F.regexp_replace(plain, r"\[.*$", "").rlike(r"(?i)\bbase\s*$")).alias("basic"),
-    )
+        "trace_id", "line_number", "pos", "name", F.when(free & is_root, text(F.regexp_extract("line", r"^root\s*=\s*(.+)$", 1))).alias("root"),
+        F.when(equals, text(F.regexp_replace(said, based, ""))).alias("value"), F.when(equals & bounded, F.regexp_extract(rest, _BOUNDED, 2)).alias("bounds"),
+        definition.alias("definition"), F.coalesce(equals & said.rlike(based), F.lit(False)).alias("basic"),
+    )
     first = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
-    return rows.where("name is not null").groupBy("trace_id", "line_number", "name").agg(first("value"), first("bounds"), first("definition"), first("root"), F.max("basic").alias("is_basic"), F.min("pos").alias("first_pos"))
+    named = rows.where("name is not null").groupBy("trace_id", "line_number", "name")
+    return named.agg(first("value"), first("bounds"), first("definition"), first("root"), F.max("basic").alias("is_basic"), F.min("pos").alias("first_pos"))
 
 
 def monomials(found: DataFrame) -> DataFrame:
     """Variables defined by a product; those that the conclusion names come first (``nth`` from 1)."""
     rows = variables(found).where(F.col("definition").contains("*")).join(found.select("trace_id", "line_number", "conclusion"), ["trace_id", "line_number"])
-    named = F.exists(F.split(F.coalesce("conclusion", F.lit("")), r"\b"), lambda t: t == F.col("name"))
+    named = F.array_contains(F.regexp_extract_all(F.coalesce("conclusion", F.lit("")), F.lit(r"(j\d+)")), F.col("name"))
     w = Window.partitionBy("trace_id", "line_number").orderBy(F.desc("named"), "first_pos")
     return rows.withColumn("named", named).withColumn("nth", F.row_number().over(w)).select("trace_id", "line_number", "nth", F.col("name").alias("variable"), F.col("definition").alias("expression"))
 
@@ -131,6 +151,22 @@ def strategy_shares(found: DataFrame) -> DataFrame:
     return shown.orderBy(F.desc("n"), "first_at", "strategy")
 
 
+def with_names(texts: DataFrame, names: DataFrame, column: str, id: str = "line_number", pattern: str = r"j\d+", humanised: bool = False) -> DataFrame:
+    """``texts`` (trace_id, ``id``, ``column``) with each name in ``column`` replaced by what the log's table of names (trace_id, name, expr) says.
+
+    Words are joined to the names, and put together again by text, so a log may have any number of names. Unknown names
+    stay, null texts too. ``humanised``: constants of names and texts as ``humanise_constants`` shows them.
+    """
+    shown = X.humanise_constants if humanised else lambda c: c
+    words = texts.where(F.col(column).isNotNull()).select("trace_id", id, F.posexplode(F.split(column, r"\b")).alias("_pos", "_word"))
+    is_name = F.col("_word").rlike(rf"^(?:{pattern})$")
+    known = names.select("trace_id", F.col("name").alias("_word"), shown(F.col("expr")).alias("_expr"))
+    named = words.where(is_name).join(known, ["trace_id", "_word"], "left").withColumn("_word", F.coalesce("_expr", "_word")).drop("_expr")
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_word")))
+    whole = words.where(~is_name).unionByName(named).groupBy("trace_id", id).agg(shown(F.array_join(F.transform(ordered, lambda x: x["_word"]), "")).alias("_text"))
+    return texts.join(whole, ["trace_id", id], "left").withColumn(column, F.col("_text")).drop("_text")
+
+
 def lemma_calls(entries: DataFrame, coarse: bool = False) -> DataFrame:
     """Lemmas paired in order with varmap entries and rewritten by them: constraints, fingerprint, target.
 
@@ -138,7 +174,7 @@ def lemma_calls(entries: DataFrame, coarse: bool = False) -> DataFrame:
     """
     own = entries.where(F.col("tag") == "nla_solver")
     maps = own.where(F.exists("body", lambda x: F.ltrim(x).startswith("varmap:"))).select("trace_id", "line_number", F.filter("body", lambda x: F.ltrim(x).startswith("varmap:"))[0].alias("line"))
-    pairs = fifo_pairs(lemmas(entries), maps, "trace_id", "line_number").withColumn("vm", varmap_of(F.col("r_line"))).where(F.size("vm") > 0)
+    pairs = fifo_pairs(lemmas(entries, "nla_solver"), maps, "trace_id", "line_number").withColumn("vm", varmap_of(F.col("r_line"))).where(F.size("vm") > 0)
     rewritten = lambda x: X.normal_space(X.resolve(x, F.col("vm")))
     items = F.transform("l_jform", lambda x: X.coarse_signature(rewritten(x)) if coarse else rewritten(x))
     target = F.coalesce(F.try_element_at("vm", F.col("l_target")), F.col("l_target"))  # a name that the map lacks stands for itself
@@ -156,8 +192,8 @@ def pool_calls(entries: DataFrame, coarse: bool = False) -> DataFrame:
     opened = next_after(checks.withColumn("_res", result), "trace_id", "line_number", pool, F.col("_res") != "", "_res")
     items = F.filter(F.transform("body", X.pool_line), lambda x: x.isNotNull())
     items = F.transform(items, lambda x: X.coarse_signature(X.negation(X.normal_space(x))) if coarse else X.negation(X.normal_space(x)))
-    w = Window.partitionBy("trace_id").orderBy("line_number")
-    return opened.select("trace_id", F.row_number().over(w).cast("long").alias("index"), "line_number", F.array_sort(items).alias("constraints"), "result").withColumn("fingerprint", X.fingerprint(F.col("constraints")))
+    opened = running_total(opened, "trace_id", "line_number", F.lit(1), "_n")
+    return opened.select("trace_id", (F.col("_n") + 1).alias("index"), "line_number", F.array_sort(items).alias("constraints"), "result").withColumn("fingerprint", X.fingerprint(F.col("constraints")))
 
 
 def calls(entries: DataFrame, prefer: str | None = None, coarse: bool = False) -> tuple[DataFrame, str]:

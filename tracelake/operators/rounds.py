@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.operators.core import in_last_range, scanned
+from tracelake.operators.core import floor_quartiles, in_last_range, scanned
 
 ROUND = "trace_id string, round long, anchor long, first_emission long, last_emission long, climb long, end_drop long, length long, internal_pops long, internal_drop long, closed boolean, closed_strict boolean"
 
@@ -85,10 +85,10 @@ class Span:
     None, rounds opened until then). It follows from the next emission's, so one walk from the end finds all of them.
     """
 
-    def __init__(self, kind: list[str], a: list[int], b: list[int], level: list[int], before: list[int]):
-        self.kind, self.a, self.b, self.level, self.before = kind, a, b, level, before
+    def __init__(self, at: list[int], kind: list[str], a: list[int], b: list[int], level: list[int], before: list[int]):
+        self.rows = list(zip(at, kind, a, b, level, before, strict=True))
         lowest: list[tuple[int, int]] = []  # pops that are lower than all nearer ones, the nearest last
-        heights: list[int] = []  # their levels, negated: the nearest is the highest
+        heights: list[int] = []  # their levels: the nearest is the highest
         next_open: tuple[int | None, int] = (None, 0)
         states: dict[int, tuple[int | None, int]] = {}
         for i in range(len(kind) - 1, -1, -1):
@@ -100,8 +100,8 @@ class Span:
                 lowest.append((b[i], i))
                 heights.append(b[i])
             elif kind[i] == "N":
-                at = bisect.bisect_left(heights, level[i]) - 1  # heights rise towards the nearest: the last one below the anchor
-                anchor, n = states[lowest[at][1]] if at >= 0 else (level[i], 0)
+                nth = bisect.bisect_left(heights, level[i]) - 1  # heights rise towards the nearest: the last one below the anchor
+                anchor, n = states[lowest[nth][1]] if nth >= 0 else (level[i], 0)
                 next_open = anchor, n + 1
         self.closed = next_open
         self.open = [(low, *states[i]) for low, i in lowest]
@@ -109,16 +109,16 @@ class Span:
     def partial_rounds(self, anchor: int | None, number: int) -> Iterator[dict]:
         """What this span knows of each round, given the state before it: the open round's anchor (None: none) and the last round's number."""
         now = {"round": number, "top": anchor, "length": 0, "pops": 0, "drop": 0} if anchor is not None else None
-        for kind, a, b, level, before in zip(self.kind, self.a, self.b, self.level, self.before, strict=True):
+        for at, kind, a, b, level, before in self.rows:
             if kind == "N" and now is None:
                 if number:
                     yield {"round": number, "last": before}
                 number, anchor = number + 1, level
-                now = {"round": number, "top": level, "length": 0, "pops": 0, "drop": 0, "anchor": level, "first": before + 1}
+                now = {"round": number, "top": level, "length": 0, "pops": 0, "drop": 0, "anchor": level, "first": before + 1, "start_at": at}
             elif now is None:
                 continue
             elif kind == "P" and b < anchor:
-                yield now | {"floor": b}
+                yield now | {"floor": b, "end_at": at}
                 now = None
             else:
                 now["length"] += 1
@@ -133,7 +133,7 @@ class Span:
 
 def _by_span(batches: Iterator[pa.RecordBatch], take: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """``take`` (first row, span -> rows) over the runs of equal (trace_id, _span) of sorted batches; only one span is held."""
-    names = ("kind", "a", "b", "_level", "_before")
+    names = ("at", "kind", "a", "b", "_level", "_before")
     held: dict[str, list] = {c: [] for c in names}
     head, out = None, []
     for batch in batches:
@@ -165,11 +165,11 @@ def _schema(ddl: str) -> pa.Schema:
 #: A span as a function of what is open before it: rounds below a pop's level go on as that pop says, others stay open.
 TABLE = "trace_id string, _span long, closed_anchor long, closed_rounds long, low array<long>, anchor array<long>, opened array<long>"
 BEFORE = "trace_id string, _span long, _anchor long, _round long"
-PARTIAL = "trace_id string, round long, anchor long, first long, last long, top long, floor long, length long, pops long, drop long"
+PARTIAL = "trace_id string, round long, anchor long, first long, last long, top long, floor long, length long, pops long, drop long, start_at long, end_at long"
 
 
-def rounds(events: DataFrame, span: int | None = None) -> DataFrame:
-    """A row per round.
+def rounds(events: DataFrame, span: int | None = None, places: bool = False) -> DataFrame:
+    """A row per round; with ``places`` also start_at and end_at, the ``at`` of the emission that opens it and of the pop that ends it.
 
     A log is cut into spans of positions (``span``). Each span, by itself, is turned into a table: which state it ends in
     for a log without an open round, and for an open one by its anchor (only pops lower than all before them in the
@@ -216,7 +216,7 @@ def rounds(events: DataFrame, span: int | None = None) -> DataFrame:
     known = dealt.join(before, ["trace_id", "_span"]).sortWithinPartitions("trace_id", "_span", "at")
     most = lambda c, name=None: F.max(c).alias(name or c)
     found = known.mapInArrow(partial, PARTIAL).groupBy("trace_id", "round").agg(
-        *[most(c) for c in ("anchor", "first", "last", "top", "floor")], *[F.sum(c).alias(c) for c in ("length", "pops", "drop")]
+        *[most(c) for c in ("anchor", "first", "last", "top", "floor", "start_at", "end_at")], *[F.sum(c).alias(c) for c in ("length", "pops", "drop")]
     )
     total = dealt.groupBy("trace_id").agg(F.sum((F.col("kind") == "N").cast("long")).alias("_n"))
     ended = F.col("floor").isNotNull()
@@ -224,6 +224,7 @@ def rounds(events: DataFrame, span: int | None = None) -> DataFrame:
         "trace_id", "round", "anchor", F.col("first").alias("first_emission"), F.coalesce("last", "_n").alias("last_emission"),
         F.when(ended, F.col("top") - F.col("anchor")).alias("climb"), (F.col("anchor") - F.col("floor")).alias("end_drop"), F.when(ended, F.col("length")).alias("length"),
         F.col("pops").alias("internal_pops"), F.col("drop").alias("internal_drop"), (ended & F.col("last").isNotNull()).alias("closed"), ended.alias("closed_strict"),
+        *(["start_at", "end_at"] if places else []),
     )
 
 
@@ -239,6 +240,45 @@ def lemmas_per_round(found: DataFrame, ranges: DataFrame) -> DataFrame:
     return spans.join(listed, ["trace_id", "round"], "left")
 
 
+# Names of the figures of a round table.
+METRICS = {"climb": "round climb (max-N)", "end_drop": "end-drop (N - target)", "pop": "internal pop drop", "length": "round length (events)", "level": "N at NLA emission"}
+TOTALS = {"rounds": "rounds", "closed": "closed_rounds", "emissions": "nla_emissions", "decisions": "decisions", "pops": "pops", "conflicts": "arith_conflicts", "max_level": "max_decision_level"}
+
+
+def round_figures(events: DataFrame, span: int | None = None) -> DataFrame:
+    """trace_id, metric, value: of every ended round its climb, fall at the end and length, of every pop inside a round its drop, of every emission its level."""
+    found = rounds(events, span, places=True)
+    ended = F.explode(F.array(*[F.struct(F.lit(METRICS[c]).alias("metric"), F.col(c).alias("value")) for c in ("climb", "end_drop", "length")])).alias("x")
+    of_rounds = found.where("closed_strict").select("trace_id", ended).select("trace_id", "x.*")
+    reach = found.select("trace_id", "start_at", F.coalesce(F.col("end_at") - 1, F.lit((1 << 61) - 1)).alias("until"))
+    inside = in_last_range(events.where("kind = 'P'").select("trace_id", "at", "a"), reach, "trace_id", "at", "start_at", "until")
+    of_pops = inside.select("trace_id", F.lit(METRICS["pop"]).alias("metric"), F.col("a").alias("value"))
+    levels = emission_levels(events, span).select("trace_id", F.lit(METRICS["level"]).alias("metric"), F.col("level").alias("value"))
+    return of_rounds.unionByName(of_pops).unionByName(levels)
+
+
+def round_table(events: DataFrame, span: int | None = None) -> DataFrame:
+    """trace_id, metric, n, min, q1, median, q3, max, mean: every log's figures by floor quartiles; zeros for a figure without values."""
+    names = F.explode(F.array(*map(F.lit, METRICS.values()))).alias("metric")
+    every = events.select("trace_id").distinct().select("trace_id", names)
+    found = floor_quartiles(round_figures(events, span), ["trace_id", "metric"], "value")
+    return every.join(found, ["trace_id", "metric"], "left").na.fill(0)
+
+
+def totals_table(totals: DataFrame) -> DataFrame:
+    """label, metric, value rows of ``round_totals``."""
+    cells = F.array(*[F.struct(F.lit(name).alias("metric"), F.col(c).cast("long").alias("value")) for c, name in TOTALS.items()])
+    return totals.select(F.col("trace_id").alias("label"), F.explode(cells).alias("x")).select("label", "x.*")
+
+
+def round_json(totals: DataFrame, table: DataFrame) -> DataFrame:
+    """label, value: a log's totals and quartiles as one object."""
+    figures = F.struct("n", "min", "q1", "median", "q3", "max", "mean")
+    quartiles = table.groupBy("trace_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("metric"), figures.alias("q"))))).alias("quartiles"))
+    named = F.struct(*[F.col(c).cast("long").alias(name) for c, name in TOTALS.items()])
+    return totals.join(quartiles, "trace_id").select(F.col("trace_id").alias("label"), F.to_json(F.struct(named.alias("totals"), "quartiles")).alias("value"))
+
+
 def round_totals(events: DataFrame, found: DataFrame) -> DataFrame:
     """Per trace: rounds, closed, emissions, decisions, pops, conflicts, max_level."""
     n = lambda k: F.count_if(F.col("kind") == k)

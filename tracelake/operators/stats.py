@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
-from tracelake.operators.core import ab_counts, share_points, with_tags
+from tracelake.operators.core import ab_counts, first_of_each, share_points, with_tags
+from tracelake.operators.lemmas import lemma_calls, lemmas, pool_calls
 
+# Forms of blocks and constants in conflicts, and the shapes of premises.
 BLOCKS, CONSTANTS = r"BLK__\w+", r"\b\d{6,}\b"
 SHAPES = ("clean_linear", "ite_wrapped", "mod_div_wrapped", "mixed")
 
@@ -89,8 +92,8 @@ def conflict_items(entries: DataFrame) -> DataFrame:
 def arith_conflict(entries: DataFrame, k: int = 10) -> DataFrame:
     """Conflicts, premise rows, distinct blocks and constants; the most frequent of these; the shapes, zeros included."""
     found = conflict_diff_counts(conflict_items(entries.withColumn("side", F.lit(True))))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("section").orderBy(F.desc("a"), "key")))
-    shown = ranked.where((F.col("rank") <= k) | ~F.col("section").isin("blocks", "constants"))
+    listed = F.col("section").isin("blocks", "constants")
+    shown = first_of_each(found.where(listed), ["section"], [F.desc("a"), "key"], k).drop("rank").unionByName(found.where(~listed))
     return shown.select("section", "key", F.col("a").cast("double").alias("value"), F.col("a_total").cast("double").alias("total"))
 
 
@@ -130,10 +133,10 @@ def conflict_diff(a: DataFrame, b: DataFrame, k: int = 5) -> DataFrame:
     if any(s.isEmpty() for s in sides):
         raise ValueError("both logs need arith_conflict entries")
     found = conflict_diff_counts(conflict_items(sides[0].unionByName(sides[1])))
-    by = lambda *order: F.row_number().over(Window.partitionBy("section").orderBy(*order))
-    ranked = found.withColumn("_a", by(F.desc("a"), "key")).withColumn("_b", by(F.desc("b"), "key"))
-    ranked = ranked.where((F.col("_a") <= k) & (F.col("a") > 0) | (F.col("_b") <= k) & (F.col("b") > 0) | ~F.col("section").isin("blocks", "constants"))
-    ranked = ranked.withColumn("_r", by(F.desc(F.greatest("a", "b")), "key")).where((F.col("_r") <= k) | ~F.col("section").isin("blocks", "constants"))
+    listed = F.col("section").isin("blocks", "constants")
+    largest = [first_of_each(found.where(listed & (F.col(side) > 0)), ["section"], [F.desc(side), "key"], k).drop("rank") for side in "ab"]
+    both = largest[0].unionByName(largest[1]).dropDuplicates(["section", "key"])
+    ranked = first_of_each(both, ["section"], [F.desc(F.greatest("a", "b")), "key"], k).drop("rank").unionByName(found.where(~listed))
     points = share_points(F.col("a"), F.nullif("a_total", F.lit(0)), F.col("b"), F.nullif("b_total", F.lit(0)))
     points = F.coalesce(points, X.share(F.col("b"), F.col("b_total")), -X.share(F.col("a"), F.col("a_total")), F.lit(0.0))
     note = F.when(F.col("section") == "shapes", X.points_delta(points)).otherwise(X.count_delta(F.col("a"), F.col("b")))
@@ -151,16 +154,50 @@ def metric_diff(metrics: DataFrame, side: Column, k: int | None = None, least_re
     """Counts (section, key, n) of two sides side by side, each section's largest first; rows that both sides have less than the section's least are out."""
     counts = ab_counts(metrics, ["section", "key"], side, F.col("n"))
     least = F.when(F.col("section") == "fingerprint", least_repeats).otherwise(1)
-    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc(F.greatest("a", "b")), "key"))
-    ranked = counts.where(F.greatest("a", "b") >= least).withColumn("rank", rank)
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+    counts = counts.where(F.greatest("a", "b") >= least)
+    return first_of_each(counts, ["section"], [F.desc(F.greatest("a", "b")), "key"], k)
 
 
-def trace_metrics(entries: DataFrame) -> DataFrame:
-    """Per trace: functions, lemma strategies and blocked patches as (section, key, n) rows, for ``ab_counts``."""
+#: Fixed value: the strategy of a lemma that names none.
+UNKNOWN = "<unknown>"
+
+
+def log_calls(entries: DataFrame) -> DataFrame:
+    """The lemma calls of each log, or its pool calls where it has no lemma calls."""
+    found = lemma_calls(entries)
+    columns = ["trace_id", "index", "constraints", "fingerprint"]
+    pools = pool_calls(entries).select(*columns, F.lit("nra").alias("source")).join(found.select("trace_id").distinct(), "trace_id", "left_anti")
+    return found.select(*columns, F.lit("varmap").alias("source")).unionByName(pools)
+
+
+def trace_metrics(entries: DataFrame, fingerprints: bool = True) -> DataFrame:
+    """Per trace (section, key, n) rows, for ``metric_diff``: entries, lemmas and calls; functions; blocked patches; lemma strategies; fingerprints of calls."""
     own = entries.where("tag = 'nla_solver'")
     body = F.array_join("body", "\n")
     rows = own.select("trace_id", F.lit("function").alias("section"), F.col("function").alias("key"))
     blocked = own.where("function = 'is_patch_blocked'").select("trace_id", F.lit("patch").alias("section"), F.when(X.is_blocked(body), "blocked").otherwise("free").alias("key"))
-    lemma = entries.where("function = '~lemma_builder'").select("trace_id", F.lit("strategy").alias("section"), F.regexp_replace(F.trim(F.col("body")[0]), r"(?<=\D)\d+$", "").alias("key"))
-    return rows.unionByName(blocked).unionByName(lemma).groupBy("trace_id", "section", "key").agg(F.count("*").alias("n"))
+    found = lemmas(entries)
+    strategy = F.coalesce(F.nullif("strategy", F.lit("")), F.lit(UNKNOWN))
+    total = lambda df, key: df.select("trace_id", F.lit("total").alias("section"), F.lit(key).alias("key"))
+    parts = [rows, blocked, found.select("trace_id", F.lit("strategy").alias("section"), strategy.alias("key")), total(own, "entries"), total(found, "lemmas")]
+    if fingerprints:
+        called = log_calls(entries)
+        parts += [total(called, "calls"), called.select("trace_id", F.lit("fingerprint").alias("section"), F.col("fingerprint").alias("key"))]
+    return reduce(DataFrame.unionByName, parts).groupBy("trace_id", "section", "key").agg(F.count("*").alias("n"))
+
+
+def trace_diff(metrics: DataFrame, side: Column, k: int = 5) -> DataFrame:
+    """Two sides of ``trace_metrics``: section, key, a, b, note (the change as text), rank.
+
+    Totals; calls of check; the ``k`` largest of the other functions, of the strategies, and of the fingerprints that a side has twice or
+    more; and the share of blocked patches (a and b: blocked ones; note: whole percentage points).
+    """
+    check = (F.col("section") == "function") & (F.col("key") == "check")
+    counts = metric_diff(metrics.withColumn("section", F.when(check, "check").otherwise(F.col("section"))).where("section <> 'patch'"), side, k)
+    listed = counts.select("section", "key", "a", "b", X.count_delta(F.col("a"), F.col("b")).alias("note"), "rank")
+    n = lambda on, which: F.coalesce(F.sum(F.when(on & which, F.col("n"))), F.lit(0)).cast("long")
+    blocked = F.col("key") == "blocked"
+    rate = metrics.where("section = 'patch'").agg(*[n(on, which).alias(c) for on, s in ((side, "a"), (~side, "b")) for c, which in ((s, blocked), (f"{s}_all", F.lit(True)))])
+    share = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.col(f"{c}_all")) * 100, F.lit(0.0))
+    rate = rate.where("a_all + b_all > 0").select(F.lit("patch").alias("section"), F.lit("blocked").alias("key"), "a", "b", X.whole_points_delta(share("b") - share("a")).alias("note"), F.lit(1).alias("rank"))
+    return listed.unionByName(rate)

@@ -408,4 +408,4 @@ def oracle_sql():
     return dict(SQL)
 
 
-from tracelake.plans import solver  # noqa: E402,F401  its queries join the registry
+from tracelake.plans import reports, solver  # noqa: E402,F401  their queries join the registry

@@ -77,7 +77,7 @@ def blocked_rate(spark, sf_dir):
 
 
 @query(_E + """, m AS (SELECT trace_id, 'function' AS section, function AS key FROM e WHERE k <> 5 UNION ALL SELECT trace_id, 'patch', CASE WHEN a < 3 THEN 'blocked' ELSE 'free' END FROM e WHERE k = 4
-UNION ALL SELECT trace_id, 'strategy', 'order lemma ' FROM e WHERE k = 1)
+UNION ALL SELECT trace_id, 'strategy', 'order lemma' FROM e WHERE k = 1 UNION ALL SELECT trace_id, 'total', 'lemmas' FROM e WHERE k = 1 UNION ALL SELECT trace_id, 'total', 'entries' FROM e WHERE k <> 5)
 SELECT section, key, count(*) FILTER (trace_id < '3') AS a, count(*) FILTER (trace_id >= '3') AS b, count(*) FILTER (trace_id >= '3') - count(*) FILTER (trace_id < '3') AS delta,
 row_number() OVER (PARTITION BY section ORDER BY greatest(count(*) FILTER (trace_id < '3'), count(*) FILTER (trace_id >= '3')) DESC, key)::INT AS rank FROM m GROUP BY 1, 2""")
 def trace_metric_diff(spark, sf_dir):
@@ -120,10 +120,13 @@ m AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY greatest(a, b)
 w AS (SELECT section, key, a, b, CASE WHEN section = 'shapes' THEN ap ELSE ac END AS a_total, CASE WHEN section = 'shapes' THEN bp ELSE bc END AS b_total FROM m, t WHERE section = 'shapes' OR r <= 5
 UNION ALL SELECT 'summary', unnest(['conflicts', 'premises', 'blocks', 'constants']), unnest([ac, ap, (SELECT count(*) FROM c WHERE section = 'blocks' AND a > 0), (SELECT count(*) FROM c WHERE section = 'constants' AND a > 0)]),
 unnest([bc, bp, (SELECT count(*) FROM c WHERE section = 'blocks' AND b > 0), (SELECT count(*) FROM c WHERE section = 'constants' AND b > 0)]), NULL, NULL FROM t)
-SELECT section, key, a, b, b - a AS delta, a_total, b_total, CASE WHEN section <> 'summary' THEN round(b * 100.0::DOUBLE / b_total - a * 100.0::DOUBLE / a_total, 6) END AS points FROM w""")
+SELECT section, key, a, b, b - a AS delta, a_total, b_total, CASE WHEN section <> 'summary' THEN points END AS points,
+CASE WHEN section = 'shapes' THEN CASE WHEN abs(points) < 0.05 THEN '=' ELSE CASE WHEN points > 0 THEN '+' ELSE '' END || printf('%.1fpp', round_even(points::DECIMAL(18, 6), 1)::DOUBLE) END
+WHEN a = b THEN '=' ELSE CASE WHEN b > a THEN '+' ELSE '' END || (b - a) || CASE WHEN a = 0 THEN '' ELSE ' (' || CASE WHEN b > a THEN '+' ELSE '' END || round_even((b - a) * 100.0::DOUBLE / a, 0)::BIGINT || '%)' END END AS note
+FROM (SELECT *, round(b * 100.0::DOUBLE / b_total - a * 100.0::DOUBLE / a_total, 6) AS points FROM w)""")
 def conflict_diff(spark, sf_dir):
     c = _conflicts(spark, sf_dir)
-    return stats.conflict_diff(c.where("trace_id = 'F'"), c.where("trace_id <> 'F'")).drop("note")
+    return stats.conflict_diff(c.where("trace_id = 'F'"), c.where("trace_id <> 'F'"))
 
 
 # -- lemmas -------------------------------------------------------------------------------------
@@ -233,20 +236,28 @@ def target_totals(spark, sf_dir):
 
 # -- rounds ---------------------------------------------------------------------------------------
 def _numbered(spark, sf_dir):
+    """Every emission as a lemma whose conclusion names a variable that its log's table of names has, and one that it lacks."""
     events = _round_events(spark, sf_dir)
-    found = rounds.emission_levels(events).select("trace_id", F.col("emission").alias("index"), F.concat(F.lit("s"), (F.col("at") % 3).cast("string")).alias("strategy"), F.lit(None).cast("string").alias("conclusion"), F.lit(1).alias("preconditions"), F.lit(2).alias("variables"), F.lit(0).alias("monomials"))
-    return found, rounds.rounds(events)
+    conclusion = F.concat(F.lit("j"), (F.col("at") % 4).cast("string"), F.lit(" < j9 + 1000000"))
+    found = rounds.emission_levels(events).select(
+        "trace_id", F.col("emission").alias("index"), F.concat(F.lit("s"), (F.col("at") % 3).cast("string")).alias("strategy"),
+        F.when(F.col("at") % 5 != 0, conclusion).alias("conclusion"), F.lit(1).alias("preconditions"), F.lit(2).alias("variables"), F.lit(0).alias("monomials"),
+    )
+    names = events.select("trace_id").distinct().select("trace_id", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("i"))
+    names = names.select("trace_id", F.concat(F.lit("j"), F.col("i").cast("string")).alias("name"), F.concat(F.lit("u"), "trace_id", F.lit("_"), F.col("i").cast("string"), F.lit(" 4096")).alias("expr"))
+    return lemmas.with_names(found, names, "conclusion", id="index", humanised=True), rounds.rounds(events)
 
 
-_EMISSIONS = ", m AS (SELECT user_id::VARCHAR AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS index, 's' || (event_id % 3) AS strategy FROM events WHERE event_type = 'purchase')"
+_EMISSIONS = """, m AS (SELECT user_id::VARCHAR AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS index, 's' || (event_id % 3) AS strategy,
+CASE WHEN event_id % 5 <> 0 THEN 'u' || user_id || '_' || (event_id % 4) || ' 2^12 < j9 + 1_000_000' ELSE '' END AS conclusion FROM events WHERE event_type = 'purchase')"""
 
 
 @query(ROUNDS_SQL + _EMISSIONS + """
-SELECT r.trace_id, round, first_emission, last_emission, closed, string_agg(index || ' ' || strategy, ',' ORDER BY index) AS lemmas
+SELECT r.trace_id, round, first_emission, last_emission, closed, string_agg(index || ' ' || strategy || ' ' || conclusion, ',' ORDER BY index) AS lemmas
 FROM rounds r JOIN m ON r.trace_id = m.trace_id AND index BETWEEN first_emission AND last_emission GROUP BY ALL""")
 def lemmas_per_round(spark, sf_dir):
     found = rounds.lemmas_per_round(*_numbered(spark, sf_dir))
-    return found.withColumn("lemmas", F.array_join(F.transform("lemmas", lambda x: F.concat(x["index"].cast("string"), F.lit(" "), x["strategy"])), ","))
+    return found.withColumn("lemmas", F.array_join(F.transform("lemmas", lambda x: F.concat_ws(" ", x["index"].cast("string"), x["strategy"], x["conclusion"])), ","))
 
 
 @query(ROUNDS_SQL + _EMISSIONS + " SELECT m.trace_id, index, strategy FROM rounds r JOIN m ON r.trace_id = m.trace_id AND index BETWEEN first_emission AND last_emission WHERE round = 2")
@@ -363,9 +374,18 @@ def leaves_with_children(spark, sf_dir):
     return found.select(X.basename(F.col("folder")).alias("folder"), F.col("leaf.file").alias("file"))
 
 
-@query("SELECT n_nationkey AS k, 'a' || chr(10) || '; (check-sat)' || chr(10) || '(set ' || n_name || ')' || chr(10) || '(check-sat)' AS text FROM nation")
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN '(p ' || o_custkey || ')' || chr(10) || '; (check-sat)' || chr(10) || '(set ' || o_orderpriority || ')' || chr(10) || '(check-sat)'
+WHEN 1 THEN '(set ' || o_orderpriority || ')' || chr(10) || '(assert ' || o_custkey || ') (check-sat)' || chr(10) || '(check-sat)' WHEN 2 THEN '(p ' || o_custkey || ')' || chr(10) || '(set ' || o_orderpriority || ')' || chr(10) || '(check-sat)'
+ELSE '(p) ; (check-sat)' || chr(10) || '(set ' || o_orderpriority || ')' || chr(10) || ' (check-sat) ; ' || o_custkey END AS text FROM orders""")
 def injected(spark, sf_dir):
-    return _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), results.inject(F.lit("a\n; (check-sat)\n(check-sat)"), F.concat(F.lit("(set "), "n_name", F.lit(")"))).alias("text"))
+    """Before the check at a line's start or inside it, after one in a comment; with a check of its own where there is none."""
+    o = _t(spark, sf_dir, "orders")
+    kind, c = F.col("o_orderkey") % 4, F.col("o_custkey").cast("string")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("(p "), c, F.lit(")\n; (check-sat)\n(check-sat)"))).when(kind == 1, F.concat(F.lit("(assert "), c, F.lit(") (check-sat)\n(check-sat)")))
+        .when(kind == 2, F.concat(F.lit("(p "), c, F.lit(")"))).otherwise(F.concat(F.lit("(p) ; (check-sat)\n (check-sat) ; "), c))
+    )
+    return o.select(F.col("o_orderkey").alias("k"), results.inject(text, F.concat(F.lit("(set "), "o_orderpriority", F.lit(")"))).alias("text"))
 
 
 @query("SELECT json_object('sizes', json_object('max', max(n_nationkey)::DOUBLE, 'n', count(*)::DOUBLE), 'spacer', json_object('', 2.0)) AS value FROM nation")
@@ -445,12 +465,13 @@ def delta_texts(spark, sf_dir):
     return n.select(k.alias("k"), X.count_delta(k * 4, F.lit(50)).alias("counts"), X.points_delta(F.when(k == 0, F.lit(0.04)).otherwise(k + F.lit(0.25))).alias("points"))
 
 
-@query("SELECT c_name AS name, row_number() OVER (ORDER BY c_custkey DESC)::INT AS place FROM (SELECT 'x' || (1000 - c_custkey) AS c_name, c_custkey FROM customer WHERE c_custkey < 1000)")
+@query("SELECT c_nationkey AS nation, 'x' || (10000000 - c_custkey) AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC)::INT AS place FROM customer")
 def natural_order(spark, sf_dir):
+    """Places by number, which isn't the order of the texts."""
     from pyspark.sql import Window
 
-    c = _t(spark, sf_dir, "customer").where("c_custkey < 1000").select(F.concat(F.lit("x"), (1000 - F.col("c_custkey")).cast("string")).alias("name"))
-    return c.select("name", F.row_number().over(Window.orderBy(X.natural_key(F.col("name")))).alias("place"))
+    c = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.concat(F.lit("x"), (10000000 - F.col("c_custkey")).cast("string")).alias("name"))
+    return c.select("nation", "name", F.row_number().over(Window.partitionBy("nation").orderBy(X.natural_key(F.col("name")))).alias("place"))
 
 
 @query("SELECT o_orderkey, (SELECT count(*) FROM orders) - 12 AS more FROM orders ORDER BY o_orderkey LIMIT 12")
@@ -458,12 +479,13 @@ def previewed(spark, sf_dir):
     return core.preview(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 12)
 
 
-@query("SELECT o_orderkey, unnest([1, 5, 6, 3]) AS nth FROM (SELECT min(o_orderkey) AS o_orderkey FROM orders)")
+@query("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders)
+SELECT o_orderkey, o_custkey, nth, CASE nth WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 3 WHEN 1 THEN 4 WHEN 2 THEN 5 ELSE nth - 2 END AS listed FROM r WHERE nth <= 3 OR nth BETWEEN 5 AND 6 OR nth BETWEEN 8 AND 12""")
 def listed_rows(spark, sf_dir):
-    """Positions from a list of ranges."""
-    wanted = results.index_ranges("1,5:6,3,5", 10)
-    first = _t(spark, sf_dir, "orders").agg(F.min("o_orderkey").alias("o_orderkey"))
-    return first.select("o_orderkey", F.explode(F.array(*map(F.lit, wanted))).alias("nth"))
+    """Of each customer's orders those of a list of ranges, which end at twelve, in the list's order."""
+    wanted = results.index_ranges("3,5:6,5,:2,8:200", 12)
+    listed = spark.createDataFrame([(n, i) for i, n in enumerate(wanted, 1)], "nth long, listed long")
+    return core.renumbered(_t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", "nth").join(F.broadcast(listed), "nth")
 
 
 # -- formulas -------------------------------------------------------------------------------------
@@ -504,9 +526,8 @@ def formula_metrics(spark, sf_dir):
     return m.select("file", "ites", "divs", "mods", "over_ite", F.col("degree").cast("long").alias("degree"), "linear", dag.gain(before, after).alias("gained"))
 
 
-@query("SELECT 'operators' AS section, key, a::BIGINT AS a, b::BIGINT AS b, (b - a)::BIGINT AS delta FROM (VALUES ('*', 4, 1), ('=', 2, 1), ('and', 0, 1), ('mod', 1, 0), ('or', 1, 0)) v(key, a, b)")
+@query("""SELECT n_name AS file, section, key, a::BIGINT AS a, b::BIGINT AS b, (b - a)::BIGINT AS delta FROM nation, (VALUES ('operators', '*', 4, 1), ('operators', '=', 2, 1), ('operators', 'and', 0, 1), ('operators', 'mod', 1, 0),
+('operators', 'or', 1, 0), ('summary', 'asserts', 4, 2), ('constants', 'Bool', 3, 1), ('constants', 'Int', 2, 1)) v(section, key, a, b)""")
 def formula_diff(spark, sf_dir):
-    """Operators of one nation's two formulas, those that differ."""
-    name = _t(spark, sf_dir, "nation").agg(F.min("n_name").alias("n")).first()["n"]
-    one = lambda t: dag.summary(t[0].where(F.col("file") == name), None).where("section = 'operators'")
-    return dag.summary_diff(one(_terms(spark, sf_dir)), one(smt2.dag_tables(_formulas(spark, sf_dir))))
+    """Each nation's two formulas: counts that differ, the depth (four in both) not among them."""
+    return dag.summary_diff(dag.summary(_terms(spark, sf_dir)[0]), dag.summary(smt2.dag_tables(_formulas(spark, sf_dir))[0]), by=["file"])

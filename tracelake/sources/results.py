@@ -208,6 +208,48 @@ def sections_json(rows: DataFrame) -> DataFrame:
     return last.groupBy("section").agg(cells).agg(F.to_json(every).alias("value"))
 
 
+def tally_rows(tallied: DataFrame, split: str | None = None) -> DataFrame:
+    """A tally's rows as a table of texts and numbers, ready for write.csv: times with three decimals, blank where there is none."""
+    blank = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    fast = lambda s: [blank(F.format_string("%.3f", F.col(f"fastest_{s}").cast("double"))).alias(f"fastest_{s}_time_s"), blank(F.col(f"fastest_{s}_seed")).alias(f"fastest_{s}_seed")]
+    timed = [F.when(F.col(f"fastest_{s}").isNull(), F.lit("")).otherwise(c).alias(name) for s in ("sat", "unsat") for c, name in zip(fast(s), (f"fastest_{s}_time_s", f"fastest_{s}_seed"), strict=True)]
+    counts = [F.col(f"n_{s}").alias(s) for s in ("sat", "unsat", "timeout", "unknown", "error") if f"n_{s}" in tallied.columns]
+    return tallied.select(*([blank(F.col(split)).alias("split")] if split else []), "config", F.col("runs").alias("total"), *counts, *timed)
+
+
+def tally_json(tallied: DataFrame, split: str | None = None) -> DataFrame:
+    """A tally's rows as objects: the fastest runs as objects of time_s and seed, null where there is none."""
+    fast = lambda s: F.when(F.col(f"fastest_{s}").isNotNull(), F.struct(F.round(F.col(f"fastest_{s}").cast("double"), 3).alias("time_s"), F.col(f"fastest_{s}_seed").alias("seed"))).alias(f"fastest_{s}")
+    counts = [F.col(f"n_{s}").alias(s) for s in ("sat", "unsat", "timeout", "unknown", "error") if f"n_{s}" in tallied.columns]
+    row = F.struct("config", F.col("runs").alias("total"), *counts, fast("sat"), fast("unsat"), *([F.col(split).alias("split")] if split else []))
+    return tallied.select("config", *([split] if split else []), F.to_json(row, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def comparison_rows(means: DataFrame, configs: list[str], summary: dict[str, str] | None = None, key: str = "key") -> DataFrame:
+    """Means as texts, ready for write.csv: whole ones below 10^12 without decimals, others with three, the difference with one, blank for none.
+
+    ``summary``: each config's results, a row of its own before the statistics (``nth`` 0).
+    """
+    whole = lambda c: (c == F.floor(c)) & (F.abs(c) < 1e12)
+    text = lambda c: F.coalesce(F.when(whole(c), c.cast("long").cast("string")).otherwise(F.format_string("%.3f", c)), F.lit(""))
+    shown = lambda c: F.when(F.col(f"`{c}`").isNull(), "").otherwise(text(F.col(f"`{c}`"))).alias(c)
+    two = [F.when(F.col("diff_pct").isNull(), "").otherwise(F.format_string("%.1f", "diff_pct")).alias("diff_pct")] if len(configs) == 2 else []
+    out = means.select(F.lit(1).alias("nth"), F.col(key).alias("stat"), *[shown(c) for c in configs], *two)
+    if not summary:
+        return out
+    row = [0, "result", *[summary.get(c, "") for c in configs], *([""] if two else [])]
+    return means.sparkSession.createDataFrame([tuple(row)], out.schema).unionByName(out)
+
+
+def comparison_json(means: DataFrame, configs: list[str], counts: DataFrame, key: str = "key") -> DataFrame:
+    """One row: the configs, their numbers of seeds (``seed_counts``) and each statistic's means, as one object."""
+    by_key = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.struct(*[F.col(f"`{c}`").alias(c) for c in configs]).alias("v")))))
+    seeds = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("config", "seeds")))).alias("seed_counts"))
+    found = means.agg(by_key.alias("stats")).crossJoin(seeds)
+    listed = F.array(*map(F.lit, configs)).alias("configs")
+    return found.select(F.to_json(F.struct(listed, "seed_counts", "stats"), {"ignoreNullFields": "false"}).alias("value"))
+
+
 def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
