@@ -9,10 +9,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Type names of patterns, what counts as a comparison, alias of a head.
+# Type names of patterns, what counts as a comparison, alias of a head, patterns that a summary counts.
 TYPES = ("Bool", "Numeral", "Var", "Expr", "Eq", "Comparison")
 COMPARISONS = ("<", "<=", ">", ">=")
 ALIASES = {"if": "ite"}
@@ -124,9 +124,11 @@ def find(nodes: DataFrame, edges: DataFrame, pattern: str | Term) -> DataFrame:
     return found.select("file", "id", *[F.col(p).alias(c) for c, p in captures.items()])
 
 
-def distinct_matches(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of a file's matches the first (smallest id) of each printed text, with it."""
-    return found.join(texts, ["file", "id"]).withColumn("_r", F.row_number().over(Window.partitionBy("file", "text").orderBy("id"))).where("_r = 1").drop("_r")
+def distinct_matches(found: DataFrame, nodes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Of a file's matches the first (smallest id) of each print, told apart by the hash of the whole print; with ``texts`` also shown."""
+    first = found.join(nodes.select("file", "id", "printed"), ["file", "id"]).groupBy("file", "printed")
+    least = first.agg(F.min(F.struct("id", *[c for c in found.columns if c not in ("file", "id")])).alias("_m")).select("file", "_m.*")
+    return least if texts is None else least.join(texts, ["file", "id"])
 
 
 def parse_tactic(text: str) -> list[str]:

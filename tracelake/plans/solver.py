@@ -489,13 +489,17 @@ def listed_rows(spark, sf_dir):
 
 
 # -- formulas -------------------------------------------------------------------------------------
-def _terms(spark, sf_dir):
+def _term_files(spark, sf_dir):
     """A formula per nation with a definition, rationals, and splits on Boolean constants."""
     n = _t(spark, sf_dir, "nation")
     k, r = _s("n_nationkey"), _s("n_regionkey")
     head = F.concat(F.lit("(declare-const x Int) (declare-const y Int) (declare-const b"), r, F.lit(" Bool) (declare-const g Bool) (declare-const fixed Bool) (define-fun twice ((a Int)) Int (* 2 a)) "))
     body = F.concat(F.lit("(assert fixed) (assert (< (twice x) "), k, F.lit(".50)) (assert (< (/ 6 4) (* x (ite g y 1)))) (assert (or b"), r, F.lit(" (= (mod x 3) (twice (twice y))) (= (twice x) x)))"))
-    return smt2.dag_tables(n.select(F.col("n_name").alias("file"), F.concat(head, body).alias("text")))
+    return n.select(F.col("n_name").alias("file"), F.concat(head, body).alias("text"))
+
+
+def _terms(spark, sf_dir):
+    return smt2.dag_tables(_term_files(spark, sf_dir))
 
 
 @query("SELECT n_name AS file, description, n::BIGINT AS n FROM nation, (VALUES ('Var(x)', 1), ('Numeral(2)', 1), ('Numeral(3/2)', 1), ('Op(ite)', 1), ('Op(*)', 4)) v(description, n) UNION ALL SELECT n_name, 'Numeral(' || (2 * n_nationkey + 1) || '/2)', 1 FROM nation WHERE n_nationkey <> 1")
@@ -508,7 +512,7 @@ def term_kinds(spark, sf_dir):
 @query("SELECT n_name AS file, unnest(['(* 2 (* 2 y))', '(* 2 x)', '(* 2 y)']) AS text FROM nation")
 def printed_matches(spark, sf_dir):
     nodes, edges = _terms(spark, sf_dir)
-    found = dag.distinct_matches(dag.find(nodes, edges, "(* 2 ?a)"), smt2.term_texts(nodes, edges))
+    found = dag.distinct_matches(dag.find(nodes, edges, "(* 2 ?a)"), nodes, smt2.term_texts(_term_files(spark, sf_dir)))
     return found.select("file", "text")
 
 

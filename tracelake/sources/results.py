@@ -27,6 +27,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{(at or tempfile.gettempdir()).rstrip('/')}/tracelake/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table below the shared folder and read back: made once however often it is used, and without lineage."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:
     """Runs of a sweep table; a blank split is none; missing columns are an error."""
     df = spark.read.csv(path, header=True)
