@@ -150,3 +150,43 @@ def test_stages_take_odd_and_empty_tables(spark):
     before = set(os.listdir(where))
     common.kept(spark, lambda: common.durable(common.durable(spark.range(5))))
     assert len(set(os.listdir(where)) - before) == 1
+
+
+def test_stages_keep_all_columns(spark):
+    """Columns beside the five of the table, some of them named as those that stages make; long, empty and null texts."""
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, "long word " * 60_000, "en", "s", 0), (-2, "", "en", "s", 0), (-3, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(odd).selectExpr("*", "'mine' AS _row", "doc_id + 1 AS score", "1 AS component_id", "'x' AS row")
+    for _, stage in c.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        assert {(r["_row"], r["component_id"], r["row"]) for r in found.collect()} == {("mine", 1, "x")} and found.where("score <> doc_id + 1").isEmpty()
+    assert c.STAGES[-1][1](spark, docs, SF).where("doc_id = -1").count() > 1
+
+
+def test_kept_deletes_its_own_tables_only(spark):
+    import threading
+
+    from tracelake.llm.common import durable, kept
+
+    started, go, found = threading.Event(), threading.Event(), {}
+
+    def other():
+        found["other"] = durable(spark.range(7))
+        started.set()
+        go.wait(60)
+
+    thread = threading.Thread(target=other)
+
+    def make():
+        inner = kept(spark, lambda: durable(spark.range(3)).join(durable(spark.range(2)), "id"))
+        thread.start()
+        assert started.wait(60)
+        return inner.union(inner)
+
+    result = kept(spark, make)
+    go.set()
+    thread.join()
+    assert result.count() == 4 and found["other"].count() == 7

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -33,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+#: For each thread the lists of tables that were written inside its calls of ``kept``, the innermost last.
+_WRITTEN = threading.local()
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -44,17 +46,22 @@ def durable(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/tracelake/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    if frames := getattr(_WRITTEN, "frames", None):
+        frames[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def kept(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()`` as a durable table; the tables that were written on the way to it are deleted."""
-    before = len(_WRITTEN)
-    result = durable(make())
-    *others, own = _WRITTEN[before:]
-    del _WRITTEN[before:]
-    _WRITTEN.append(own)
+    """``make()`` as a durable table; the tables that this call wrote on the way to it are deleted, and no others."""
+    _WRITTEN.frames = [*getattr(_WRITTEN, "frames", []), []]
+    try:
+        result = durable(make())
+    finally:
+        *outer, mine = _WRITTEN.frames
+        _WRITTEN.frames = outer
+    *others, own = mine
+    if outer:
+        outer[-1].append(own)
     for path in others:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
