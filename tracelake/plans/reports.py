@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from tracelake.operators import core, dag, lemmas, rounds, stats
 from tracelake.plans.catalog import _KINDS, ROUNDS_SQL, _formulas, _lemma_log, _round_events, _t, query
 from tracelake.plans.solver import _entries
-from tracelake.sources import results, smt2
+from tracelake.sources import results, smt2, trace, trace_source
+from tracelake.streaming.event_time import first_of, first_within
+from tracelake.streaming.segments import ENTRY, streamed_segments
 
 
 # -- lemmas -------------------------------------------------------------------------------------
@@ -169,3 +171,74 @@ def formula_depth(spark, sf_dir):
     """A constant's depth is 0."""
     nodes, _ = smt2.dag_tables(_formulas(spark, sf_dir))
     return dag.summary(nodes).where("section = 'summary' and key = 'max_depth'").select("file", F.col("n").alias("depth"))
+
+
+# -- logs as sources and streams ----------------------------------------------------------------
+def _logs(spark, sf_dir):
+    """The lines of 16 logs, a block per event."""
+    e = _t(spark, sf_dir, "events")
+    body = F.array(F.concat(F.lit("event "), F.col("event_id").cast("string")), F.coalesce("props", F.lit("")))
+    name = F.concat(F.lit("log-"), (F.col("user_id") % 16).cast("string"))
+    return trace.rendered(e, "event_id", F.col("event_type"), F.concat(F.lit("on_"), "event_type"), body, name)
+
+
+def _entry_rows(entries):
+    event = F.regexp_extract(F.col("body")[0], r"event (\d+)", 1).cast("long")
+    return entries.select(F.regexp_extract("trace_id", r"log-\d+", 0).alias("log"), "entry_id", "line_number", event.alias("event_id"), "tag", "function", F.col("body")[1].alias("props"))
+
+
+_LOG_ROWS = """SELECT 'log-' || (user_id % 16) AS log, row_number() OVER w AS entry_id, (row_number() OVER w - 1) * 4 + 1 AS line_number, event_id, event_type AS tag, 'on_' || event_type AS function, coalesce(props, '') AS props
+FROM events WINDOW w AS (PARTITION BY user_id % 16 ORDER BY event_id)"""
+
+
+@query(_LOG_ROWS)
+def log_source(spark, sf_dir):
+    """Log files read by their own data source, cut at block ends."""
+    at = results.scratch(spark)
+    _logs(spark, sf_dir).repartition("trace_id").sortWithinPartitions("trace_id", "line_number").select("line", "trace_id").write.partitionBy("trace_id").text(at)
+    return _entry_rows(trace_source.read_trace(spark, at))
+
+
+#: States in RocksDB, and no batches without data, which a processing-time timer would ask for as long as the stream runs.
+STATEFUL = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+def _run_stream(spark, rows, at: str, settings: dict[str, str]):
+    """All that a stream has now, written as a table at ``at``; the session's settings are as before."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{at}-marks").outputMode("append").trigger(availableNow=True)
+        writer.start(at).awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@query(_LOG_ROWS)
+def log_stream(spark, sf_dir):
+    """A stream of lines cut into entries, each log's open block as its state; the result is a table."""
+    at = results.scratch(spark)
+    lines = _logs(spark, sf_dir)
+    lines.write.parquet(f"{at}-lines")
+    _run_stream(spark, streamed_segments(spark.readStream.schema(lines.schema).parquet(f"{at}-lines")), at, STATEFUL)
+    return _entry_rows(spark.read.schema(ENTRY).parquet(at))
+
+
+@query("""WITH v AS (SELECT * FROM events WHERE event_type = 'view'), p AS (SELECT * FROM events WHERE event_type = 'purchase'),
+j AS (SELECT v.user_id, v.event_id, v.ts, arg_min(p.event_id, (p.ts, p.event_id)) AS result FROM v JOIN p ON p.user_id = v.user_id AND p.ts > v.ts AND p.ts <= v.ts + INTERVAL 2 HOUR GROUP BY ALL)
+SELECT user_id, event_id, result FROM j""")
+def first_results_streamed(spark, sf_dir):
+    """For each view of a stream the first purchase of its user within two hours, by event time."""
+    at = results.scratch(spark)
+    stream = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    ts = F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))  # the same in every time zone
+    side = lambda kind: stream.where(F.col("event_type") == kind).select("user_id", "event_id", ts.alias("ts"))
+    # The table is in no order of time: nothing in it is late.
+    found = first_within(side("view"), side("purchase"), "user_id", "ts", "event_id", "2 hours", late="36500 days")
+    _run_stream(spark, found, at, {})
+    return first_of(spark.read.schema(found.schema).parquet(at), "user_id", "ts", "event_id").select("user_id", "event_id", "result")
