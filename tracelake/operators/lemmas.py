@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import text as X
-from tracelake.operators.core import fifo_pairs, next_after, running_total
+from tracelake.operators.core import next_after, running_total, scanned
 
 # Forms of a lemma's lines: an assignment, a numbered precondition, a bound inside an assignment, an entry of a map of names.
 _VAR = r"^([A-Za-z_][A-Za-z0-9_]*)\s*(:=|=)\s*(.+)$"
@@ -36,8 +36,8 @@ def varmaps(entries: DataFrame) -> DataFrame:
     return pairs.groupBy("trace_id", "name").agg(F.max_by("expr", F.struct("line_number", "i")).alias("expr"))
 
 
-def lemmas(entries: DataFrame, only_tag: str | None = None) -> DataFrame:
-    """A row per lemma entry (of any tag, or of one) with its parts; ``jform`` are its constraints as fingerprints take them.
+def lemmas(entries: DataFrame, only_tag: str | None = None, keep=()) -> DataFrame:
+    """A row per lemma entry (of any tag, or of one) with its parts and the columns ``keep``; ``jform`` are its constraints as fingerprints take them.
 
     The first line is the strategy; of the others the last that starts with => is the conclusion, those that start with (
     before the first such are preconditions, and all the rest, wherever they are, are assignments.
@@ -77,6 +77,7 @@ def lemmas(entries: DataFrame, only_tag: str | None = None) -> DataFrame:
         F.when(conclusion.isNotNull(), F.concat(stated, F.array(F.concat(F.lit("==> "), conclusion)))).otherwise(stated).alias("jform"),
         target.alias("target"),
         assigned.alias("assignments"),
+        *keep,
     )
 
 
@@ -172,15 +173,22 @@ def lemma_calls(entries: DataFrame, coarse: bool = False) -> DataFrame:
 
     A pair whose varmap can't be read is dropped after pairing: it takes its place.
     """
-    own = entries.where(F.col("tag") == "nla_solver")
-    maps = own.where(F.exists("body", lambda x: F.ltrim(x).startswith("varmap:"))).select("trace_id", "line_number", F.filter("body", lambda x: F.ltrim(x).startswith("varmap:"))[0].alias("line"))
-    pairs = fifo_pairs(lemmas(entries, "nla_solver"), maps, "trace_id", "line_number").withColumn("vm", varmap_of(F.col("r_line"))).where(F.size("vm") > 0)
+    # Both kinds are counted in one scan of the log, and the i-th of each come together by their number; an entry may be both.
+    line = F.get(F.filter("body", lambda x: F.ltrim(x).startswith("varmap:")), F.lit(0))
+    is_lemma, is_map = F.col("function") == "~lemma_builder", F.col("line").isNotNull()
+    own = entries.where(F.col("tag") == "nla_solver").select("trace_id", "line_number", "function", "body", line.alias("line")).where(is_lemma | is_map)
+    counted = scanned(own, "trace_id", "line_number", {"_l": is_lemma.cast("int"), "_m": is_map.cast("int")})
+    lemma, named = F.when(is_lemma, F.struct(F.col("_l").alias("no"), "line_number", "body", F.lit(None).cast("string").alias("line"))), F.when(is_map, F.struct(F.col("_m").alias("no"), F.lit(None).cast("long").alias("line_number"), F.lit(None).cast("array<string>").alias("body"), "line"))
+    each = counted.select("trace_id", F.explode(F.array_compact(F.array(lemma, named))).alias("e")).select("trace_id", "e.*")
+    pairs = each.groupBy("trace_id", "no").agg(F.max("line_number").alias("line_number"), F.first("body", ignorenulls=True).alias("body"), F.first("line", ignorenulls=True).alias("line"))
+    pairs = pairs.where("line_number is not null and line is not null").withColumn("vm", varmap_of(F.col("line"))).where(F.size("vm") > 0)
+    pairs = lemmas(pairs.withColumn("function", F.lit("~lemma_builder")), keep=["vm", F.col("no").alias("pair_no")])
     rewritten = lambda x: X.normal_space(X.resolve(x, F.col("vm")))
-    items = F.transform("l_jform", lambda x: X.coarse_signature(rewritten(x)) if coarse else rewritten(x))
-    target = F.coalesce(F.try_element_at("vm", F.col("l_target")), F.col("l_target"))  # a name that the map lacks stands for itself
+    items = F.transform("jform", lambda x: X.coarse_signature(rewritten(x)) if coarse else rewritten(x))
+    target = F.coalesce(F.try_element_at("vm", F.col("target")), F.col("target"))  # a name that the map lacks stands for itself
     target = X.normal_space(X.resolve(target, F.col("vm")))
     target = X.coarse_signature(target) if coarse else target
-    out = pairs.select("trace_id", F.col("pair_no").alias("index"), F.col("l_line_number").alias("line_number"), F.col("l_strategy_target").alias("strategy"), F.array_sort(items).alias("constraints"), target.alias("target"), F.lit(None).cast("string").alias("result"))
+    out = pairs.select("trace_id", (F.col("pair_no") + 1).alias("index"), "line_number", F.col("strategy_target").alias("strategy"), F.array_sort(items).alias("constraints"), target.alias("target"), F.lit(None).cast("string").alias("result"))
     return out.withColumn("fingerprint", X.fingerprint(F.col("constraints"))).withColumn("target_fingerprint", F.when(F.col("target").isNotNull(), X.fingerprint(F.array("target"))))
 
 
