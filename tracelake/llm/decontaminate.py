@@ -4,7 +4,7 @@
    Words are hashed to ``TERMS`` terms; a passage's vector is its TF-IDF sum, with document
    frequencies counted over all texts.
 2. **Randomised SVD.** With A the matrix of all steps of passages, Y = (A'A) G is gathered in one
-   distributed pass for a random G; with Q an orthonormal basis of Y, B = Q'(A'A)Q follows from
+   distributed pass for a random G, together with the document frequencies; with Q an orthonormal basis of Y, B = Q'(A'A)Q follows from
    B (Q'G) = Q'Y, and its eigenvectors give the leading right singular vectors. The first
    ``COMMON`` of them tell languages and function words apart and are left out. What is gathered
    has a fixed size, TERMS x RANK.
@@ -207,36 +207,33 @@ def _gather(docs: DataFrame, per_batch, shape: tuple[int, ...]) -> np.ndarray:
 def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The idf-weighted right singular vectors (TERMS x RANK - COMMON, float32), which terms are rare, and in how many texts each is."""
 
-    def frequency(data, offsets):
+    drawn = np.random.default_rng(seed).standard_normal((TERMS, RANK))
+    weighed = drawn.astype(np.float32)
+
+    def run(data, offsets):
+        """Counts of steps' terms multiplied by their own product with the drawn matrix, and in a last column the texts that hold each term."""
         rows, _, term = terms_of(data, offsets)
+        first, row, _ = steps_of(rows, len(offsets) - 1)
+        out = np.zeros((TERMS, RANK + 1), np.float32)
+        # Steps stand for the passages here: each word counts once.
+        if not len(first):
+            return out
         held = np.zeros((len(offsets) - 1, TERMS), bool)
         held[rows, term] = True
-        return held.sum(axis=0).astype(np.float64)
+        out[:, RANK] = held.sum(axis=0)
+        x = np.add.reduceat(weighed[term], first, axis=0)
+        step = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))
+        order = np.argsort(term.astype(np.uint16), kind="stable")
+        heads = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
+        out[term[order[heads]], :RANK] = np.add.reduceat(x[step[order]], heads, axis=0)
+        return out
 
-    df = _gather(docs, frequency, (TERMS,))
+    # A is the counts C times the idf D, so A'A G = D C'C D G. G is taken as what D makes the drawn matrix, so one pass gives both
+    # C'C (D G) and the frequencies that D needs.
+    total = _gather(docs, run, (TERMS, RANK + 1))
+    df = total[:, RANK]
     idf = np.log((1 + docs.count()) / (1 + df)) + 1
-
-    def product(of: np.ndarray):
-        weighed = (of * idf[:, None]).astype(np.float32)
-
-        def run(data, offsets):
-            rows, _, term = terms_of(data, offsets)
-            first, row, _ = steps_of(rows, len(offsets) - 1)
-            # Steps stand for the passages here: each word counts once.
-            if not len(first):
-                return np.zeros((TERMS, of.shape[1]), np.float32)
-            x = np.add.reduceat(weighed[term], first, axis=0)
-            step = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))
-            out = np.zeros((TERMS, of.shape[1]), np.float32)
-            order = np.argsort(term.astype(np.uint16), kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
-            out[term[order[heads]]] = np.add.reduceat(x[step[order]], heads, axis=0)
-            return out * idf[:, None]
-
-        return run
-
-    draw = np.random.default_rng(seed).standard_normal((TERMS, RANK))
-    y = _gather(docs, product(draw), (TERMS, RANK))
+    draw, y = drawn / idf[:, None], total[:, :RANK] * idf[:, None]
     q, _ = np.linalg.qr(y)
     b = (q.T @ y) @ np.linalg.pinv(q.T @ draw)
     _, turn = np.linalg.eigh((b + b.T) / 2)
