@@ -204,3 +204,38 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
     assert sorted((r.line_number, r.line) for r in found if r.trace_id.endswith("a.log")) == [(i + 1, f"line {i}") for i in range(2000)]
     assert sorted((r.line_number, r.line) for r in found if r.trace_id.endswith("b.log")) == [(1, "one"), (2, ""), (3, "three")]
     assert sorted(map(tuple, trace.lines_of(spark, str(tmp_path), whole=True).collect())) == sorted(map(tuple, found))
+
+
+def test_index_ranges_end_at_the_total():
+    assert results.index_ranges("5:200", 100) == list(range(5, 101))
+    assert results.index_ranges("150:200,7,200,98-", 100) == [150, 7, 200, 98, 99, 100]
+
+
+def test_injection_inside_a_line_and_without_a_check(spark):
+    put = lambda c: results.inject(c, "(b)")
+    assert one(spark, "(assert p) (check-sat)", put) == "(b)\n(assert p) (check-sat)"
+    assert one(spark, "(assert p) ; (check-sat)", put) == "(assert p) ; (check-sat)\n(b)\n(check-sat)"
+
+
+def test_lemmas_of_all_tags_and_their_lines(spark):
+    e = entries(spark, block("a", "~lemma_builder", "x 1", "v =  5   6", "w := (*  a   b)"), block("nla_solver", "~lemma_builder"), block("b", "~lemma_builder", "(1) first", "root = r", "k", "=> c", "(late)"))
+    found = lemmas.lemmas(e)
+    assert found.count() == 3 and lemmas.lemmas(e, "nla_solver").count() == 1
+    rows = {(r.line_number, r.name): (r.value, r.definition, r.root) for r in lemmas.variables(found).collect()}
+    assert rows == {(1, "v"): ("5 6", None, None), (1, "w"): (None, "(* a b)", None), (8, "root"): ("r", "k", None)}
+    last = found.orderBy("line_number").collect()[-1]
+    assert (last.strategy, last.preconditions, last.conclusion) == ("(1) first", [], "c")
+
+
+def test_names_of_a_log_are_joined_to_its_texts(spark):
+    texts = spark.createDataFrame([("t", 1, "j1 + j22 = j3"), ("t", 2, None), ("t", 3, ""), ("u", 1, "j1 j1")], "trace_id string, line_number long, conclusion string")
+    names = spark.createDataFrame([("t", "j1", "x 4096"), ("t", "j22", "y"), ("u", "j1", "z")], "trace_id string, name string, expr string")
+    got = {(r.trace_id, r.line_number): r.conclusion for r in lemmas.with_names(texts, names, "conclusion", humanised=True).collect()}
+    assert got == {("t", 1): "x 2^12 + y = j3", ("t", 2): None, ("t", 3): "", ("u", 1): "z z"}
+
+
+def test_first_of_each_and_whole_points(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    found = core.first_of_each(df, "k", [F.desc("v")], 2).orderBy("k", "rank").collect()
+    assert [(r.k, r.v, r["rank"]) for r in found] == [(0, 999, 1), (0, 996, 2), (1, 997, 1), (1, 994, 2), (2, 998, 1), (2, 995, 2)]
+    assert [one(spark, x, X.whole_points_delta, "double") for x in (0.0, 2.5, -0.3, 12.0)] == ["=", "+2pp", "-0pp", "+12pp"]
