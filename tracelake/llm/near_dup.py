@@ -54,7 +54,7 @@ BROADCAST_IDS = 1_000_000
 HUB_ROWS = 256
 #: Documents that must hold a shingle to take it out of the signatures' domain, and how many such may be broadcast (8 bytes each).
 FREQUENT, FREQUENT_MOST = 32, 4_000_000
-BATCH, LOT = 1 << 20, 8 << 20
+BATCH, LOT = 1 << 20, 4 << 20
 
 
 def lows(percent: int, most: int) -> np.ndarray:
