@@ -111,3 +111,10 @@ def test_ranges_carried_to_their_points(spark, monkeypatch, span):
     points = [(r.choice("abc"), i, r.randint(0, 220)) for i in range(150)]
     found = core.in_last_range(spark.createDataFrame(points, "k string, p long, x long"), spark.createDataFrame(ranges, "k string, n long, low long, high long, name string"), "k", "x", "low", "high")
     assert sorted((x.p, x.name) for x in found.collect()) == sorted((p[1], q[4]) for p in points for q in ranges if p[0] == q[0] and q[2] <= p[2] <= q[3])
+
+
+def test_no_rows_are_broadcast_to_their_spans(spark):
+    """By the size of the files alone a plan takes rows for few, and sends them to all tasks in place of their spans."""
+    rows = spark.range(1000).select((F.col("id") % 3).cast("string").alias("trace_id"), F.col("id").alias("at"))
+    plan = core.scanned(rows, "trace_id", "at", {"n": F.lit(1)})._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -9,7 +9,7 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.operators.core import running_total
+from tracelake.operators.core import running_total, total_before
 
 # Fixed values of the log format: 8 dashes, [tag], function, path:line, 9 dashes; 48 dashes close a block.
 HEADER = r"^-{8} \[([^\]]+)\] (\S+) (.+):(\d+)\s*-{9}\s*$"
@@ -76,13 +76,15 @@ def segment(lines: DataFrame) -> DataFrame:
 
 
 def rendered(rows: DataFrame, order, tag: Column, function: Column, body: Column, trace: Column | None = None) -> DataFrame:
-    """Log lines of any table: a block per row, ``body`` (array of lines) inside. The inverse of ``segment``."""
+    """Log lines of any table: a block per row, ``body`` (array of lines) inside. The inverse of ``segment``.
+
+    By one column of whole numbers, a log is numbered in spans; by other orders a log is one task's.
+    """
     order = [order] if isinstance(order, str) else list(order)
     header = F.concat(F.lit("-" * 8 + " ["), tag, F.lit("] "), function, F.lit(" table.row:1 " + "-" * 9))
     block = F.concat(F.array(header), body, F.array(F.lit("-" * 48)))
     shown = rows.select((trace if trace is not None else F.lit("trace")).alias("trace_id"), *order, block.alias("_b"))
-    before = Window.partitionBy("trace_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    shown = shown.withColumn("_at", F.coalesce(F.sum(F.size("_b")).over(before), F.lit(0)))
+    shown = total_before(shown, ["trace_id"], order, F.size("_b"), "_at")
     return shown.select("trace_id", "_at", F.posexplode("_b").alias("_i", "line")).select("trace_id", (F.col("_at") + F.col("_i") + 1).cast("long").alias("line_number"), "line")
 
 
