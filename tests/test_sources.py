@@ -2,11 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tracelake.sources import trace, trace_source
-from tracelake.streaming.segments import streamed_segments
+from tracelake.streaming.segments import _in_order, streamed_segments
 
 COLUMNS = ("trace_id", "entry_id", "line_number", "tag", "function", "source_file", "source_line", "body")
 HEAD, FOOT = "-" * 8 + " [{}] fn src/é.cpp:{} " + "-" * 9, "-" * 48
@@ -98,3 +99,12 @@ def test_a_silent_log_is_forgotten(stateful, tmp_path):
     progress = step([("live", 1, HEAD.format("a", 1)), ("live", 2, FOOT)])
     step([("dead", 3, FOOT), ("live", 3, "y")])
     assert [r["trace_id"] for r in spark.read.parquet(out).collect()] == ["live"] and progress is not None
+
+
+def test_lines_of_a_micro_batch_in_order_by_spans():
+    """Beyond a span of lines only one span is held; the order is that of the numbers."""
+    numbers = random.Random(7).sample(range(1, 5000), 3000)
+    parts = lambda n: (pd.DataFrame([(i, f"line {i}") for i in numbers[at : at + n]], columns=["line_number", "line"]) for at in range(0, len(numbers), n))
+    for n, span in ((100, 64), (3000, 500), (7, 10_000), (1, 1)):
+        assert list(_in_order(parts(n), span)) == [(i, f"line {i}") for i in sorted(numbers)]
+    assert list(_in_order(iter([]), 64)) == []
