@@ -239,3 +239,10 @@ def test_first_of_each_and_whole_points(spark):
     found = core.first_of_each(df, "k", [F.desc("v")], 2).orderBy("k", "rank").collect()
     assert [(r.k, r.v, r["rank"]) for r in found] == [(0, 999, 1), (0, 996, 2), (1, 997, 1), (1, 994, 2), (2, 998, 1), (2, 995, 2)]
     assert [one(spark, x, X.whole_points_delta, "double") for x in (0.0, 2.5, -0.3, 12.0)] == ["=", "+2pp", "-0pp", "+12pp"]
+
+
+def test_execute_deals_jobs_of_one_file_over_tasks(spark):
+    jobs = spark.range(40).coalesce(1).selectExpr("'s' split", "'f' file", "'c' config", "cast(map() as map<string,string>) params", "cast(id as int) seed")
+    found = sweep.execute(jobs, ["/bin/sh", "-c", "echo sat; echo {seed}"])
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted((r.seed, r.status, r.stdout) for r in found.collect()) == [(i, "sat", f"sat\n{i}\n") for i in range(40)]

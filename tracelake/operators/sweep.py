@@ -19,6 +19,8 @@ from tracelake.sources.trace import segment
 
 RUN = "split string, config string, seed int, status string, time_s double, stdout string, stderr string"
 GRACE_S = 2
+#: Characters of output that a task holds before it passes them on.
+LOT = 1 << 20
 
 
 def work(spark: SparkSession, splits: list[tuple[str, str]], configs: list[tuple[str, dict]], seeds: list[int]) -> DataFrame:
@@ -46,11 +48,15 @@ def execute(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel
 
     ``command`` is formatted with file, seed, config and params ("k=v" each). A run has a folder
     and a process group of its own, both gone afterwards; one that takes ``timeout_s`` is stopped,
-    and keeps its split.
+    and keeps its split. Jobs are dealt over ``parallel`` tasks (None: four for each of the cluster's slots), however few files they lie in.
     """
+    parallel = parallel or 4 * jobs.sparkSession.sparkContext.defaultParallelism
+
+    columns = [f.split()[0] for f in RUN.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            ended, held = [], 0
             for job in pdf.itertuples(index=False):
                 params = dict(job.params or {})
                 argv = [a.format(file=job.file, seed=job.seed, config=job.config, params=" ".join(f"{k}={v}" for k, v in sorted(params.items()))) for a in command]
@@ -70,10 +76,15 @@ def execute(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel
                     status, err = "error", str(e)
                 finally:
                     shutil.rmtree(folder, ignore_errors=True)
-                yield pd.DataFrame([(job.split, job.config, job.seed, status, time.time() - began, out, err)], columns=[f.split()[0] for f in RUN.split(", ")])
+                ended.append((job.split, job.config, job.seed, status, time.time() - began, out, err))
+                held += len(out) + len(err)
+                if held >= LOT:  # outputs may be long
+                    yield pd.DataFrame(ended, columns=columns)
+                    ended, held = [], 0
+            yield pd.DataFrame(ended, columns=columns)
 
     jobs = jobs.select("split", "file", "config", "params", "seed")
-    return (jobs.repartition(parallel) if parallel else jobs).mapInPandas(run, RUN)
+    return jobs.repartition(parallel).mapInPandas(run, RUN)
 
 
 def sweep(jobs: DataFrame, command: list[str], timeout_s: float = 30, parallel: int | None = 4, stop_on: set[str] = frozenset(), stop_split_on: set[str] = frozenset(), closed: dict[str, str] | None = None) -> DataFrame:
