@@ -226,3 +226,32 @@ def test_gradients():
             up = loss(moved)
             moved[k].flat[at] -= 2e-4
             assert abs((up - loss(moved)) / 2e-4 - slopes[k].flat[at]) < 1e-4 + 0.02 * abs(slopes[k].flat[at])
+
+
+def test_toxicity_scores_do_not_depend_on_the_texts_around():
+    r = np.random.default_rng(1)
+    net = t.Net.start(r.uniform(-2, 5, t.NOTHING), 0.1)
+    net.words[: t.NOTHING, 1:] *= 10
+    exact = net.exact()
+    assert max(np.abs(a - b).max() for a, b in zip(net.weights, exact.weights, strict=True)) < 0.01
+    sizes = r.integers(0, 9, 300)
+    bounds = np.r_[0, np.cumsum(sizes)]
+    ids = r.integers(0, t.ROWS, (bounds[-1], len(t.STEMS)))
+    whole = exact.scores(ids, bounds)
+    assert whole.tolist() == [exact.scores(ids[a:b], np.array([0, b - a]))[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert whole == pytest.approx(net.scores(ids, bounds), abs=0.02)
+
+
+def test_toxicity_arrays_are_added_up_in_tasks(spark):
+    """The driver gets one row a piece, however many shards there are."""
+    rows = [(s, s * 10 + i) for s in range(7) for i in range(3)]
+    sent = []
+    frame = type(spark.range(1))
+    kept, frame.toArrow = frame.toArrow, lambda df: sent.append(kept(df)) or sent[-1]
+    try:
+        total = t._summed(spark.createDataFrame(rows, "shard int, x long"), lambda table: np.full(100, sum(table["x"].to_pylist())))
+    finally:
+        frame.toArrow = kept
+    assert total.tolist() == [sum(x for _, x in rows)] * 100 + [7]
+    assert [x.num_rows for x in sent] == [t.PIECES]
+    assert t._summed(spark.createDataFrame([], "shard int, x long"), len).tolist() == [0]
