@@ -535,3 +535,32 @@ def test_pipeline_stages_keep_their_contract(spark):
         assert kept.columns == docs.columns
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in kept.select("doc_id").collect()}
+
+
+def test_sums_of_runs_and_covers_of_repeated_words(monkeypatch):
+    """Runs of any length are summed a row of each at once; windows that can't hold an item are told by counts that no repeated word raises."""
+    from tracelake.llm import decontaminate as d
+
+    r = np.random.default_rng(5)
+    rows = r.integers(0, 50, 3000)
+    for first in (np.arange(0, 3000, 16), np.array([0, 1, 2000, 2003]), np.array([0]), np.unique(np.r_[0, r.integers(0, 3000, 400)])):
+        table = r.integers(-9, 9, (50, 3)).astype(np.float32)
+        assert (d.summed(table, rows, first) == np.add.reduceat(table[rows], first, axis=0)).all()
+    assert d.summed(table, rows[:0], rows[:0]).shape == (0, 3)
+
+    for n in range(600):
+        item = r.integers(0, r.choice([2, 5, 30]), r.choice([1, 2, 3, 8, 20])).tolist()
+        text = r.integers(0, r.choice([3, 9, 60]), r.choice([0, 2, 15, 60])).tolist()
+        if n % 2:
+            text[5:5] = [x for x in item if r.random() < 0.7]
+        m, windows = len(item), [text[a : a + len(item) + len(item) // 4] for a in range(len(text)) if text[a] in item]
+        assert d.cover(item, np.array(text, np.uint64)) == max([d.common(item, w) for w in windows if d.leaked(item, w)], default=0) / m
+
+    runs = []
+    longest = d.longest
+    monkeypatch.setattr(d, "longest", lambda *args: runs.append(1) or longest(*args))
+    item = list(range(10, 20))
+    assert d.cover(item, np.array([10, 11] * 300, np.uint64)) == 0 and not runs
+    # Half of it without the answer isn't looked at either; with the answer it is found.
+    assert d.cover(item, np.array([10, 11, 12, 13, 14] * 50, np.uint64)) == 0 and not runs
+    assert d.cover(item, np.array([10, 11, 1, 17, 18, 19], np.uint64)) == 0.5 and runs

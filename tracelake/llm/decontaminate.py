@@ -66,55 +66,108 @@ def steps_of(rows: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.n
     return begin[row] + nth * STEP, row, starts
 
 
+def summed(table: np.ndarray, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of ``table[rows]`` over the runs of rows that begin at ``first``, the nth row of all runs at once; long runs in pieces of STEP."""
+    n = np.diff(np.r_[first, len(rows)])
+    if n.max(initial=0) > STEP:
+        pieces = -(-n // STEP)
+        begin = np.cumsum(pieces) - pieces
+        part = summed(table, rows, np.repeat(first, pieces) + STEP * (np.arange(pieces.sum()) - np.repeat(begin, pieces)))
+        return summed(part, np.arange(len(part)), begin)
+    order = np.argsort(-n, kind="stable")  # the longest first, so that those with an nth row come first
+    start, longer = first[order], len(n) - np.cumsum(np.bincount(n, minlength=STEP + 1))
+    sums = table[rows[start]]
+    for j in range(1, n.max(initial=0)):
+        sums[: longer[j]] += table[rows[start[: longer[j]] + j]]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def vectors(term: np.ndarray, first: np.ndarray, starts: np.ndarray, row: np.ndarray, weighed: np.ndarray) -> np.ndarray:
     """Each passage's sum of ``weighed`` (TERMS x k) over its words."""
     if not len(first):
         return np.zeros((0, weighed.shape[1]), np.float32)
-    sums = np.add.reduceat(weighed[term], first, axis=0)
+    sums = summed(weighed, term, first)
     both = sums.copy()
     both[:-1] += np.where((row[1:] == row[:-1])[:, None], sums[1:], 0)
     return both[starts]
 
 
-def common(a: list, b: list) -> int:
-    """Length of the longest common subsequence, a machine word of rows at a time (Python's integers)."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
+def longest(full: int, masks: list[int]) -> int:
+    """Length of the longest common subsequence, a machine word of rows at a time (Python's integers): of a sequence, ``full``'s bits, and another, the bits at which each of its words is in the first."""
     v = full
-    for x in b:
-        u = v & places.get(x, 0)
+    for x in masks:
+        u = v & x
         v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    return full.bit_length() - v.bit_count()
+
+
+def bits(words: list) -> dict:
+    """The bits of each word's places."""
+    places: dict = {}
+    for i, x in enumerate(words):
+        places[x] = places.get(x, 0) | (1 << i)
+    return places
+
+
+def common(a: list, b: list) -> int:
+    """Length of the longest common subsequence."""
+    places = bits(a)
+    return longest((1 << len(a)) - 1, [places[x] for x in b if x in places])
 
 
-def leaked(item: list, text: list, strict: float = STRICT, loose: float = LOOSE, n: int | None = None) -> bool:
-    """Whether ``text`` (a window's words, ``n`` of them common) holds the item: by coverage, or by less of it with its answer."""
-    n = common(item, text) if n is None else n
-    if n >= strict * len(item):
-        return True
+def leaked(item: list, text: list, strict: float = STRICT, loose: float = LOOSE) -> bool:
+    """The rule: whether ``text`` (a window's words) holds the item, by coverage, or by less of it with its answer. ``cover`` applies it to all windows."""
+    n = common(item, text)
     answer = item[-ANSWER:]
-    return n >= loose * len(item) and any(text[i : i + len(answer)] == answer for i in range(len(text) - len(answer) + 1))
+    return n >= strict * len(item) or n >= loose * len(item) and any(text[i : i + len(answer)] == answer for i in range(len(text) - len(answer) + 1))
+
+
+def answers_in(answer: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The places of ``text`` at which ``answer`` begins."""
+    n = max(0, len(text) - len(answer) + 1)
+    return np.flatnonzero(np.logical_and.reduce([text[j : j + n] == x for j, x in enumerate(answer)]))
 
 
 def cover(item: list, text: np.ndarray, strict: float = STRICT, loose: float = LOOSE) -> float:
-    """The best coverage among the windows of ``text`` that hold the item; 0 if none does."""
+    """The best coverage among the windows of ``text`` that hold the item, by enough of it or by less of it with its answer; 0 if none does."""
     m = len(item)
     if not m:
         return 0.0
-    known = np.unique(np.array(item, np.uint64))
-    places = np.flatnonzero(within(text, known)[1])
-    # Words of the item in the window from each of them on: as many as can be common.
-    most = np.searchsorted(places, places + m + m // 4) - np.arange(len(places))
-    best = 0
-    for i in np.argsort(-most, kind="stable").tolist():
-        if most[i] <= best or most[i] < min(strict, loose) * m or best == m:
+    whole = np.array(item, np.uint64)
+    known, many = np.unique(whole, return_counts=True)
+    at, found = within(text, known)
+    places, word = np.flatnonzero(found), at[found]
+    n, nth = len(places), np.arange(len(places))
+    if not n:
+        return 0.0
+    end = np.searchsorted(places, places + m + m // 4)
+    # As many words as can be common: in the window from each of them on a word counts as often as the item has it, so one
+    # counts only for windows that begin after the place so many of its like before it.
+    order = np.argsort(word, kind="stable")
+    back = np.arange(n) - many[word[order]]
+    same = (back >= 0) & (word[order[np.maximum(back, 0)]] == word[order])
+    after = np.zeros(n, np.int64)
+    after[order[same]] = order[back[same]] + 1
+    counts = np.zeros(n + 1, np.int64)
+    np.add.at(counts, np.maximum(after, np.searchsorted(end, nth, "right")), 1)
+    most = np.cumsum(counts[:n]) - nth
+    hits = answers_in(whole[-ANSWER:], text) + min(ANSWER, m)
+    last = np.minimum(places + m + m // 4, len(text))
+    holds = np.searchsorted(hits, last, "right") > np.searchsorted(hits, places + min(ANSWER, m))
+    able = (most >= strict * m) | (holds & (most >= loose * m))
+    able = np.flatnonzero(able)
+    if not len(able):
+        return 0.0
+    of = bits(item)
+    full, best, masks = (1 << m) - 1, 0, [of[x] for x in known[word].tolist()]
+    for i in able[np.argsort(-most[able], kind="stable")].tolist():
+        if most[i] <= best or best == m:
             break
-        part = text[places[i] : places[i] + m + m // 4].tolist()
-        n = common(item, part)
-        if n > best and leaked(item, part, strict, loose, n):
-            best = n
+        got = longest(full, masks[i : end[i]])
+        if got > best and (got >= strict * m or (holds[i] and got >= loose * m)):
+            best = got
     return best / m
 
 
@@ -221,11 +274,11 @@ def latent_terms(docs: DataFrame, seed: int = 7) -> tuple[np.ndarray, np.ndarray
         held = np.zeros((len(offsets) - 1, TERMS), bool)
         held[rows, term] = True
         out[:, RANK] = held.sum(axis=0)
-        x = np.add.reduceat(weighed[term], first, axis=0)
+        x = summed(weighed, term, first)
         step = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))
         order = np.argsort(term.astype(np.uint16), kind="stable")
         heads = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
-        out[term[order[heads]], :RANK] = np.add.reduceat(x[step[order]], heads, axis=0)
+        out[term[order[heads]], :RANK] = summed(x, step[order], heads)
         return out
 
     # A is the counts C times the idf D, so A'A G = D C'C D G. G is taken as what D makes the drawn matrix, so one pass gives both
