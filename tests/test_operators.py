@@ -158,6 +158,16 @@ def test_tactics_slices_and_checks_name_what_is_wrong(spark, tmp_path):
     assert [r.i for r in core.range_slice(points, ranges, ["trace_id"], "i", "a", "b", "round", 1).orderBy("i").collect()] == [1, 2]
     with pytest.raises(ValueError, match="1, 2"):
         core.range_slice(points, ranges, ["trace_id"], "i", "a", "b", "round", 7)
+    # However often the ranges are looked at, they are found once.
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = ranges.mapInArrow(counted, ranges.schema)
+    assert core.range_slice(points, found, ["trace_id"], "i", "a", "b", "round", 2).count() == 1 and seen.value == 2
     for spec in (str(tmp_path), "=x", f"{tmp_path}/none"):
         with pytest.raises(ValueError):
             results.label_paths([spec])
