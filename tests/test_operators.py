@@ -268,3 +268,25 @@ def test_variables_are_found_in_the_lemmas_own_rows(spark):
     assert [tuple(r)[2:] for r in rows.orderBy("first_pos").collect()] == [
         ("root", "r0", None, None, None, False, 0), ("x", "5 a", "[0, 1]", "free", "r1", True, 1), ("y", None, None, "b c", None, False, 4),
     ]
+
+
+def test_metrics_of_a_log_go_through_its_entries_once(spark):
+    lemma = lambda at, body: ("t", at, "nla_solver", "~lemma_builder", body)
+    rows = [lemma(1, ["s 7", "(1) j1 >= 2", "==> j1 < 5"]), ("t", 5, "nla_solver", "show_varmap", ["varmap: j1=4: R7"]), lemma(9, [""]), ("t", 12, "nla_solver", "is_patch_blocked", ["blocked"]), ("t", 15, "other", "f", [])]
+    rows += [("u", 1, "nra", "check", ["|- x < 1", "nra result l_true"]), ("t", 20, "nra", "check", ["|- x < 1"])]
+    entries = spark.createDataFrame(rows, "trace_id string, line_number long, tag string, function string, body array<string>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    found = stats.trace_metrics(entries.mapInArrow(counted, entries.schema)).collect()
+    assert seen.value == len(rows)
+    of = {(r.trace_id, r.section, r.key): r.n for r in found if r.section != "fingerprint"}
+    assert of == {
+        ("t", "function", "~lemma_builder"): 2, ("t", "function", "show_varmap"): 1, ("t", "function", "is_patch_blocked"): 1, ("t", "patch", "blocked"): 1,
+        ("t", "total", "entries"): 4, ("t", "total", "lemmas"): 2, ("t", "strategy", "s"): 1, ("t", "strategy", "<unknown>"): 1, ("t", "total", "calls"): 1, ("u", "total", "calls"): 1,
+    }
+    assert sorted((r.trace_id, r.n) for r in found if r.section == "fingerprint") == [("t", 1), ("u", 1)]

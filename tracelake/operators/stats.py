@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import text as X
 from tracelake.operators.core import ab_counts, first_of_each, share_points, with_tags
 from tracelake.operators.lemmas import lemma_calls, lemmas, pool_calls
+from tracelake.sources.results import stored
 
 # Forms of blocks and constants in conflicts, and the shapes of premises.
 BLOCKS, CONSTANTS = r"BLK__\w+", r"\b\d{6,}\b"
@@ -164,25 +165,27 @@ UNKNOWN = "<unknown>"
 
 def log_calls(entries: DataFrame) -> DataFrame:
     """The lemma calls of each log, or its pool calls where it has no lemma calls."""
-    found = lemma_calls(entries)
     columns = ["trace_id", "index", "constraints", "fingerprint"]
-    pools = pool_calls(entries).select(*columns, F.lit("nra").alias("source")).join(found.select("trace_id").distinct(), "trace_id", "left_anti")
-    return found.select(*columns, F.lit("varmap").alias("source")).unionByName(pools)
+    found = stored(lemma_calls(entries).select(columns))  # found once, used twice
+    pools = pool_calls(entries).select(*columns, F.lit("nra").alias("source")).join(found.select("trace_id").distinct().hint("merge"), "trace_id", "left_anti")
+    return found.withColumn("source", F.lit("varmap")).unionByName(pools)
 
 
 def trace_metrics(entries: DataFrame, fingerprints: bool = True) -> DataFrame:
-    """Per trace (section, key, n) rows, for ``metric_diff``: entries, lemmas and calls; functions; blocked patches; lemma strategies; fingerprints of calls."""
-    own = entries.where("tag = 'nla_solver'")
-    body = F.array_join("body", "\n")
-    rows = own.select("trace_id", F.lit("function").alias("section"), F.col("function").alias("key"))
-    blocked = own.where("function = 'is_patch_blocked'").select("trace_id", F.lit("patch").alias("section"), F.when(X.is_blocked(body), "blocked").otherwise("free").alias("key"))
-    found = lemmas(entries)
+    """Per trace (section, key, n) rows, for ``metric_diff``: entries, lemmas and calls; functions; blocked patches; lemma strategies; fingerprints of calls.
+
+    The entries are stored once, and entries, lemmas and calls are each gone through once: a row gives all that it counts for.
+    """
+    entries = stored(entries.select("trace_id", "line_number", "tag", "function", "body"))
+    blocked = F.when(X.is_blocked(F.array_join("body", "\n")), "blocked").otherwise("free")
     strategy = F.coalesce(F.nullif("strategy", F.lit("")), F.lit(UNKNOWN))
-    total = lambda df, key: df.select("trace_id", F.lit("total").alias("section"), F.lit(key).alias("key"))
-    parts = [rows, blocked, found.select("trace_id", F.lit("strategy").alias("section"), strategy.alias("key")), total(own, "entries"), total(found, "lemmas")]
+    item = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    each = lambda df, *items: df.select("trace_id", F.explode(F.array_compact(F.array(*items))).alias("i")).select("trace_id", "i.*")
+    patch = F.when(F.col("function") == "is_patch_blocked", item("patch", blocked))
+    parts = [each(entries.where("tag = 'nla_solver'"), item("function", F.col("function")), item("total", F.lit("entries")), patch)]
+    parts.append(each(lemmas(entries), item("strategy", strategy), item("total", F.lit("lemmas"))))
     if fingerprints:
-        called = log_calls(entries)
-        parts += [total(called, "calls"), called.select("trace_id", F.lit("fingerprint").alias("section"), F.col("fingerprint").alias("key"))]
+        parts.append(each(log_calls(entries), item("fingerprint", F.col("fingerprint")), item("total", F.lit("calls"))))
     return reduce(DataFrame.unionByName, parts).groupBy("trace_id", "section", "key").agg(F.count("*").alias("n"))
 
 
